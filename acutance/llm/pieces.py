@@ -281,7 +281,7 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", full: bo
     """docs with n_tokens, ids_sha256 and decoded_sha256; with full, also ids (array) and decoded. Texts stay in their partitions."""
     ship_package(docs.sparkSession)
     out = T.StructType([f for f in docs.schema.fields if f.name not in {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}])
-    kept = out.names
+    kept = list(out.names)
     out = out.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if full:
         out = out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")

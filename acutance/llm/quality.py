@@ -146,8 +146,8 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     bits = int(len(weights) - 1).bit_length() - 1
     sent = spark.sparkContext.broadcast(weights.astype(np.float64))
     fields = [f for f in docs.schema.fields if f.name not in {"score", "predicted"}]
-    schema = T.StructType(fields).add("score", "double").add("predicted", "integer")
     kept = [f.name for f in fields]
+    schema = T.StructType(list(fields)).add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
