@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acutance.llm import exact, mixing, pieces, quality, simhash
+from acutance.llm import exact, mixing, pieces, quality, simhash, urls
 from acutance.session import read_table
 
 
@@ -48,3 +48,40 @@ select doc_id, keep_id, group_size, k = 1 as kept, sha256(norm) as text_sha256 f
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_decode(docs, model_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP9_SQL = r"""
+with u as (select page_id, coalesce(url, '') url from pages),
+h as (select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end rest from u),
+p as (select page_id, url, lower(regexp_extract(rest, '^([^/?#]*)', 1)) host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from h),
+r as (select *, case
+    when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+    when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+    when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+    when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule,
+  regexp_replace(regexp_replace(lower(url), '[0-9]', '0', 'g'), '[^a-z0./:-]', '_', 'g') t from p),
+t as (select t, count(*) filter (rule in ('example.net/en/', 'org/fr/')) a, count(*) filter (rule in ('net/', 'example.com/de/')) r from r group by t),
+e as (select t, a, r, substr('^^^' || t, i, 4) g from t, unnest(range(1, length(t) + 1)) x(i) where length(t) > 0),
+c as (select g, sum(a) a, sum(r) r from e group by g),
+c0 as (select substr(g, 4, 1) k, sum(a) a, sum(r) r from c group by 1),
+c1 as (select substr(g, 3, 2) k, sum(a) a, sum(r) r from c group by 1),
+c2 as (select substr(g, 2, 3) k, sum(a) a, sum(r) r from c group by 1),
+x0 as (select sum(a) a, sum(r) r from c),
+x1 as (select substr(k, 1, 1) k, sum(a) a, sum(r) r from c1 group by 1),
+x2 as (select substr(k, 1, 2) k, sum(a) a, sum(r) r from c2 group by 1),
+x3 as (select substr(g, 1, 3) k, sum(a) a, sum(r) r from c group by 1),
+m as (select c.g,
+    (c.a + 4.0e0*(c2.a + 4.0e0*(c1.a + 4.0e0*(c0.a + 4.0e0/32)/(x0.a + 4.0e0))/(x1.a + 4.0e0))/(x2.a + 4.0e0))/(x3.a + 4.0e0) pa,
+    (c.r + 4.0e0*(c2.r + 4.0e0*(c1.r + 4.0e0*(c0.r + 4.0e0/32)/(x0.r + 4.0e0))/(x1.r + 4.0e0))/(x2.r + 4.0e0))/(x3.r + 4.0e0) pr
+  from c join c0 on c0.k = substr(c.g, 4, 1) join c1 on c1.k = substr(c.g, 3, 2) join c2 on c2.k = substr(c.g, 2, 3)
+  cross join x0 join x1 on x1.k = substr(c.g, 3, 1) join x2 on x2.k = substr(c.g, 2, 2) join x3 on x3.k = substr(c.g, 1, 3)),
+s as (select t, any_value(a) a, any_value(r) r, avg(log10(pa) - log10(pr)) s from e join m using (g) group by t),
+th as (select (sum(s*a)/nullif(sum(a), 0) + sum(s*r)/nullif(sum(r), 0))/2 th from s)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+  when coalesce(round(coalesce(s, 0), 9) >= round(th, 9), true) then 'allow' else 'block' end verdict
+from r left join s using (t) cross join th
+"""
