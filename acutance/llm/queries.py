@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acutance.llm import exact, mixing, pieces, quality, simhash, urls
+from acutance.llm import balltree, chat, exact, mixing, pieces, quality, simhash, urls
 from acutance.session import read_table
 
 
@@ -85,3 +85,38 @@ select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/
   when coalesce(round(coalesce(s, 0), 9) >= round(th, 9), true) then 'allow' else 'block' end verdict
 from r left join s using (t) cross join th
 """
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate(read_table(spark, sf_dir, "conversations"))
+    spans = F.expr("array_join(transform(mask, m -> concat(m.start, '-', m.end)), ',')")
+    said = F.expr("aggregate(mask, 0L, (n, m) -> n + m.end - m.start)")
+    return found.select("conv_id", "speaker", "part", "n_turns", F.length("rendered").cast("long").alias("n_chars"), said.alias("masked_chars"), F.sha2("rendered", 256).alias("text_sha256"), F.sha2(spans, 256).alias("mask_sha256"))
+
+
+OP6_SQL = r"""
+with r as (select conv_id c, turn t, coalesce(role, 'unknown') r, coalesce(text, '') x, cast(coalesce(floor(turn / 256), 0) as bigint) part from conversations),
+s as (select distinct c, r speaker from r where r <> 'system'),
+j as (select r.*, s.speaker, r.r = s.speaker as own, case when r.r = 'system' then '<|system|>' || chr(10) when r.r = s.speaker then '<|assistant|>' || chr(10) else '<|user|>' || r.r || chr(10) end h
+  from r join s on r.c is not distinct from s.c),
+o as (select *, coalesce(sum(length(h) + length(x) + 8) over (partition by c, speaker, part order by t nulls first, r, x, h, own rows between unbounded preceding and 1 preceding), 0) b from j),
+g as (select c, speaker, part, count(*) n, sum(length(h) + length(x) + 8) n_chars, coalesce(sum(length(x) + 7) filter (own), 0) masked,
+  string_agg(h || x || '<|end|>' || chr(10), '' order by t nulls first, r, x, h, own) txt,
+  coalesce(string_agg(cast(b + length(h) as bigint) || '-' || cast(b + length(h) + length(x) + 7 as bigint), ',' order by b) filter (own), '') spans
+  from o group by c, speaker, part)
+select c as conv_id, speaker, part, n as n_turns, cast(n_chars as bigint) n_chars, cast(masked as bigint) masked_chars, sha256(txt) text_sha256, sha256(spans) mask_sha256 from g
+"""
+
+
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = r"""
+with v as (select vec_id id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+e as (select id, unnest(v) x, generate_subscripts(v, 1) i from v),
+s as (select q.id query_id, c.id vec_id, sum(q.x * c.x) score from e q join e c on q.i = c.i and q.id <> c.id where q.id % 50 = 0 group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) score from r where rank <= 5
+"""
