@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acutance.llm import balltree, chat, exact, mixing, pieces, quality, simhash, urls
+from acutance.llm import balltree, chat, exact, mixing, ngrams, pieces, quality, simhash, suffixes, urls
 from acutance.session import read_table
 
 
@@ -120,3 +120,11 @@ s as (select q.id query_id, c.id vec_id, sum(q.x * c.x) score from e q join e c
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) score from r where rank <= 5
 """
+
+
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_columns(suffixes.repeats(read_table(spark, sf_dir, "documents")))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(read_table(spark, sf_dir, "documents"))
