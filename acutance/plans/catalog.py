@@ -2,10 +2,5 @@
 
 from __future__ import annotations
 
-
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+from acutance.plans import curves  # noqa: F401
+from acutance.plans.registry import oracle_sql, queries  # noqa: F401
