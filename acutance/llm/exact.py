@@ -21,7 +21,14 @@ from pyspark.sql import functions as F
 from acutance.llm.common import SPACES, keep_matching
 from acutance.session import materialise, shared_path
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk; its memory is bounded for the executor as a whole, and a store is closed when its task commits.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+}
 BATCH_BYTES = 64 << 30
 
 
@@ -47,9 +54,9 @@ def stream_state(index: DataFrame, index_path: str, max_bytes: int = BATCH_BYTES
     """(digest, n, best) after the rows of the table at index_path have gone through the stream."""
     spark = index.sparkSession
     out, log = shared_path(spark, "dedup-state"), shared_path(spark, "dedup-log")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
@@ -59,7 +66,8 @@ def stream_state(index: DataFrame, index_path: str, max_bytes: int = BATCH_BYTES
         state = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(_rank()).alias("best"))
         state.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if index.isEmpty():
         return spark.createDataFrame([], state.schema)
     saved = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(out)
