@@ -36,7 +36,7 @@ from acutance.session import materialise
 SPAN = 400
 CHUNK_BYTES = 2 << 20
 #: Keys of a shard or bucket, about.
-SHARD_KEYS = 4_000_000
+SHARD_KEYS = 1_000_000
 PRIME = 16
 
 
