@@ -152,3 +152,78 @@ def orient_rising(esf: DataFrame, keys: list[str], ends: int = 16) -> DataFrame:
     both = esf.join(mirror, [*keys, "bin"])
     falls = both.where(F.col("bin") < ends).groupBy(*keys).agg((F.count_if(F.col("v") > F.col("mv")) * 2 > F.count("*")).alias("falls"))
     return both.join(falls, keys).select(*keys, "bin", F.when(F.col("falls"), F.col("mv")).otherwise(F.col("v")).alias("v"))
+
+
+def clip_contaminated(slope: DataFrame, keys: list[str], tolerance: int = 32) -> DataFrame:
+    """The bins between which an edge is clean: going outwards from bin 16 off the centre, the first at which the slope turns against the
+    central one and enough of what lies beyond does too (over 40 % of it and up to a quarter of the central slope, or over 90 % of more than 16 bins).
+    """
+    s = slope.select(*keys, "bin", F.coalesce("slope", F.lit(0.0)).alias("s"))
+    core = F.when(F.abs(F.col("bin") - CENTRE) <= 16, F.struct(F.round(F.abs("s"), 9).alias("a"), (-F.col("bin")).alias("b"), F.col("s").alias("s")))
+    s = s.withColumn("peak", F.max(core).over(W.partitionBy(*keys)).getField("s"))
+    against = F.col("s") * F.col("peak") < 0
+    size = F.when(against, F.abs("s"))
+    left = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    right = W.partitionBy(*keys).orderBy("bin").rowsBetween(0, W.unboundedFollowing)
+
+    def turned(w):
+        below, dev, n = F.count(size).over(w), F.max(size).over(w) / F.abs("peak"), F.count("*").over(w)
+        return against & (F.abs("s") > F.abs("peak") * 0.001) & (((below > n * 0.4) & (dev > 0.25)) | ((below > 0.9 * n) & (n > 16)))
+
+    t = s.withColumn("l", turned(left)).withColumn("r", turned(right))
+    lo = F.max(F.when(F.col("l") & F.col("bin").between(4, CENTRE - 16), F.col("bin")))
+    hi = F.min(F.when(F.col("r") & F.col("bin").between(CENTRE + 16, BINS - 5), F.col("bin")))
+    out = t.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"))
+    a, b = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(BINS - 1))
+    clipped = F.col("lo").isNotNull() | F.col("hi").isNotNull()
+    return out.select(*keys, a.alias("left"), b.alias("right"), clipped.alias("clipped"), (clipped & ((CENTRE - a < tolerance) | (b - CENTRE < tolerance))).alias("contaminated"))
+
+
+#: The kernel's rate, and the widths of core and shoulder relative to the transition.
+ALPHA, CORE, SHOULDER = 13.0, 0.5, 1.85
+
+
+def kernel(x: Column, rate: Column) -> Column:
+    """An exponential, averaged over a sixteenth of a pixel on both sides."""
+    c = F.lit(1 / 16)
+    norm = 1 - F.exp(-rate * c)
+    return F.when(F.abs(x) < c, (2 - 2 * F.exp(-rate * c) * F.cosh(rate * x)) / (2 * F.sinh(rate * c) * norm)).otherwise(F.exp(-rate * F.abs(x)) / norm)
+
+
+def esf_kernel(samples: DataFrame, width: DataFrame, keys: list[str], alpha: float = ALPHA) -> DataFrame:
+    """Bins by kernel smoothing: the kernel in the core, ever wider kernels in the shoulders, a box in the tails. width: keys, half_width in bins."""
+    c = bin_of(F.col("perp"))
+    off = F.abs(c - CENTRE)
+    t = F.col("half_width")
+    n = F.when(off > 2 * CORE * t, 12).when(off > CORE * t, 7).otherwise(5)
+    s = samples.join(width.select(*keys, "half_width"), keys).withColumn("lo", F.greatest(F.lit(0), c - n)).withColumn("hi", F.least(F.lit(BINS - 1), c + n)).where("lo <= hi")
+    b = s.withColumn("bin", F.explode(F.sequence("lo", "hi")))
+    far = F.abs(F.col("bin") - CENTRE)
+    box = (F.col("hi") < CENTRE - SHOULDER * t) | (F.col("lo") > CENTRE + SHOULDER * t) | (far >= SHOULDER * t)
+    share = (far / t - CORE) / (SHOULDER - CORE)
+    rate = F.when(far < t * CORE, F.lit(alpha)).otherwise(alpha * (1 - share + 0.01 * share))
+    w = F.when(box, 1.0).otherwise(kernel(F.col("perp") - _mid(F.col("bin")), rate))
+    b = b.withColumn("w", w)
+    return b.groupBy(*keys, "bin").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
+def tail_fill(esf: DataFrame, keys: list[str], inner: int = 24) -> DataFrame:
+    """Missing ends take the mean of the outermost present bins, inner of them a side; gaps inside are interpolated from neighbours by position."""
+    grid = esf.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    w = W.partitionBy(*keys).orderBy("bin")
+    up, down = F.row_number().over(w), F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("bin")))
+    r = esf.withColumn("u", up).withColumn("d", down)
+    ends = r.groupBy(*keys).agg(F.avg(F.when((F.col("u") <= inner) & (F.col("bin") < CENTRE), F.col("v"))).alias("lv"), F.avg(F.when((F.col("d") <= inner) & (F.col("bin") > CENTRE), F.col("v"))).alias("rv"), F.min("bin").alias("b0"), F.max("bin").alias("b1"))
+    j = grid.join(esf, [*keys, "bin"], "left").join(ends, keys)
+    at = F.when(F.col("v").isNotNull(), F.struct("bin", "v"))
+    j = j.withColumn("p", F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("q", F.first(at, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    inside = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("bin") - F.col("p.bin")) / F.greatest(F.col("q.bin") - F.col("p.bin"), F.lit(1))
+    return j.select(*keys, "bin", F.when(F.col("bin") < F.col("b0"), F.col("lv")).when(F.col("bin") > F.col("b1"), F.col("rv")).otherwise(F.coalesce("v", inside)).alias("v"))
+
+
+def lut_interp(df: DataFrame, lut: list[tuple[float, float]], x: str, to: str) -> DataFrame:
+    """A piecewise-linear lookup with its ends held; the table is a short fixed list, so it becomes one expression."""
+    out = F.lit(lut[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(lut, lut[1:]))):
+        out = F.when(F.col(x) < x1, y0 + (F.col(x) - x0) * ((y1 - y0) / (x1 - x0))).otherwise(out)
+    return df.withColumn(to, F.when(F.col(x) <= lut[0][0], F.lit(lut[0][1])).otherwise(out))

@@ -106,3 +106,82 @@ def quality_flags(m: DataFrame) -> DataFrame:
     return m.withColumns({
         "cnr_flag": level(F.col("cnr") < 20, F.col("cnr") < 30), "angle_flag": level(near(1.0), near(2.0)),
         "oversampling_flag": level(F.col("oversampling") <= 4, F.col("oversampling") < 8), "length_flag": level(F.col("length") <= 25, F.col("length") > 400)})
+
+
+def kernel_correction(alpha: float = 13.0, freqs: int = 128) -> list[float]:
+    """magnitude of the spectrum of the smoothing kernel, cut at 0.625 pixels, relative to its sum, for k / 64 cycles a pixel."""
+    def value(x: float) -> float:
+        c = 1 / 16
+        norm = 1 - math.exp(-alpha * c)
+        return (2 - 2 * math.exp(-alpha * c) * math.cosh(alpha * x)) / (2 * math.sinh(alpha * c) * norm) if abs(x) < c else math.exp(-alpha * abs(x)) / norm
+
+    xs = [i / 128 for i in range(-80, 81)]
+    ws = [value(x) for x in xs]
+    return [abs(sum(w * math.cos(2 * math.pi * k / 64 * x) for w, x in zip(ws, xs))) / sum(ws) for k in range(freqs)]
+
+
+def correct_kernel(sfr: DataFrame, alpha: float = 13.0) -> DataFrame:
+    """F6 with F3: the response divided by those of the derivative and of the kernel."""
+    table = F.array(*[F.lit(x) for x in kernel_correction(alpha)])
+    return sfr.withColumn("m", F.col("m") / sinc_correction(F.col("k")) / F.element_at(table, F.col("k") + 1))
+
+
+def unbounce(sp: DataFrame, keys: list[str]) -> DataFrame:
+    """the sign of each magnitude: it flips where the phase jumps by over 90 degrees within two steps below half the response, never twice in a row.
+
+    sp: keys, k, re, im, m (relative to k = 0). The curve is packed, and one aggregate carries the last phases.
+    """
+    packed = sp.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "re", "im", "m"))).alias("a"))
+    step = """aggregate(a, named_struct('p0', 0D, 'p1', 0D, 'sign', 1D, 'last', -1, 'turn', -1D, 'out', cast(array() as array<double>)), (s, e) -> if(e.k = 0 or e.k > {top},
+      named_struct('p0', s.p0, 'p1', s.p1, 'sign', s.sign, 'last', s.last, 'turn', s.turn, 'out', array_append(s.out, e.m)),
+      transform(array(if(e.m > 1e-4D, atan2(e.im * s.turn, e.re * s.turn), cast(null as double))), raw ->
+        transform(array(coalesce(raw - 2 * pi() * rint((raw - s.p1) / (2 * pi())), 0D)), p ->
+          transform(array(e.k > 3 and abs(p - s.p0) > pi() / 2 and s.last < e.k - 1 and e.m < 0.5D), jump ->
+            named_struct('p0', s.p1, 'p1', p, 'sign', if(jump, -s.sign, s.sign), 'last', if(jump, e.k, s.last), 'turn', -s.turn,
+              'out', array_append(s.out, e.m * if(jump, -s.sign, s.sign))))[0])[0])[0])).out"""
+    top = packed.withColumn("o", F.expr(step.format(top="a[size(a) - 1].k - 1")))
+    return top.select(*keys, F.posexplode("o").alias("k", "m"))
+
+
+def smoothing_weights(half: int) -> list[float]:
+    """Weights of the parabola through 2 half + 1 equally spaced points, at the middle one."""
+    d = (2 * half - 1) * (2 * half + 1) * (2 * half + 3)
+    return [3 * (3 * half * half + 3 * half - 1 - 5 * x * x) / d for x in range(-half, half + 1)]
+
+
+def smooth_sfr(sp: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
+    """a 5-tap pass with the low end mirrored, then passes of parabolas that widen with k (half widths 2 to 7); each pass relative to k = 0; then sizes.
+
+    The curve is packed to an array of fixed length, and a pass is one transform of it.
+    """
+    packed = sp.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("a"))
+    n = F.size("a")
+    five = (-0.086, 0.343, 0.486, 0.343, -0.086)
+    first = lambda m, i: F.when(i < n - 3, sum((F.col("a")[F.abs(i + x)] * five[x + 2] for x in range(-2, 3)), F.lit(0.0))).otherwise(m)
+    packed = packed.withColumn("a", F.transform("a", first))
+    weights = F.array(*[F.array(*[F.lit(([0.0] * (7 - h) + smoothing_weights(h) + [0.0] * (7 - h))[x]) for x in range(15)]) for h in range(2, 8)])
+    packed = packed.withColumn("w", weights)
+
+    def wide(m, i):
+        order = F.least(F.lit(5), F.floor((i - 5) / 3)).cast("int")
+        total = sum((F.col("a")[i + x] * F.col("w")[order][x + 7] for x in range(-7, 8)), F.lit(0.0))
+        return F.when((i < 7) | (i >= n - 9), m).otherwise(total)
+
+    for _ in range(passes):
+        packed = packed.withColumn("a", F.transform("a", wide)).withColumn("a", F.transform("a", lambda m: m / F.col("a")[0]))
+    return packed.select(*keys, F.posexplode(F.transform("a", lambda m: F.abs(m))).alias("k", "m"))
+
+
+def refine_crossing(sfr: DataFrame, crossing: DataFrame, keys: list[str], contrast: float = 0.5) -> DataFrame:
+    """F8: the crossing by a least-squares parabola of the index on the response, half width 2 to 9; below k = 10 the linear value stays in effect."""
+    from acutance.operators.geometry import cramer3
+
+    c = crossing.where("k >= 5 and k < 118").select(*keys, F.col("k").alias("k0"), F.col("mtf50").alias("linear"), F.least(F.greatest(F.lit(2), F.col("k") - 9), F.lit(9)).alias("h"))
+    near = sfr.join(c, keys).where(F.abs(F.col("k") - F.col("k0")) <= F.col("h"))
+    y, x = F.col("m"), (F.col("k") - F.col("k0")).cast("double")
+    sums = near.groupBy(*keys, "k0", "linear").agg(*[F.sum(F.pow(y, float(i))).alias(f"s{i}") for i in range(5)], *[F.sum(F.pow(y, float(i)) * x).alias(f"t{i}") for i in range(3)])
+    a, b, d = cramer3([F.col(f"s{i}") for i in range(5)], [F.col(f"t{i}") for i in range(3)])
+    mid = (a * contrast * contrast + b * contrast + d + F.col("k0")) / 64
+    w = F.when(F.col("k0") > 9, 1.0).otherwise((F.col("k0") - 5) / 512.0 / 8)
+    fine = sums.select(*keys, ((1 - w) * F.col("linear") + w * mid).alias("fine"))
+    return crossing.join(fine, keys, "left").select(*keys, F.coalesce("fine", "mtf50").alias("mtf50"))

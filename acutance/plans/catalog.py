@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from acutance.plans import batch, curves, optics, rasters, reporting, shapes  # noqa: F401
+from acutance.plans import batch, curves, finding, optics, rasters, reporting, shapes  # noqa: F401
 from acutance.plans.registry import oracle_sql, queries  # noqa: F401

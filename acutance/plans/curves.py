@@ -242,3 +242,109 @@ select edge_id, case when cnr < 20 then 'red' when cnr < 30 then 'yellow' else '
 def _f17(spark, d):
     e = view(spark, d, "v_edges").select("edge_id", (F.col("angle") % 45).alias("reduced_angle"), (F.col("ex") / 10).alias("cnr"), (F.col("ey") / 30).alias("oversampling"), F.col("ex").alias("length"))
     return spectrum.quality_flags(e).select("edge_id", "cnr_flag", "angle_flag", "oversampling_flag", "length_flag")
+
+
+@register("b5_clip_contaminated", PAD + """,
+bump as (select edge_id, bin, v + case when edge_id % 3 = 0 and bin > 380 then -60.0e0*(bin - 380) when edge_id % 3 = 1 and bin < 120 then 45.0e0*(120 - bin) else 0 end v from p),
+sl as (select edge_id, bin, coalesce(case when count(*) over w = 33 then (sum(bin*v) over w - bin*sum(v) over w)/2992.0e0 end, 0) s from bump window w as (partition by edge_id order by bin rows between 16 preceding and 16 following)),
+pk as (select edge_id, arg_max(s, struct_pack(a := round(abs(s), 9), b := -bin)) peak from sl where abs(bin - 256) <= 16 group by 1), q as (select sl.*, peak, s*peak < 0 ag from sl join pk using (edge_id)),
+t as (select *, count(*) filter (ag) over l bl, max(abs(s)) filter (ag) over l/abs(peak) dl, count(*) over l nl, count(*) filter (ag) over r br, max(abs(s)) filter (ag) over r/abs(peak) dr, count(*) over r nr from q
+  window l as (partition by edge_id order by bin rows between unbounded preceding and current row), r as (partition by edge_id order by bin rows between current row and unbounded following)),
+g5 as (select edge_id, max(case when ag and abs(s) > abs(peak)*0.001 and ((bl > nl*0.4 and dl > 0.25) or (bl > 0.9*nl and nl > 16)) and bin between 4 and 240 then bin end) lo,
+  min(case when ag and abs(s) > abs(peak)*0.001 and ((br > nr*0.4 and dr > 0.25) or (br > 0.9*nr and nr > 16)) and bin between 272 and 507 then bin end) hi from t group by 1)
+select edge_id, coalesce(lo, 0) "left", coalesce(hi, 511) "right", lo is not null or hi is not null clipped, (lo is not null or hi is not null) and (256 - coalesce(lo, 0) < 32 or coalesce(hi, 511) - 256 < 32) contaminated from g5""")
+def _b5(spark, d):
+    third, b = F.col("edge_id") % 3, F.col("bin")
+    bump = F.when((third == 0) & (b > 380), -60.0 * (b - 380)).when((third == 1) & (b < 120), 45.0 * (120 - b)).otherwise(0.0)
+    return esf.clip_contaminated(esf.slopes(padded(spark, d).withColumn("v", F.col("v") + bump), EK), EK)
+
+
+_HW = "hw as (select edge_id, 20 + edge_id % 7 t from (select distinct edge_id from v_samples))"
+_K10 = f"""with {_HW}, ks as (select s.edge_id, perp, v, t, cast(trunc(perp*8 + 256) as int) c from v_samples s join hw using (edge_id)),
+kn as (select *, case when abs(c - 256) > 1.0e0*t then 12 when abs(c - 256) > 0.5e0*t then 7 else 5 end n from ks), kr as (select *, greatest(0, c - n) lo, least(511, c + n) hi from kn),
+kb as (select edge_id, perp, v, t, lo, hi, cast(bin as int) bin from (select *, unnest(range(lo, hi + 1)) bin from kr where lo <= hi)),
+kf as (select *, abs(bin - 256) far, perp - (bin - 256)/8.0e0 x from kb), kg as (select *, (far/cast(t as double) - 0.5e0)/1.35e0 a from kf),
+kw as (select *, case when far < 0.5e0*t then 13.0e0 else 13.0e0*(1 - a + 0.01e0*a) end rate, hi < 256 - 1.85e0*t or lo > 256 + 1.85e0*t or far >= 1.85e0*t box from kg),
+kx as (select *, case when box then 1 when abs(x) < 0.0625e0 then (2 - 2*exp(-rate*0.0625e0)*cosh(rate*x))/(2*sinh(rate*0.0625e0)*(1 - exp(-rate*0.0625e0))) else exp(-rate*abs(x))/(1 - exp(-rate*0.0625e0)) end w from kw),
+kesf as (select edge_id, bin, sum(w*v)/sum(w) v from kx group by 1, 2)"""
+
+
+def kernel_esf(spark, d):
+    s = samples(spark, d)
+    width = s.select("edge_id").distinct().withColumn("half_width", 20 + F.col("edge_id") % 7)
+    return esf.esf_kernel(s, width, EK)
+
+
+@register("b10_esf_kernel", _K10 + " select edge_id, bin, round(v, 4) v from kesf")
+def _b10(spark, d):
+    return rounded(kernel_esf(spark, d), "v", digits=4)
+
+
+@register("b11_tail_fill", _K10 + """, kq as (select * from kesf where not (bin < 60 + edge_id or bin > 450 or bin between 300 and 303)),
+kz as (select *, row_number() over (partition by edge_id order by bin) u, row_number() over (partition by edge_id order by bin desc) d from kq),
+ke as (select edge_id, avg(case when u <= 24 and bin < 256 then v end) lv, avg(case when d <= 24 and bin > 256 then v end) rv, min(bin) b0, max(bin) b1 from kz group by 1),
+kj as (select ke.*, cast(b as int) bin from ke, (select unnest(range(0, 512)) b)), kk as (select kj.*, kq.v, last_value(case when v is not null then kj.bin end ignore nulls) over a pb, last_value(v ignore nulls) over a pv,
+  first_value(case when v is not null then kj.bin end ignore nulls) over z qb, first_value(v ignore nulls) over z qv from kj left join kq on kj.edge_id = kq.edge_id and kj.bin = kq.bin
+  window a as (partition by kj.edge_id order by kj.bin rows between unbounded preceding and current row), z as (partition by kj.edge_id order by kj.bin rows between current row and unbounded following))
+select edge_id, bin, round(case when bin < b0 then lv when bin > b1 then rv else coalesce(v, pv + (qv - pv)*(bin - pb)/greatest(qb - pb, 1)) end, 4) v from kk""")
+def _b11(spark, d):
+    b = F.col("bin")
+    holes = kernel_esf(spark, d).where(~((b < 60 + F.col("edge_id")) | (b > 450) | b.between(300, 303)))
+    return rounded(esf.tail_fill(holes, EK), "v", digits=4)
+
+
+@register("b13_lut_interp", "select edge_id, ex, round(case when ex <= 50 then 1.0e0 when ex < 100 then 1 + (ex - 50)*(3.0e0 - 1)/50 when ex < 400 then 3 + (ex - 100)*(2.0e0 - 3)/300 else 2 end, 9) y from v_edges")
+def _b13(spark, d):
+    return rounded(esf.lut_interp(view(spark, d, "v_edges").select("edge_id", "ex"), [(50.0, 1.0), (100.0, 3.0), (400.0, 2.0)], "ex", "y"), "y", digits=9)
+
+
+@register("f3_kernel_correction", """with x as (select i/128.0e0 x from (select unnest(range(-80, 81)) i)), w as (select x, case when abs(x) < 0.0625e0 then (2 - 2*exp(-13*0.0625e0)*cosh(13*x))/(2*sinh(13*0.0625e0)*(1 - exp(-13*0.0625e0))) else exp(-13*abs(x))/(1 - exp(-13*0.0625e0)) end w from x),
+c as (select cast(k as int) k, abs(sum(w*cos(2*pi()*k/64*x)))/sum(w) c from w, (select unnest(range(0, 64)) k) group by 1)
+select edge_id, k, round(c, 8) c from c, (select distinct edge_id from v_samples)""")
+def _f3(spark, d):
+    table = F.array(*[F.lit(x) for x in spectrum.kernel_correction(freqs=64)])
+    e = samples(spark, d).select("edge_id").distinct()
+    return rounded(e.select("edge_id", F.posexplode(table).alias("k", "c")), "c", digits=8)
+
+
+def complex_sfr(spark, d):
+    """Spectra of 128 frequencies with their parts, of the first difference of each curve."""
+    t = F.broadcast(spectrum.twiddles(spark, 512, 128))
+    lsf_rows = esf.lsf(padded(spark, d), EK)
+    s = lsf_rows.join(t, "bin").groupBy("edge_id", "k").agg(F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im"))
+    from pyspark.sql.window import Window
+
+    m = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
+    return s.withColumn("m", m / F.max(F.when(F.col("k") == 0, m)).over(Window.partitionBy("edge_id")))
+
+
+@register("f4_unbounce")
+def _f4(spark, d):
+    return rounded(spectrum.unbounce(complex_sfr(spark, d), EK), "m")
+
+
+_SG = ", ".join("[" + ", ".join(f"{x!r}::double" for x in [0.0] * (7 - h) + spectrum.smoothing_weights(h) + [0.0] * (7 - h)) + "]" for h in range(2, 8))
+
+
+def _pass(src: str, to: str) -> str:
+    return f"""{to}0 as (select a.edge_id, a.k, case when a.k < 7 or a.k >= 119 then any_value(a.m) else sum(b.m*sg[cast(least(5, floor((a.k - 5)/3)) as int) + 1][b.k - a.k + 8]) end m
+  from {src} a join {src} b on a.edge_id = b.edge_id and abs(a.k - b.k) <= 7, wt group by 1, 2), {to} as (select edge_id, k, m/max(case when k = 0 then m end) over (partition by edge_id) m from {to}0)"""
+
+
+@register("f5_smooth_sfr", LSF + f""", f as (select edge_id, cast(k as int) k, sqrt(pow(sum(v*cos(2*pi()*((bin*k) % 512)/512)), 2) + pow(sum(v*sin(2*pi()*((bin*k) % 512)/512)), 2)) m from l, (select unnest(range(0, 128)) k) group by 1, 2),
+s0 as (select edge_id, k, m/max(case when k = 0 then m end) over (partition by edge_id) m from f), wt as (select [{_SG}] sg), t5 as (select [-0.086e0, 0.343e0, 0.486e0, 0.343e0, -0.086e0] w5),
+x0 as (select a.edge_id, a.k, case when a.k >= 125 then any_value(a.m) else sum(b.m*w5[d + 3]) end m from s0 a, (select unnest(range(-2, 3)) d), t5, s0 b where a.edge_id = b.edge_id and b.k = abs(a.k + d) group by 1, 2),
+{_pass('x0', 'y1')}, {_pass('y1', 'y2')}, {_pass('y2', 'y3')} select edge_id, k, round(abs(m), 5) + 0.0e0 m from y3""")
+def _f5(spark, d):
+    return rounded(spectrum.smooth_sfr(complex_sfr(spark, d).select("edge_id", "k", "m"), EK), "m", digits=5)
+
+
+@register("f8_refine_crossing", SFR + _MTF + """, cx as (select edge_id, k k0, mtf50 lin, least(greatest(2, k - 9), 9) h from mtf where k >= 5 and k < 118),
+n8 as (select s.edge_id, k0, lin, m y, k - k0 x from s join cx on s.edge_id = cx.edge_id and abs(s.k - k0) <= h),
+m8 as (select edge_id, k0, lin, count(*)::double s0, sum(y) s1, sum(y*y) s2, sum(y*y*y) s3, sum(y*y*y*y) s4, sum(x) t0, sum(x*y) t1, sum(x*y*y) t2 from n8 group by 1, 2, 3),
+d8 as (select *, s4*(s2*s0 - s1*s1) - s3*(s3*s0 - s1*s2) + s2*(s3*s1 - s2*s2) det from m8),
+z8 as (select edge_id, k0, lin, ((t2*(s2*s0 - s1*s1) - s3*(t1*s0 - s1*t0) + s2*(t1*s1 - s2*t0))/det*0.25e0 + (s4*(t1*s0 - t0*s1) - t2*(s3*s0 - s1*s2) + s2*(s3*t0 - s2*t1))/det*0.5e0 + (s4*(s2*t0 - s1*t1) - s3*(s3*t0 - s2*t1) + t2*(s3*s1 - s2*s2))/det + k0)/64 mid from d8)
+select mtf.edge_id, round(coalesce(case when k0 > 9 then mid else lin + (k0 - 5)/512.0e0/8*(mid - lin) end, mtf50), 5) mtf50 from mtf left join z8 using (edge_id)""")
+def _f8(spark, d):
+    s = sfr(spark, d)
+    return rounded(spectrum.refine_crossing(s, spectrum.mtf_crossing(s, EK), EK), "mtf50", digits=5)
