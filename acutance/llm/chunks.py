@@ -21,6 +21,8 @@ from acutance.llm.common import text_slices
 from acutance.session import materialise, shared_path, ship_package
 
 ANSWER = "chunk long, shard long, answer binary"
+#: Stands for the chunk of a shard's own sums.
+SUMS = -1
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -83,8 +85,18 @@ def ask(chunks: DataFrame, request: Callable, answer: Callable, name: str, field
     """chunks with a column of answers, an array of (shard, answer).
 
     request(row) gives (shard, payload) pairs for a chunk, row a dict of the fields; answer(payloads) gives an answer for
-    each payload of a shard. Both sides of the exchange are bounded: a chunk's keys, and the keys of a shard.
+    each payload of a shard. Both sides of the exchange are bounded: a chunk's keys, and the keys of a shard. A chunk sends
+    nothing to shards for which it has no key, so there are never more payloads than keys.
     """
+    return _ask(chunks, request, answer, name, fields, to)[0]
+
+
+def ask_with_sums(chunks: DataFrame, request: Callable, answer: Callable, name: str, fields: list[str], to: str = "answers") -> tuple[DataFrame, DataFrame]:
+    """Like ask; answer(payloads) also gives a shard's own sums as one more answer. The second table holds these (shard, answer)."""
+    return _ask(chunks, request, answer, name, fields, to)
+
+
+def _ask(chunks: DataFrame, request: Callable, answer: Callable, name: str, fields: list[str], to: str) -> tuple[DataFrame, DataFrame]:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,12 +111,14 @@ def ask(chunks: DataFrame, request: Callable, answer: Callable, name: str, field
     def reply(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         answers = answer([x.as_py() for x in group["payload"]])
-        return pa.table({"chunk": group["chunk"], "shard": group["shard"], "answer": pa.array(answers, pa.binary())})
+        own = len(answers) - len(group)  # 1 with the shard's sums, else 0
+        at = np.concatenate((group["chunk"].to_numpy(), [SUMS] * own)).astype(np.int64)
+        return pa.table({"chunk": at, "shard": pa.array([group["shard"][0].as_py()] * len(answers), pa.int64()), "answer": pa.array(answers, pa.binary())})
 
     sent = chunks.select(*fields).mapInArrow(send, "chunk long, shard long, payload binary")
     answers = materialise(sent.groupBy("shard").applyInArrow(reply, ANSWER), name)
-    packed = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias(to))  # as many as shards
-    return chunks.join(packed, "chunk", "left")
+    packed = answers.where(F.col("chunk") != SUMS).groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias(to))  # as many as shards
+    return chunks.join(packed, "chunk", "left"), answers.where(F.col("chunk") == SUMS).select("shard", "answer")
 
 
 def dealt(shard: np.ndarray, shards: int) -> list[np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acutance.llm.chunks import ask, dealt, make_chunks, squeeze, unsqueeze
+from acutance.llm.chunks import ask_with_sums, dealt, make_chunks, squeeze, unsqueeze
 from acutance.llm.common import RollingHash, lower_ascii, mix64, word_bounds
 
 CHUNK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
@@ -59,11 +59,14 @@ class EliasFano:
         high[ones] = 1
         words = np.packbits(high, bitorder="little").view(np.uint64)
         before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
-        return {"low": np.packbits(bits, bitorder="little"), "high": words, "before": before, "shape": np.array([n, low], np.int64)}
+        low_bytes = np.concatenate((np.packbits(bits, bitorder="little"), np.zeros(8, np.uint8)))  # so that 8 bytes can be read anywhere
+        return {"low": low_bytes, "high": words, "before": before, "shape": np.array([n, low], np.int64)}
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.low, self.high, self.before = parts["low"], parts["high"], parts["before"]
         self.n, self.bits = (int(x) for x in parts["shape"])
+        # The low bytes as a 64-bit word at every byte; low values have 57 bits at most.
+        self.low_words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
 
     def __len__(self) -> int:
         return self.n
@@ -82,20 +85,27 @@ class EliasFano:
             rest = np.where(up, rest >> np.uint64(width), half)
         out = (word * 64 + base - i) << self.bits
         place = i * self.bits
-        for b in range(self.bits):
-            out |= ((self.low[(place + b) >> 3] >> ((place + b) & 7)) & 1).astype(np.int64) << b
-        return out
+        low = self.low_words[place >> 3] >> (place & 7).astype(np.uint64)
+        return out | (low & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def first_at_least(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """For each x, the first place in [lo, hi) whose value is x or more, hi if there is none.
 
-    def first_at_least(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each x, the first place in [lo, hi) whose value is x or more, hi if there is none."""
-        lo, hi = lo.copy(), hi.copy()
-        todo = np.flatnonzero(lo < hi)
+        Values lie between least and most and are spread evenly, as hashes are: the place is guessed by interpolation, every
+        third time by halving. Equal neighbours don't occur.
+        """
+        lo, hi, least, most = lo.copy(), hi.copy(), least.astype(float), most.astype(float)
+        todo, turn = np.flatnonzero(lo < hi), 0
         while len(todo):
-            mid = (lo[todo] + hi[todo]) >> 1
-            less = self.at(mid) < x[todo]
-            lo[todo[less]] = mid[less] + 1
-            hi[todo[~less]] = mid[~less]
-            todo = todo[lo[todo] < hi[todo]]
+            a, b, want = lo[todo], hi[todo], x[todo]
+            share = 0.5 if turn % 3 == 2 else np.clip((want - least[todo]) / np.maximum(most[todo] - least[todo], 1), 0, 1)
+            mid = np.minimum(a + ((b - a) * share).astype(np.int64), b - 1)
+            value = self.at(mid)
+            less, same = value < want, value == want
+            lo[todo] = np.where(less, mid + 1, np.where(same, mid, a))
+            hi[todo] = np.where(less, b, mid)
+            least[todo], most[todo] = np.where(less, value, least[todo]), np.where(less, most[todo], value)
+            todo, turn = todo[lo[todo] < hi[todo]], turn + 1
         return lo
 
 
@@ -128,13 +138,14 @@ class Trie:
             return out
         context, successor = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         distinct, back = np.unique(context, return_inverse=True)
-        node = self.contexts.first_at_least(distinct, np.zeros(len(distinct), np.int64), np.full(len(distinct), n))
+        zero = np.zeros(len(distinct), np.int64)
+        node = self.contexts.first_at_least(distinct, zero, zero + n, zero, zero + (1 << 32))
         there = node < n
         there[there] = self.contexts.at(node[there]) == distinct[there]
         node, ok = node[back], there[back]
         node, wanted = node[ok], (node[ok] << 32) | successor[ok]
         lo, hi = self.pointers.at(node), self.pointers.at(node + 1)
-        place = self.successors.first_at_least(wanted, lo, hi)
+        place = self.successors.first_at_least(wanted, lo, hi, node << 32, (node + 1) << 32)
         hit = place < hi
         hit[hit] = self.successors.at(place[hit]) == wanted[hit]
         found = np.zeros(len(node), np.uint8)
@@ -221,22 +232,31 @@ def _unpack_pairs(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.repeat(context, run).astype(np.uint64) << np.uint64(32)) | successor, counts
 
 
-def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, their summed counts, and where the keys of each part are among them."""
     every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(back, weights=np.concatenate(counts).astype(float), minlength=len(every)).astype(np.int64)
+    total = np.bincount(back, weights=np.concatenate(counts).astype(float), minlength=len(every)).astype(np.int64)
+    return every, total, np.split(back, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def answer(payloads: list[bytes]) -> list[bytes]:
-    """Answers of one shard: of words, their counts with the shard's sums; of pairs, the codes in its trie."""
+    """Answers of one shard: of words, their counts, and the sums of distinct and of all words; of pairs, the codes in its trie."""
     parts = [unsqueeze(p) for p in payloads]
     if parts[0][0][0] == 1:
-        every, total = _totals([p[1] for p in parts], [p[2] for p in parts])
+        _, total, places = _totals([p[1] for p in parts], [p[2] for p in parts])
         sums = np.array([np.count_nonzero(total), total.sum()], np.int64)
-        return [squeeze(total[np.searchsorted(every, p[1])], sums) for p in parts]
+        return [*(squeeze(total[at]) for at in places), sums.tobytes()]
     blocks = [_unpack_pairs(p) for p in parts]
-    every, total = _totals([b[0] for b in blocks], [b[1] for b in blocks])
+    every, total, places = _totals([b[0] for b in blocks], [b[1] for b in blocks])
     trie = Trie(map_from_file(Trie.build(every[total > 0], total[total > 0])))
-    return [squeeze(trie.lookup(keys)) for keys, _ in blocks]
+    codes = trie.lookup(every)  # each distinct pair once, in order
+    return [*(squeeze(codes[at]) for at in places), np.zeros(2, np.int64).tobytes()]
+
+
+def _read_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = np.array([np.frombuffer(x.as_py(), np.int64) for x in batch.column("answer")], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["v", "n"])
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float = MU, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -246,12 +266,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float =
 
     def questions(row: dict):
         view = ChunkView(row, shards)
-        for s, own in enumerate(view.word_shards):  # every shard is asked, if for nothing but its sums
-            yield s, squeeze(np.array([1], np.uint8), view.distinct[own] >> np.uint64(24), view.word_count[own])
+        for s, own in enumerate(view.word_shards):
+            if len(own):
+                yield s, squeeze(np.array([1], np.uint8), view.distinct[own] >> np.uint64(24), view.word_count[own])
         for s, own in enumerate(view.pair_shards):
             if len(own):
                 yield shards + s, _pack_pairs(view.pairs[own], view.pair_count[own])
 
+    asked, sums_of = ask_with_sums(chunks, questions, answer, "lm-answers", ["chunk", "keys", "body"])
+    parts = sums_of.mapInArrow(_read_sums, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    v, n = parts[0] or 0, parts[1] or 0
     schema = T.StructType([docs.schema[key]]).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +285,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float =
                 view = ChunkView(row, shards)
                 got = {a["shard"]: unsqueeze(a["answer"]) for a in row["answers"] or []}
                 count, code = np.zeros(len(view.distinct)), np.zeros(len(view.pairs), np.uint8)
-                v = n = 0
                 for s, own in enumerate(view.word_shards):
-                    count[own] = got[s][0]
-                    v, n = v + int(got[s][1][0]), n + int(got[s][1][1])
+                    if len(own):
+                        count[own] = got[s][0]
                 for s, own in enumerate(view.pair_shards):
                     if len(own):
                         code[own] = got[shards + s][0]
@@ -278,5 +301,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float =
                 known = per((count[word] > 0).astype(float))
                 yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(~view.train), pa.array(per(np.ones(len(word))).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(view.n, n, np.int64)), pa.array(per(np.log10(p1[word]))), pa.array(per(np.log10(p)))], schema.names)
 
-    asked = ask(chunks, questions, answer, "lm-answers", ["chunk", "keys", "body"])
     return asked.select("keys", "body", "answers").mapInArrow(sums, schema)
