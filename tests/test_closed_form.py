@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acutance.operators import charts, esf, geometry, lens, raster, spectrum
+from acutance.operators import charts, esf, geometry, lens, raster, spectrum, targets
 from acutance.sources import tables
 from acutance.streaming import arrivals
 
@@ -119,3 +119,58 @@ def test_refused_images_have_a_reason(spark, tmp_path):
     good, bad = tables.read_pixels(spark, path, images)
     assert sorted((r.image_id, r.channel, r.x) for r in good.collect()) == [(0, 0, 0), (0, 0, 1), (0, 0, 2)]
     assert [(r.image_id, r.reason) for r in bad.collect()] == [(1, 5)]
+
+
+def test_holes_of_planted_rings(spark):
+    ring = [(0, y, x) for y in range(5, 25) for x in range(5, 25) if not (8 <= y < 22 and 8 <= x < 22)]
+    solid = [(0, y, x) for y in range(30, 36) for x in range(30, 36)]
+    px = spark.createDataFrame([(0, y, x, 0) for y in range(40) for x in range(40)], "image_id int, y int, x int, v int")
+    comps = geometry.component_pixels(geometry.connected_components(geometry.runs(spark.createDataFrame(ring + solid, "image_id int, y int, x int"))))
+    images = spark.createDataFrame([(0, 40, 40)], "image_id int, width int, height int")
+    rows = targets.largest_hole(comps, px, images).collect()
+    assert [r.hole_len for r in rows] == [4 * 14 - 4]
+
+
+def test_unbounce_flips_once_after_a_null(spark):
+    rows = [(0, k, (1 if k < 20 else -1) * (1 - k / 20) * (-1) ** k, 0.0, abs(1 - k / 20)) for k in range(40)]
+    got = [r.m for r in spectrum.unbounce(spark.createDataFrame(rows, "edge_id int, k int, re double, im double, m double"), EK).orderBy("k").collect()]
+    assert all(abs(abs(a) - r[4]) < 1e-12 for a, r in zip(got, rows)) and got[0] == 1.0
+
+
+def test_loess_recovers_a_smooth_edge(spark):
+    rng = np.random.default_rng(8)
+    d = rng.uniform(-30, 30, 6000)
+    rows = [(0, float(x), 0.0, float(1000 / (1 + math.exp(-x / 1.2)))) for x in d]
+    got = targets.esf_loess(spark.createDataFrame(rows, "edge_id int, perp double, par double, v double"), EK).collect()
+    for r in got:
+        x = (r.bin - 256) / 8
+        assert r.v == pytest.approx(1000 / (1 + math.exp(-x / 1.2)), abs=2.0)
+
+
+def test_rational_fit_finds_the_peak(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, at in enumerate((3.0, -1.5)):
+        for x in rng.uniform(-12, 12, 400):
+            y = 0.4 / (1 + ((x - at) / 5) ** 2)
+            rows.append((i, float(x), float(y * (1.3 if rng.random() < 0.02 else 1))))
+    got = {r.edge_id: r.peak for r in targets.rational_fit(spark.createDataFrame(rows, "edge_id int, x double, y double"), EK, "x", "y").collect()}
+    assert got[0] == pytest.approx(3.0, abs=0.1) and got[1] == pytest.approx(-1.5, abs=0.1)
+
+
+def test_surface_of_a_plane(spark):
+    rows = [(0, y, x, 0.01 * y + 0.02 * x) for y in range(0, 28, 2) for x in range(0, 28, 3)]
+    got = targets.surface_fit(spark.createDataFrame(rows, "image_id int, gy int, gx int, v double"), ["image_id"], smooth=1e-6).collect()
+    inside = [r for r in got if r.gy <= 24 and r.gx <= 24]
+    assert inside and all(abs(r.v - 0.01 * r.gy - 0.02 * r.gx) < 1e-3 for r in inside)
+
+
+def test_kernel_curves_recover_sharp_edges(spark):
+    s = 0.6
+    d = np.linspace(-30, 30, 4801)
+    rows = [(0, float(x), 0.0, float(500 * (1 + math.erf(x / s / math.sqrt(2))))) for x in d]
+    df = spark.createDataFrame(rows, "edge_id int, perp double, par double, v double")
+    width = spark.createDataFrame([(0, 60)], "edge_id int, half_width int")
+    curve = esf.tail_fill(esf.esf_kernel(df, width, EK), EK)
+    sfr = spectrum.correct_kernel(spectrum.dft(esf.lsf(curve, EK), EK))
+    assert spectrum.mtf_crossing(sfr, EK).first().mtf50 == pytest.approx(0.1873906251 / s, rel=0.01)
