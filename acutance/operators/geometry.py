@@ -277,3 +277,42 @@ def min_samples(samples: DataFrame, keys: list[str], least: int = 10) -> DataFra
     """Samples of edges that have enough of them, by a count that is joined."""
     keep = samples.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys)
     return samples.join(keep, keys, "left_semi")
+
+
+def reposition(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Q-11: corners of the refined edges and outward normals: away from the block's centre."""
+    c = edges.groupBy(*keys).agg(F.avg("cx").alias("bx"), F.avg("cy").alias("by_"))
+    j = edges.join(c, keys).withColumn("nx", -F.sin("angle")).withColumn("ny", F.cos("angle"))
+    out = (F.col("cx") - F.col("bx")) * F.col("nx") + (F.col("cy") - F.col("by_")) * F.col("ny") < 0
+    return j.select(*keys, "k", F.when(out, -F.col("nx")).otherwise(F.col("nx")).alias("nx"), F.when(out, -F.col("ny")).otherwise(F.col("ny")).alias("ny"))
+
+
+def recentre(edges: DataFrame, refined: DataFrame, keys: list[str], again, tol: float = 1.0) -> DataFrame:
+    """Q-15: edges whose centre moved by more than tol are measured again by again(rows); the others keep their refinement."""
+    o = edges.select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    j = refined.join(o, keys).withColumn("moved", F.sqrt((F.col("cx") - F.col("ox")) ** 2 + (F.col("cy") - F.col("oy")) ** 2) > tol).drop("ox", "oy")
+    return j.where("not moved").drop("moved").unionByName(again(j.where("moved").drop("moved")))
+
+
+def pair_edges_with_corners(edges: DataFrame, corner_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Q-19: for each corner, clockwise from twelve o'clock, the edge nearest to the line to the next corner."""
+    c = corner_rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    turn = F.round(F.pmod(F.atan2(F.col("x") - F.col("mx"), F.col("my") - F.col("y")), F.lit(2 * math.pi)), 9)
+    o = corner_rows.join(c, keys).withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(turn, "corner")))
+    nxt = o.select(*keys, F.when(F.col("n") == 1, 4).otherwise(F.col("n") - 1).alias("n"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    seg = o.join(nxt, [*keys, "n"])
+    mid = (F.col("cx") - (F.col("x") + F.col("x2")) / 2) ** 2 + (F.col("cy") - (F.col("y") + F.col("y2")) / 2) ** 2
+    j = seg.join(edges.select(*keys, "k", "cx", "cy"), keys)
+    best = F.min(F.struct(F.round(mid, 6).alias("d"), "k")).getField("k")
+    return j.groupBy(*keys, "n", "x", "y").agg(best.alias("k"))
+
+
+def roi_measure_prep(px: DataFrame, rois: DataFrame, half_width: float = 28.0) -> DataFrame:
+    """Q-25: each region as one edge: pixels near the segment, a first line by the gradient along it, pixels that contaminate it left out, a second line."""
+    from acutance.operators import raster
+
+    keys = ["image_id", "roi_id"]
+    g = raster.gradients(px).select("image_id", "y", "x", "g2")
+    pix = raster.roi_contains(px, rois, half_width).join(g, ["image_id", "y", "x"])
+    clean = gradient_outliers(pix.select(*keys, "x", "y", F.col("across").alias("perp"), F.col("along").alias("par"), "g2"), keys)
+    return weighted_pca(clean.where("g2 > 0").withColumn("w", F.col("g2")), keys)

@@ -184,3 +184,77 @@ def reduce_angle(theta: Column) -> Column:
     """Q-17: an angle in radians, modulo 90 degrees, folded to 0 .. 45, in degrees."""
     d = F.degrees(F.abs(theta % (math.pi / 2)))
     return F.when(d > 45, 90 - d).otherwise(d)
+
+
+def spread_band(points: DataFrame, fit: DataFrame, keys: list[str], n: int = 64, share: float = 0.9, reach: int = 2, alpha: float = 0.35) -> DataFrame:
+    """The order statistic of |y - fit| among points within reach places, gaps filled linearly, then smoothed exponentially forwards and backwards.
+
+    points: keys, i (place), e (absolute residual); fit: keys, i. The band of a key is an array of n places.
+    """
+    near = points.withColumn("i", F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach))).where(F.col("i").between(0, n - 1))
+    picked = rank_pick(near.select(*keys, "i", F.round("e", 9).alias("e")), [*keys, "i"], "e", [share]).select(*keys, "i", "value")
+    grid = fit.select(*keys).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    w = W.partitionBy(*keys).orderBy("i")
+    j = grid.join(picked, [*keys, "i"], "left")
+    at = F.when(F.col("value").isNotNull(), F.struct("i", "value"))
+    j = j.withColumn("p", F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("q", F.first(at, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    line = F.col("p.value") + (F.col("q.value") - F.col("p.value")) * (F.col("i") - F.col("p.i")) / F.greatest(F.col("q.i") - F.col("p.i"), F.lit(1))
+    j = j.select(*keys, "i", F.coalesce("value", line, F.col("p.value"), F.col("q.value")).alias("v"))
+    a = j.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("a"))
+    run = lambda x: F.expr(f"aggregate({x}, cast(array() as array<double>), (s, v) -> array_append(s, if(size(s) = 0, v, {alpha}D * v + {1 - alpha}D * s[size(s) - 1])))")
+    a = a.withColumn("f", run("a")).withColumn("b", F.reverse(run("reverse(f)")))
+    return a.select(*keys, F.posexplode("b").alias("i", "band"))
+
+
+def smooth_profile(curve: DataFrame, keys: list[str], at: str = "i", value: str = "y") -> DataFrame:
+    """The parabola through 15 neighbouring points, at the middle one; the seven points at each end stay."""
+    from acutance.operators.spectrum import smoothing_weights
+
+    w = W.partitionBy(*keys).orderBy(at)
+    taps = smoothing_weights(7)
+    near = lambda d: F.lag(value, -d).over(w) if d < 0 else (F.col(value) if d == 0 else F.lead(value, d).over(w))
+    total = sum((taps[d + 7] * near(d) for d in range(-7, 8)), F.lit(0.0))
+    return curve.select(*keys, at, F.coalesce(total, F.col(value)).alias(value))
+
+
+def is_rotated(rm: DataFrame, bins: int = 60) -> DataFrame:
+    """Whether a picture's row maxima look like a rotated chart: of all two breakpoints, those with the least spread of the three parts
+    (interquartile range, the middle part counted ten times) are taken; the middle's median is then not above both ends'.
+
+    A picture has a fixed number of bins, so its pairs of breakpoints are bounded.
+    """
+    b = rm.withColumn("lo", F.min("at").over(W.partitionBy("image_id"))).withColumn("hi", F.max("at").over(W.partitionBy("image_id")))
+    b = b.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("at") - F.col("lo")) * bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).cast("int")))
+    b = b.groupBy("image_id", "bin").agg(F.max("mtf").alias("m"))
+    cuts = b.select("image_id").distinct().withColumn("p", F.explode(F.sequence(F.lit(bins // 6), F.lit(bins // 2), F.lit(2)))).withColumn("q", F.explode(F.sequence(F.lit(bins // 2 + 2), F.lit(bins - bins // 6), F.lit(2))))
+    part = F.when(F.col("bin") < F.col("p"), 0).when(F.col("bin") < F.col("q"), 1).otherwise(2)
+    s = b.join(cuts, "image_id").withColumn("part", part)
+    s = s.groupBy("image_id", "p", "q", "part").agg(F.percentile("m", 0.25).alias("a"), F.percentile("m", 0.5).alias("b"), F.percentile("m", 0.75).alias("c"))
+    g = s.groupBy("image_id", "p", "q").agg(F.count("*").alias("n"), F.sum((F.col("c") - F.col("a")) * F.when(F.col("part") == 1, 10).otherwise(1)).alias("cost"), *[F.max(F.when(F.col("part") == i, F.col("b"))).alias(f"m{i}") for i in range(3)]).where("n = 3")
+    best = g.groupBy("image_id").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "p", "q", "m0", "m1", "m2")).alias("s"))
+    return best.select("image_id", "s.p", "s.q", ((F.col("s.m1") <= F.col("s.m0")) & (F.col("s.m1") <= F.col("s.m2"))).alias("rotated"))
+
+
+def loess_auto(curve: DataFrame, keys: list[str], at: str, value: str, widths=(5, 8, 11, 14, 17, 20), most: float = 0.05) -> DataFrame:
+    """Local lines over growing half widths; the smallest width at which the fit's direction changes at fewer than 5 % of the points, else the widest."""
+    rows = curve.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(at)).cast("double"))
+    out = None
+    for h in widths:
+        w = W.partitionBy(*keys).orderBy("n").rowsBetween(-h, h)
+        c, sn, sy, snn, sny = F.count("*").over(w), F.sum("n").over(w), F.sum(value).over(w), F.sum(F.col("n") * F.col("n")).over(w), F.sum(F.col("n") * F.col(value)).over(w)
+        det = c * snn - sn * sn
+        slope = F.when(det > 0, (c * sny - sn * sy) / F.nullif(det, F.lit(0.0))).otherwise(0.0)
+        f = rows.withColumn("fit", (sy - slope * sn) / c + slope * F.col("n"))
+        step = F.round(F.col("fit") - F.lag("fit").over(W.partitionBy(*keys).orderBy("n")), 9)
+        f = f.withColumn("d", F.signum(step)).withColumn("turn", ((F.col("d") * F.lag("d").over(W.partitionBy(*keys).orderBy("n"))) < 0).cast("int"))
+        f = f.select(*keys, at, "fit", "turn", F.lit(h).alias("width"))
+        out = f if out is None else out.unionByName(f)
+    rate = out.groupBy(*keys, "width").agg(F.avg(F.coalesce("turn", F.lit(0))).alias("rate"))
+    pick = rate.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("rate") < most, F.col("width"))), F.max("width")).alias("width"))
+    return out.join(pick, [*keys, "width"]).select(*keys, at, "width", "fit")
+
+
+def ca_surface(m: DataFrame, cell: float, value: str, least: int = 6, limit: float = 16.0) -> DataFrame:
+    """The cells of a shift within the limit, for images with at least six edges; the surface is fitted as for other values."""
+    enough = m.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("image_id")
+    return grid_composite(m.join(enough, "image_id", "left_semi").where(F.abs(value) <= limit), cell, value)

@@ -193,3 +193,40 @@ def _r29(spark, d):
 @register("r30_relative_error_p95", f"with {_ACC} select run, round(quantile_cont(abs(100*(measured - expected)/expected), 0.95), 6) p95 from m group by 1")
 def _r30(spark, d):
     return rounded(reports.relative_error_p95(_measured(spark, d), ["run"]), "p95")
+
+
+@register("r14_spread_band")
+def _r14(spark, d):
+    """The running smoothing has no short SQL; the tests hold it against a loop."""
+    e = view(spark, d, "v_events").select((F.col("edge_id") % 10).alias("edge_id"), (F.col("i") % 64).alias("i"), F.abs(F.col("v") - 20).alias("e"))
+    return rounded(reports.spread_band(e, e, ["edge_id"]), "band", digits=5)
+
+
+_SG7 = "[" + ", ".join(f"{x!r}::double" for x in __import__("acutance.operators.spectrum", fromlist=["x"]).smoothing_weights(7)) + "]"
+
+
+@register("r15_smooth_profile", f"""with t as (select {_SG7} sg), n as (select edge_id, i, v, count(*) over (partition by edge_id) n from v_events)
+select a.edge_id, a.i, round(case when count(b.i) = 15 then sum(b.v*sg[b.i - a.i + 8]) else any_value(a.v) end, 5) v from n a join n b on a.edge_id = b.edge_id and abs(a.i - b.i) <= 7, t group by 1, 2""")
+def _r15(spark, d):
+    return rounded(reports.smooth_profile(view(spark, d, "v_events"), ["edge_id"], "i", "v"), "v", digits=5)
+
+
+@register("r17_is_rotated")
+def _r17(spark, d):
+    rm = view(spark, d, "v_events").select((F.col("edge_id") % 8).alias("image_id"), F.col("i").alias("at"), F.col("v").alias("mtf"))
+    return reports.is_rotated(rm.groupBy("image_id", "at").agg(F.max("mtf").alias("mtf")))
+
+
+@register("r19_loess_auto")
+def _r19(spark, d):
+    return rounded(reports.loess_auto(view(spark, d, "v_events"), ["edge_id"], "i", "v"), "fit", digits=5)
+
+
+@register("r26_ca_surface", f"""{"with " + _SHIFT}, e as (select v_edges.edge_id, image_id, ex, ey, angle, red_px*40 red from v_edges join sh on sh.edge_id = v_edges.edge_id % 20), en as (select image_id from e group by 1 having count(*) >= 6),
+d as (select *, ex - 320 dx, ey - 240 dy from e where abs(red) <= 16 and image_id in (select image_id from en)), c2 as (select *, {_COS} c from d),
+g2 as (select image_id, case when c > cos(radians(45)) then 'meridional' else 'sagittal' end direction, cast(round_even(ey/80, 0) as int) gy, cast(round_even(ex/80, 0) as int) gx, round(red, 4) red from c2),
+r2 as (select *, row_number() over (partition by image_id, direction, gy, gx order by abs(red) desc, red desc) k from g2) select image_id, direction, gy, gx, red + 0.0e0 v from r2 where k = 1""")
+def _r26(spark, d):
+    s = reports.channel_shift(_channel_lsf(spark, d), ["edge_id"]).withColumnRenamed("edge_id", "e20")
+    m = edges(spark, d).withColumn("e20", F.col("edge_id") % 20).join(s, "e20").withColumn("red", F.round(F.col("red_px") * 40, 4) + 0.0)
+    return reports.ca_surface(reports.classify_ms(m.where("abs(red_px * 40) <= 16"), 320, 240), 80.0, "red")

@@ -270,3 +270,40 @@ def _j8(spark, d):
 @register("j9_min_samples", f"with {_SL}, k as (select image_id, edge_id from sm group by 1, 2 having count(*) >= 100) select image_id, edge_id, round(perp, 6) + 0.0e0 perp, round(par, 6) + 0.0e0 par, v from sm join k using (image_id, edge_id)")
 def _j9(spark, d):
     return rounded(geometry.min_samples(sampled(spark, d), EK, 100), "perp", "par")
+
+
+@register("q11_reposition", f"""with {_BLOCK}, ce as (select block_id, avg(cx) bx, avg(cy) by_ from ed group by 1), n as (select ed.*, bx, by_, -sin(angle) nx, cos(angle) ny from ed join ce using (block_id))
+select block_id, k, round(case when (cx - bx)*nx + (cy - by_)*ny < 0 then -nx else nx end, 6) + 0.0e0 nx, round(case when (cx - bx)*nx + (cy - by_)*ny < 0 then -ny else ny end, 6) + 0.0e0 ny from n""")
+def _q11(spark, d):
+    return rounded(geometry.reposition(blocks(spark, d), K), "nx", "ny")
+
+
+@register("q15_recentre", f"with {_BLOCK} select block_id, k, round(cx + case when block_id % 3 = 0 then 4 else 0.5e0 end, 6) cx, round(cy, 6) cy, block_id % 3 = 0 again from ed")
+def _q15(spark, d):
+    b = blocks(spark, d)
+    moved = b.withColumn("cx", F.col("cx") + F.when(F.col("block_id") % 3 == 0, 2.0).otherwise(0.5)).withColumn("again", F.lit(False))
+    out = geometry.recentre(b, moved, ["block_id", "k"], lambda rows: rows.withColumn("cx", F.col("cx") + 2).withColumn("again", F.lit(True)))
+    return rounded(out.select("block_id", "k", "cx", "cy", "again"), "cx", "cy")
+
+
+@register("q19_pair_edges_with_corners", f"""with {_CORN}, mc as (select block_id, avg(x) mx, avg(y) my from co group by 1),
+o as (select co.*, row_number() over (partition by co.block_id order by round((atan2(x - mx, my - y) % (2*pi()) + 2*pi()) % (2*pi()), 9), corner) n from co join mc using (block_id)),
+sg as (select a.block_id, a.n, a.x, a.y, b.x x2, b.y y2 from o a join o b on a.block_id = b.block_id and b.n = a.n % 4 + 1),
+q as (select sg.*, k, row_number() over (partition by sg.block_id, n order by round(pow(cx - (x + x2)/2, 2) + pow(cy - (y + y2)/2, 2), 6), k) r from sg join ed using (block_id))
+select block_id, cast(n as int) n, round(x, 5) x, round(y, 5) y, k from q where r = 1""")
+def _q19(spark, d):
+    b = blocks(spark, d)
+    return rounded(geometry.pair_edges_with_corners(b, geometry.corners(b, K), K), "x", "y", digits=5)
+
+
+@register("q25_roi_measure_prep", f"""with rois as (select image_id, edge_id roi_id, ex % 32 ax, ey % 48 ay, (ex + edge_id) % 32 + 1.5e0 bx, ey % 37 as by_ from v_edges where edge_id % 5 = 0), l as (select *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) len from rois),
+gr as (select image_id, y, x, coalesce((lead(v) over wx - lag(v) over wx)/2.0e0, 0) gx, coalesce((lead(v) over wy - lag(v) over wy)/2.0e0, 0) gy from v_pixels window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)),
+j as (select g.image_id, roi_id, y, x, gx*gx + gy*gy g2, len, (x - ax)*(bx - ax)/len + (y - ay)*(by_ - ay)/len par, (y - ay)*(bx - ax)/len - (x - ax)*(by_ - ay)/len perp from gr g join l using (image_id)),
+f as (select * from j where par between 0 and len and abs(perp) <= 8), r as (select *, row_number() over (partition by image_id, roi_id, floor(perp*2) order by g2, perp, par) k, count(*) over (partition by image_id, roi_id, floor(perp*2)) n, max(g2) over (partition by image_id, roi_id, floor(perp*2)) top from f),
+s as (select *, max(case when k = n - 1 then g2 end) over (partition by image_id, roi_id, floor(perp*2)) sec from r), c as (select * from s where g2 > 0 and not coalesce(abs(perp) > 2 and n > 3 and top - sec >= 0.001 and k > floor(n*0.95e0), false)),
+m as (select image_id, roi_id, sum(g2*x)/sum(g2) cx, sum(g2*y)/sum(g2) cy from c group by 1, 2) select image_id, roi_id, round(cx, 4) cx, round(cy, 4) cy from m""")
+def _q25(spark, d):
+    from acutance.plans.rasters import rois
+
+    out = geometry.roi_measure_prep(px(spark, d), rois(spark, d), 8.0)
+    return rounded(out.select("image_id", "roi_id", "cx", "cy"), "cx", "cy", digits=4)
