@@ -160,3 +160,141 @@ def rotation(roll: float, yaw: float, pitch: float) -> list[float]:
     a, b, c = (math.radians(v) for v in (roll, yaw, pitch))
     ca, sa, cb, sb, cc, sc = math.cos(a), math.sin(a), math.cos(b), math.sin(b), math.cos(c), math.sin(c)
     return [ca * cb, ca * sb * sc - sa * cc, ca * sb * cc + sa * sc, sa * cb, sa * sb * sc + ca * cc, sa * sb * cc - ca * sc, -sb, cb * sc, cb * cc]
+
+
+def ellipse_precheck(b: DataFrame, images: DataFrame, tol: float = 0.25) -> DataFrame:
+    """K1: axes of each contour from its covariance, and whether its length is within tol of an ellipse's (Ramanujan) and no point is on the frame.
+
+    The contour's length is its number of points times the mean step of an eight-connected contour.
+    """
+    j = b.join(images, "image_id")
+    frame = (F.col("x") <= 1) | (F.col("y") <= 1) | (F.col("x") >= F.col("width") - 2) | (F.col("y") >= F.col("height") - 2)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    m = j.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.var_pop(x).alias("vxx"), F.var_pop(y).alias("vyy"), F.covar_pop(x, y).alias("vxy"), F.max(frame.cast("int")).alias("frame"), F.avg(x).alias("cx"), F.avg(y).alias("cy"))
+    half, root = (F.col("vxx") + F.col("vyy")) / 2, F.sqrt(((F.col("vxx") - F.col("vyy")) / 2) ** 2 + F.col("vxy") ** 2)
+    a, c = F.sqrt(2 * (half + root)), F.sqrt(F.greatest(F.lit(0.0), 2 * (half - root)))
+    m = m.withColumn("a", a).withColumn("b", c)
+    h = (F.col("a") - F.col("b")) ** 2 / F.nullif((F.col("a") + F.col("b")) ** 2, F.lit(0.0))
+    around = math.pi * (F.col("a") + F.col("b")) * (1 + 3 * h / (10 + F.sqrt(4 - 3 * h)))
+    ok = (F.col("frame") == 0) & (F.abs(F.col("n") * 1.11 / F.nullif(around, F.lit(0.0)) - 1) <= tol)
+    return m.select("image_id", "label", "cx", "cy", F.col("a").alias("major"), F.col("b").alias("minor"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def fit_ellipse(pts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
+    """K2: a dual conic through weighted gradient lines: points x, y with gradient gx, gy; centre and half axes.
+
+    A line of the contour's tangent is l = (gx, gy, -(gx x + gy y)); the dual conic C satisfies l' C l = 0 with its last element 1. Spark sums the
+    fifteen and five moments; the 5 x 5 solve runs grouped, a row for each key.
+    """
+    import numpy as np
+    import pandas as pd
+
+    p = "-(gx * (x - x0) + gy * (y - y0))"
+    centre = pts.groupBy(*keys).agg(F.avg("x").alias("x0"), F.avg("y").alias("y0"))
+    t = pts.join(centre, keys).withColumn("p", F.expr(p))
+    u = [F.col("gx") ** 2, F.col("gx") * F.col("gy"), F.col("gy") ** 2, F.col("gx") * F.col("p"), F.col("gy") * F.col("p")]
+    rhs = -F.col("p") ** 2
+    sums = t.groupBy(*keys, "x0", "y0").agg(F.count("*").alias("n"), *[F.sum(F.col(weight) * u[i] * u[j]).alias(f"a{i}{j}") for i in range(5) for j in range(i, 5)], *[F.sum(F.col(weight) * u[i] * rhs).alias(f"b{i}") for i in range(5)]).where("n >= 6")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pts.select(*keys).schema.fields)
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        r = g.iloc[0]
+        a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        s = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(5)]), rcond=None)[0]
+        dual = np.array([[s[0], s[1] / 2, s[3] / 2], [s[1] / 2, s[2], s[4] / 2], [s[3] / 2, s[4] / 2, 1.0]])
+        cx, cy = dual[0, 2], dual[1, 2]
+        shape = np.outer([cx, cy], [cx, cy]) - dual[:2, :2]
+        values = np.sqrt(np.maximum(np.linalg.eigvalsh(shape), 0))
+        return pd.DataFrame({**{k: [r[k]] for k in keys}, "cx": [cx + r["x0"]], "cy": [cy + r["y0"]], "major": [values[1]], "minor": [values[0]]})
+
+    return sums.groupBy(*keys).applyInPandas(solve, f"{fields}, cx double, cy double, major double, minor double")
+
+
+def ellipse_gradient_check(pts: DataFrame, ellipses: DataFrame, keys: list[str], share: float = 0.9, limit: float = 20.0) -> DataFrame:
+    """K3: whether the order statistic at 90 % of the angle (degrees) between gradient and normal of the ellipse (cx, cy, major, minor, angle) is below a limit."""
+    from acutance.operators.reports import rank_pick
+
+    j = pts.join(ellipses, keys)
+    c, s = F.cos("angle"), F.sin("angle")
+    u, v = (F.col("x") - F.col("cx")) * c + (F.col("y") - F.col("cy")) * s, (F.col("y") - F.col("cy")) * c - (F.col("x") - F.col("cx")) * s
+    nu, nv = u / F.col("major") ** 2, v / F.col("minor") ** 2
+    nx, ny = nu * c - nv * s, nu * s + nv * c
+    cos = F.abs(F.col("gx") * nx + F.col("gy") * ny) / F.greatest(F.sqrt((F.col("gx") ** 2 + F.col("gy") ** 2) * (nx**2 + ny**2)), F.lit(1e-12))
+    d = j.select(*keys, F.round(F.degrees(F.acos(F.least(F.lit(1.0), cos))), 6).alias("off"))
+    return rank_pick(d, keys, "off", [share]).select(*keys, F.col("value").alias("off"), (F.col("value") < limit).alias("ok"))
+
+
+def decode_fiducial(px: DataFrame, ellipses: DataFrame) -> DataFrame:
+    """K4: codes of ellipses (image_id, fid, cx, cy, major, minor, angle): Otsu's threshold inside, bright shares on the rings at 0.3 (30 places) and 0.5 (50);
+    code = 4 rint(5 outer) + rint(3 inner); bright nowhere near the centre, or almost everywhere, is no fiducial.
+    """
+    from acutance.operators import raster
+
+    c, s = F.cos("angle"), F.sin("angle")
+    r = F.ceil("major").cast("int")
+    inside = ellipses.withColumn("dy", F.explode(F.sequence(-r, r))).withColumn("dx", F.explode(F.sequence(-r, r)))
+    inside = inside.select("image_id", "fid", "cx", "cy", "major", "minor", "angle", F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), F.rint(F.col("cx") + F.col("dx")).cast("int").alias("x"))
+    u, v = (F.col("x") - F.col("cx")) * c + (F.col("y") - F.col("cy")) * s, (F.col("y") - F.col("cy")) * c - (F.col("x") - F.col("cx")) * s
+    rho = F.sqrt((u / F.col("major")) ** 2 + (v / F.col("minor")) ** 2)
+    p = inside.withColumn("rho", rho).where("rho <= 1").join(px, ["image_id", "y", "x"])
+    h = p.groupBy("image_id", "fid", "v").agg(F.count("*").alias("n"))
+    one = h.select(F.struct("image_id", "fid").alias("image_id"), "v", "n")
+    t = raster.otsu(one).select("image_id.*", "threshold")
+    bright = p.join(t, ["image_id", "fid"]).groupBy("image_id", "fid").agg(F.avg((F.col("v") > F.col("threshold")).cast("int")).alias("share"), F.max(F.when(F.col("rho") < 0.2, (F.col("v") > F.col("threshold")).cast("int"))).alias("core"), F.first("threshold").alias("threshold"))
+    rings = F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(2 * math.pi * i / n)).alias("a")) for q, n in ((0.3, 30), (0.5, 50)) for i in range(n)])
+    g = ellipses.withColumn("g", F.explode(rings))
+    eu, ev = F.col("g.q") * F.col("major") * F.cos("g.a"), F.col("g.q") * F.col("minor") * F.sin("g.a")
+    g = g.select("image_id", "fid", F.col("g.q").alias("q"), F.rint(F.col("cy") + eu * s + ev * c).cast("int").alias("y"), F.rint(F.col("cx") + eu * c - ev * s).cast("int").alias("x"))
+    on = g.join(px, ["image_id", "y", "x"]).join(bright, ["image_id", "fid"])
+    lit = (F.col("v") > F.col("threshold")).cast("int")
+    code = on.groupBy("image_id", "fid").agg(F.avg(F.when(F.col("q") == 0.3, lit)).alias("inner"), F.avg(F.when(F.col("q") == 0.5, lit)).alias("outer"), F.first("share").alias("share"), F.first("core").alias("core"))
+    return code.select("image_id", "fid", (4 * F.rint(5 * F.col("outer")) + F.rint(3 * F.col("inner"))).cast("int").alias("code"), ((F.col("core") == 1) & (F.col("share") < 0.9999)).alias("valid"))
+
+
+def hole_near_centre(comps: DataFrame, ellipses: DataFrame, reach: int = 3) -> DataFrame:
+    """K5: whether a pixel of another label lies within reach of each ellipse's centre; ellipses have image_id, label, cx, cy."""
+    o = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    e = ellipses.select("image_id", F.col("label").alias("own"), "cx", "cy").withColumn("dy", o).withColumn("dx", o)
+    e = e.select("image_id", "own", F.rint(F.col("cy") + F.col("dy")).cast("int").alias("y"), F.rint(F.col("cx") + F.col("dx")).cast("int").alias("x"))
+    j = e.join(comps, ["image_id", "y", "x"], "left")
+    return j.groupBy("image_id", F.col("own").alias("label")).agg(F.coalesce(F.bool_or(F.col("label") != F.col("own")), F.lit(False)).alias("hole"))
+
+
+def largest_block_scale(blocks: DataFrame, width_mm: float = 62.0, ratio: float = 1.5) -> DataFrame:
+    """Mm a pixel of each image from its largest block (block_id, area, cx, cy), if that is ratio times the next; and the share of blocks left of it."""
+    w = W.partitionBy("image_id").orderBy(F.desc("area"), "block_id")
+    b = blocks.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("area").over(w)).withColumn("side", F.percent_rank().over(W.partitionBy("image_id").orderBy("cx", "block_id")))
+    return b.where("r = 1").select("image_id", "block_id", (width_mm / F.sqrt("area")).alias("mm_per_px"), "side", (F.col("next").isNull() | (F.col("area") >= ratio * F.col("next"))).alias("dominant"))
+
+
+def focus_ridge(ps: DataFrame, keys: list[str], lines: list[float], reach: float = 15.0, width: float = 3.0, least: int = 42) -> DataFrame:
+    """For each line y, the depth of the peak of a Gaussian-weighted parabola through the samples (y_mm, depth, mtf) near it.
+
+    Lines are a fixed list; a sample is sent to the lines in its reach.
+    """
+    from acutance.operators.geometry import cramer3
+
+    near = ps.withColumn("line", F.explode(F.array(*[F.lit(float(v)) for v in lines]))).where(F.abs(F.col("y_mm") - F.col("line")) < reach)
+    w = F.exp(-((F.col("y_mm") - F.col("line")) ** 2) / (2 * width * width))
+    near = near.withColumn("w", w)
+    x = F.col("depth")
+    sums = near.groupBy(*keys, "line").agg(F.count("*").alias("n"), F.min("depth").alias("x0"), F.max("depth").alias("x1"), *[F.sum(F.col("w") * F.pow(x, float(k))).alias(f"s{k}") for k in range(5)], *[F.sum(F.col("w") * F.pow(x, float(k)) * F.col("mtf")).alias(f"t{k}") for k in range(3)])
+    sums = sums.where((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
+    a, b, _ = cramer3([F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)])
+    return sums.withColumn("a", a).withColumn("b", b).where("a < 0").select(*keys, "line", (-F.col("b") / (2 * F.col("a"))).alias("peak"), "n")
+
+
+def focus_curve(peaks: DataFrame, keys: list[str], most: float = 20.0, rounds: int = 3) -> DataFrame:
+    """A parabola through the peaks over the lines, weighted anew by 1 / |error|, outliers beyond most mm left out."""
+    from acutance.operators.geometry import quadratic_fit
+
+    fit = quadratic_fit(peaks, keys, "line", "peak")
+    for _ in range(rounds):
+        e = F.col("peak") - F.col("a") * F.col("line") ** 2 - F.col("b") * F.col("line") - F.col("c")
+        j = peaks.join(fit, keys).withColumn("e", F.abs(e)).where(F.col("e") <= most).withColumn("w", 1 / F.greatest(F.col("e"), F.lit(0.01)))
+        from acutance.operators.geometry import cramer3
+
+        s = j.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("w") * F.pow("line", F.lit(float(k)))).alias(f"s{k}") for k in range(5)], *[F.sum(F.col("w") * F.pow("line", F.lit(float(k))) * F.col("peak")).alias(f"t{k}") for k in range(3)]).where("n >= 3")
+        a, b, c = cramer3([F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)])
+        fit = s.select(*keys, a.alias("a"), b.alias("b"), c.alias("c"))
+    return fit

@@ -302,3 +302,51 @@ def stretch_blend(px: DataFrame, stretch: Column, lo: float = 0.4, hi: float = 0
     mean = near.groupBy("image_id", "y", "x").agg(F.avg("v").alias("mean"))
     share = F.least(F.lit(hi), F.greatest(F.lit(lo), stretch))
     return px.join(mean, ["image_id", "y", "x"]).select("image_id", "y", "x", (share * F.col("mean") + (1 - share) * F.col("v")).alias("v"))
+
+
+def autocrop_bounds(proj: DataFrame, border: int = 150) -> DataFrame:
+    """H5: for each axis of a projection (image_id, axis, at, s): the first and the last place brighter than Otsu's threshold on rint(20 s), widened by border, cut to the picture and made even."""
+    h = proj.select(F.struct("image_id", "axis").alias("image_id"), F.rint(F.col("s") * 20).cast("int").alias("v")).groupBy("image_id", "v").agg(F.count("*").alias("n"))
+    t = otsu(h).select("image_id.*", "threshold")
+    j = proj.join(t, ["image_id", "axis"])
+    lit = F.rint(F.col("s") * 20) > F.col("threshold")
+    b = j.groupBy("image_id", "axis").agg(F.min(F.when(lit, F.col("at"))).alias("a"), F.max(F.when(lit, F.col("at"))).alias("z"), F.max("at").alias("end"))
+    lo, hi = F.greatest(F.lit(0), F.col("a") - border), F.least(F.col("end"), F.col("z") + border)
+    return b.select("image_id", "axis", (lo - lo % 2).alias("lo"), (hi - hi % 2).alias("hi"))
+
+
+def bar_bounds(px: DataFrame, images: DataFrame, threshold: float, share: float = 0.035) -> DataFrame:
+    """H6: in each column, the first dark run from the top that is shorter than a share of the height; columns without one are left out."""
+    dark = px.where(F.col("v") < threshold).select("image_id", "y", "x")
+    island = F.col("y") - F.row_number().over(W.partitionBy("image_id", "x").orderBy("y"))
+    r = dark.withColumn("i", island).groupBy("image_id", "x", "i").agg(F.min("y").alias("y0"), F.count("*").alias("n"))
+    r = r.join(images, "image_id").where(F.col("n") < share * F.col("height"))
+    return r.groupBy("image_id", "x").agg(F.min(F.struct("y0", "n")).alias("s")).select("image_id", "x", F.col("s.y0").alias("y"), F.col("s.n").alias("n"))
+
+
+def demosaic_red_blue(px: DataFrame, cfa: str = "rggb", colour: str = "r") -> DataFrame:
+    """One colour at all sites, in two passes over windows: first at the opposite colour's sites from the weaker of the two diagonal gradients
+    (the mean of four where they are about equal), then at the green sites from the weaker of the horizontal and vertical ones. Means are cut to whole numbers.
+    """
+    pos = CFA[cfa].index(colour)
+    opposite = 3 - pos
+    site = (F.col("y") % 2) * 2 + F.col("x") % 2
+    start = px.select("image_id", "y", "x", F.when(site == pos, F.col("v")).alias("c"))
+
+    def fill(df, first, second, where):
+        w1, w2 = first, second
+        a, b, c, d = F.lag("c").over(w1), F.lead("c").over(w1), F.lag("c").over(w2), F.lead("c").over(w2)
+        t = df.select("image_id", "y", "x", "c", a.alias("a"), b.alias("b"), c.alias("d"), d.alias("e"))
+        two = lambda p, q: (F.coalesce(p, q) + F.coalesce(q, p)) / 2
+        g1, g2 = F.abs(F.coalesce(F.col("a") - F.col("b"), F.lit(0))), F.abs(F.coalesce(F.col("d") - F.col("e"), F.lit(0)))
+        m1, m2 = two("a", "b"), two("d", "e")
+        even = F.abs(g1 - g2) <= 0.001 * (g1 + g2 + 1)
+        v = F.when(even | m1.isNull() | m2.isNull(), (F.coalesce(m1, m2) + F.coalesce(m2, m1)) / 2).when(g1 < g2, m1).otherwise(m2)
+        return t.select("image_id", "y", "x", F.when(where & F.col("c").isNull(), v.cast("int")).otherwise(F.col("c")).alias("c"))
+
+    down = W.partitionBy("image_id", F.col("x") - F.col("y")).orderBy("y")
+    up = W.partitionBy("image_id", F.col("x") + F.col("y")).orderBy("y")
+    one = fill(start, down, up, site == opposite)
+    across, along = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
+    two = fill(one, across, along, (site != pos) & (site != opposite))
+    return two.select("image_id", "y", "x", F.col("c").alias("v"))

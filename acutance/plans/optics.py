@@ -225,3 +225,123 @@ def _s17(spark, d):
     empty = F.create_map().cast("map<string,string>")
     props = F.when(k % 4 == 0, F.create_map(F.lit("focal35"), (35 + k % 9).cast("string"))).when(k % 4 == 1, F.create_map(*[F.lit(x) for x in ("focal", "50", "diagonal", "43.3", "aspect", "3:2")])).when(k % 4 == 2, F.create_map(F.lit("focal"), F.lit("50"), F.lit("pixels"), (4000 + k % 7).cast("string"), F.lit("resolution"), F.lit("3000"))).otherwise(empty)
     return rounded(charts.focal_ratio(c.select("c_custkey", props.alias("props"))), "focal_ratio", digits=8).select("c_custkey", "focal_ratio")
+
+
+def _contours(spark, d):
+    """Contours of the dark objects of the rasters, with gradients."""
+    from acutance.operators import geometry, raster
+    from acutance.plans import shapes
+
+    b = geometry.boundaries(shapes.comps(spark, d))
+    return b.join(raster.gradients(px(spark, d)), ["image_id", "y", "x"])
+
+
+_EL = """el as (select edge_id fid, image_id, ex cx, ey cy, 10 + edge_id % 7 major, 6 + edge_id % 5 minor, radians(angle) a from v_edges)"""
+
+
+def ellipses(spark, d):
+    e = view(spark, d, "v_edges")
+    return e.select("image_id", F.col("edge_id").alias("fid"), F.col("ex").alias("cx"), F.col("ey").alias("cy"), (10 + F.col("edge_id") % 7).alias("major"), (6 + F.col("edge_id") % 5).alias("minor"), F.radians("angle").alias("angle"))
+
+
+def ellipse_points(spark, d):
+    """40 points on each ellipse, with the gradient along the normal, turned a little at every fifth."""
+    e = ellipses(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    t = F.col("i") * (3.141592653589793 / 20)
+    u, v, c, s = F.col("major") * F.cos(t), F.col("minor") * F.sin(t), F.cos("angle"), F.sin("angle")
+    nu, nv = F.cos(t) / F.col("major"), F.sin(t) / F.col("minor")
+    return e.select("image_id", "fid", (F.col("cx") + u * c - v * s).alias("x"), (F.col("cy") + u * s + v * c).alias("y"), (nu * c - nv * s).alias("gx"), (nu * s + nv * c).alias("gy"), F.lit(1.0).alias("w"))
+
+
+@register("k1_ellipse_precheck")
+def _k1(spark, d):
+    from acutance.plans.rasters import images
+
+    return rounded(charts.ellipse_precheck(_contours(spark, d).select("image_id", "label", "y", "x"), images(spark, d).drop("top")), "cx", "cy", "major", "minor")
+
+
+@register("k2_fit_ellipse", "select image_id, edge_id fid, round(ex, 4) + 0.0e0 cx, round(ey, 4) + 0.0e0 cy, round(greatest(10 + edge_id % 7, 6 + edge_id % 5), 4)::double major, round(least(10 + edge_id % 7, 6 + edge_id % 5), 4)::double minor from v_edges")
+def _k2(spark, d):
+    """Points on known ellipses: the fit gives them back."""
+    return rounded(charts.fit_ellipse(ellipse_points(spark, d), ["image_id", "fid"]), "cx", "cy", "major", "minor", digits=4)
+
+
+@register("k3_ellipse_gradient_check", "select image_id, edge_id fid, 0.0e0 off, true ok from v_edges")
+def _k3(spark, d):
+    e = ellipses(spark, d)
+    out = charts.ellipse_gradient_check(ellipse_points(spark, d), e, ["image_id", "fid"])
+    return rounded(out, "off", digits=3)
+
+
+@register("k4_decode_fiducial")
+def _k4(spark, d):
+    e = px(spark, d).where("y % 12 = 8 and x % 10 = 7").select("image_id", (F.col("y") * 100 + F.col("x")).alias("fid"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), F.lit(5.0).alias("major"), F.lit(4.0).alias("minor"), F.lit(0.3).alias("angle"))
+    return charts.decode_fiducial(px(spark, d), e)
+
+
+@register("k5_hole_near_centre")
+def _k5(spark, d):
+    from acutance.operators import geometry
+    from acutance.plans import shapes
+
+    c = shapes.comps(spark, d)
+    return charts.hole_near_centre(c, geometry.component_centroid(c))
+
+
+@register("k15_largest_block_scale", """with b as (select image_id, edge_id block_id, ex cx, 100.0e0 + (edge_id*7919 % 1000) area from v_edges), r as (select *, row_number() over (partition by image_id order by area desc, block_id) k, lead(area) over (partition by image_id order by area desc, block_id) nx, percent_rank() over (partition by image_id order by cx, block_id) side from b)
+select image_id, block_id, round(62/sqrt(area), 9) mm_per_px, round(side, 9) side, nx is null or area >= 1.01e0*nx dominant from r where k = 1""")
+def _k15(spark, d):
+    b = view(spark, d, "v_edges").select("image_id", F.col("edge_id").alias("block_id"), F.col("ex").alias("cx"), (100.0 + F.col("edge_id") * 7919 % 1000).alias("area"))
+    return rounded(charts.largest_block_scale(b, ratio=1.01), "mm_per_px", "side", digits=9)
+
+
+def _focus(spark, d):
+    s = view(spark, d, "v_samples").withColumn("y_mm", F.col("par") - 100)
+    at = 0.0005 * F.col("y_mm") ** 2 + F.col("edge_id") % 5
+    return s.select((F.col("edge_id") % 5).alias("image_id"), "y_mm", F.col("perp").alias("depth"), (0.5 - 0.0004 * (F.col("perp") - at) ** 2).alias("mtf"))
+
+
+_LINES = [float(v) for v in range(-60, 61, 20)]
+
+
+@register("k22_focus_ridge", f"""with p as (select edge_id % 5 image_id, par - 100 ym, perp x, 0.5e0 - 0.0004e0*pow(perp - (0.0005e0*pow(par - 100, 2) + edge_id % 5), 2) y from v_samples),
+n as (select image_id, l line, exp(-pow(ym - l, 2)/18) w, x, y from p, (select unnest({_LINES}::double[]) l) where abs(ym - l) < 15),
+s as (select image_id, line, count(*) n, sum(w) s0, sum(w*x) s1, sum(w*x*x) s2, sum(w*x*x*x) s3, sum(w*x*x*x*x) s4, sum(w*y) t0, sum(w*x*y) t1, sum(w*x*x*y) t2 from n group by 1, 2 having count(*) >= 42),
+d as (select *, s4*(s2*s0 - s1*s1) - s3*(s3*s0 - s1*s2) + s2*(s3*s1 - s2*s2) det from s), f as (select image_id, line, n, (t2*(s2*s0 - s1*s1) - s3*(t1*s0 - s1*t0) + s2*(t1*s1 - s2*t0))/det a, (s4*(t1*s0 - t0*s1) - t2*(s3*s0 - s1*s2) + s2*(s3*t0 - s2*t1))/det b from d)
+select image_id, line, round(-b/(2*a), 3) + 0.0e0 peak, n from f where a < 0""")
+def _k22(spark, d):
+    return rounded(charts.focus_ridge(_focus(spark, d), ["image_id"], _LINES), "peak", digits=3)
+
+
+@register("k23_focus_curve")
+def _k23(spark, d):
+    peaks = charts.focus_ridge(_focus(spark, d), ["image_id"], _LINES)
+    return rounded(charts.focus_curve(peaks, ["image_id"]), "a", "b", "c")
+
+
+@register("k24_bayer_focus")
+def _k24(spark, d):
+    """The ridge of each channel: the channel is one more key."""
+    s = _focus(spark, d).withColumn("channel", F.floor(F.col("depth") * 8).cast("int") % 3)
+    return rounded(charts.focus_ridge(s, ["image_id", "channel"], _LINES, least=20), "peak", digits=3)
+
+
+@register("l13_two_pass")
+def _l13(spark, d):
+    """Fit on bent ridges, correct, and measure straightness again: before and after, for each image."""
+    from acutance.session import materialise
+
+    r = materialise(ridge(spark, d), "ridges")
+    k1, k2 = lens.fit_distortion(r, ["ridge_id"], rounds=4)
+    cand = spark.createDataFrame([(0, 0.0, 0.0), (1, k1, k2)], "cand int, k1 double, k2 double")
+    return rounded(lens.straightness(r, cand, ["ridge_id"]).join(cand, "cand"), "cost", digits=12)
+
+
+@register("s16_write_correspondence", f"with {_F}, l as (select cast(n_nationkey as int) code, cast(n_nationkey*5 as double) x_mm, cast(n_regionkey*7 as double) y_mm from nation where n_nationkey between 1 and 20) select cx img_x, cy img_y, x_mm chart_x, y_mm chart_y from f join l using (code) where code > 0")
+def _s16(spark, d):
+    from acutance.session import shared_path
+
+    path = shared_path(spark, "correspondence")
+    k9 = _k9(spark, d)
+    k9.select(F.col("cx").alias("img_x"), F.col("cy").alias("img_y"), (F.col("x_mm") / 1.5).alias("chart_x"), (F.col("y_mm") / 1.5).alias("chart_y")).write.option("header", True).csv(path)
+    return spark.read.schema("img_x double, img_y double, chart_x double, chart_y double").option("header", True).csv(path)

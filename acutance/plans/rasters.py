@@ -268,3 +268,25 @@ def _n9(spark, d):
 select image_id, y, x, round(least(0.9e0, greatest(0.4e0, x/32.0e0))*mean + (1 - least(0.9e0, greatest(0.4e0, x/32.0e0)))*v, 5) v from m""")
 def _n11(spark, d):
     return rounded(raster.stretch_blend(px(spark, d), F.col("x") / 32.0), "v", digits=5)
+
+
+@register("h5_autocrop_bounds", """with e as (select * from v_pixels where y % 2 = 0 and x % 2 = 0), s0 as (select image_id, 'row' axis, y as pos, sum(v/65536.0e0) s from e group by 1, 3 union all select image_id, 'column', x, sum(v/65536.0e0) from e group by 1, 3),
+pr as (select image_id, axis, cast(pos + o as int) pos, cast(round_even(round(s, 9)*20, 0) as int) v from s0, (select unnest([0, 1]) o)), h as (select image_id, axis, v, count(*) n from pr group by 1, 2, 3),
+t as (select image_id, axis, v, cast(sum(n) over w as double) wb, cast(sum(n*v) over w as double) sb, sum(n) over z wt, sum(n*v) over z st from h window w as (partition by image_id, axis order by v), z as (partition by image_id, axis)),
+c as (select *, case when wt > wb then wb*(wt - wb)*(sb/wb - (st - sb)/(wt - wb))*(sb/wb - (st - sb)/(wt - wb)) end c from t), b as (select *, max(c) over (partition by image_id, axis) best from c), th as (select image_id, axis, (min(v) + max(v))/2.0e0 th from b where c = best group by 1, 2),
+q as (select image_id, axis, min(case when v > th then pos end) a, max(case when v > th then pos end) z, max(pos) e from pr join th using (image_id, axis) group by 1, 2)
+select image_id, axis, greatest(0, a - 3) - greatest(0, a - 3) % 2 lo, least(e, z + 3) - least(e, z + 3) % 2 hi from q""")
+def _h5(spark, d):
+    return raster.autocrop_bounds(rounded(raster.axis_projections(px(spark, d)), "s", digits=9), 3)
+
+
+@register("h6_bar_bounds", f"""with {IMAGES}, dk as (select image_id, y, x, y - row_number() over (partition by image_id, x order by y) i from v_pixels where v < 33000), r as (select image_id, x, min(y) y0, count(*) n from dk group by image_id, x, i),
+k as (select r.*, row_number() over (partition by r.image_id, r.x order by y0) z from r join im using (image_id) where n < 0.06*height) select image_id, x, y0 y, n from k where z = 1""")
+def _h6(spark, d):
+    return raster.bar_bounds(px(spark, d), images(spark, d).drop("top"), 33000, 0.06)
+
+
+@register("n10_demosaic_red_blue")
+def _n10(spark, d):
+    """Two dependent passes over four windows; the tests hold it against a loop."""
+    return raster.demosaic_red_blue(px(spark, d))
