@@ -245,27 +245,31 @@ def sample_line(ep: DataFrame, edges: DataFrame, keys: list[str], across: float
     return out.where((F.abs("perp") < across) & (F.abs("par") < along))
 
 
-def sample_quadratic(ep: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """Signed distance to the parabola y = a x^2 + b x + c, by the real roots of the cubic of its nearest points."""
-    j = ep.join(fits, keys)
-    a, b = F.col("a"), F.col("b")
+def parabola_distance(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
+    """df(x, y, ...) with perp and par: signed distance to y = a x^2 + b x + c and the nearest point's x, by the real roots of a cubic."""
+    a, b, c = F.col(a), F.col(b), F.col(c)
     # 2 a^2 t^3 + 3 a b t^2 + (b^2 + 2 a (c - y) + 1) t + b (c - y) - x = 0; where a is 0 it is linear.
-    k = F.col("c") - F.col("y")
-    p3, p2, p1, p0 = 2 * a * a, 3 * a * b, b * b + 2 * a * k + 1, b * k - F.col("x")
+    k = c - F.col("y")
+    flat = F.abs(a) < 1e-9
+    p3, p2, p1, p0 = F.when(flat, 1.0).otherwise(2 * a * a), 3 * a * b, b * b + 2 * a * k + 1, b * k - F.col("x")
     B, C, D = p2 / p3, p1 / p3, p0 / p3
     p, q = C - B * B / 3, 2 * B * B * B / 27 - B * C / 3 + D
     disc = q * q / 4 + p * p * p / 27
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
     one = F.cbrt(-q / 2 + root) + F.cbrt(-q / 2 - root) - B / 3
     r = F.sqrt(F.greatest(-p / 3, F.lit(1e-300)))
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 3 * q / (2 * p * r)))) / 3
+    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 3 * q / F.nullif(2 * p * r, F.lit(0.0))))) / 3
     three = [2 * r * F.cos(phi - 2 * math.pi * n / 3) - B / 3 for n in range(3)]
-    flat = F.abs(a) < 1e-9
     roots = F.when(flat, F.array(-p0 / (b * b + 1))).when(disc > 0, F.array(one)).otherwise(F.array(*three))
-    at = F.transform(roots, lambda t: F.struct(((t - F.col("x")) ** 2 + (a * t * t + b * t + F.col("c") - F.col("y")) ** 2).alias("d2"), t.alias("t")))
+    at = F.transform(roots, lambda t: F.struct(((t - F.col("x")) ** 2 + (a * t * t + b * t + c - F.col("y")) ** 2).alias("d2"), t.alias("t")))
     near = F.array_min(at)
-    sign = F.when(F.col("y") >= a * F.col("x") ** 2 + b * F.col("x") + F.col("c"), 1.0).otherwise(-1.0)
-    return j.select(*keys, "y", "x", "v", (sign * F.sqrt(near["d2"])).alias("perp"), near["t"].alias("par"))
+    sign = F.when(F.col("y") >= a * F.col("x") ** 2 + b * F.col("x") + c, 1.0).otherwise(-1.0)
+    return df.withColumn("perp", sign * F.sqrt(near["d2"])).withColumn("par", near["t"])
+
+
+def sample_quadratic(ep: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+    """Signed distance to the parabola y = a x^2 + b x + c, and the place along it."""
+    return parabola_distance(ep.join(fits, keys), "a", "b", "c").select(*keys, "y", "x", "v", "perp", "par")
 
 
 def edge_length(samples: DataFrame, keys: list[str]) -> DataFrame:

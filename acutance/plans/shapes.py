@@ -307,3 +307,38 @@ def _q25(spark, d):
 
     out = geometry.roi_measure_prep(px(spark, d), rois(spark, d), 8.0)
     return rounded(out.select("image_id", "roi_id", "cx", "cy"), "cx", "cy", digits=4)
+
+
+def _bent_ridge(spark, d):
+    """Ridges of two parabolas joined at 10, one for each edge."""
+    e = view(spark, d, "v_edges").withColumn("x", F.explode(F.sequence(F.lit(-30), F.lit(50)))).withColumn("x", F.col("x").cast("double"))
+    u = F.col("x") - 10
+    y = 1 + 0.1 * u + F.when(u < 0, -0.004).otherwise(0.006) * (1 + F.col("edge_id") % 3) * u * u
+    return e.select("edge_id", "x", y.alias("y"))
+
+
+@register("j5_piecewise_fit", "select edge_id, 10.0e0 t, 1.0e0 c, 0.1e0 b, round(-0.004e0*(1 + edge_id % 3), 6) a1, round(0.006e0*(1 + edge_id % 3), 6) a2 from v_edges")
+def _j5(spark, d):
+    """The planted coefficients come back where the knot is found at a bin's border."""
+    from acutance.operators import sampling
+
+    out = sampling.piecewise_fit(_bent_ridge(spark, d), ["edge_id"])
+    return rounded(out, "t", "c", "b", "a1", "a2")
+
+
+@register("j6_sample_piecewise")
+def _j6(spark, d):
+    from acutance.operators import sampling
+
+    pts = px(spark, d).select((F.col("image_id") * 10 + 5).alias("edge_id"), (F.col("x") - 8).cast("double").alias("x"), (F.col("y") - 20).cast("double").alias("y"), "v")
+    out = sampling.sample_piecewise(pts, sampling.piecewise_fit(_bent_ridge(spark, d), ["edge_id"]), ["edge_id"])
+    return rounded(out, "perp", "par")
+
+
+@register("j7_sample_deferred")
+def _j7(spark, d):
+    from acutance.operators import lens, sampling
+
+    e = px(spark, d).select("image_id").distinct().withColumns({"cx": F.lit(2.0), "cy": F.lit(1.0), "angle": 0.3 + 0.1 * F.col("image_id")})
+    pts = px(spark, d).select("image_id", (F.col("x") - 16).cast("double").alias("x"), (F.col("y") - 24).cast("double").alias("y"), "v")
+    return rounded(sampling.sample_deferred(pts, e, ["image_id"], lambda rows: lens.equiangular(rows, 200.0)), "perp", "par", digits=5)

@@ -12,6 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
+
+
 def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings that every job here assumes."""
     b = (
@@ -51,8 +55,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, so that Python workers can import it wherever they run."""
+    """Send this package to the executors, so that Python workers can import it wherever they run.
+
+    Batches to them are made of fewer rows than by default, as rows may hold long texts.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_acutance_shipped", False):
         return
     top = Path(__file__).resolve().parent

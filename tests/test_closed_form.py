@@ -174,3 +174,84 @@ def test_kernel_curves_recover_sharp_edges(spark):
     curve = esf.tail_fill(esf.esf_kernel(df, width, EK), EK)
     sfr = spectrum.correct_kernel(spectrum.dft(esf.lsf(curve, EK), EK))
     assert spectrum.mtf_crossing(sfr, EK).first().mtf50 == pytest.approx(0.1873906251 / s, rel=0.01)
+
+
+def test_piecewise_ridges(spark):
+    from acutance.operators import sampling
+
+    rows = [(i, float(x), 1 + 0.1 * (x - 10) + (-0.004 if x < 10 else 0.006 * (1 + i)) * (x - 10) ** 2) for i in range(3) for x in range(-30, 51)]
+    fits = sampling.piecewise_fit(spark.createDataFrame(rows, "edge_id int, x double, y double"), EK)
+    for r in fits.collect():
+        assert abs(r.t - 10) <= 5
+        worst = max(abs(r.c + r.b * (x - r.t) + (r.a1 if x < r.t else r.a2) * (x - r.t) ** 2 - y) for i, x, y in rows if i == r.edge_id)
+        assert worst < 0.6
+    pts = spark.createDataFrame([(0, float(x), float(y), 1) for x in (-20, 0, 30) for y in (-5, 2, 6)], "edge_id int, x double, y double, v int")
+    got = sampling.sample_piecewise(pts, fits.where("edge_id = 0"), EK).collect()
+    f = fits.where("edge_id = 0").first()
+    t = np.linspace(-80, 100, 180_001)
+    for r in got:
+        a = f.a1 if r.x < f.t else f.a2
+        d = np.sqrt(((t - r.x) ** 2 + (f.c + f.b * (t - f.t) + a * (t - f.t) ** 2 - r.y) ** 2).min())
+        assert abs(r.perp) == pytest.approx(d, abs=5e-3)
+
+
+def test_deferred_distance_is_straight_without_a_warp(spark):
+    from acutance.operators import sampling
+
+    e = spark.createDataFrame([(0, 2.0, 1.0, 0.4)], "image_id int, cx double, cy double, angle double")
+    pts = spark.createDataFrame([(0, float(x), float(y), 1) for x in range(-6, 7, 3) for y in range(-6, 7, 4)], "image_id int, x double, y double, v int")
+    for r in sampling.sample_deferred(pts, e, ["image_id"], lambda rows: rows).collect():
+        want = (r.y - 1) * math.cos(0.4) - (r.x - 2) * math.sin(0.4)
+        assert r.perp == pytest.approx(want, abs=1e-6)
+        assert r.par == pytest.approx((r.x - 2) * math.cos(0.4) + (r.y - 1) * math.sin(0.4), abs=1e-6)
+
+
+def test_band_and_rotation_and_widths(spark):
+    from acutance.operators import reports
+
+    rng = np.random.default_rng(6)
+    rows = [(0, int(i), float(e)) for i, e in zip(rng.integers(5, 50, 300), np.abs(rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "edge_id int, i int, e double")
+    got = [r.band for r in reports.spread_band(df, df, EK).orderBy("i").collect()]
+    raw = []
+    for i in range(64):
+        near = sorted(round(e, 9) for _, j, e in rows if abs(i - j) <= 2)
+        raw.append(near[min(len(near) - 1, math.floor(len(near) * 0.9))] if near else None)
+    known = [i for i, v in enumerate(raw) if v is not None]
+    full = [raw[i] if raw[i] is not None else float(np.interp(i, known, [raw[k] for k in known])) for i in range(64)]
+    def run(x):
+        out = []
+        for v in x:
+            out.append(v if not out else 0.35 * v + 0.65 * out[-1])
+        return out
+    want = run(run(full)[::-1])[::-1]
+    assert got == pytest.approx(want, abs=1e-6)
+    # a chart seen upright is sharpest in the middle; turned, it isn't
+    rows = [(0, i, 0.5 - abs(i - 300) / 1000) for i in range(600)] + [(1, i, 0.2 + abs(i - 300) / 1000) for i in range(600)]
+    turned = {r.image_id: r.rotated for r in reports.is_rotated(spark.createDataFrame(rows, "image_id int, at int, mtf double")).collect()}
+    assert turned == {0: False, 1: True}
+    rows = [(0, i, math.sin(i / 40) + 0.001 * (-1) ** i) for i in range(400)]
+    fit = reports.loess_auto(spark.createDataFrame(rows, "edge_id int, i int, v double"), EK, "i", "v").collect()
+    assert len(fit) == 400 and all(abs(r.fit - math.sin(r.i / 40)) < 0.05 for r in fit)
+
+
+def test_colour_sites_keep_their_values_and_fill_the_rest(spark):
+    rows = [(0, y, x, 10 * y + x) for y in range(8) for x in range(8)]
+    got = {(r.y, r.x): r.v for r in raster.demosaic_red_blue(spark.createDataFrame(rows, "image_id int, y int, x int, v int")).collect()}
+    assert all(v is not None for v in got.values())
+    assert all(got[y, x] == 10 * y + x for y in range(0, 8, 2) for x in range(0, 8, 2))
+    assert all(got[y, x] == 10 * y + x for y in range(2, 6) for x in range(2, 6))  # a plane stays a plane
+
+
+def test_fiducial_code(spark):
+    yy, xx = np.mgrid[0:60, 0:60]
+    rho = np.hypot((xx - 30) / 20, (yy - 30) / 20)
+    ang = (np.arctan2(yy - 30, xx - 30) + 2 * np.pi) % (2 * np.pi)
+    v = np.where(rho > 1, 50000, 1000)
+    v = np.where((rho > 0.4) & (rho < 0.6) & (ang < 2 * np.pi * 0.4), 50000, v)  # 2 of 5 parts of the outer ring
+    v = np.where((rho > 0.24) & (rho < 0.36) & (ang < 2 * np.pi / 3), 50000, v)  # 1 of 3 of the inner
+    v = np.where(rho < 0.15, 50000, v)
+    px = spark.createDataFrame([(0, int(y), int(x), int(v[y, x])) for y in range(60) for x in range(60)], "image_id int, y int, x int, v int")
+    e = spark.createDataFrame([(0, 7, 30.0, 30.0, 20.0, 20.0, 0.0)], "image_id int, fid int, cx double, cy double, major double, minor double, angle double")
+    r = charts.decode_fiducial(px, e).first()
+    assert (r.code, r.valid) == (4 * 2 + 1, True)
