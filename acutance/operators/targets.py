@@ -249,3 +249,15 @@ def surface_fit(cells: DataFrame, keys: list[str], knots: int = 8, cell_span: in
         return pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "gy": gy.ravel(), "gx": gx.ravel(), "v": full.ravel()})
 
     return normal.groupBy(*keys).applyInPandas(solve, f"{fields}, gy int, gx int, v double")
+
+
+def surface_eval(surface: DataFrame, cells: DataFrame, keys: list[str], step: int, far: int, lo: float, hi: float) -> DataFrame:
+    """The surface on a coarser grid, every step cells, without places farther than far cells (on the longer axis) from any filled one, values clamped.
+
+    Filled cells are sent to the coarse places in their reach, so the join is on equal keys.
+    """
+    first = lambda c: F.ceil((F.col(c) - far) / float(step)).cast("int")
+    last = lambda c: F.floor((F.col(c) + far) / float(step)).cast("int")
+    near = cells.where((first("gy") <= last("gy")) & (first("gx") <= last("gx"))).withColumn("cy", F.explode(F.sequence(first("gy"), last("gy")))).withColumn("cx", F.explode(F.sequence(first("gx"), last("gx"))))
+    near = near.select(*keys, (F.col("cy") * step).alias("gy"), (F.col("cx") * step).alias("gx")).distinct()
+    return surface.where((F.col("gy") % step == 0) & (F.col("gx") % step == 0)).join(near, [*keys, "gy", "gx"], "left_semi").withColumn("v", F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("v"))))

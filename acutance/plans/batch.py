@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acutance.operators import reports
-from acutance.plans import curves, reporting
+from acutance.plans import curves, reporting, shapes
 from acutance.plans.curves import _MTF, PAD, SFR, rounded
 from acutance.plans.rasters import px
 from acutance.plans.registry import register, view
@@ -165,3 +165,10 @@ def _x1(spark, d):
     arrivals.register_strategy("value", "weighted", lambda mtf, quality: F.when(quality >= 0.5, mtf * quality).otherwise(0.0))
     e = view(spark, d, "v_edges")
     return rounded(e.select("edge_id", arrivals.strategy("value", "weighted")(F.col("mtf"), F.col("quality")).alias("value")), "value", digits=9)
+
+
+@register("s5_write_line_deviation", shapes.LINE_DEVIATION_SQL)
+def _s5(spark, d):
+    path = shared_path(spark, "line-deviation")
+    shapes._q22(spark, d).write.parquet(path)
+    return spark.read.parquet(path)

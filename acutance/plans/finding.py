@@ -141,3 +141,19 @@ def _r6(spark, d):
     m = reports.classify_ms(view(spark, d, "v_edges"), 320, 240)
     cells = reports.grid_composite(m, 24.0)
     return rounded(targets.surface_fit(cells.select("image_id", "direction", "gy", "gx", "v"), ["image_id", "direction"]), "v", digits=6)
+
+
+@register("r8_surface_eval")
+def _r8(spark, d):
+    k = ["image_id", "direction"]
+    cells = reports.grid_composite(reports.classify_ms(view(spark, d, "v_edges"), 320, 240), 24.0).select(*k, "gy", "gx", "v")
+    return rounded(targets.surface_eval(targets.surface_fit(cells, k), cells, k, 2, 3, 0.0, 1.0), "v")
+
+
+@register("k19_irls_refit")
+def _k19(spark, d):
+    """The rational curve again with two in a hundred samples spoilt: the refit leaves them out."""
+    spoilt = F.when(F.col("edge_id") * 7 % 50 + F.floor(F.abs(F.col("perp")) * 8) % 50 == 1, 1.3).otherwise(1.0)
+    y = spoilt / (1 + F.pow((F.col("perp") - F.col("edge_id") * 0.2) / 20, 2.0))
+    s = view(spark, d, "v_samples").select("edge_id", F.col("perp").alias("x"), y.alias("y"))
+    return rounded(targets.rational_fit(s, ["edge_id"], "x", "y"), "peak", "value", digits=4)

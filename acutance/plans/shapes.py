@@ -126,10 +126,13 @@ def _q20(spark, d):
     return rounded(geometry.geometric_length(b, geometry.corners(b, K), K), "length", digits=5)
 
 
-@register("q22_line_deviation", f"""with {_Q6}, f2 as (select edge_id, x, round(round(a, 6)*x*x + round(b, 5)*x + round(c, 4), 6) p from p join fit using (edge_id)),
+LINE_DEVIATION_SQL = f"""with {_Q6}, f2 as (select edge_id, x, round(round(a, 6)*x*x + round(b, 5)*x + round(c, 4), 6) p from p join fit using (edge_id)),
 r as (select *, row_number() over (partition by edge_id order by p, x) lo, row_number() over (partition by edge_id order by p desc, x desc) hi from f2),
 e as (select edge_id, max(case when lo = 1 then p end) pl, max(case when lo = 1 then x end) xl, max(case when hi = 1 then p end) ph, max(case when hi = 1 then x end) xh from r group by 1)
-select edge_id, round(ph - pl, 5) rise, abs(xh - xl) run, round(case when xh <> xl then (ph - pl)/abs(xh - xl) else 0 end, 6) slope from e""")
+select edge_id, round(ph - pl, 5) rise, abs(xh - xl) run, round(case when xh <> xl then (ph - pl)/abs(xh - xl) else 0 end, 6) slope from e"""
+
+
+@register("q22_line_deviation", LINE_DEVIATION_SQL)
 def _q22(spark, d):
     out = geometry.line_deviation(_ridge(spark, d), _q6(spark, d), ["edge_id"])
     return rounded(rounded(out, "rise", digits=5), "slope")
