@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from acutance.llm.common import tidy
 from acutance.session import materialise, ship_package
 
 EMPTY = np.iinfo(np.int64).min
@@ -121,6 +122,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
     queries = rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
     queries = materialise(queries.groupBy("block").applyInArrow(pack, "block long, ids binary, v binary"), "query-blocks")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tree = None, None
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acutance.llm.common import text_slices
+from acutance.llm.common import text_slices, tidy, trim
 from acutance.session import materialise, shared_path, ship_package
 
 ANSWER = "chunk long, shard long, answer binary"
@@ -32,7 +32,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
         raw = np.ascontiguousarray(a).tobytes()
         name = a.dtype.str.encode()
         parts += [len(name).to_bytes(1, "little"), name, len(raw).to_bytes(8, "little"), raw]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unsqueeze(value: bytes) -> list[np.ndarray]:
@@ -52,6 +52,7 @@ def make_chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int, name: st
     ship_package(docs.sparkSession)
     schema = T.StructType().add("chunk", "long").add("keys", T.ArrayType(docs.schema[key].dataType)).add("bytes", "long").add("body", "binary")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         keys, parts, lengths, size = [], [], [], 0
@@ -98,6 +99,7 @@ def ask_with_sums(chunks: DataFrame, request: Callable, answer: Callable, name:
 
 def _ask(chunks: DataFrame, request: Callable, answer: Callable, name: str, fields: list[str], to: str) -> tuple[DataFrame, DataFrame]:
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -111,6 +113,7 @@ def _ask(chunks: DataFrame, request: Callable, answer: Callable, name: str, fiel
     def reply(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         answers = answer([x.as_py() for x in group["payload"]])
+        trim()
         own = len(answers) - len(group)  # 1 with the shard's sums, else 0
         at = np.concatenate((group["chunk"].to_numpy(), [SUMS] * own)).astype(np.int64)
         return pa.table({"chunk": at, "shard": pa.array([group["shard"][0].as_py()] * len(answers), pa.int64()), "answer": pa.array(answers, pa.binary())})

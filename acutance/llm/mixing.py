@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from acutance.llm.common import mix64
+from acutance.llm.common import mix64, tidy
 from acutance.session import materialise, ship_package
 
 BIN_ROWS, GROUP_BINS = 64, 256
@@ -221,6 +221,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     schema = T.StructType([narrow.schema[key]]).add("source", "string").add("size", "long").add("source_size", "long").add("target", "double").add("taken", "long").add("spans", T.ArrayType(SPAN))
     arrow_span = pa.struct([("pass", pa.int32()), ("first_word", pa.int64()), ("words", pa.int64()), ("shard", pa.int32()), ("position", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan_of = sent.value
         for batch in batches:

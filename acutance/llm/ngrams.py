@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acutance.llm.chunks import ask_with_sums, dealt, make_chunks, squeeze, unsqueeze
-from acutance.llm.common import RollingHash, lower_ascii, mix64, word_bounds
+from acutance.llm.common import RollingHash, lower_ascii, mix64, tidy, word_bounds
 
 CHUNK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
 MU, ADD = 300.0, 0.1
@@ -221,15 +221,26 @@ class ChunkView:
         self.before_at = np.where(before == START, self.start_at, self.before_at)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """A sorted array as its differences, byte by byte: first all lowest bytes, at last all highest ones, which are nearly all 0."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(len(d), -1).T).ravel()
+
+
+def _from_steps(raw: np.ndarray, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.cumsum(np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel(), dtype=dtype)
+
+
 def _pack_pairs(keys: np.ndarray, counts: np.ndarray) -> bytes:
     context = (keys >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    return squeeze(np.array([2], np.uint8), context[first], np.diff(np.append(first, len(keys))).astype(np.uint32), keys.astype(np.uint32), counts)
+    return squeeze(np.array([2], np.uint8), _steps(context[first]), np.diff(np.append(first, len(keys))).astype(np.uint32), keys.astype(np.uint32), counts)
 
 
 def _unpack_pairs(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     _, context, run, successor, counts = parts
-    return (np.repeat(context, run).astype(np.uint64) << np.uint64(32)) | successor, counts
+    return (np.repeat(_from_steps(context, np.uint32), run).astype(np.uint64) << np.uint64(32)) | successor, counts
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -243,7 +254,7 @@ def answer(payloads: list[bytes]) -> list[bytes]:
     """Answers of one shard: of words, their counts, and the sums of distinct and of all words; of pairs, the codes in its trie."""
     parts = [unsqueeze(p) for p in payloads]
     if parts[0][0][0] == 1:
-        _, total, places = _totals([p[1] for p in parts], [p[2] for p in parts])
+        _, total, places = _totals([_from_steps(p[1], np.uint64) for p in parts], [p[2] for p in parts])
         sums = np.array([np.count_nonzero(total), total.sum()], np.int64)
         return [*(squeeze(total[at]) for at in places), sums.tobytes()]
     blocks = [_unpack_pairs(p) for p in parts]
@@ -268,7 +279,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float =
         view = ChunkView(row, shards)
         for s, own in enumerate(view.word_shards):
             if len(own):
-                yield s, squeeze(np.array([1], np.uint8), view.distinct[own] >> np.uint64(24), view.word_count[own])
+                yield s, squeeze(np.array([1], np.uint8), _steps(view.distinct[own] >> np.uint64(24)), view.word_count[own])
         for s, own in enumerate(view.pair_shards):
             if len(own):
                 yield shards + s, _pack_pairs(view.pairs[own], view.pair_count[own])
@@ -278,6 +289,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float =
     v, n = parts[0] or 0, parts[1] or 0
     schema = T.StructType([docs.schema[key]]).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
+    @tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from acutance.llm.common import tidy
 from acutance.session import ship_package
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Units that a worker keeps; then it starts afresh.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 250_000
 #: Longer units aren't kept, and use a heap as their agenda.
 SHORT_UNIT = 40
 #: Rows of one matrix of units, characters of texts whose new units are learnt together, and the rank of no piece.
@@ -156,9 +157,6 @@ class PieceCodec:
 
     def learn(self, words: set[str]) -> None:
         """Fill the cache for words (a word stands for the unit of one mark and the word) and check them with the library."""
-        if len(self.ids_of) + len(words) > CACHE_UNITS:
-            self.ids_of.clear()
-            self.odd.clear()
         words = list(words)
         for w, got in zip(words, self.many_ids([MARK + w for w in words])):
             self.ids_of[w] = ",".join(map(str, got))
@@ -248,6 +246,8 @@ class PieceCodec:
             every = set().union(*filter(None, split))
             missing = every - known.keys()
             if len(missing) + len(known) > CACHE_UNITS:
+                known.clear()
+                odd.clear()
                 missing = every
             self.learn(missing)
             plain_back = odd.keys().isdisjoint(every)
@@ -286,9 +286,16 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", full: bo
     if full:
         out = out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of live strings make its passes slow, and there are no cycles
         own = codec(model_file, verify)
+        gc.disable()  # millions of live strings make its passes slow, and there are no cycles
+        try:
+            yield from encoded(own, batches)
+        finally:
+            gc.enable()
+
+    def encoded(own: PieceCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, a, b, ids, decoded = [], [], [], [], []
             for s, n, back in own.encode_texts([t or "" for t in batch.column(text).to_pylist()]):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acutance.llm.common import RollingHash, lower_ascii, mix64, text_slices, word_bounds
+from acutance.llm.common import RollingHash, lower_ascii, mix64, text_slices, tidy, word_bounds
 from acutance.session import materialise, ship_package
 
 BITS = 18
@@ -75,6 +75,7 @@ def train_rows(spark_rows: DataFrame, text: str, bits: int) -> DataFrame:
     """Rows (shard, y, buckets, values) of labelled texts: the sparse vectors, summed by bucket."""
     schema = T.StructType().add("shard", "integer").add("h", "long").add("y", "double").add("buckets", "binary").add("vals", "binary")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, v = [], []
@@ -149,6 +150,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     kept = [f.name for f in fields]
     schema = T.StructType(list(fields)).add("score", "double").add("predicted", "integer")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:

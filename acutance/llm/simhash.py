@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acutance.llm.common import keep_matching, lower_ascii, mix64, text_slices, word_bounds
+from acutance.llm.common import keep_matching, lower_ascii, mix64, text_slices, tidy, word_bounds
 from acutance.session import materialise, ship_package
 
 RADIUS = 2
@@ -74,6 +74,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", to:
     schema = T.StructType([docs.schema[c] for c in names]).add(to, "long")
     src = docs.select(*names, *([] if text in names else [text]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprints_of(data, offsets, shingle) for _, _, data, offsets in text_slices(batch.column(text))]
@@ -169,12 +170,17 @@ def wide_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, width:
     schema = T.StructType([docs.schema[key]]).add("fp", T.ArrayType(T.LongType(), False)).add("keys", T.ArrayType(T.IntegerType(), False))
     blocks = 64 * width // key_bits
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprints_of(data, offsets, shingle, width) for _, _, data, offsets in text_slices(batch.column(text))]
+            fp, keys = [], []
+            for _, _, data, offsets in text_slices(batch.column(text)):
+                own = fingerprints_of(data, offsets, shingle, width)
+                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little")[:, : blocks * key_bits]
+                fp.append(own)
+                keys.append((bits.reshape(-1, blocks, key_bits).astype(np.int32) << np.arange(key_bits, dtype=np.int32)).sum(axis=2, dtype=np.int32))
             fp = np.concatenate(fp) if fp else np.zeros((0, width), np.uint64)
-            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little")
-            keys = (bits[:, : blocks * key_bits].reshape(-1, blocks, key_bits).astype(np.int32) << np.arange(key_bits, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+            keys = np.concatenate(keys) if keys else np.zeros((0, blocks), np.int32)
             lists = [pa.ListArray.from_arrays(np.arange(len(fp) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1))) for x in (fp.view(np.int64), keys)]
             yield pa.RecordBatch.from_arrays([batch.column(key), *(x.cast(pa.list_(pa.field("element", x.type.value_type, False))) for x in lists)], schema.names)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acutance.llm.chunks import ask, dealt, make_chunks, squeeze, unsqueeze
-from acutance.llm.common import RollingHash
+from acutance.llm.common import RollingHash, tidy
 from acutance.session import materialise
 
 SPAN = 400
@@ -150,6 +150,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, int(total * len(COVER) / V) // SHARD_KEYS)
 
+    @tidy
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -195,6 +196,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     judged = ask(sampled, ask_suffixes, _repeated, "suffix-buckets", ["chunk", "body", "copies", "answers"], "hits")
     schema = T.StructType([docs.schema[key]]).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
