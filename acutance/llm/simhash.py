@@ -34,6 +34,8 @@ from acutance.session import materialise, ship_package
 
 RADIUS = 2
 FILE_ROWS = 64
+#: Fingerprints of a part of a large file, in the search for similar documents.
+PART_ROWS = 8
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, width: int = 1) -> np.ndarray:
@@ -193,22 +195,32 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     A fingerprint of width words is cut into blocks of key_bits bits; a pair that agrees on a block is a candidate, and
     is linked if its Hamming distance is at most the share of bits that two sets of this similarity differ in, plus one
     standard error. A pair at similarity 0.8 agrees on one of the 64 blocks with probability 0.92, at 0.85 with 0.98, at
-    0.9 with 0.999. A block's file with more than FILE_ROWS fingerprints is split by a hash that differs from block to
-    block, and each part is also linked to the file's smallest fingerprint: the work stays linear in the file, and
-    members of a large group meet FILE_ROWS others in each of the blocks that they share.
+    0.9 with 0.999. Candidates of which the first 64 bits differ by four standard errors more are left out in the join
+    itself, so chance agreements of blocks aren't written. A block's file with more than FILE_ROWS fingerprints is split
+    into parts of PART_ROWS by a hash that differs from block to block, and each member also meets the file's hub, the
+    fingerprint in most large files: an original whose copies share its blocks, one with this block, another with that.
+    The work stays linear in the file.
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = int(64 * width * (angle + math.sqrt(angle * (1 - angle) / (64 * width))))
     rows = materialise(wide_fingerprints(docs, key, text, shingle, width, key_bits), "wide")
     nodes = materialise(rows.groupBy("fp").agg(F.min(key).alias("node"), F.first("keys").alias("keys")), "wide-nodes")
-    filed = nodes.select("node", F.posexplode("keys").alias("m", "k"))
-    files = filed.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    filed = filed.join(files, ["m", "k"]).withColumn("part", F.pmod(F.xxhash64("node", "m"), F.ceil(F.col("n") / FILE_ROWS)))
-    filed = materialise(filed, "wide-files")
-    other = filed.select("m", "k", "part", F.col("node").alias("b"))
-    pairs = filed.select("m", "k", "part", F.col("node").alias("a")).join(other, ["m", "k", "part"]).where("a < b").select("a", "b")
-    stars = filed.where((F.col("n") > FILE_ROWS) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.union(stars).distinct()
+    filed = nodes.select("node", F.element_at("fp", 1).alias("word"), F.posexplode("keys").alias("m", "k"))
+    files = filed.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1")
+    filed = materialise(filed.join(files, ["m", "k"]), "wide-files")
+    small, large = filed.where(F.col("n") <= FILE_ROWS), filed.where(F.col("n") > FILE_ROWS)
+    # In large files: parts of a few, dealt by a hash that differs from block to block, and a star round the file's hub.
+    degree = large.groupBy("node").agg(F.count("*").alias("degree"))
+    large = materialise(large.join(degree, "node"), "wide-large")
+    hubs = large.groupBy("m", "k").agg(F.max_by(F.struct("node", "word"), F.struct("degree", -F.col("node"))).alias("hub"))
+    split = large.withColumn("part", F.pmod(F.xxhash64("node", "m"), F.ceil(F.col("n") / PART_ROWS)))
+    filed = small.withColumn("part", F.lit(0).cast("long")).unionByName(split.drop("degree"))
+    first = angle * 64 + 4 * math.sqrt(64 * angle * (1 - angle))
+    likely = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= int(first)
+    other = filed.select("m", "k", "part", F.col("node").alias("b"), F.col("word").alias("word_b"))
+    pairs = filed.join(other, ["m", "k", "part"]).where((F.col("node") < F.col("b")) & likely(F.col("word"), F.col("word_b"))).select(F.col("node").alias("a"), "b")
+    stars = large.join(hubs, ["m", "k"]).where((F.col("node") != F.col("hub.node")) & likely(F.col("word"), F.col("hub.word")))
+    pairs = pairs.union(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))).distinct()
     fps = nodes.select("node", "fp")
     pairs = pairs.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
     distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
