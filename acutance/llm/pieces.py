@@ -28,8 +28,8 @@ from acutance.session import ship_package
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Units that a worker keeps; then it starts afresh.
-CACHE_UNITS = 250_000
+#: Units that a worker keeps; then only those stay that the last two groups of texts share.
+CACHE_UNITS = 350_000
 #: Longer units aren't kept, and use a heap as their agenda.
 SHORT_UNIT = 40
 #: Rows of one matrix of units, characters of texts whose new units are learnt together, and the rank of no piece.
@@ -57,6 +57,7 @@ class PieceCodec:
         self.byte_fallback = self.library.is_byte(self.bytes[0])
         self.verify = verify
         self.ids_of: dict[str, str] = {}
+        self.last: set[str] = set()
         #: What a unit decodes to, if that isn't the unit itself.
         self.odd: dict[str, str] = {}
         # Tables for many units at once: ids of single characters, and the pairs that make a piece.
@@ -246,9 +247,14 @@ class PieceCodec:
             every = set().union(*filter(None, split))
             missing = every - known.keys()
             if len(missing) + len(known) > CACHE_UNITS:
+                often = [w for w in every & self.last if w in known]
+                kept, kept_odd = [known[w] for w in often], {w: odd[w] for w in often if w in odd}
                 known.clear()
                 odd.clear()
-                missing = every
+                known.update(zip(often, kept))
+                odd.update(kept_odd)
+                missing = every - known.keys()
+            self.last = every
             self.learn(missing)
             plain_back = odd.keys().isdisjoint(every)
             for t, words in zip(texts[lo:hi], split):
