@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,41 +34,56 @@ from acutance.session import materialise, ship_package
 
 RADIUS = 2
 FILE_ROWS = 64
-#: Fingerprints of a part of a large file, in the search for similar documents.
-PART_ROWS = 8
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, width: int = 1) -> np.ndarray:
-    """The fingerprint of each row of a slice, as width words of 64 bits. Wide ones scramble each hash once a word."""
+def shingle_spans(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[int, bytes, list[int], list[int]]]:
+    """For each row of a slice that has words: its number, the slice's words joined by single spaces, and where each shingle begins and ends there."""
     starts, ends, rows = word_bounds(data, offsets)
-    n = len(offsets) - 1
-    out = np.zeros((n, width), np.uint64)
     if not len(starts):
-        return out
-    # The words of each row, joined by single spaces: where each word lies in that text.
+        return
     lengths = ends - starts
     at = np.concatenate(([0], np.cumsum(lengths + 1)))
     joined = np.full(at[-1], 32, np.uint8)
     where = np.repeat(at[:-1] - starts, lengths) + np.concatenate([np.zeros(0, np.int64), np.arange(lengths.sum())]) + np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     joined[where] = lower_ascii(data)[where - np.repeat(at[:-1] - starts, lengths)]
-    text, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    salts = mix64(np.arange(width, dtype=np.uint64))[None, :] * np.uint64(width > 1)
-    per_row = np.bincount(rows, minlength=n)
+    text = joined.tobytes()
+    per_row = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.concatenate(([0], np.cumsum(per_row)))
     for i in np.flatnonzero(per_row):
         lo, hi = first[i], first[i + 1]
         k = min(shingle, hi - lo)
-        begin, end = at[lo : hi - k + 1].tolist(), (at[lo + k : hi + 1] - 1).tolist()
+        yield i, text, at[lo : hi - k + 1].tolist(), (at[lo + k : hi + 1] - 1).tolist()
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """The fingerprint of each row of a slice: every occurrence of a shingle votes."""
+    out, digest = np.zeros(len(offsets) - 1, np.uint64), xxhash.xxh64_intdigest
+    for i, text, begin, end in shingle_spans(data, offsets, shingle):
         count = len(begin)
-        votes = np.zeros(64 * width, np.int64)
+        votes = np.zeros(64, np.int64)
         for a in range(0, count, 8192):
-            hashes = np.fromiter((digest(text[s:e], 42) for s, e in zip(begin[a : a + 8192], end[a : a + 8192])), np.uint64, min(8192, count - a))[:, None]
-            hashes = mix64(hashes ^ salts) if width > 1 else hashes
-            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(votes * 2 > count, bitorder="little").view(np.uint64)
+            hashes = np.fromiter((digest(text[s:e], 42) for s, e in zip(begin[a : a + 8192], end[a : a + 8192])), np.uint64, min(8192, count - a))
+            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(votes * 2 > count, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each row of a slice, sorted."""
+    out, digest = [np.zeros(0, np.uint64)] * (len(offsets) - 1), xxhash.xxh64_intdigest
+    for i, text, begin, end in shingle_spans(data, offsets, shingle):
+        out[i] = np.unique(np.fromiter((digest(text[s:e], 42) for s, e in zip(begin, end)), np.uint64, len(begin)))
     return out
 
 
+def wide_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
+    """width words of 64 bits: each distinct hash, scrambled once a word, votes once."""
+    salts, votes = mix64(np.arange(width, dtype=np.uint64))[None, :], np.zeros(64 * width, np.int64)
+    for a in range(0, len(hashes), 8192):
+        votes += np.unpackbits(mix64(hashes[a : a + 8192, None] ^ salts).view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
 def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", to: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of docs and the fingerprint as a long."""
     ship_package(docs.sparkSession)
@@ -80,7 +95,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", to:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprints_of(data, offsets, shingle) for _, _, data, offsets in text_slices(batch.column(text))]
-            fp = np.concatenate(fp)[:, 0] if fp else np.zeros(0, np.uint64)
+            fp = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64))], schema.names)
 
     return src.mapInArrow(run, schema)
@@ -166,67 +181,138 @@ def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def wide_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, width: int, key_bits: int) -> DataFrame:
-    """(key, fp array of width longs, keys: one number for each block of key_bits bits)."""
+def _longs(rows: list[np.ndarray]) -> pa.Array:
+    """A list array of longs, one list for each array of words."""
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))).cast(pa.list_(pa.field("element", pa.int64(), False)))
+
+
+def wide_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, width: int, sets: bool = False) -> DataFrame:
+    """(key, node, fp): node is a hash of the document's set of shingles, fp its fingerprint as width longs; with sets, (node, set) alone."""
     ship_package(docs.sparkSession)
-    schema = T.StructType([docs.schema[key]]).add("fp", T.ArrayType(T.LongType(), False)).add("keys", T.ArrayType(T.IntegerType(), False))
-    blocks = 64 * width // key_bits
+    longs = T.ArrayType(T.LongType(), False)
+    schema = T.StructType().add("node", "long").add("set", longs) if sets else T.StructType([docs.schema[key]]).add("node", "long").add("fp", longs)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(text)):
+                own = shingle_sets(data, offsets, shingle)
+                node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in own], np.uint64).view(np.int64))
+                if sets:
+                    yield pa.RecordBatch.from_arrays([node, _longs(own)], schema.names)
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), node, _longs([wide_fingerprint(x, width) for x in own])], schema.names)
+
+    return docs.select(*([] if sets else [key]), text).mapInArrow(run, schema)
+
+
+def block_bits(bits: int, key_bits: int, deals: int) -> np.ndarray:
+    """The bits of each block: all bits are dealt to blocks of key_bits, and dealt anew that many times."""
+    per, rng = bits // key_bits, np.random.default_rng(24)
+    return np.concatenate([rng.permutation(bits)[: per * key_bits].reshape(per, key_bits) for _ in range(deals)])
+
+
+def block_keys(nodes: DataFrame, width: int, key_bits: int, deals: int) -> DataFrame:
+    """(k, node): a row for each block of each fingerprint; k is the block's number and its bits."""
+    blocks = block_bits(64 * width, key_bits, deals)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys = [], []
-            for _, _, data, offsets in text_slices(batch.column(text)):
-                own = fingerprints_of(data, offsets, shingle, width)
-                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little")[:, : blocks * key_bits]
-                fp.append(own)
-                keys.append((bits.reshape(-1, blocks, key_bits).astype(np.int32) << np.arange(key_bits, dtype=np.int32)).sum(axis=2, dtype=np.int32))
-            fp = np.concatenate(fp) if fp else np.zeros((0, width), np.uint64)
-            keys = np.concatenate(keys) if keys else np.zeros((0, blocks), np.int32)
-            lists = [pa.ListArray.from_arrays(np.arange(len(fp) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1))) for x in (fp.view(np.int64), keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(x.cast(pa.list_(pa.field("element", x.type.value_type, False))) for x in lists)], schema.names)
-
-    return docs.select(key, text).mapInArrow(run, schema)
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 20, key_bits: int = 20) -> DataFrame:
-    """(key, component_id): documents are linked if the wide fingerprints say that their shingle sets' Jaccard similarity is at least that.
-
-    A fingerprint of width words is cut into blocks of key_bits bits; a pair that agrees on a block is a candidate, and
-    is linked if its Hamming distance is at most the share of bits that two sets of this similarity differ in, plus one
-    standard error. A pair at similarity 0.8 agrees on one of the 64 blocks with probability 0.92, at 0.85 with 0.98, at
-    0.9 with 0.999. Candidates of which the first 64 bits differ by four standard errors more are left out in the join
-    itself, so chance agreements of blocks aren't written. A block's file with more than FILE_ROWS fingerprints is split
-    into parts of PART_ROWS by a hash that differs from block to block, and each member also meets the file's hub, the
-    fingerprint in most large files: an original whose copies share its blocks, one with this block, another with that.
-    The work stays linear in the file.
+            fp = batch.column("fp").flatten().to_numpy().view(np.uint8).reshape(-1, 8 * width)
+            bits = np.unpackbits(fp, axis=1, bitorder="little")
+            k = np.empty((len(bits), len(blocks)), np.int64)
+            for m, at in enumerate(blocks):
+                k[:, m] = (m << key_bits) + (bits[:, at].astype(np.int64) << np.arange(key_bits)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(batch.column("node").to_numpy(), len(blocks)))], ["k", "node"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "k long, node long")
+
+
+def near_in_file(node: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int, leaders: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a file's members within the limit.
+
+    With leaders: each member that has no leader yet leads all such members within the limit, one pair for each of them.
+    Else all pairs of different labels.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = int(64 * width * (angle + math.sqrt(angle * (1 - angle) / (64 * width))))
-    rows = materialise(wide_fingerprints(docs, key, text, shingle, width, key_bits), "wide")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(key).alias("node"), F.first("keys").alias("keys")), "wide-nodes")
-    filed = nodes.select("node", F.element_at("fp", 1).alias("word"), F.posexplode("keys").alias("m", "k"))
-    files = filed.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1")
-    filed = materialise(filed.join(files, ["m", "k"]), "wide-files")
-    small, large = filed.where(F.col("n") <= FILE_ROWS), filed.where(F.col("n") > FILE_ROWS)
-    # In large files: parts of a few, dealt by a hash that differs from block to block, and a star round the file's hub.
-    degree = large.groupBy("node").agg(F.count("*").alias("degree"))
-    large = materialise(large.join(degree, "node"), "wide-large")
-    hubs = large.groupBy("m", "k").agg(F.max_by(F.struct("node", "word"), F.struct("degree", -F.col("node"))).alias("hub"))
-    split = large.withColumn("part", F.pmod(F.xxhash64("node", "m"), F.ceil(F.col("n") / PART_ROWS)))
-    filed = small.withColumn("part", F.lit(0).cast("long")).unionByName(split.drop("degree"))
-    first = angle * 64 + 4 * math.sqrt(64 * angle * (1 - angle))
-    likely = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= int(first)
-    other = filed.select("m", "k", "part", F.col("node").alias("b"), F.col("word").alias("word_b"))
-    pairs = filed.join(other, ["m", "k", "part"]).where((F.col("node") < F.col("b")) & likely(F.col("word"), F.col("word_b"))).select(F.col("node").alias("a"), "b")
-    stars = large.join(hubs, ["m", "k"]).where((F.col("node") != F.col("hub.node")) & likely(F.col("word"), F.col("hub.word")))
-    pairs = pairs.union(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))).distinct()
+    order = np.lexsort((node, label))
+    node, label, fp = node[order], label[order], fp[order]
+    left, a, b = np.arange(len(node)), [], []
+    for i in range(len(node)):
+        if leaders and (not len(left) or left[0] != i):
+            continue
+        rest = left[1:] if leaders else np.arange(np.searchsorted(label, label[i], "right"), len(node))
+        # The first words alone rule most out: a part's distance is never more than the whole.
+        near = np.bitwise_count(fp[rest, :6] ^ fp[i, :6]).sum(axis=1, dtype=np.int64) <= limit
+        near[near] = np.bitwise_count(fp[rest[near]] ^ fp[i]).sum(axis=1, dtype=np.int64) <= limit
+        a.append(np.full(near.sum(), node[i]))
+        b.append(node[rest[near]])
+        if leaders:
+            left = rest[~near]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def pairs_in_files(large: DataFrame, limit: int, leaders: bool) -> DataFrame:
+    """(a, b) of near_in_file for each file of (k, node, label, fp)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+        a, b = near_in_file(table.column("node").to_numpy(), table.column("label").to_numpy(), fp, limit, leaders)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return large.select("k", "node", "label", "fp").groupBy("k").applyInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, limit: int) -> DataFrame:
+    """The pairs within the Hamming limit."""
     fps = nodes.select("node", "fp")
-    pairs = pairs.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
+    pairs = pairs.distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
     distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = components(pairs.where(distance <= limit).select("a", "b"))
-    ids = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    return rows.select(key, "fp").join(ids, "fp").select(key, "component_id")
+    pairs = materialise(pairs.where(distance <= limit).select("a", "b"), "wide-pairs")
+    return pairs
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 20, key_bits: int = 24, deals: int = 6) -> DataFrame:
+    """(key, component_id): documents are linked if the Jaccard similarity of their sets of shingles is at least that.
+
+    A fingerprint of width words is dealt to blocks of key_bits bits, and dealt anew deals times; fingerprints that agree
+    on a block are in one file, and those of a file whose Hamming distance is at most the share of bits that two sets
+    of this similarity differ in, plus one standard error, are linked. What can be missed is a pair that agrees on no block: the README has the share.
+
+    Candidates come in two rounds, and both together join exactly what all pairs of all files would. The first is
+    linear: members of a file meet its hub (in a file of more than FILE_ROWS, the first member near them that has no
+    leader itself). The second takes every pair of a file whose members the first has left in different components.
+    """
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = int(64 * width * (angle + math.sqrt(angle * (1 - angle) / (64 * width))))
+    rows = materialise(wide_fingerprints(docs, key, text, shingle, width), "wide")
+    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp")), "wide-nodes")
+    filed = block_keys(nodes, width, key_bits, deals).withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
+    filed = materialise(filed, "wide-files")
+    large = materialise(filed.where(F.col("n") > FILE_ROWS).join(nodes, "node"), "wide-large")
+    # Chance agreements are left out in the join itself, by the first word.
+    small = filed.where(F.col("n") <= FILE_ROWS).join(nodes.select("node", F.element_at("fp", 1).alias("word")), "node")
+    first = int(angle * 64 + 6 * math.sqrt(64 * angle * (1 - angle)))
+    likely = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= first
+    degree = small.groupBy("node").agg(F.count("*").alias("degree"))
+    small = materialise(small.join(degree, "node"), "wide-small")
+    hubs = small.groupBy("k").agg(F.max_by(F.struct("node", "word"), F.struct("degree", "node")).alias("hub")).select("k", F.col("hub.node").alias("hub"), F.col("hub.word").alias("hub_word"))
+    stars = small.join(hubs, "k").where((F.col("node") != F.col("hub")) & likely("word", "hub_word")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    stars = stars.union(pairs_in_files(large.withColumn("label", F.col("node")), limit, True))
+    links = materialise(verified(docs, stars, nodes, text, shingle, similarity, limit), "wide-links")
+    found = components(links)
+    labelled = lambda x: x.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    one = labelled(small.select("k", "node", "word"))
+    other = one.toDF(*[x if x == "k" else f"{x}_b" for x in one.columns])
+    rest = one.join(other, "k").where((F.col("label") < F.col("label_b")) & likely("word", "word_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    rest = rest.union(pairs_in_files(labelled(large), limit, False))
+    more = verified(docs, rest, nodes, text, shingle, similarity, limit)
+    found = components(links.union(more))
+    ids = rows.select(key, "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = ids.groupBy("label").agg(F.min(key).alias("component_id"))
+    return ids.join(least, "label").select(key, "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -186,6 +186,22 @@ def test_similar_documents_find_near_copies(spark):
     assert all(got[2 * i] == 2 * i for i in range(60))
 
 
+def test_near_in_file_joins_like_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, (3, 20)).astype(np.uint64)
+    fp = np.repeat(base, 80, axis=0)
+    fp[np.arange(240), rng.integers(0, 20, 240)] ^= np.uint64(1) << rng.integers(0, 60, 240).astype(np.uint64)
+    node = rng.permutation(240)
+    a, b = simhash.near_in_file(node, node, fp, 10, True)
+    assert len(a) == 237
+    group = np.empty(240, np.int64)
+    group[node] = np.arange(240) // 80
+    assert (group[a] == group[b]).all()
+    a, b = simhash.near_in_file(node, node, fp, 10, False)
+    assert len({(min(x, y), max(x, y)) for x, y in zip(a, b)}) == 3 * 80 * 79 // 2
+    assert not len(simhash.near_in_file(node, group[node], fp, 10, False)[0])
+
+
 # 4
 
 
