@@ -266,12 +266,16 @@ def pairs_in_files(large: DataFrame, limit: int, leaders: bool) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, limit: int) -> DataFrame:
-    """The pairs within the Hamming limit."""
+    """The pairs within the Hamming limit whose sets of shingles have at least that Jaccard similarity, exactly."""
     fps = nodes.select("node", "fp")
     pairs = pairs.distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
     distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = materialise(pairs.where(distance <= limit).select("a", "b"), "wide-pairs")
-    return pairs
+    asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    sets = wide_fingerprints(docs, "", text, shingle, 0, sets=True)
+    sets = materialise(keep_matching(sets, materialise(asked, "wide-asked"), ["node"], "left_semi").dropDuplicates(["node"]), "wide-sets")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("common") + 1e-9 >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 20, key_bits: int = 24, deals: int = 6) -> DataFrame:
@@ -279,14 +283,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     A fingerprint of width words is dealt to blocks of key_bits bits, and dealt anew deals times; fingerprints that agree
     on a block are in one file, and those of a file whose Hamming distance is at most the share of bits that two sets
-    of this similarity differ in, plus one standard error, are linked. What can be missed is a pair that agrees on no block: the README has the share.
+    of this similarity differ in, plus four standard errors, are candidates. A candidate is linked if the exact Jaccard
+    similarity of the two sets is high enough. What can be missed is a pair that agrees on no block: the README has the share.
 
     Candidates come in two rounds, and both together join exactly what all pairs of all files would. The first is
     linear: members of a file meet its hub (in a file of more than FILE_ROWS, the first member near them that has no
     leader itself). The second takes every pair of a file whose members the first has left in different components.
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = int(64 * width * (angle + math.sqrt(angle * (1 - angle) / (64 * width))))
+    limit = int(64 * width * (angle + 4 * math.sqrt(angle * (1 - angle) / (64 * width))))
     rows = materialise(wide_fingerprints(docs, key, text, shingle, width), "wide")
     nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp")), "wide-nodes")
     filed = block_keys(nodes, width, key_bits, deals).withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")

@@ -186,6 +186,50 @@ def test_similar_documents_find_near_copies(spark):
     assert all(got[2 * i] == 2 * i for i in range(60))
 
 
+def _shingled(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def _brute_components(rows, similarity=0.8):
+    sets, top = [_shingled(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if root(i) != root(j) and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                top[max(root(i), root(j))] = min(root(i), root(j))
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+def _changed(rng, words, n):
+    words = list(words)
+    for p in rng.choice(len(words) - 60, n, replace=False):
+        words[p] = f"c{rng.integers(1 << 40)}"
+    return words
+
+
+def test_similar_documents_in_large_files(spark):
+    """Pairs of copies, and two groups of more than 64, whose files are full of other texts from one template."""
+    rng = np.random.default_rng(5)
+    template = [f"t{x}" for x in range(240)]
+    own = lambda: template + [f"o{x}" for x in rng.integers(0, 1 << 40, 60)]
+    texts = [own() for _ in range(160)]
+    for _ in range(40):
+        texts.append(own())
+        texts.append(_changed(rng, texts[-1], 4))
+    for _ in range(2):
+        base = own()
+        texts += [_changed(rng, base, 2) for _ in range(70)]
+    rows = [(i, " ".join(texts[j])) for i, j in enumerate(rng.permutation(len(texts)))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=1, key_bits=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == _brute_components(rows)
+
+
 def test_near_in_file_joins_like_all_pairs():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 62, (3, 20)).astype(np.uint64)
@@ -202,6 +246,22 @@ def test_near_in_file_joins_like_all_pairs():
     assert not len(simhash.near_in_file(node, group[node], fp, 10, False)[0])
 
 
+def test_similar_documents_are_exact_round_the_limit(spark):
+    """Similarities of 0.65 to 0.95, and texts that have nothing in common but a line that each repeats."""
+    rng = np.random.default_rng(7)
+    rows, line = [], " ".join(f"r{x}" for x in range(12))
+    for i in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+        repeated = [line] * 30 if i % 3 == 0 else []
+        rows.append((2 * i, " ".join(base + repeated)))
+        rows.append((2 * i + 1, " ".join(_changed(rng, base, 2 + i % 11) + repeated)))
+    rows += [(1000 + i, " ".join([line] * 50 + [f"z{x}" for x in rng.integers(0, 1 << 40, 40)])) for i in range(30)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _brute_components(rows)
+    assert len(set(want.values())) < len(rows) - 50
+    assert got == want
+
+
 # 4
 
 
