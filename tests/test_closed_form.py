@@ -165,6 +165,15 @@ def test_surface_of_a_plane(spark):
     assert inside and all(abs(r.v - 0.01 * r.gy - 0.02 * r.gx) < 1e-3 for r in inside)
 
 
+@pytest.mark.parametrize("rows, columns", [(27, 40), (133, 200)])
+def test_surface_covers_the_grid(spark, rows, columns):
+    """Coarse and fine grids, wider than high; measured cells reach the far corner."""
+    cells = [(0, y, x, 0.01 * y + 0.002 * x) for y in range(0, rows, 2) for x in range(columns - 1, -1, -3)]
+    got = targets.surface_fit(spark.createDataFrame(cells, "image_id int, gy int, gx int, v double"), ["image_id"], smooth=1e-6, rows=rows, columns=columns).collect()
+    assert {(r.gy, r.gx) for r in got} == {(y, x) for y in range(rows) for x in range(columns)}
+    assert all(abs(r.v - 0.01 * r.gy - 0.002 * r.gx) < 1e-3 for r in got if (r.gy, r.gx) in {c[1:3] for c in cells[:: 97]} | {cells[0][1:3]})
+
+
 def test_kernel_curves_recover_sharp_edges(spark):
     s = 0.6
     d = np.linspace(-30, 30, 4801)
