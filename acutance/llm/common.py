@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acutance.session import materialise
+
 #: The six separators, as a Java and Python pattern class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -57,6 +60,26 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> Da
     return df.join(keys, on, how)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the file and row number of each row, by which rows of one key stay apart.
+
+    Both are fixed by the files, however they are split into tasks and whichever executor reads them. Rows of a plain read
+    of Parquet files, with columns chosen and rows filtered, are named as they stand; any other frame is written first.
+    """
+    steps = docs._jdf.queryExecution().analyzed().toString().splitlines()
+    if not all(re.match(r"[\s:+|-]*(Project|Filter|Relation|SubqueryAlias)\b", x) for x in steps) or "Relation" not in steps[-1] or "parquet" not in steps[-1]:
+        docs = materialise(docs, "located")
+    at = fresh(docs, "_at")
+    return docs.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(at)), at
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about limit bytes: first row, end row, their UTF-8 bytes and the offsets of each row. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -12,6 +12,9 @@ work. This exact way is for r = 2; with other r, large files are filed anew unde
 Components come from the alternating large-star and small-star rounds of Kiveris et al. (2014), written to the shared
 folder after each round. Nothing is collected.
 
+similar_documents is for texts that are much less alike (five-word shingles, Jaccard similarity 0.8): longer fingerprints, many
+blocks whose length grows with the corpus, a check of the Hamming distance and then of the exact similarity.
+
 Null and empty texts have the fingerprint zero and link like others. Repeated rows and ids are one component and one
 row each. A null id is never a component's smallest unless no other is there.
 """
@@ -25,15 +28,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acutance.llm.common import keep_matching, lower_ascii, mix64, text_slices, tidy, word_bounds
+from acutance.llm.common import BROADCAST_ROWS, keep_matching, located, lower_ascii, mix64, text_slices, tidy, word_bounds
 from acutance.session import materialise, ship_package
 
 RADIUS = 2
 FILE_ROWS = 64
+#: A file is dealt to parts if more than HOT_ROWS fingerprints are expected in it; a part has about PART_ROWS at most.
+HOT_ROWS, SAMPLE, PART_ROWS = 4_096, 64, 20_000
+#: Hubs that a fingerprint meets in a round, and pairs for each fingerprint that the last round may compare.
+HUBS, LAST_PAIRS = 8, 16
+#: Words of a fingerprint that are carried into the join of the last round; members of a part of a crowd.
+HEAD_WORDS, CROWD_ROWS = 4, 256
 
 
 def shingle_spans(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[int, bytes, list[int], list[int]]]:
@@ -188,140 +197,221 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))).cast(pa.list_(pa.field("element", pa.int64(), False)))
 
 
-def wide_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, width: int, sets: bool = False) -> DataFrame:
-    """(key, node, fp): node is a hash of the document's set of shingles, fp its fingerprint as width longs; with sets, (node, set) alone."""
+def wide_fingerprints(docs: DataFrame, kept: list[str], text: str, shingle: int, width: int) -> DataFrame:
+    """The kept columns, node and fp: node is a hash of the text's set of shingles, fp its fingerprint as width longs, or the set itself with width 0."""
     ship_package(docs.sparkSession)
-    longs = T.ArrayType(T.LongType(), False)
-    schema = T.StructType().add("node", "long").add("set", longs) if sets else T.StructType([docs.schema[key]]).add("node", "long").add("fp", longs)
+    schema = T.StructType([docs.schema[c] for c in kept]).add("node", "long").add("fp", T.ArrayType(T.LongType(), False))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(text)):
+            for lo, hi, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
                 own = shingle_sets(data, offsets, shingle)
                 node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in own], np.uint64).view(np.int64))
-                if sets:
-                    yield pa.RecordBatch.from_arrays([node, _longs(own)], schema.names)
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), node, _longs([wide_fingerprint(x, width) for x in own])], schema.names)
+                fps = [wide_fingerprint(x, width) for x in own] if width else own
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), node, _longs(fps)], schema.names)
 
-    return docs.select(*([] if sets else [key]), text).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def block_bits(bits: int, key_bits: int, deals: int) -> np.ndarray:
-    """The bits of each block: all bits are dealt to blocks of key_bits, and dealt anew that many times."""
+def block_bits(bits: int, key_bits: int, blocks: int) -> np.ndarray:
+    """The bits of each block: all bits are dealt to blocks of key_bits, and dealt anew until there are enough blocks."""
     per, rng = bits // key_bits, np.random.default_rng(24)
-    return np.concatenate([rng.permutation(bits)[: per * key_bits].reshape(per, key_bits) for _ in range(deals)])
+    return np.concatenate([rng.permutation(bits)[: per * key_bits].reshape(per, key_bits) for _ in range(-(-blocks // per))])
 
 
-def block_keys(nodes: DataFrame, width: int, key_bits: int, deals: int) -> DataFrame:
+def block_keys(nodes: DataFrame, width: int, key_bits: int, blocks: int) -> DataFrame:
     """(k, node): a row for each block of each fingerprint; k is the block's number and its bits."""
-    blocks = block_bits(64 * width, key_bits, deals)
+    places = block_bits(64 * width, key_bits, blocks)
+    number = np.arange(len(places), dtype=np.int64) << key_bits
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").flatten().to_numpy().view(np.uint8).reshape(-1, 8 * width)
             bits = np.unpackbits(fp, axis=1, bitorder="little")
-            k = np.empty((len(bits), len(blocks)), np.int64)
-            for m, at in enumerate(blocks):
-                k[:, m] = (m << key_bits) + (bits[:, at].astype(np.int64) << np.arange(key_bits)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(batch.column("node").to_numpy(), len(blocks)))], ["k", "node"])
+            node = batch.column("node").to_numpy()
+            for lo in range(0, len(bits), 256):
+                part = bits[lo : lo + 256]
+                own = np.zeros((len(part), len(places), 64), np.uint8)
+                own[:, :, :key_bits] = part[:, places]
+                k = np.packbits(own, axis=2, bitorder="little").view(np.int64)[:, :, 0] + number
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(node[lo : lo + 256], len(places)))], ["k", "node"])
 
     return nodes.select("node", "fp").mapInArrow(run, "k long, node long")
 
 
-def near_in_file(node: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int, leaders: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a file's members within the limit.
+def _order(node: str, turn: int) -> Column:
+    """Who becomes hub in a round: the least of these. It is the same order in all files, so that few hubs serve a group of copies."""
+    return F.struct(F.xxhash64(node, F.lit(turn)).alias("order"), F.col(node).alias("node"))
+
 
-    With leaders: each member that has no leader yet leads all such members within the limit, one pair for each of them.
-    Else all pairs of different labels.
+def files_of(nodes: DataFrame, n: int, width: int, key_bits: int, blocks: int) -> DataFrame:
+    """(node, files, hubs): of each fingerprint that shares a file with another, all such files, and hubs it meets there.
+
+    A hash sample of the fingerprints tells which files are large. The members of these are dealt to parts by a hash; each
+    part has a hub, and these meet the file's. So no window is larger than HOT_ROWS or a part, about; the sample decides how
+    the work is dealt and nothing else.
     """
-    order = np.lexsort((node, label))
-    node, label, fp = node[order], label[order], fp[order]
-    left, a, b = np.arange(len(node)), [], []
-    for i in range(len(node)):
-        if leaders and (not len(left) or left[0] != i):
-            continue
-        rest = left[1:] if leaders else np.arange(np.searchsorted(label, label[i], "right"), len(node))
-        # The first words alone rule most out: a part's distance is never more than the whole.
-        near = np.bitwise_count(fp[rest, :6] ^ fp[i, :6]).sum(axis=1, dtype=np.int64) <= limit
-        near[near] = np.bitwise_count(fp[rest[near]] ^ fp[i]).sum(axis=1, dtype=np.int64) <= limit
-        a.append(np.full(near.sum(), node[i]))
-        b.append(node[rest[near]])
-        if leaders:
-            left = rest[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    keys = block_keys(nodes, width, key_bits, blocks)
+    sample = block_keys(nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SAMPLE)) == 0), width, key_bits, blocks)
+    hot = materialise(sample.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS // SAMPLE).select("k"), "wide-hot")
+    known = hot.limit(BROADCAST_ROWS + 1).count()
+    if known:
+        marked = hot.withColumn("hot", F.lit(True))
+        filed = keys.join(F.broadcast(marked) if known <= BROADCAST_ROWS else marked, "k", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node", F.lit(5)), F.lit(-(-n // PART_ROWS)))).otherwise(0))
+    else:
+        filed = keys.withColumns({"hot": F.lit(None).cast("boolean"), "part": F.lit(0)})
+    part = Window.partitionBy("k", "part")
+    filed = filed.withColumns({"n": F.count("*").over(part), "hub": F.min(_order("node", 0)).over(part)}).where("n > 1 or hot").select("k", "node", "hot", "part", "hub")
+    if known:
+        filed = materialise(filed, "wide-files")
+        tops = filed.where("hot").groupBy("k", "part").agg(F.min("hub").alias("hub"))
+        tops = tops.withColumn("top", F.min("hub").over(Window.partitionBy("k"))).where("hub <> top").select("k", F.col("hub.node").alias("node"), F.col("top").alias("hub"))
+        filed = filed.select("k", "node", "hub").unionByName(tops)
+    own = filed.groupBy("node").agg(F.collect_set("k").alias("files"), F.collect_set(F.when(F.col("hub.node") != F.col("node"), F.col("hub"))).alias("hubs"))  # as many as blocks, at most
+    return materialise(own, "wide-members")
 
 
-def pairs_in_files(large: DataFrame, limit: int, leaders: bool) -> DataFrame:
-    """(a, b) of near_in_file for each file of (k, node, label, fp)."""
+def _first(hubs: str, node: str = "node") -> DataFrame:
+    return F.explode(F.slice(F.sort_array(hubs), 1, HUBS))
 
-    def run(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
-        a, b = near_in_file(table.column("node").to_numpy(), table.column("label").to_numpy(), fp, limit, leaders)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return large.select("k", "node", "label", "fp").groupBy("k").applyInArrow(run, "a long, b long").distinct()
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, limit: int) -> DataFrame:
+def verified(docs: DataFrame, at: str, pairs: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, limit: int) -> DataFrame:
     """The pairs within the Hamming limit whose sets of shingles have at least that Jaccard similarity, exactly."""
     fps = nodes.select("node", "fp")
-    pairs = pairs.distinct().join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
-    distance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = materialise(pairs.where(distance <= limit).select("a", "b"), "wide-pairs")
-    asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-    sets = wide_fingerprints(docs, "", text, shingle, 0, sets=True)
-    sets = materialise(keep_matching(sets, materialise(asked, "wide-asked"), ["node"], "left_semi").dropDuplicates(["node"]), "wide-sets")
+    pairs = pairs.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
+    pairs = materialise(pairs.where(_distance("fa", "fb") <= limit).select("a", "b"), "wide-pairs")
+    asked = materialise(pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(nodes.select("node", F.col("at").alias(at)), "node").select(at), "wide-asked")
+    sets = materialise(wide_fingerprints(keep_matching(docs, asked, [at], "left_semi"), [], text, shingle, 0), "wide-sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") + 1e-9 >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return materialise(both.where(F.col("common") + 1e-9 >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "wide-links")
+
+
+def _distance(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 20, key_bits: int = 24, deals: int = 6) -> DataFrame:
-    """(key, component_id): documents are linked if the Jaccard similarity of their sets of shingles is at least that.
+def unsettled(members: DataFrame, nodes: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """(k, node, label, head, n, hub): the members of files that hold several components; n members, hub: (order, node, label) of one of them."""
+    own = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", F.slice("fp", 1, HEAD_WORDS).alias("head")), "node")
+    rows = own.select("node", "label", "head", F.explode("files").alias("k"))
+    files = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(_order("node", turn).alias("o"), "label")).alias("hub")).where("low < high")
+    return materialise(rows.join(files.select("k", "n", "hub"), "k"), "wide-unsettled")
 
-    A fingerprint of width words is dealt to blocks of key_bits bits, and dealt anew deals times; fingerprints that agree
-    on a block are in one file, and those of a file whose Hamming distance is at most the share of bits that two sets
-    of this similarity differ in, plus four standard errors, are candidates. A candidate is linked if the exact Jaccard
-    similarity of the two sets is high enough. What can be missed is a pair that agrees on no block: the README has the share.
 
-    Candidates come in two rounds, and both together join exactly what all pairs of all files would. The first is
-    linear: members of a file meet its hub (in a file of more than FILE_ROWS, the first member near them that has no
-    leader itself). The second takes every pair of a file whose members the first has left in different components.
+def across(rows: DataFrame, limit: int) -> DataFrame:
+    """(a, b): the pairs of members of one small file, in different components and not of one crowd, whose first words are within the limit."""
+    one = rows.select("k", "node", "label", "crowd", "head")
+    other = one.toDF("k", *[f"{c}_b" for c in one.columns[1:]])
+    apart = (F.col("label") < F.col("label_b")) & F.coalesce(F.col("crowd") != F.col("crowd_b"), F.lit(True))
+    return _pairs(one.join(other, "k").where(apart & (_distance("head", "head_b") <= limit)), "node", "node_b")
+
+
+def alike_in_parts(table: pa.Table, similarity: float, limit: int) -> pa.Table:
+    """(a, b): the members of side 0 and of side 1 in different components, within the Hamming limit and alike enough by their sets."""
+    table = table.combine_chunks()
+    side, node, label = (table.column(c).to_numpy() for c in ("side", "node", "label"))
+    fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+    sets = table.column("set").combine_chunks()
+    ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+    left, right, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+    for i in left:
+        near = right[(label[right] != label[i]) & (np.bitwise_count(fp[right] ^ fp[i]).sum(axis=1, dtype=np.int64) <= limit)]
+        if not len(near):
+            continue
+        own = flat[ends[i] : ends[i + 1]]
+        sizes = ends[near + 1] - ends[near]
+        every = np.concatenate([flat[ends[j] : ends[j + 1]] for j in near]) if sizes.sum() else flat[:0]
+        hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every if len(own) else np.zeros(len(every), bool)
+        common = np.bincount(np.repeat(np.arange(len(near)), sizes), weights=hit, minlength=len(near))
+        good = near[common + 1e-9 >= similarity * (len(own) + sizes - common)]
+        found += [(node[i], node[j]) for j in good]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def in_crowds(docs: DataFrame, at: str, rows: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, limit: int) -> DataFrame:
+    """(a, b): the pairs of each crowd's members that are in different components and alike enough, exactly.
+
+    A crowd is what files of more than FILE_ROWS members join. It is cut into parts of CROWD_ROWS by a hash; a task compares
+    two parts, so none holds a crowd, and writes links only.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = int(64 * width * (angle + 4 * math.sqrt(angle * (1 - angle) / (64 * width))))
-    rows = materialise(wide_fingerprints(docs, key, text, shingle, width), "wide")
-    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp")), "wide-nodes")
-    filed = block_keys(nodes, width, key_bits, deals).withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
-    filed = materialise(filed, "wide-files")
-    large = materialise(filed.where(F.col("n") > FILE_ROWS).join(nodes, "node"), "wide-large")
-    # Chance agreements are left out in the join itself, by the first word.
-    small = filed.where(F.col("n") <= FILE_ROWS).join(nodes.select("node", F.element_at("fp", 1).alias("word")), "node")
-    first = int(angle * 64 + 6 * math.sqrt(64 * angle * (1 - angle)))
-    likely = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= first
-    degree = small.groupBy("node").agg(F.count("*").alias("degree"))
-    small = materialise(small.join(degree, "node"), "wide-small")
-    hubs = small.groupBy("k").agg(F.max_by(F.struct("node", "word"), F.struct("degree", "node")).alias("hub")).select("k", F.col("hub.node").alias("hub"), F.col("hub.word").alias("hub_word"))
-    stars = small.join(hubs, "k").where((F.col("node") != F.col("hub")) & likely("word", "hub_word")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    stars = stars.union(pairs_in_files(large.withColumn("label", F.col("node")), limit, True))
-    links = materialise(verified(docs, stars, nodes, text, shingle, similarity, limit), "wide-links")
-    found = components(links)
-    labelled = lambda x: x.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    one = labelled(small.select("k", "node", "word"))
-    other = one.toDF(*[x if x == "k" else f"{x}_b" for x in one.columns])
-    rest = one.join(other, "k").where((F.col("label") < F.col("label_b")) & likely("word", "word_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    rest = rest.union(pairs_in_files(labelled(large), limit, False))
-    more = verified(docs, rest, nodes, text, shingle, similarity, limit)
-    found = components(links.union(more))
-    ids = rows.select(key, "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = ids.groupBy("label").agg(F.min(key).alias("component_id"))
-    return ids.join(least, "label").select(key, "component_id")
-
-
-def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row of each component of similar documents: that of the smallest key (rows repeating that key stay together)."""
-    found = similar_documents(docs, key, **options)
-    drop = materialise(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-dropped")
-    return keep_matching(docs, drop, [key], "left_anti")
+    members = rows.select("node", "label", "crowd").distinct().join(nodes.select("node", "fp", "at"), "node")
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / CROWD_ROWS).cast("int").alias("parts"))
+    members = materialise(members.join(sizes, "crowd"), "wide-crowds")
+    asked = members.select(F.col("at").alias(at))
+    sets = wide_fingerprints(keep_matching(docs, asked, [at], "left_semi"), [], text, shingle, 0).toDF("node", "set")
+    members = members.drop("at").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    first = members.select("crowd", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "node", "label", "fp", "set")
+    second = members.select("crowd", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "node", "label", "fp", "set")
+    return first.union(second).groupBy("crowd", "i", "j").applyInArrow(lambda t: alike_in_parts(t, similarity, limit), "a long, b long").distinct()
+
+
+def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, similarity: float, width: int, miss: float, spare_bits: int, last_pairs: int) -> tuple[DataFrame, DataFrame, str]:
+    """(key, row, label) for every row, the rows with their locators, and the locator's name. Rows of one label are linked."""
+    docs, at = located(docs)
+    rows = materialise(wide_fingerprints(docs.withColumn("_key", F.col(key)), ["_key", at], text, shingle, width), "wide")
+    nodes = materialise(rows.groupBy("node").agg(F.min(at).alias("at"), F.first("fp").alias("fp")), "wide-nodes")
+    n = max(2, nodes.count())
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bound = lambda bits: int(bits * differ + 5 * math.sqrt(bits * differ * (1 - differ)))
+    key_bits = min(40, max(12, math.ceil(math.log2(n)) + spare_bits))
+    blocks = math.ceil(math.log(miss) / math.log(1 - (1 - differ) ** key_bits))
+    check = lambda pairs: verified(docs, at, pairs, nodes, text, shingle, similarity, bound(64 * width))
+    members = files_of(nodes, n, width, key_bits, blocks)
+    links = check(_pairs(members.select("node", _first("hubs").alias("hub")).select("node", F.col("hub.node").alias("hub")), "node", "hub"))
+    before = math.inf
+    for turn in range(1, 20):
+        found = components(links)
+        rest = unsettled(members, nodes, found, turn)
+        left, most = rest.select("k", "n").distinct().agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if left <= last_pairs * n or left > before * 0.7:
+            break
+        before = left
+        hubs = rest.where(F.col("label") != F.col("hub.label")).groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+        links = links.union(check(_pairs(hubs.select("node", _first("hubs").alias("hub")).select("node", F.col("hub.o.node").alias("hub")), "node", "hub")))
+    if left:
+        small = rest.where(F.col("n") <= FILE_ROWS).withColumn("crowd", F.lit(None).cast("long"))
+        if most > FILE_ROWS:
+            large = rest.where(F.col("n") > FILE_ROWS)
+            crowds = materialise(components(large.select("node", F.col("hub.o.node").alias("hub")), "node", "hub").toDF("node", "crowd"), "wide-crowd-ids")
+            small = small.drop("crowd").join(crowds, "node", "left")
+            links = links.union(in_crowds(docs, at, large.join(crowds, "node"), nodes, text, shingle, similarity, bound(64 * width)))
+        found = components(links.union(check(across(small, bound(64 * HEAD_WORDS)))))
+    return rows.select("_key", at, "node").join(found, "node", "left").select("_key", at, F.coalesce("label", "node").alias("label")), docs, at
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 12, miss: float = 0.01, spare_bits: int = 6, last_pairs: int = LAST_PAIRS) -> DataFrame:
+    """(key, component_id) for every row: documents are linked if the Jaccard similarity of their sets of distinct shingles is at least that.
+
+    A fingerprint of width words is dealt to blocks, again and again; fingerprints that agree on a block are in one file. A
+    block has log2 of the number of fingerprints plus spare_bits bits, so that chance fills files at the same rate in a
+    corpus of any size, and there are so many blocks that a pair at the limit shares one but for the share miss; more alike
+    pairs miss less. Candidates within the Hamming distance of the limit plus five standard errors are linked if the exact
+    Jaccard similarity of their sets is high enough. What can be missed is a pair that agrees on no block.
+
+    Which pairs of a file are compared: in the first rounds its members meet a few hubs each, which is linear. Files whose
+    members are then in one component are settled. When what is left is few pairs for each fingerprint, or doesn't get
+    less, all pairs of members that are in different components are compared: those of small files in a join, those of large
+    ones (whatever files join is a crowd) part by part. So the result is that of all pairs of all files. Many texts that are nearly
+    alike enough, and aren't linked, cost their number's square there, in tasks of a bounded size that write links only.
+
+    A text of fewer words is one shingle; null, empty and blank texts are alike. component_id is the least key of the
+    component, null only if all its keys are. Rows that repeat a key or a text are rows of their own.
+    """
+    found, _, _ = similar_rows(docs, key, text, shingle, similarity, width, miss, spare_bits, last_pairs)
+    least = found.groupBy("label").agg(F.min("_key").alias("component_id"))
+    return found.join(least, "label").select(F.col("_key").alias(key), "component_id")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 12, miss: float = 0.01, spare_bits: int = 6, last_pairs: int = LAST_PAIRS) -> DataFrame:
+    """One row of each component of similar documents: that of the smallest key, a null key last, then the first in its file."""
+    found, rows, at = similar_rows(docs, key, text, shingle, similarity, width, miss, spare_bits, last_pairs)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", at)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    drop = materialise(found.join(first, "label").where(F.col(at) != F.col(f"first.{at}")).select(at), "near-dropped")
+    return keep_matching(rows, drop, [at], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

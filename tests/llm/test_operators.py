@@ -54,8 +54,39 @@ def test_mix_targets_cap_and_reshare():
 def test_mix_tree_and_permutation():
     d = mixing.split_tree(np.array([10, 20, 5]), 7, 3)
     assert d.sum(axis=0).tolist() == [10, 20, 5] and (d >= 0).all() and (mixing.split_tree(np.array([10, 20, 5]), 7, 3) == d).all()
-    for n in (1, 2, 7, 1000):
+    assert set(d.sum(axis=1)) == {5}
+    for n in (1, 2, 7, 64, 65, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 9)) == list(range(n))
+    two = mixing.permuted(np.tile(np.arange(40), 2), np.full(80, 40), np.repeat([3, 4], 40))
+    assert sorted(two[:40]) == sorted(two[40:]) == list(range(40)) and (two[:40] != two[40:]).any()
+
+
+@pytest.mark.parametrize("size", [5, 700, 5_000, 300_007])
+def test_mix_plan_draws_what_the_tree_says(size):
+    rows = [("a", size), ("b", 3 * size + 1), ("c", 40 * size), (None, 0)]
+    plans = mixing.plan_sources(rows, lambda i: (5, 2, 1)[i % 3], 6, 7, 16, 3.0)
+    for plan in plans:
+        total = 0
+        for p in range(plan.passes):
+            shard, turn, take = plan.words(np.arange(plan.blocks), p)
+            assert (np.bincount(shard, minlength=plan.need.shape[1]) == plan.pool[p]).all()
+            full = plan.cut == 0 or p < plan.passes - 1
+            assert not full or (np.bincount(shard[take > 0], minlength=plan.need.shape[1]) == plan.need[p]).all()
+            for s in set(shard):
+                assert sorted(turn[shard == s]) == list(range(plan.pool[p][s]))
+            total += take.sum()
+        assert abs(total - plan.target) <= 1
+    draws = sum(plan.need.sum(axis=0) for plan in plans)
+    assert draws.max() - draws.min() <= 1
+
+
+def test_mix_follows_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(3 + i % 7)), "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    take = lambda: sorted((r.doc_id or 0, r.taken) for r in mixing.mix(docs, shards=4).collect())
+    first, split = take(), mixing.split_tree
+    assert first == take()
+    monkeypatch.setattr(mixing, "split_tree", lambda draws, shards, seed: split(draws, shards, seed)[::-1] if seed % 2 else split(draws, shards, seed + 5))
+    assert first != take()
 
 
 def test_mix(docs, none):
@@ -75,7 +106,7 @@ def test_mix(docs, none):
     goal = mixing.targets(np.array([size[s] for s in order]), np.array([(5, 2, 1)[i % 3] for i in range(len(order))]))
     for s, g in zip(order, goal):
         assert target[s] == pytest.approx(g) and abs(taken[s] - g) <= 1
-    # no word of a document is drawn twice in a pass, and no place of a shard is used by two sources' blocks
+    # no word of a document is drawn twice in a pass
     for r in rows:
         seen = Counter()
         for s in r.spans:
@@ -86,10 +117,25 @@ def test_mix(docs, none):
 
 
 def test_mixed_documents(docs):
-    out = mixing.mixed_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), block_words=16)
+    """Ids repeat and are null here: the words written are the words taken, and a row's words come from its own text."""
+    ids = docs.withColumn("doc_id", F.when(F.col("doc_id") < 6, F.col("doc_id") % 2)).unionByName(docs)
+    out = mixing.mixed_documents(ids, block_words=16, shards=3)
     assert out.columns == docs.columns
-    total = sum(r.taken for r in mixing.mix(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), block_words=16).collect())
-    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == total
+    rows = out.collect()
+    assert sum(len(WORD.findall(r.text)) for r in rows) == sum(r.taken for r in mixing.mix(ids, block_words=16, shards=3).collect())
+    known = {w for d in DOCS for w in WORD.findall(d[1] or "")}
+    assert all(set(WORD.findall(r.text)) <= known for r in rows)
+
+
+def test_mixed_documents_are_sorted_in_their_shards(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(3 + i % 5)), "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    where = {(r.doc_id, s["pass"]): (s["shard"], s["position"]) for r in mixing.mix(docs, shards=5).collect() for s in r.spans[::-1]}
+    parts = mixing.mixed_documents(docs, shards=5).withColumn("p", F.spark_partition_id()).collect()
+    shards = {}
+    for r in parts:
+        found = {where[r.doc_id, p][0] for p in range(3) if (r.doc_id, p) in where}
+        shards.setdefault(r.p, []).append(found)
+    assert len(parts) > 200 and all(shards.values())
 
 
 # 2
@@ -226,24 +272,63 @@ def test_similar_documents_in_large_files(spark):
         base = own()
         texts += [_changed(rng, base, 2) for _ in range(70)]
     rows = [(i, " ".join(texts[j])) for i, j in enumerate(rng.permutation(len(texts)))]
-    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=1, key_bits=8).collect()
-    assert {r.doc_id: r.component_id for r in got} == _brute_components(rows)
-
-
-def test_near_in_file_joins_like_all_pairs():
-    rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 62, (3, 20)).astype(np.uint64)
-    fp = np.repeat(base, 80, axis=0)
-    fp[np.arange(240), rng.integers(0, 20, 240)] ^= np.uint64(1) << rng.integers(0, 60, 240).astype(np.uint64)
-    node = rng.permutation(240)
-    a, b = simhash.near_in_file(node, node, fp, 10, True)
-    assert len(a) == 237
-    group = np.empty(240, np.int64)
-    group[node] = np.arange(240) // 80
-    assert (group[a] == group[b]).all()
-    a, b = simhash.near_in_file(node, node, fp, 10, False)
-    assert len({(min(x, y), max(x, y)) for x, y in zip(a, b)}) == 3 * 80 * 79 // 2
-    assert not len(simhash.near_in_file(node, group[node], fp, 10, False)[0])
+    # few blocks of few bits, so that files are large; rounds without end, so that hubs alone don't do it
+    for last_pairs in (1, 10**6):
+        got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4, spare_bits=-1, last_pairs=last_pairs).collect()
+        assert {r.doc_id: r.component_id for r in got} == _brute_components(rows)
+
+
+def test_similar_documents_in_hot_files(spark, monkeypatch):
+    """A third of all rows are near copies; the files they fill are dealt to parts."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 64)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    monkeypatch.setattr(simhash, "PART_ROWS", 40)
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    base = fresh(200)
+    texts = [_changed(rng, base, 1 + i % 12) for i in range(300)] + [fresh(150) for _ in range(600)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = _brute_components(rows)
+    wrong = [r.doc_id for r in got if r.component_id != want[r.doc_id]]
+    assert len(got) == len(rows) and len(wrong) <= 3 and len(set(want.values())) > 600
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_at_the_limit(spark, similarity):
+    """Pairs whose similarity lies at most 0.02 above: the formula promises 0.99 at 0.8, and pairs below are never linked."""
+    rng = np.random.default_rng(11)
+    rows, alike = [], []
+    for _ in range(400):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+        other = _changed(rng, base, rng.integers(1, 11))
+        a, b = _shingled(" ".join(base)), _shingled(" ".join(other))
+        alike.append(len(a & b) / len(a | b))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [got[2 * i + 1] == 2 * i for i in range(400)]
+    assert not any(f for f, s in zip(found, alike) if s < 0.8 - 1e-9)
+    near = [f for f, s in zip(found, alike) if similarity <= s + 1e-9 and s < similarity + 0.05]
+    assert len(near) >= 20 and sum(near) >= 0.95 * len(near)
+
+
+def test_similar_documents_with_nulls_repeats_and_clashes(spark, docs, none):
+    got = simhash.similar_documents(docs).collect()
+    assert len(got) == len(DOCS)
+    low = {}
+    for r in got:
+        low.setdefault(r.component_id, set()).add(r.doc_id)
+    assert low[3] == {3, 4, 5} and low[7] >= {7, 8, 9} and low[10] == {10} and low[None] == {None}
+    assert simhash.similar_documents(none).count() == 0 and simhash.deduplicate(none).count() == 0
+
+
+def test_near_dedup_keeps_every_row_that_is_no_copy(spark):
+    rng = np.random.default_rng(12)
+    one, two = ([f"w{x}" for x in rng.integers(0, 1 << 40, 100)] for _ in range(2))
+    rows = [(1, " ".join(one)), (2, " ".join(one[:99])), (2, " ".join(two)), (None, " ".join(two[:99])), (None, "some text of its own here"), (None, None), (3, ""), (3, "")]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_at", F.lit(1)))
+    assert out.columns == ["doc_id", "text", "_at"]
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, rows[0][1]), (2, rows[2][1]), (0, rows[4][1]), (3, "")])
 
 
 def test_similar_documents_are_exact_round_the_limit(spark):
@@ -283,7 +368,29 @@ def test_exact(docs, none, weak):
 
 
 def test_exact_keeps_one_of_each(docs):
-    assert exact.deduplicate(docs.where("doc_id is not null")).count() == len({re.sub(r"[\x20\x09-\x0D]", "", d[1] or "") for d in DOCS if d[0] is not None})
+    assert exact.deduplicate(docs).count() == len({re.sub(r"[\x20\x09-\x0D]", "", d[1] or "") for d in DOCS})
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_keeps_every_text_where_ids_repeat(spark, weak):
+    rows = [(1, "alpha text"), (2, "alpha text"), (2, "a unique text of its own"), (3, "more"), (None, "more"), (None, "only here"), (4, None), (4, " "), (5, "x y"), (5, "x y")]
+    digest = (lambda c: F.lit("same")) if weak else exact.sha256
+    out = exact.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit(1), "locator": F.lit("x")}), digest=digest)
+    assert out.columns == ["doc_id", "text", "digest", "locator"]
+    got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in out.collect())
+    assert got == sorted([(1, "alpha text"), (2, "a unique text of its own"), (3, "more"), (0, "only here"), (4, ""), (5, "x y")])
+
+
+def test_exact_goes_on_where_it_ended(spark, docs, tmp_path):
+    """Two runs over new files give what one run gives."""
+    folder = f"file://{tmp_path}/index"
+    half = [docs.where(F.xxhash64("text") % 3 == 0), docs.where(F.coalesce(F.xxhash64("text") % 3 != 0, F.lit(True)))]
+    for part in half:
+        got = exact.exact_groups(part.select("doc_id", "text"), folder=folder, max_bytes=1).collect()
+    one = exact.exact_groups(docs).collect()
+    key = lambda r: (r.key or 0, r.keep_key or 0, r.group_size, r.kept, r.digest)
+    assert sorted(map(key, got)) == sorted(map(key, one)) and len(got) == len(DOCS)
+    assert exact.exact_groups(docs.select("doc_id", "text").limit(0), folder=folder).count() == len(DOCS)
 
 
 # 5
