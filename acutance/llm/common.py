@@ -149,5 +149,37 @@ class RollingHash:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+class PrimeHash:
+    """Polynomial hashes of any ranges of a byte array modulo 2^31 - 1, from one prefix sum.
+
+    With a base that texts don't know, two different strings of n bytes agree with a probability of n / 2^31 at most, however
+    they were made; modulo a power of two there is no such bound.
+    """
+
+    P = np.uint64((1 << 31) - 1)
+
+    def __init__(self, data: np.ndarray, base: int):
+        n = len(data)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._table(base, n) % self.P, out=self.sums[1:])  # below 2^64 for 8 GB
+        self.down = self._table(pow(base, -1, int(self.P)), n + 1)
+
+    @classmethod
+    def _table(cls, base: int, n: int) -> np.ndarray:
+        name = f"prime {base}"
+        had = _powers.get(name)
+        if had is None or len(had) < n:
+            had = np.ones(1, np.uint64)
+            while len(had) < max(n, SLICE_BYTES + 1):
+                had = np.concatenate((had, had * np.uint64(pow(base, len(had), int(cls.P))) % cls.P))
+            for k in [k for k in _powers if k.startswith("prime ")][:-3]:
+                del _powers[k]  # those of earlier runs
+            had = _powers[name] = had.astype(np.uint32)
+        return had[:n].astype(np.uint64)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return ((self.sums[ends] - self.sums[starts]) % self.P * self.down[starts] % self.P).astype(np.uint32)
+
+
 def sum_by_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)

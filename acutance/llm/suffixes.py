@@ -8,11 +8,15 @@ sample strings; a suffix without a sample of a repeated class in its first v byt
 suffixes in or near repeats, is dealt to buckets by a fingerprint of its first span bytes. A task sorts one bucket; suffixes that
 are equal there are repeats. Memory is bounded by the bucket and the chunk.
 
+Equal means equal in two hashes: 64 bits, and 31 bits modulo a prime to a base that is drawn anew for each run. Texts can't be
+made to collide in the second one, whose bound is 400 / 2^31 for any two different strings; two strings of usual text agree in
+both with a probability of 2^-95. The sample's classes use 40 bits, where a false match only adds suffixes to the second exchange.
+
 The classical construction breaks ties inside a bucket by the ranks of sample suffixes at an offset that depends on both
 suffixes, so each suffix would carry the ranks of all |D| samples behind it, 17 numbers instead of one; here ties are
-decided by the fingerprint of 64 bits of the whole string. That is the deviation from the named method.
+decided by the hashes of the whole string. That is the deviation from the named method.
 
-Copies of a whole document are found first by a digest of 128 bits; one of them stands for all in both exchanges.
+Copies of a whole document are found first by a BLAKE2b digest of 128 bits; one of them stands for all in both exchanges.
 
 Null texts count as empty; texts shorter than span lose nothing. Repeated rows are documents of their own, and copies of
 each other. Empty tables give empty results.
@@ -20,17 +24,18 @@ each other. Empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acutance.llm.chunks import ask, dealt, make_chunks, squeeze, unsqueeze
-from acutance.llm.common import RollingHash, tidy
+from acutance.llm.common import PrimeHash, RollingHash, tidy
 from acutance.session import materialise
 
 SPAN = 400
@@ -107,17 +112,23 @@ def _flags(answers, sizes: list[int]) -> list[np.ndarray]:
 
 
 def _repeated(payloads: list[bytes]) -> list[bytes]:
-    """For each payload of sorted or unsorted keys: bits of those that occur more than once in the whole bucket."""
-    parts = [unsqueeze(p)[0] for p in payloads]
-    keys = np.concatenate(parts)
+    """For each payload of keys, or of keys and second keys: bits of those that occur more than once in the whole bucket."""
+    parts = [unsqueeze(p) for p in payloads]
+    keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys, kind="stable")  # one bucket at a time
-    same = np.zeros(len(keys), bool)
     equal = keys[order][1:] == keys[order][:-1]
+    if len(parts[0]) > 1:
+        second = np.concatenate([p[1] for p in parts])
+        if (equal & (second[order][1:] != second[order][:-1])).any():  # a tie of the first keys alone
+            order = np.lexsort((second, keys))
+            equal = keys[order][1:] == keys[order][:-1]
+        equal &= second[order][1:] == second[order][:-1]
+    same = np.zeros(len(keys), bool)
     same[1:] |= equal
     same[:-1] |= equal
     out = np.empty(len(keys), bool)
     out[order] = same
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     return [np.packbits(x).tobytes() for x in np.split(out, cuts)]
 
 
@@ -146,6 +157,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     """(key, n_bytes, spans, kept): spans of bytes (start, end) that are removed, in order, and the bytes that stay."""
     if span <= V:
         raise ValueError(f"span must be above {V}")
+    base = secrets.randbelow(int(PrimeHash.P) - 1_000_000) + 500_000
     chunks = make_chunks(docs, key, text, chunk_bytes, "suffix-chunks")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, int(total * len(COVER) / V) // SHARD_KEYS)
@@ -156,7 +168,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
             for row in range(batch.num_rows):
                 data, offsets = unsqueeze(batch.column("body")[row].as_py())
                 raw, n = data.tobytes(), len(offsets) - 1
-                found = [xxhash.xxh3_128_digest(raw[offsets[i] : offsets[i + 1]]) for i in range(n)]
+                found = [hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[row].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(found, pa.binary())], ["chunk", "i", "digest"])
 
     rows = materialise(chunks.select("chunk", "body").mapInArrow(digests, "chunk long, i int, digest binary"), "suffix-digests")
@@ -187,10 +199,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
         return (data, offsets, *_suffixes(data, offsets, live, at, repeated, span, shards))
 
     def ask_suffixes(row: dict):
-        _, _, _, keys, buckets = found_suffixes(row)
+        data, _, where, keys, buckets = found_suffixes(row)
+        second = PrimeHash(data, base).of(where, where + span) if len(where) else np.zeros(0, np.uint32)
         for s, own in enumerate(buckets):
             if len(own):
-                yield s, squeeze(keys[own])
+                yield s, squeeze(keys[own], second[own])
 
     sampled = ask(chunks, ask_samples, _repeated, "cover-classes", ["chunk", "body", "copies"])
     judged = ask(sampled, ask_suffixes, _repeated, "suffix-buckets", ["chunk", "body", "copies", "answers"], "hits")

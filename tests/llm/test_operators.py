@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from acutance.llm import balltree, chat, exact, mixing, ngrams, pieces, quality, queries, simhash, suffixes, urls
+from acutance.llm import balltree, chat, common, exact, mixing, ngrams, pieces, quality, queries, simhash, suffixes, urls
 from acutance.session import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -479,6 +479,28 @@ def test_cover_is_a_difference_cover():
     assert len({(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER}) == suffixes.V
 
 
+def test_equal_means_equal_in_both_hashes():
+    """Strings that agree in the first hash alone are no repeats, wherever they lie in the bucket."""
+    keys = np.array([5, 5, 5, 7, 7, 9, 5], np.uint64)
+    second = np.array([1, 2, 1, 3, 4, 8, 6], np.uint32)
+    parts = [suffixes.squeeze(keys[:3], second[:3]), suffixes.squeeze(keys[3:], second[3:])]
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool).tolist() for x, n in zip(suffixes._repeated(parts), (3, 4))]
+    assert bits == [[True, False, True], [False] * 4]
+    one = [suffixes.squeeze(keys)]
+    assert np.unpackbits(np.frombuffer(suffixes._repeated(one)[0], np.uint8), count=7).tolist() == [1, 1, 1, 1, 1, 0, 1]
+
+
+def test_prime_hash():
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    data[3000:3400] = data[100:500]
+    h, p = common.PrimeHash(data, 123_456_789), (1 << 31) - 1
+    at = np.array([0, 100, 3000, 101, 4600])
+    got = h.of(at, at + 400)
+    want = [sum((int(x) + 1) * pow(123_456_789, i, p) for i, x in enumerate(data[a : a + 400])) % p for a in at]
+    assert got.tolist() == want and got[1] == got[2]
+
+
 def test_repeats(spark, docs, none):
     rng = np.random.default_rng(4)
     text = "".join(chr(97 + x) for x in rng.integers(0, 26, 3000))
