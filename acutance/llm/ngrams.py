@@ -13,7 +13,7 @@ into memory; the file's name is removed at once, so nothing stays behind. A pair
 successor inside its context's range. With the counts of its words and the codes of its pairs, a chunk sums up its
 documents. Shards and chunks are bounded, and their number grows with the corpus.
 
-A word is known by a 64-bit hash; inside a shard 40 bits of it stand for a word, and 32 bits each for context and successor.
+A word is known by a 64-bit hash, in chunks and in shards; in a pair 32 bits each stand for context and successor.
 
 Null and empty texts are one end token. Repeated rows count each time. A null key counts as an empty text in the
 choice of training rows. Without training rows all counts are 0. Empty tables give empty results.
@@ -279,7 +279,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", mu: float =
         view = ChunkView(row, shards)
         for s, own in enumerate(view.word_shards):
             if len(own):
-                yield s, squeeze(np.array([1], np.uint8), _steps(view.distinct[own] >> np.uint64(24)), view.word_count[own])
+                yield s, squeeze(np.array([1], np.uint8), _steps(view.distinct[own]), view.word_count[own])
         for s, own in enumerate(view.pair_shards):
             if len(own):
                 yield shards + s, _pack_pairs(view.pairs[own], view.pair_count[own])
