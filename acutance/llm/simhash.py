@@ -40,7 +40,7 @@ FILE_ROWS = 64
 #: A file is dealt to parts if more than HOT_ROWS fingerprints are expected in it; a part has about PART_ROWS at most.
 HOT_ROWS, SAMPLE, PART_ROWS = 4_096, 64, 20_000
 #: Hubs that a fingerprint meets in a round, and pairs for each fingerprint that the last round may compare.
-HUBS, LAST_PAIRS = 8, 16
+HUBS, LAST_PAIRS = 8, 64
 #: Words of a fingerprint that are carried into the join of the last round; members of a part of a crowd.
 HEAD_WORDS, CROWD_ROWS = 4, 256
 
@@ -296,11 +296,19 @@ def _distance(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
 
 
-def unsettled(members: DataFrame, nodes: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """(k, node, label, head, n, hub): the members of files that hold several components; n members, hub: (order, node, label) of one of them."""
-    own = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", F.slice("fp", 1, HEAD_WORDS).alias("head")), "node")
-    rows = own.select("node", "label", "head", F.explode("files").alias("k"))
-    files = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(_order("node", turn).alias("o"), "label")).alias("hub")).where("low < high")
+def unsettled(members: DataFrame, nodes: DataFrame, found: DataFrame, crowds: DataFrame | None, least: int, turn: int = 0) -> DataFrame:
+    """(k, node, label, crowd, head, n, hub): the members of files of least members or more that hold several components.
+
+    A file that lies in one crowd is settled. n: members of the file; hub: (order, node) and label of one of them.
+    """
+    own = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = own.withColumn("crowd", F.lit(None).cast("long")) if crowds is None else own.join(crowds, "node", "left")
+    own = own.join(nodes.select("node", F.slice("fp", 1, HEAD_WORDS).alias("head")), "node")
+    rows = own.select("node", "label", "crowd", "head", F.explode("files").alias("k"))
+    group = F.struct(F.col("crowd").isNull().alias("alone"), F.coalesce("crowd", "label").alias("id"))
+    files = rows.groupBy("k").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(group).alias("first"), F.max(group).alias("last"),
+        F.min(F.struct(_order("node", turn).alias("o"), "label")).alias("hub")).where((F.col("n") >= least) & (F.col("low") < F.col("high")) & (F.col("first") < F.col("last")))
     return materialise(rows.join(files.select("k", "n", "hub"), "k"), "wide-unsettled")
 
 
@@ -365,28 +373,25 @@ def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, similarity:
     check = lambda pairs: verified(docs, at, pairs, nodes, text, shingle, similarity, bound(64 * width))
     members = files_of(nodes, n, width, key_bits, blocks)
     links = check(_pairs(members.select("node", _first("hubs").alias("hub")).select("node", F.col("hub.node").alias("hub")), "node", "hub"))
-    before = math.inf
+    before, crowds = math.inf, None
     for turn in range(1, 20):
         found = components(links)
-        rest = unsettled(members, nodes, found, turn)
-        left, most = rest.select("k", "n").distinct().agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        large = unsettled(members, nodes, found, None, FILE_ROWS + 1, turn)
+        left = large.select("k", "n").distinct().agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
         if left <= last_pairs * n or left > before * 0.7:
             break
         before = left
-        hubs = rest.where(F.col("label") != F.col("hub.label")).groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+        hubs = large.where(F.col("label") != F.col("hub.label")).groupBy("node").agg(F.collect_set("hub").alias("hubs"))
         links = links.union(check(_pairs(hubs.select("node", _first("hubs").alias("hub")).select("node", F.col("hub.o.node").alias("hub")), "node", "hub")))
     if left:
-        small = rest.where(F.col("n") <= FILE_ROWS).withColumn("crowd", F.lit(None).cast("long"))
-        if most > FILE_ROWS:
-            large = rest.where(F.col("n") > FILE_ROWS)
-            crowds = materialise(components(large.select("node", F.col("hub.o.node").alias("hub")), "node", "hub").toDF("node", "crowd"), "wide-crowd-ids")
-            small = small.drop("crowd").join(crowds, "node", "left")
-            links = links.union(in_crowds(docs, at, large.join(crowds, "node"), nodes, text, shingle, similarity, bound(64 * width)))
-        found = components(links.union(check(across(small, bound(64 * HEAD_WORDS)))))
-    return rows.select("_key", at, "node").join(found, "node", "left").select("_key", at, F.coalesce("label", "node").alias("label")), docs, at
+        crowds = materialise(components(large.select("node", F.col("hub.o.node").alias("hub")), "node", "hub").toDF("node", "crowd"), "wide-crowd-ids")
+        links = links.union(in_crowds(docs, at, large.drop("crowd").join(crowds, "node"), nodes, text, shingle, similarity, bound(64 * width)))
+    found = components(links.union(check(across(unsettled(members, nodes, found, crowds, 2), bound(64 * HEAD_WORDS)))))
+    labelled = rows.select("_key", at, "node").join(found, "node", "left").select("_key", at, F.coalesce("label", "node").alias("label"))
+    return materialise(labelled, "wide-labels"), docs, at
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 12, miss: float = 0.01, spare_bits: int = 6, last_pairs: int = LAST_PAIRS) -> DataFrame:
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 12, miss: float = 0.01, spare_bits: int = 7, last_pairs: int = LAST_PAIRS) -> DataFrame:
     """(key, component_id) for every row: documents are linked if the Jaccard similarity of their sets of distinct shingles is at least that.
 
     A fingerprint of width words is dealt to blocks, again and again; fingerprints that agree on a block are in one file. A
@@ -395,10 +400,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs miss less. Candidates within the Hamming distance of the limit plus five standard errors are linked if the exact
     Jaccard similarity of their sets is high enough. What can be missed is a pair that agrees on no block.
 
-    Which pairs of a file are compared: in the first rounds its members meet a few hubs each, which is linear. Files whose
-    members are then in one component are settled. When what is left is few pairs for each fingerprint, or doesn't get
-    less, all pairs of members that are in different components are compared: those of small files in a join, those of large
-    ones (whatever files join is a crowd) part by part. So the result is that of all pairs of all files. Many texts that are nearly
+    Which pairs of a file are compared: in the first rounds its members meet a few hubs each, which is linear; rounds after the
+    first are for files of more than FILE_ROWS members. Files whose members are then in one component are settled. When large files
+    leave few pairs for each fingerprint, or these don't get less, all pairs of members in different components are compared:
+    those of large files (what they join is a crowd) part by part, those of small ones in a join. So the result is that of all pairs of all files. Many texts that are nearly
     alike enough, and aren't linked, cost their number's square there, in tasks of a bounded size that write links only.
 
     A text of fewer words is one shingle; null, empty and blank texts are alike. component_id is the least key of the
@@ -409,7 +414,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found.join(least, "label").select(F.col("_key").alias(key), "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 12, miss: float = 0.01, spare_bits: int = 6, last_pairs: int = LAST_PAIRS) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 12, miss: float = 0.01, spare_bits: int = 7, last_pairs: int = LAST_PAIRS) -> DataFrame:
     """One row of each component of similar documents: that of the smallest key, a null key last, then the first in its file."""
     found, rows, at = similar_rows(docs, key, text, shingle, similarity, width, miss, spare_bits, last_pairs)
     first = found.groupBy("label").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", at)).alias("first"), F.count("*").alias("n")).where("n > 1")
