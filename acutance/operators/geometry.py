@@ -196,9 +196,11 @@ def boundaries(comps: DataFrame) -> DataFrame:
     return near.join(own, ["image_id", "label", "ny", "nx"], "left_anti").select("image_id", "label", "y", "x").distinct()
 
 
-def filter_by_boundary(b: DataFrame, lo: int = 60, hi: int = 8000) -> DataFrame:
-    """C4: boundaries of labels with lo to hi boundary pixels."""
-    keep = b.groupBy("image_id", "label").agg(F.count("*").alias("n")).where(F.col("n").between(lo, hi)).select("image_id", "label")
+def filter_by_boundary(b: DataFrame, images: DataFrame, lo: int = 60, hi: int = 8000, share: float = 0.8) -> DataFrame:
+    """C4: boundaries of labels with lo pixels to hi, or to that share of width and height where it is more; images: image_id, width, height."""
+    n = b.groupBy("image_id", "label").agg(F.count("*").alias("n")).join(images.select("image_id", "width", "height"), "image_id")
+    most = F.greatest(F.lit(float(hi)), share * (F.col("width") + F.col("height")))
+    keep = n.where((F.col("n") >= lo) & (F.col("n") <= most)).select("image_id", "label")
     return b.join(keep, ["image_id", "label"], "left_semi")
 
 

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from acutance.session import materialise
 from pyspark.sql.window import Window as W
 
 
@@ -36,11 +38,19 @@ def division_inverse(pts: DataFrame, k1, k2) -> DataFrame:
     return pts.withColumns({"x": F.col("x") / d, "y": F.col("y") / d})
 
 
-def division_forward(pts: DataFrame, k1: float) -> DataFrame:
-    """L4, for k2 near 0: the smallest positive root of ru k1 r^2 - r + ru = 0; other models go through radial_table."""
+def division_forward(pts: DataFrame, k1: float, k2: float = 0.0, steps: int = 12) -> DataFrame:
+    """L4: the smallest positive root of ru (1 + k1 r^2 + k2 r^4) - r = 0: closed for k2 = 0, from there by Newton's steps."""
     ru = _radius()
     disc = F.greatest(1 - 4 * k1 * ru * ru, F.lit(0.0))
-    return _scaled(pts, 2 * ru / (1 + F.sqrt(disc)))
+    start = 2 * ru / (1 + F.sqrt(disc))
+    if not k2:
+        return _scaled(pts, start)
+
+    def step(r, _):
+        rise = ru * (2 * k1 * r + 4 * k2 * r * r * r) - 1
+        return r - (ru * (1 + k1 * r * r + k2 * r * r * r * r) - r) / F.when(F.abs(rise) < 1e-9, F.lit(-1e-9)).otherwise(rise)
+
+    return _scaled(pts, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
 
 
 def radial_table(images: DataFrame, model, spacing: float, most: float) -> DataFrame:
@@ -95,32 +105,41 @@ def invertible(k1: Column, k2: Column, r: float) -> Column:
     return (at(F.lit(r * r)) > 0) & (F.when(inside, at(vertex)).otherwise(1.0) > 0)
 
 
-def straightness(ridge: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+def straightness(ridge: DataFrame, candidates: DataFrame, keys: list[str], lens: list[str] | None = None) -> DataFrame:
     """For each candidate (cand, k1, k2), the mean over ridges of the squared deviation of the corrected points from their line.
 
-    Candidates are a fixed grid, so the explode is a constant factor; the rest are moment sums.
+    Candidates are a fixed grid, for all ridges or, with lens, for those of each lens: a constant factor. The rest are moment sums.
     """
-    pts = division_inverse(ridge.join(F.broadcast(candidates)), F.col("k1"), F.col("k2"))
+    lens = lens or []
+    pts = division_inverse(ridge.join(candidates, lens) if lens else ridge.join(F.broadcast(candidates)), F.col("k1"), F.col("k2"))
     s = lambda e, n: F.sum(e).alias(n)
-    m = pts.groupBy("cand", *keys).agg(F.count("*").cast("double").alias("n"), s(F.col("x"), "sx"), s(F.col("y"), "sy"), s(F.col("x") ** 2, "sxx"), s(F.col("x") * F.col("y"), "sxy"), s(F.col("y") ** 2, "syy"))
+    by = ["cand", *lens]
+    m = pts.groupBy(*by, *[k for k in keys if k not in by]).agg(F.count("*").cast("double").alias("n"), s(F.col("x"), "sx"), s(F.col("y"), "sy"), s(F.col("x") ** 2, "sxx"), s(F.col("x") * F.col("y"), "sxy"), s(F.col("y") ** 2, "syy"))
     vxx = F.col("sxx") / F.col("n") - (F.col("sx") / F.col("n")) ** 2
     vyy = F.col("syy") / F.col("n") - (F.col("sy") / F.col("n")) ** 2
     vxy = F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / F.col("n") ** 2
     minor = (vxx + vyy) / 2 - F.sqrt(((vxx - vyy) / 2) ** 2 + vxy**2)
-    return m.withColumn("e", minor).groupBy("cand").agg(F.avg("e").alias("cost"))
-
-
-def fit_distortion(ridge: DataFrame, keys: list[str], rounds: int = 5, k1_span=(-0.5, 0.5), k2_span=(-0.25, 0.25), n: int = 9) -> tuple[float, float]:
-    """k1 and k2 by grids of n x n candidates, each round zoomed on the best of the last; a round is one job."""
-    spark = ridge.sparkSession
-    c1, c2, h1, h2 = sum(k1_span) / 2, sum(k2_span) / 2, (k1_span[1] - k1_span[0]) / 2, (k2_span[1] - k2_span[0]) / 2
-    for _ in range(rounds):
-        grid = [(i * n + j, c1 + h1 * (2 * i / (n - 1) - 1), c2 + h2 * (2 * j / (n - 1) - 1)) for i in range(n) for j in range(n)]
-        cand = spark.createDataFrame(grid, "cand int, k1 double, k2 double").where(invertible(F.col("k1"), F.col("k2"), 1.1))
-        best = straightness(ridge, cand, keys).orderBy("cost", "cand").first()
-        _, c1, c2 = grid[best["cand"]]
-        h1, h2 = h1 * 2 / (n - 1), h2 * 2 / (n - 1)
-    return c1, c2
+    return m.withColumn("e", minor).groupBy(*by).agg(F.avg("e").alias("cost"))
+
+
+def fit_distortion(ridge: DataFrame, keys: list[str], lens: list[str], rounds: int = 9, span=(-2.0, 1.5), n: int = 9, zoom: float = 0.4) -> DataFrame:
+    """(lens, k1, k2, cost) for each lens, by grids of n x n candidates; each round is zoomed on the lens's best of the last.
+
+    All lenses are fitted at once, in one job a round; a candidate that doesn't rise up to the corner is left out.
+    """
+    offset = F.lit((span[1] - span[0]) / 2)
+    place = lambda i: 2.0 * i / (n - 1) - 1
+    best = ridge.select(*lens).distinct().withColumns({"k1": F.lit(sum(span) / 2), "k2": F.lit(sum(span) / 2)})
+    for r in range(rounds):
+        grid = best.select(*lens, "k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cand"))
+        reach = offset * zoom**r
+        # round 0 starts from the span's middle; no distortion at all is a candidate too
+        k1 = F.when((F.col("cand") == n * n // 2) & F.lit(r == 0), 0.0).otherwise(F.col("k1") + reach * place(F.floor(F.col("cand") / n)))
+        k2 = F.when((F.col("cand") == n * n // 2) & F.lit(r == 0), 0.0).otherwise(F.col("k2") + reach * place(F.col("cand") % n))
+        grid = grid.select(*lens, "cand", k1.alias("k1"), k2.alias("k2")).where((F.abs("k2") < 1e-12) & (F.col("k1") < 0.8) | invertible(F.col("k1"), F.col("k2"), 1.1))
+        cost = straightness(ridge, grid, keys, lens).join(grid, ["cand", *lens])
+        best = materialise(cost.groupBy(*lens).agg(F.min_by(F.struct("k1", "k2", "cost"), F.struct("cost", "cand")).alias("b")).select(*lens, "b.*"), "distortion")
+    return best
 
 
 def medcouple_outliers(res: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from acutance.session import ship_package
+
 BINS, FREQS = 512, 64
 
 
@@ -19,13 +25,27 @@ def twiddles(spark: SparkSession, bins: int = BINS, freqs: int = FREQS) -> DataF
 
 
 def dft(lsf: DataFrame, keys: list[str], bins: int = BINS, freqs: int = FREQS, at: str = "bin") -> DataFrame:
-    """magnitude of the DFT relative to k = 0. The twiddle table's size is fixed, so it is broadcast."""
-    t = F.broadcast(twiddles(lsf.sparkSession, bins, freqs))
-    terms = lsf.where("v <> 0").select(*keys, F.col(at).alias("bin"), "v").join(t, "bin")
-    sums = terms.groupBy(*keys, "k").agg(F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im"))
-    mag = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    n0 = F.max(F.when(F.col("k") == 0, mag)).over(W.partitionBy(*keys))
-    return sums.select(*keys, "k", (mag / n0).alias("m"))
+    """magnitude of the DFT relative to k = 0, null where that is 0.
+
+    A curve is packed into one row, its bins at most, and curves are transformed a batch at a time: nothing is multiplied
+    out to bins x freqs rows. Bins of one number add up; a curve without a value other than 0 has no rows.
+    """
+    ship_package(lsf.sparkSession)
+    packed = lsf.where("v <> 0").groupBy(*keys).agg(F.collect_list(F.col(at).cast("int")).alias("_bins"), F.collect_list(F.col("v").cast("double")).alias("_v"))
+    schema = T.StructType([packed.schema[k] for k in keys]).add("k", "integer").add("m", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            own, values = batch.column("_bins"), batch.column("_v")
+            curves = np.zeros((n, bins))
+            np.add.at(curves, (np.repeat(np.arange(n), own.value_lengths().to_numpy()), own.flatten().to_numpy() % bins), values.flatten().to_numpy())
+            mag = np.abs(np.fft.fft(curves, axis=1)[:, :freqs])
+            m = mag / np.where(mag[:, :1] > 0, mag[:, :1], np.nan)
+            rows = pa.array(np.repeat(np.arange(n), freqs))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array(np.tile(np.arange(freqs, dtype=np.int32), n)), pa.array(m.ravel(), from_pandas=True)], schema.names)
+
+    return packed.mapInArrow(run, schema)
 
 
 def sinc_correction(k, per_pixel: int = 8):

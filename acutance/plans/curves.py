@@ -218,9 +218,9 @@ def _f12(spark, d):
 @register("f14_upsample_sfr", SFR + """,
 ww as (select edge_id, k, m p1, lead(m) over (partition by edge_id order by k) p2, lag(m) over (partition by edge_id order by k) p0, lead(m, 2) over (partition by edge_id order by k) p3 from s),
 x as (select edge_id, k, p1, p2, coalesce(p0, 2*p1 - p2) p0, coalesce(p3, 2*p2 - p1) p3, st/20.0e0 t from ww, (select unnest(range(0, 20)) st) where p2 is not null)
-select edge_id, round((k + t)/64, 6) f, round(p1 + 0.5e0*t*(p2 - p0 + t*(2*p0 - 5*p1 + 4*p2 - p3 + t*(3*(p1 - p2) + p3 - p0))), 5) m from x""")
+select edge_id, round((k + t)/64, 9) f, round(p1 + 0.5e0*t*(p2 - p0 + t*(2*p0 - 5*p1 + 4*p2 - p3 + t*(3*(p1 - p2) + p3 - p0))), 5) m from x""")
 def _f14(spark, d):
-    return rounded(rounded(spectrum.upsample(sfr(spark, d), EK), "f"), "m", digits=5)
+    return rounded(rounded(spectrum.upsample(sfr(spark, d), EK), "f", digits=9), "m", digits=5)
 
 
 @register("f15_contrast_at", SFR + " select edge_id, round(max(case when k = 6 then m end) + (max(case when k = 7 then m end) - max(case when k = 6 then m end))*0.4e0, 6) contrast from s group by 1")

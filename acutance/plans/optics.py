@@ -91,9 +91,8 @@ def _l10(spark, d):
 
 @register("l11_fit_distortion")
 def _l11(spark, d):
-    """Planted k1 = -0.1, k2 = 0: the fit's rows hold what it found (tests compare)."""
-    k1, k2 = lens.fit_distortion(ridge(spark, d), ["ridge_id"], rounds=4)
-    return view(spark, d, "v_edges").groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", "n", F.lit(k1).alias("k1"), F.lit(k2).alias("k2"))
+    """Planted k1 = -0.1, k2 = 0: what the fit of each image's lens found (tests compare)."""
+    return lens.fit_distortion(ridge(spark, d), ["ridge_id"], ["image_id"], rounds=7).select("image_id", "k1", "k2")
 
 
 @register("l12_medcouple_outliers", """with q as (select image_id, quantile_cont(mtf, 0.5) m, quantile_cont(mtf, 0.25) q1, quantile_cont(mtf, 0.75) q3 from v_edges group by 1), z as (select e.*, mtf - m z, q1, q3 from v_edges e join q using (image_id)),
@@ -328,13 +327,13 @@ def _k24(spark, d):
 
 @register("l13_two_pass")
 def _l13(spark, d):
-    """Fit on bent ridges, correct, and measure straightness again: before and after, for each image."""
+    """Fit each image's bent ridges, correct them, and measure their straightness before and after."""
     from acutance.session import materialise
 
     r = materialise(ridge(spark, d), "ridges")
-    k1, k2 = lens.fit_distortion(r, ["ridge_id"], rounds=4)
-    cand = spark.createDataFrame([(0, 0.0, 0.0), (1, k1, k2)], "cand int, k1 double, k2 double")
-    return rounded(lens.straightness(r, cand, ["ridge_id"]).join(cand, "cand"), "cost", digits=12)
+    fit = lens.fit_distortion(r, ["ridge_id"], ["image_id"], rounds=7).select("image_id", F.lit(1).alias("cand"), "k1", "k2")
+    cand = fit.unionByName(fit.select("image_id", F.lit(0).alias("cand"), F.lit(0.0).alias("k1"), F.lit(0.0).alias("k2")))
+    return rounded(lens.straightness(r, cand, ["ridge_id"], ["image_id"]).join(cand, ["cand", "image_id"]), "cost", digits=12)
 
 
 @register("s16_write_correspondence", f"with {_F}, l as (select cast(n_nationkey as int) code, cast(n_nationkey*5 as double) x_mm, cast(n_regionkey*7 as double) y_mm from nation where n_nationkey between 1 and 20) select cx img_x, cy img_y, x_mm chart_x, y_mm chart_y from f join l using (code) where code > 0")

@@ -19,8 +19,8 @@ def images(spark, d):
 
 
 def rgb(spark, d):
-    """The four rasters as channels of one picture."""
-    return px(spark, d).select(F.lit(0).alias("image_id"), F.col("image_id").alias("channel"), "y", "x", "v")
+    """Each four rasters in a row as channels of one picture."""
+    return px(spark, d).select(F.floor(F.col("image_id") / 4).cast("int").alias("image_id"), (F.col("image_id") % 4).alias("channel"), "y", "x", "v")
 
 
 def mask(spark, d):
@@ -28,12 +28,12 @@ def mask(spark, d):
 
 
 def rois(spark, d):
-    e = view(spark, d, "v_edges").where("edge_id % 5 = 0")
+    e = view(spark, d, "v_edges")
     return e.select("image_id", F.col("edge_id").alias("roi_id"), (F.col("ex") % 32).alias("ax"), (F.col("ey") % 48).alias("ay"), ((F.col("ex") + F.col("edge_id")) % 32 + 1.5).alias("bx"), (F.col("ey") % 37).alias("by"))
 
 
 IMAGES = "im as (select image_id, max(x) + 1 width, max(y) + 1 height, max(v) top from v_pixels group by 1)"
-ROIS = "rois as (select image_id, edge_id roi_id, ex % 32 ax, ey % 48 ay, (ex + edge_id) % 32 + 1.5e0 bx, ey % 37 as by_ from v_edges where edge_id % 5 = 0)"
+ROIS = "rois as (select image_id, edge_id roi_id, ex % 32 ax, ey % 48 ay, (ex + edge_id) % 32 + 1.5e0 bx, ey % 37 as by_ from v_edges)"
 MASK = "mask as (select image_id, y, x from v_pixels where v < 30000)"
 LIN = "cast(round_even(greatest(0, least(1, case when v/65535.0e0 < 0.04045 then v/65535.0e0/12.92 else pow((v/65535.0e0 + 0.055e0)/1.055e0, 2.4e0) end))*65535, 0) as int)"
 
@@ -65,12 +65,12 @@ def _p4(spark, d):
     return raster.widen_8bit(px(spark, d).withColumn("v", F.shiftright("v", 8)))
 
 
-@register("p5_luminance", "select 0 image_id, y, x, cast(trunc(sum(v*case image_id when 0 then 0.2126e0 when 1 then 0.7152e0 else 0.0722e0 end) + 0.5e0) as int) v from v_pixels where image_id < 3 group by y, x")
+@register("p5_luminance", "select image_id // 4 image_id, y, x, cast(trunc(sum(v*case image_id % 4 when 0 then 0.2126e0 when 1 then 0.7152e0 else 0.0722e0 end) + 0.5e0) as int) v from v_pixels where image_id % 4 < 3 group by image_id // 4, y, x")
 def _p5(spark, d):
     return raster.luminance(rgb(spark, d))
 
 
-@register("p6_linear_rgb", f"select 0 image_id, image_id channel, y, x, {LIN} v from v_pixels where image_id < 3")
+@register("p6_linear_rgb", f"select image_id // 4 image_id, image_id % 4 channel, y, x, {LIN} v from v_pixels where image_id % 4 < 3")
 def _p6(spark, d):
     return raster.linear_rgb(rgb(spark, d))
 
@@ -102,7 +102,7 @@ _ROI = f"""with {ROIS}, l as (select *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2))
 j as (select p.image_id, roi_id, y, x, v, len, (x - ax)*(bx - ax)/len + (y - ay)*(by_ - ay)/len along, (y - ay)*(bx - ax)/len - (x - ax)*(by_ - ay)/len across from v_pixels p join l using (image_id))"""
 
 
-@register("p11_roi_contains", _ROI + " select image_id, roi_id, y, x, v, round(along, 6) along, round(across, 6) + 0.0e0 across from j where along between 0 and len and abs(across) <= 6")
+@register("p11_roi_contains", _ROI + " select image_id, roi_id, y, x, v, round(along, 6) + 0.0e0 along, round(across, 6) + 0.0e0 across from j where along between 0 and len and abs(across) <= 6")
 def _p11(spark, d):
     return rounded(raster.roi_contains(px(spark, d), rois(spark, d), 6.0), "along", "across")
 

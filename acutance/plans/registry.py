@@ -11,7 +11,7 @@ from acutance.session import read_table
 
 #: Views that make rasters, edge samples, measurements and curves of the given tables. The text is both Spark and DuckDB SQL.
 VIEWS = {
-    "v_pixels": """select cast(l_suppkey % 4 as int) image_id, cast(l_orderkey % 48 as int) y, cast(l_partkey % 32 as int) x,
+    "v_pixels": """select cast(l_suppkey % 4 + 4*floor(l_orderkey / 15000.0E0) as int) image_id, cast(l_orderkey % 48 as int) y, cast(l_partkey % 32 as int) x,
   cast(floor(avg(l_extendedprice)*0.6) as int) v from lineitem group by 1, 2, 3""",
     "v_samples": """select cast(l_suppkey % 20 as int) edge_id,
   (l_orderkey % 1000)/1000.0E0*56 - 28 + (l_partkey % 97)/776.0E0 perp, cast(l_partkey % 200 as double) par,

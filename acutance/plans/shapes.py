@@ -198,9 +198,10 @@ def _c3(spark, d):
     return geometry.boundaries(comps(spark, d))
 
 
-@register("c4_filter_by_boundary", f"with recursive {_BD}, k as (select image_id, label from bd group by 1, 2 having count(*) between 8 and 8000) select bd.* from bd join k using (image_id, label)")
+@register("c4_filter_by_boundary", f"with recursive {_BD}, im as (select image_id, max(x) + max(y) + 2 sides from v_pixels group by 1), k as (select image_id, label from bd join im using (image_id) group by 1, 2 having count(*) between 8 and greatest(8000, 0.8e0*any_value(sides))) select bd.* from bd join k using (image_id, label)")
 def _c4(spark, d):
-    return geometry.filter_by_boundary(geometry.boundaries(comps(spark, d)), 8)
+    sizes = view(spark, d, "v_pixels").groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return geometry.filter_by_boundary(geometry.boundaries(comps(spark, d)), sizes, 8)
 
 
 @register("c6_inflate_boundaries", f"""with recursive {_BD}, ct as (select image_id, label, avg(x) cx, avg(y) cy, count(*) n from bd group by 1, 2)
@@ -299,7 +300,7 @@ def _q19(spark, d):
     return rounded(geometry.pair_edges_with_corners(b, geometry.corners(b, K), K), "x", "y", digits=5)
 
 
-@register("q25_roi_measure_prep", f"""with rois as (select image_id, edge_id roi_id, ex % 32 ax, ey % 48 ay, (ex + edge_id) % 32 + 1.5e0 bx, ey % 37 as by_ from v_edges where edge_id % 5 = 0), l as (select *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) len from rois),
+@register("q25_roi_measure_prep", f"""with rois as (select image_id, edge_id roi_id, ex % 32 ax, ey % 48 ay, (ex + edge_id) % 32 + 1.5e0 bx, ey % 37 as by_ from v_edges), l as (select *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) len from rois),
 gr as (select image_id, y, x, coalesce((lead(v) over wx - lag(v) over wx)/2.0e0, 0) gx, coalesce((lead(v) over wy - lag(v) over wy)/2.0e0, 0) gy from v_pixels window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)),
 j as (select g.image_id, roi_id, y, x, gx*gx + gy*gy g2, len, (x - ax)*(bx - ax)/len + (y - ay)*(by_ - ay)/len par, (y - ay)*(bx - ax)/len - (x - ax)*(by_ - ay)/len perp from gr g join l using (image_id)),
 f as (select * from j where par between 0 and len and abs(perp) <= 8), r as (select *, row_number() over (partition by image_id, roi_id, floor(perp*2) order by g2, perp, par) k, count(*) over (partition by image_id, roi_id, floor(perp*2)) n, max(g2) over (partition by image_id, roi_id, floor(perp*2)) top from f),

@@ -42,7 +42,7 @@ def flat(row):
 
 
 def close(a, b):
-    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-5, abs_tol=2e-4))
+    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -52,7 +52,7 @@ def test_query_equals_sql(spark, duck, name):
     rel = duck[folder(name)].sql(SQL[name])
     names = rel.columns
     assert sorted(names) == columns
-    order = lambda row: [f"{v:.4f}" if isinstance(v, float) and v % 1 else str(v) for v in row]
+    order = lambda row: [f"{v:.9f}" if isinstance(v, float) and v % 1 else str(v) for v in row]
     mine = sorted((list(flat(r[c] for c in columns)) for r in df.collect()), key=order)
     theirs = sorted((list(flat(r[names.index(c)] for c in columns)) for r in rel.fetchall()), key=order)
     assert len(mine) == len(theirs)
