@@ -46,7 +46,8 @@ STAGES = [
     ("sentencepiece encoding", encode_pieces),
 ]
 
-#: Training, fingerprints and pieces aren't expressible in SQL; tests hold each stage against a brute-force version.
+#: Training, fingerprints and pieces aren't expressible in SQL; tests hold the operators
+#: behind the stages against brute-force versions, the classifier against held-out labels.
 ORACLE_SQL = None
 
 
