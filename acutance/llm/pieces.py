@@ -267,10 +267,9 @@ class PieceCodec:
                 yield ids, ids.count(",") + 1 if ids else 0, back[1:] if back.startswith(" ") else back
             lo = hi
 
-    def decode_ids(self, ids: list[int]) -> str:
-        """The text of any ids: byte pieces in a row are read as UTF-8, the leading mark of the first piece goes."""
-        text = self.surface_of([i for i in ids if not self.library.is_control(i)])
-        return text[1:] if text.startswith(" ") else text
+    def decode_ids(self, ids: list[int | None]) -> str:
+        """The text of any ids, as the library gives it (broken byte pieces included); null ids and those that name no piece are left out."""
+        return self.library.decode([int(i) for i in ids if i is not None and 0 <= i < self.library.get_piece_size()])
 
 
 _codecs: dict[tuple[str, bool], PieceCodec] = {}

@@ -559,5 +559,8 @@ def test_pieces_equal_the_library(spark, docs, none):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     back = pieces.decode(spark.createDataFrame([(lib.encode("Hello é①"),), (None,), ([],), ([1, 2, 300],)], "ids array<int>"), queries.model_path()).collect()
     assert [r.decoded for r in back] == [lib.decode(lib.encode("Hello é①")), "", "", lib.decode([1, 2, 300])]
+    broken = [lib.piece_to_id("<0xE2>"), lib.piece_to_id("<0x82>"), lib.piece_to_id("<0xF0>"), *lib.encode("A")]
+    odd = pieces.decode(spark.createDataFrame([(broken,), ([5, None, 10**6, -1],)], "ids array<int>"), queries.model_path()).collect()
+    assert [r.decoded for r in odd] == [lib.decode(broken), lib.decode([5])]
     assert pieces.encode_decode(docs, queries.model_path()).count() == len(DOCS)
     assert pieces.encode_decode(none, queries.model_path()).count() == 0
