@@ -410,16 +410,36 @@ def test_top_k(spark):
     for n, (i, x) in enumerate(v):
         if i % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in v if j != i)[:5]
-            if sum(1 for j, _ in v if j == i) == 1:
-                for k, (s, j) in enumerate(best):
-                    expect[i, k + 1, j, -s] += 1
-    single = {i for i, _ in v if sum(1 for j, _ in v if j == i) == 1}
-    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id in single) == expect
+            for k, (s, j) in enumerate(best):
+                expect[i, k + 1, j, -s] += 1
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == expect
     few = balltree.top_k(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"))
     assert few.count() == 2
     assert balltree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_leaves_far_shards_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4) / 8 + 8 * np.eye(4)[i // 8 % 4]]) for i in range(800)] + [(50, [8.0, 0.0, 0.0, 0.0])] * 300
+    seen, real = [], balltree.still_wanted
+
+    def counted(order, best, queries, done, width, k):
+        out = real(order, best, queries, done, width, k)
+        seen.append((order.where(F.col("i").between(done, done + width - 1)).count(), out.count()))
+        return out
+
+    monkeypatch.setattr(balltree, "still_wanted", counted)
+    got = balltree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=40, leaf_rows=4, block_rows=5).collect()
+    assert sum(kept for _, kept in seen) < 0.8 * sum(every for every, _ in seen), seen
+    v = [(i, np.floor(256 * np.float32(x).astype(float)).astype(int)) for i, x in rows]
+    expect = Counter()
+    for i, x in v:
+        if i % 50 == 0:
+            for rank, (s, j) in enumerate(sorted((-int(x @ y), j) for j, y in v if j != i)[:5]):
+                expect[i, rank + 1, j, -s] += 1
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == expect
+
+
 # 6
 
 
