@@ -57,7 +57,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 with u as (select page_id, coalesce(url, '') url from pages),
 h as (select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end rest from u),
-p as (select page_id, url, lower(regexp_extract(rest, '^([^/?#]*)', 1)) host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from h),
+p as (select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from h),
 r as (select *, case
     when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
     when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
