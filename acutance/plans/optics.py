@@ -8,6 +8,7 @@ from acutance.operators import charts, lens
 from acutance.plans.curves import rounded
 from acutance.plans.registry import register, view
 from acutance.plans.rasters import px
+from acutance.plans.shapes import _CC
 from acutance.session import read_table
 
 
@@ -278,7 +279,9 @@ def _k4(spark, d):
     return charts.decode_fiducial(px(spark, d), e)
 
 
-@register("k5_hole_near_centre")
+@register("k5_hole_near_centre", f"""with recursive {_CC}, ct as (select image_id, label own, avg(x) cx, avg(y) cy from cp group by 1, 2),
+o as (select image_id, own, cast(round_even(cy + dy, 0) as int) y, cast(round_even(cx + dx, 0) as int) x from ct, unnest(range(-3, 4)) a(dy), unnest(range(-3, 4)) b(dx))
+select image_id, own as label, coalesce(bool_or(cp.label <> own), false) hole from o left join cp using (image_id, y, x) group by 1, 2""")
 def _k5(spark, d):
     from acutance.operators import geometry
     from acutance.plans import shapes

@@ -211,15 +211,28 @@ def _r15(spark, d):
     return rounded(reports.smooth_profile(view(spark, d, "v_events"), ["edge_id"], "i", "v"), "v", digits=5)
 
 
-@register("r17_is_rotated")
+@register("r17_is_rotated", """with rm as (select edge_id % 8 image_id, i, max(v) mtf from v_events group by 1, 2), ex as (select *, min(i) over (partition by image_id) lo, max(i) over (partition by image_id) hi from rm),
+b as (select image_id, cast(least(59, floor((i - lo)*60/greatest(hi - lo, 1))) as int) bin, max(mtf) m from ex group by 1, 2), im as (select distinct image_id from b),
+cuts as (select image_id, cast(p as int) p, cast(q as int) q from im, unnest(range(10, 31, 2)) a(p), unnest(range(32, 51, 2)) c(q)),
+s as (select image_id, p, q, case when bin < p then 0 when bin < q then 1 else 2 end part, quantile_cont(m, 0.25) a, quantile_cont(m, 0.5) b, quantile_cont(m, 0.75) c from b join cuts using (image_id) group by 1, 2, 3, 4),
+g as (select image_id, p, q, sum((c - a)*case when part = 1 then 10 else 1 end) cost, max(b) filter (part = 0) m0, max(b) filter (part = 1) m1, max(b) filter (part = 2) m2 from s group by 1, 2, 3 having count(*) = 3),
+k as (select *, row_number() over (partition by image_id order by round(cost, 9), p, q) k from g) select image_id, p, q, m1 <= m0 and m1 <= m2 rotated from k where k = 1""")
 def _r17(spark, d):
     rm = view(spark, d, "v_events").select((F.col("edge_id") % 8).alias("image_id"), F.col("i").alias("at"), F.col("v").alias("mtf"))
     return reports.is_rotated(rm.groupBy("image_id", "at").agg(F.max("mtf").alias("mtf")))
 
 
-@register("r19_loess_auto")
+_WIDTHS = (5, 8, 11, 14, 17, 20)
+_LINES = " union all ".join(f"select edge_id, i, n, {h} width, count(*) over w c, sum(n) over w sn, sum(v) over w sy, sum(n*n) over w snn, sum(n*v) over w sny from rw window w as (partition by edge_id order by n rows between {h} preceding and {h} following)" for h in _WIDTHS)
+
+
+@register("r19_loess_auto", f"""with rw as (select *, cast(row_number() over (partition by edge_id order by i) as double) n from v_events), m as ({_LINES}),
+sl as (select *, case when c*snn - sn*sn > 0 then (c*sny - sn*sy)/(c*snn - sn*sn) else 0 end slope from m), f as (select *, (sy - slope*sn)/c + slope*n fit from sl),
+st as (select *, sign(round(fit - lag(fit) over (partition by edge_id, width order by n), 9)) d from f), tu as (select *, d*lag(d) over (partition by edge_id, width order by n) < 0 turn from st),
+ra as (select edge_id, width, avg(case when turn then 1 else 0 end) rate from tu group by 1, 2), pk as (select edge_id, coalesce(min(width) filter (rate < 0.05), max(width)) width from ra group by 1)
+select edge_id, i, width, round(fit, 7) + 0.0e0 fit from tu join pk using (edge_id, width)""")
 def _r19(spark, d):
-    return rounded(reports.loess_auto(view(spark, d, "v_events"), ["edge_id"], "i", "v"), "fit", digits=5)
+    return rounded(reports.loess_auto(view(spark, d, "v_events"), ["edge_id"], "i", "v"), "fit", digits=7)
 
 
 @register("r26_ca_surface", f"""{"with " + _SHIFT}, e as (select v_edges.edge_id, image_id, ex, ey, angle, red_px*40 red from v_edges join sh on sh.edge_id = v_edges.edge_id % 20), en as (select image_id from e group by 1 having count(*) >= 6),
