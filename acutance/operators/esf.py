@@ -58,15 +58,18 @@ def reject_shifted_peak(slope: DataFrame, keys: list[str], near: int = 16, far:
 
 
 def transition_width(esf: DataFrame, keys: list[str]) -> DataFrame:
-    """Bins nearest to 10 % and 90 % of the smoothed range, the rise between them and the half width of the transition."""
+    """Bins nearest to 10 % and 90 % of the smoothed range, the rise between them (pixels, at least 4) and the half width of the transition:
+    how far from the centre (bins) either of the two lies when 4 + 2 rise bins are added outwards."""
     w = W.partitionBy(*keys).orderBy("bin").rowsBetween(-2, 2)
     smooth = esf.select(*keys, "bin", F.avg("v").over(w).alias("s"))
     whole = W.partitionBy(*keys)
     lo, hi = F.min("s").over(whole), F.max("s").over(whole)
     at = smooth.withColumn("d10", F.abs(F.col("s") - lo - 0.1 * (hi - lo))).withColumn("d90", F.abs(F.col("s") - lo - 0.9 * (hi - lo)))
     found = at.groupBy(*keys).agg(F.min(F.struct(F.round("d10", 6), "bin")).getField("bin").alias("bin10"), F.min(F.struct(F.round("d90", 6), "bin")).getField("bin").alias("bin90"))
-    rise = F.greatest(F.lit(4), F.abs(F.col("bin90") - F.col("bin10")))
-    return found.withColumn("rise", rise).withColumn("half_width", (4 + 2 * F.rint(F.col("rise") / 1.0)).cast("int"))
+    rise = F.greatest(F.lit(4.0), F.abs(F.col("bin90") - F.col("bin10")) / 8.0)
+    out = 4 + 2 * F.rint("rise")
+    ends = F.greatest(F.abs(F.greatest("bin10", "bin90") + out - CENTRE), F.abs(F.least("bin10", "bin90") - out - CENTRE))
+    return found.withColumn("rise", rise).withColumn("half_width", ends.cast("int"))
 
 
 def snr(samples: DataFrame, esf: DataFrame, keys: list[str], tail: int = 16, half_width: float = 8.0) -> DataFrame:

@@ -24,8 +24,8 @@ def twiddles(spark: SparkSession, bins: int = BINS, freqs: int = FREQS) -> DataF
     return t.select("bin", "k", F.cos(a).alias("c"), F.sin(a).alias("s"))
 
 
-def dft(lsf: DataFrame, keys: list[str], bins: int = BINS, freqs: int = FREQS, at: str = "bin") -> DataFrame:
-    """magnitude of the DFT relative to k = 0, null where that is 0.
+def dft(lsf: DataFrame, keys: list[str], bins: int = BINS, freqs: int = FREQS, at: str = "bin", parts: bool = False) -> DataFrame:
+    """magnitude of the DFT relative to k = 0, null where that is 0; with parts also re and im.
 
     A curve is packed into one row, its bins at most, and curves are transformed a batch at a time: nothing is multiplied
     out to bins x freqs rows. Bins of one number add up; a curve without a value other than 0 has no rows.
@@ -33,6 +33,8 @@ def dft(lsf: DataFrame, keys: list[str], bins: int = BINS, freqs: int = FREQS, a
     ship_package(lsf.sparkSession)
     packed = lsf.where("v <> 0").groupBy(*keys).agg(F.collect_list(F.col(at).cast("int")).alias("_bins"), F.collect_list(F.col("v").cast("double")).alias("_v"))
     schema = T.StructType([packed.schema[k] for k in keys]).add("k", "integer").add("m", "double")
+    if parts:
+        schema = schema.add("re", "double").add("im", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,10 +42,12 @@ def dft(lsf: DataFrame, keys: list[str], bins: int = BINS, freqs: int = FREQS, a
             own, values = batch.column("_bins"), batch.column("_v")
             curves = np.zeros((n, bins))
             np.add.at(curves, (np.repeat(np.arange(n), own.value_lengths().to_numpy()), own.flatten().to_numpy() % bins), values.flatten().to_numpy())
-            mag = np.abs(np.fft.fft(curves, axis=1)[:, :freqs])
+            spectra = np.fft.fft(curves, axis=1)[:, :freqs]
+            mag = np.abs(spectra)
             m = mag / np.where(mag[:, :1] > 0, mag[:, :1], np.nan)
             rows = pa.array(np.repeat(np.arange(n), freqs))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array(np.tile(np.arange(freqs, dtype=np.int32), n)), pa.array(m.ravel(), from_pandas=True)], schema.names)
+            more = [pa.array(spectra.real.ravel()), pa.array(spectra.imag.ravel())] if parts else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array(np.tile(np.arange(freqs, dtype=np.int32), n)), pa.array(m.ravel(), from_pandas=True), *more], schema.names)
 
     return packed.mapInArrow(run, schema)
 

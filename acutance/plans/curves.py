@@ -71,8 +71,9 @@ s as (select edge_id, bin, avg(v) over (partition by edge_id order by bin rows b
 x as (select *, min(s) over (partition by edge_id) lo, max(s) over (partition by edge_id) hi from s),
 a as (select edge_id, bin, row_number() over (partition by edge_id order by round(abs(s - lo - 0.1e0*(hi - lo)), 6), bin) n1,
   row_number() over (partition by edge_id order by round(abs(s - lo - 0.9e0*(hi - lo)), 6), bin) n9 from x),
-b as (select edge_id, max(case when n1 = 1 then bin end) bin10, max(case when n9 = 1 then bin end) bin90 from a group by 1)
-select edge_id, bin10, bin90, greatest(4, abs(bin90 - bin10)) rise, cast(4 + 2*greatest(4, abs(bin90 - bin10)) as int) half_width from b""")
+b as (select edge_id, max(case when n1 = 1 then bin end) bin10, max(case when n9 = 1 then bin end) bin90 from a group by 1),
+r as (select *, greatest(4.0e0, abs(bin90 - bin10)/8.0e0) rise from b)
+select edge_id, bin10, bin90, rise, cast(greatest(abs(greatest(bin10, bin90) + 4 + 2*round_even(rise, 0) - 256), abs(least(bin10, bin90) - 4 - 2*round_even(rise, 0) - 256)) as int) half_width from r""")
 def _b6(spark, d):
     return esf.transition_width(padded(spark, d), EK)
 
