@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acutance.llm import balltree, chat, exact, mixing, ngrams, pieces, quality, simhash, suffixes, urls
+from acutance.llm import balltree, chat, collocations, exact, mixing, ngrams, pieces, quality, simhash, suffixes, urls
 from acutance.session import read_table
 
 
@@ -128,3 +128,25 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(read_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') ws from p),
+o as (select lang, ws, unnest(range(1, len(ws) + 1)) i from w),
+g as (select lang, k, list_slice(ws, i, i + k - 1) ph from o, (values (1), (2), (3)) t(k) where i + k - 1 <= len(ws)),
+c as (select lang, k, ph, cast(count(*) as hugeint) f from g group by all),
+n as (select lang, sum(f) n from c where k = 1 group by 1),
+cand as (select * from c where k > 1 and f >= 10),
+inside as (select lang, q, max(f) most from (select lang, ph[1:2] q, f from cand where k = 3 union all select lang, ph[2:3], f from cand where k = 3) group by 1, 2),
+kept as (select cand.* from cand left join inside on cand.lang = inside.lang and cand.ph = inside.q and cand.k = 2 where not coalesce(100 * most >= 50 * f, false)),
+cut as (select kept.lang, kept.ph, kept.f a, j, x.f l, y.f r, 1000000 * kept.f * kept.f // (x.f * y.f) score
+  from kept join (values (1), (2)) t(j) on j < kept.k join c x on x.lang = kept.lang and x.ph = kept.ph[1:j] join c y on y.lang = kept.lang and y.ph = kept.ph[j + 1:kept.k]),
+best as (select * from cut qualify row_number() over (partition by lang, ph order by score, j) = 1),
+r as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) rank, array_to_string(ph, ' ') phrase, a, l, r, score from best)
+select r.lang, rank, phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r, cast(n as bigint) n, cast(score as bigint) score from r join n using (lang) where rank <= 2000
+"""
