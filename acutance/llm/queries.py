@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acutance.llm import balltree, chat, collocations, exact, mixing, ngrams, pieces, quality, simhash, suffixes, urls
+from acutance.llm import balltree, chat, collocations, exact, licenses, mixing, ngrams, pieces, quality, simhash, suffixes, urls
 from acutance.session import read_table
 
 
@@ -150,3 +150,10 @@ best as (select * from cut qualify row_number() over (partition by lang, ph orde
 r as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) rank, array_to_string(ph, ' ') phrase, a, l, r, score from best)
 select r.lang, rank, phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r, cast(n as bigint) n, cast(score as bigint) score from r join n using (lang) where rank <= 2000
 """
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents")).drop("matches")
+
+
+OP12_SQL = licenses.places_sql()
