@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acutance.llm import balltree, chat, collocations, exact, licenses, mixing, ngrams, pieces, quality, simhash, suffixes, urls
+from acutance.llm import balltree, chat, collocations, exact, lexical, licenses, mixing, ngrams, pieces, quality, simhash, suffixes, urls
 from acutance.session import read_table
 
 
@@ -157,3 +157,22 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = licenses.places_sql()
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+with words as (select 'd' kind, doc_id id, row_number() over () r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents where text is not null
+  union all select 'q', item_id, row_number() over (), regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark where text is not null),
+d as (select r, id doc_id, len(ws) n, ws from words where kind = 'd' and len(ws) > 0),
+c as (select count(*) nn, cast(sum(n) as bigint) ll from d),
+tf as (select r, t, count(*) tf from (select r, unnest(ws) t from d) group by all),
+w as (select t, cast(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) as bigint) w from (select t, count(*) df from tf group by t) cross join c),
+q as (select distinct r qr, id item_id, t from (select r, id, unnest(ws) t from words where kind = 'q')),
+m as (select r, doc_id, 50 + ((50 * n * nn) // ll) m from d cross join c),
+s as (select q.qr, q.item_id, m.r, m.doc_id, cast(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m))) as bigint) score from q join w using (t) join tf using (t) join m on m.r = tf.r group by all),
+k as (select *, row_number() over (partition by qr order by score desc, doc_id) rank from s where score > 0)
+select item_id, cast(rank as integer) rank, doc_id, score from k where rank <= 50
+"""
