@@ -264,7 +264,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         best = materialise(best, "lexical-best")
         whole = best if whole is None else whole.unionByName(best)
     if whole is None:
-        whole = spark.createDataFrame([], T.StructType().add(item, item_kind).add("rank", "int").add(key, key_kind).add("score", "long"))
+        whole = spark.createDataFrame([], T.StructType().add(item, item_kind).add("rank", "integer").add(key, key_kind).add("score", "long"))
     return whole
 
 
