@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from acutance.session import materialise
+from acutance.session import materialise, ship_package
 
 
 def angle_histogram(dirs: DataFrame, keys: list[str], theta: str = "theta", bins: int = 72) -> DataFrame:
@@ -160,27 +163,84 @@ def runs(mask: DataFrame) -> DataFrame:
     return r.withColumn("run", F.col("y").cast("long") * (1 << 32) + F.col("x0"))
 
 
-def connected_components(run_rows: DataFrame, reach: int = 1, max_rounds: int = 40) -> DataFrame:
+def _settled(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes is linked to: roots hook to smaller roots and paths are cut short until no link joins two roots."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs (in the order of y, x0) of which one touches the other from the row above."""
+    width = int(x1.max(initial=0)) + 2 * reach + 3
+    above = (y - 1) * width
+    first = np.searchsorted(y * width + x1, above + x0 - reach, "left")
+    end = np.maximum(np.searchsorted(y * width + x0, above + x1 + reach, "right"), first)
+    n = end - first
+    return np.repeat(np.arange(len(y)), n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def connected_components(run_rows: DataFrame, reach: int = 1, band_rows: int = 256, fan: int = 64) -> DataFrame:
     """8-connected (reach 1) or 4-connected (reach 0) objects: each run with the smallest run id of its object.
 
-    Labels spread over touching runs and are then followed to the label's own label (pointer jumping), so rounds grow
-    with the logarithm of an object's height; a round's table is written to the shared folder.
+    A picture is cut into bands of band_rows rows. A task labels the runs of a band, at most band_rows * width / 2 of them. Only labels
+    that meet at a border between bands go on: the borders inside fan neighbouring bands are settled together, at most
+    fan * width / 2 links, then those inside fan * fan bands, and so on, so there are as many steps as the tallest picture needs by its
+    height alone, whatever its objects look like, and none where each picture is one band. Steps move only labels that change.
     """
-    up = run_rows.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("up"))
-    touch = run_rows.join(up, ["image_id", "y"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach))
-    pairs = touch.select("image_id", F.col("run").alias("a"), F.col("up").alias("b"))
-    links = materialise(pairs.unionByName(pairs.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))), "run-links")
-    labels = materialise(run_rows.select("image_id", "run", F.col("run").alias("label")), "run-labels")
-    for _ in range(max_rounds):
-        near = links.join(labels.select("image_id", F.col("run").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run")).agg(F.min("label").alias("near"))
-        low = labels.join(near, ["image_id", "run"], "left").select("image_id", "run", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = low.select("image_id", F.col("run").alias("label"), F.col("label").alias("next"))
-        new = low.join(jump, ["image_id", "label"]).select("image_id", "run", "old", F.least("label", "next").alias("label"))
-        new = materialise(new, "run-labels")
-        labels = new.drop("old")
-        if new.where("old <> label").isEmpty():
-            return run_rows.join(labels, ["image_id", "run"])
-    raise RuntimeError("labels have not settled")
+    spark = run_rows.sparkSession
+    ship_package(spark)
+    rows = run_rows.select("image_id", "y", "x0", "x1", "run")
+    image_type, names = rows.schema["image_id"], ["image_id", "y", "x0", "x1", "run", "label"]
+
+    def label_band(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("y", "ascending"), ("x0", "ascending")]).combine_chunks()
+        y, x0, x1, run = (group[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "run"))
+        a, b = _touching(y - y.min(initial=0), x0, x1, reach)
+        own = run[_settled(a, b, len(run))] if len(run) else run  # runs are in the order of their ids
+        return group.select(names[:-1]).append_column("label", pa.array(own))
+
+    banded = rows.withColumn("_band", F.floor(F.col("y") / band_rows))
+    labelled = banded.groupBy("image_id", "_band").applyInArrow(label_band, rows.schema.add("label", "long"))
+    labelled = materialise(labelled, "run-labels")
+    tallest = labelled.agg(F.max(F.floor(F.col("y") / band_rows))).first()[0] or 0
+    if not tallest:
+        return labelled
+    upper = labelled.where(F.pmod(F.col("y"), F.lit(band_rows)) == band_rows - 1).select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("label").alias("b"))
+    lower = labelled.where(F.pmod(F.col("y"), F.lit(band_rows)) == 0).select("image_id", "y", "x0", "x1", F.col("label").alias("a"))
+    near = (F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)
+    links = lower.join(upper, ["image_id", "y"]).where(near).select("image_id", F.floor(F.col("y") / band_rows).alias("border"), "a", "b").distinct()
+    links = materialise(links, "border-links")
+
+    def settle(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        nodes, at = np.unique(np.concatenate((group["a"].to_numpy(), group["b"].to_numpy())), return_inverse=True)
+        root = nodes[_settled(at[: len(group)], at[len(group) :], len(nodes))]
+        moved = root != nodes
+        image = pa.array([group["image_id"][0].as_py()] * int(moved.sum()), group["image_id"].type)
+        return pa.table({"image_id": image, "old": nodes[moved], "new": root[moved]})
+
+    span = 1
+    while span <= tallest:
+        span *= fan
+        inside = F.floor((F.col("border") - 1) / span) == F.floor(F.col("border") / span)  # both bands beside the border are in one group
+        group = links.where(inside).withColumn("_group", F.floor(F.col("border") / span))
+        moved = materialise(group.groupBy("image_id", "_group").applyInArrow(settle, T.StructType([image_type]).add("old", "long").add("new", "long")), "moved-labels")
+        labelled = _relabelled(labelled, moved, "label")
+        links = materialise(_relabelled(_relabelled(links.where(~inside), moved, "a"), moved, "b").distinct(), "border-links")
+    return labelled.select(names)
+
+
+def _relabelled(df: DataFrame, moved: DataFrame, column: str) -> DataFrame:
+    new = moved.select("image_id", F.col("old").alias(column), F.col("new").alias("_new"))
+    return df.join(new, ["image_id", column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(df.columns)
 
 
 def component_pixels(labelled: DataFrame) -> DataFrame:
