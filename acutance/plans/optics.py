@@ -55,17 +55,18 @@ def _l7(spark, d):
     return lens.warp_padding(view(spark, d, "v_edges").select("image_id").distinct(), 500.0, cap=3000)
 
 
-_RG = """ra as (select edge_id ridge_id, image_id, cast(i as int) seq, i - 20 t, (ex - 320)/400.0e0 cx, (ey - 240)/400.0e0 cy, radians(angle) a from v_edges, (select unnest(range(0, 41)) i)),
-rs as (select ridge_id, image_id, seq, cx + t/100.0e0*cos(a) ux, cy + t/100.0e0*sin(a) uy from ra), rx as (select *, ux*ux + uy*uy u2 from rs),
-rg as (select ridge_id, image_id, seq, ux*2/(1 + sqrt(1 + 0.4e0*u2)) x, uy*2/(1 + sqrt(1 + 0.4e0*u2)) y from rx)"""
+_RG = """ra as (select edge_id ridge_id, image_id, cast(i as int) seq, i - 20 t, (ex - 320)/400.0e0 cx, (ey - 240)/400.0e0 cy, radians(angle) a, mtf from v_edges, (select unnest(range(0, 41)) i)),
+rs as (select ridge_id, image_id, seq, mtf, cx + t/100.0e0*cos(a) ux, cy + t/100.0e0*sin(a) uy from ra), rx as (select *, ux*ux + uy*uy u2 from rs),
+rg as (select ridge_id, image_id, seq, ux*2/(1 + sqrt(1 + 0.4e0*u2)) x, uy*2/(1 + sqrt(1 + 0.4e0*u2)) + ((ridge_id*7919 + seq*seq*613 + ridge_id*seq*31) % 1009 - 504)*1e-7*(0.5e0 + mtf) y from rx)"""
 
 
 def ridge(spark, d):
-    """Straight lines through the edges' places, bent by the division model with k1 = -0.1."""
+    """Straight lines through the edges' places, bent by the division model with k1 = -0.1; places off by up to 0.03 pixels, more for larger values."""
     r = view(spark, d, "v_edges").withColumn("seq", F.explode(F.array(*[F.lit(i) for i in range(41)])))
     t, a = (F.col("seq") - 20) / 100.0, F.radians("angle")
-    r = r.select(F.col("edge_id").alias("ridge_id"), "image_id", "seq", ((F.col("ex") - 320) / 400 + t * F.cos(a)).alias("x"), ((F.col("ey") - 240) / 400 + t * F.sin(a)).alias("y"))
-    return lens.division_forward(r, -0.1)
+    r = r.select(F.col("edge_id").alias("ridge_id"), "image_id", "seq", "mtf", ((F.col("ex") - 320) / 400 + t * F.cos(a)).alias("x"), ((F.col("ey") - 240) / 400 + t * F.sin(a)).alias("y"))
+    off = ((F.col("ridge_id") * 7919 + F.col("seq") * F.col("seq") * 613 + F.col("ridge_id") * F.col("seq") * 31) % 1009 - 504) * 1e-7 * (0.5 + F.col("mtf"))
+    return lens.division_forward(r, -0.1).withColumn("y", F.col("y") + off).drop("mtf")
 
 
 @register("l8_select_ridges", f"with {_RG}, k as (select edge_id ridge_id from v_edges where abs(cos(radians(angle))) > 0.5) select ridge_id, image_id, seq, round(x, 7) x, round(y, 7) y from rg join k using (ridge_id) where seq % 3 = 0")
@@ -74,13 +75,20 @@ def _l8(spark, d):
     return rounded(lens.select_ridges(ridge(spark, d), ang, ["ridge_id"], 0.5), "x", "y", digits=7)
 
 
-@register("l9_straightness", f"""with {_RG}, cd as (select cast(a*3 + b as int) cand, -0.2e0 + 0.1e0*a k1, -0.02e0 + 0.02e0*b k2 from (select unnest(range(0, 3)) a), (select unnest(range(0, 3)) b)),
-z as (select cand, ridge_id, x/(1 + k1*(x*x + y*y) + k2*(x*x + y*y)*(x*x + y*y)) x, y/(1 + k1*(x*x + y*y) + k2*(x*x + y*y)*(x*x + y*y)) y from rg, cd),
-m as (select cand, ridge_id, count(*)::double n, sum(x) sx, sum(y) sy, sum(x*x) sxx, sum(x*y) sxy, sum(y*y) syy from z group by 1, 2), c as (select cand, sxx/n - pow(sx/n, 2) a, syy/n - pow(sy/n, 2) b, sxy/n - sx*sy/pow(n, 2) c from m)
-select cand, round(avg((a + b)/2 - sqrt(pow((a - b)/2, 2) + c*c)), 9) + 0.0e0 cost from c group by 1""")
+_L9 = f"""{_RG}, cd as (select cast(a*3 + b as int) cand, -0.2e0 + 0.1e0*a k1, -0.02e0 + 0.02e0*b k2 from (select unnest(range(0, 3)) a), (select unnest(range(0, 3)) b)),
+ch as (select *, lag(x) over w xb, lag(y) over w yb, first_value(x) over w x0, first_value(y) over w y0, last_value(x) over w x1, last_value(y) over w y1 from rg window w as (partition by ridge_id order by seq rows between unbounded preceding and unbounded following)),
+dr as (select *, (x1 - x0)/sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) c, (y1 - y0)/sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) s, x*x + y*y r2, xb*xb + yb*yb rb from ch),
+w1 as (select cand, ridge_id, seq, c, s, x/(1 + k1*r2 + k2*r2*r2) - x0 dx, y/(1 + k1*r2 + k2*r2*r2) - y0 dy, xb/(1 + k1*rb + k2*rb*rb) - x0 bx, yb/(1 + k1*rb + k2*rb*rb) - y0 by_ from dr, cd),
+uv as (select cand, ridge_id, seq, dx*c + dy*s u, dy*c - dx*s v, bx*c + by_*s ub, by_*c - bx*s vb from w1),
+li as (select cand, ridge_id, regr_slope(v, u) b, regr_intercept(v, u) a from uv group by 1, 2),
+er as (select cand, ridge_id, seq, v - a - b*u e, vb - a - b*ub eb from uv join li using (cand, ridge_id)),
+rt as (select cand, ridge_id, sum(e*e)/sum(pow(e - eb, 2)) t from er group by 1, 2)"""
+
+
+@register("l9_straightness", f"with {_L9} select cand, round(avg(t), 6) cost from rt group by 1")
 def _l9(spark, d):
     cand = spark.createDataFrame([(a * 3 + b, -0.2 + 0.1 * a, -0.02 + 0.02 * b) for a in range(3) for b in range(3)], "cand int, k1 double, k2 double")
-    return rounded(lens.straightness(ridge(spark, d), cand, ["ridge_id"]), "cost", digits=9)
+    return rounded(lens.straightness(ridge(spark, d), cand, ["ridge_id"]), "cost")
 
 
 @register("l10_invertible", f"""with {P}, k as (select edge_id, x*3 k1, y k2 from p), v as (select *, -k1/(6*k2) s from k)
@@ -93,12 +101,16 @@ def _l10(spark, d):
 @register("l11_fit_distortion")
 def _l11(spark, d):
     """Planted k1 = -0.1, k2 = 0: what the fit of each image's lens found (tests compare)."""
-    return lens.fit_distortion(ridge(spark, d), ["ridge_id"], ["image_id"], rounds=7).select("image_id", "k1", "k2")
+    return lens.fit_distortion(ridge(spark, d), ["ridge_id"], ["image_id"], rounds=7).select("image_id", "k1", "k2", "ridges", "dropped")
 
 
-@register("l12_medcouple_outliers", """with q as (select image_id, quantile_cont(mtf, 0.5) m, quantile_cont(mtf, 0.25) q1, quantile_cont(mtf, 0.75) q3 from v_edges group by 1), z as (select e.*, mtf - m z, q1, q3 from v_edges e join q using (image_id)),
-k as (select a.image_id, quantile_cont((a.z + b.z)/(a.z - b.z), 0.5) mc from z a join z b on a.image_id = b.image_id where a.z > 0 and b.z < 0 group by 1)
-select edge_id, image_id, mtf > q3 + 1.5e0*exp(4*coalesce(mc, 0))*(q3 - q1) outlier from z left join k using (image_id)""")
+@register("l12_medcouple_outliers", """with r as (select *, row_number() over (partition by image_id order by mtf, edge_id) - 1 i, count(*) over (partition by image_id) n from v_edges),
+q as (select image_id, any_value(n) n, max(mtf) filter (i = n // 2) m, max(mtf) filter (i = cast(floor(n*0.25e0) as int)) q1, max(mtf) filter (i = cast(floor(n*0.75e0) as int)) q3 from r group by 1),
+a as (select image_id, mtf - m z, row_number() over (partition by image_id order by i desc) - 1 k, count(*) over (partition by image_id) p from r join q using (image_id) where mtf >= m and i > 0),
+b as (select image_id, mtf - m z, row_number() over (partition by image_id order by i) - 1 k from r join q using (image_id) where mtf <= m),
+h as (select image_id, case when a.z = b.z then sign(p - 1 - a.k - b.k) else (a.z + b.z)/(a.z - b.z) end h from a join b using (image_id)),
+o as (select image_id, h, row_number() over (partition by image_id order by h) - 1 k, count(*) over (partition by image_id) c from h), mc as (select image_id, h mc from o where k = c // 2)
+select edge_id, image_id, n > 4 and mtf >= q3 + 1.5e0*exp(4*mc)*(q3 - q1) outlier from v_edges join q using (image_id) join mc using (image_id)""")
 def _l12(spark, d):
     out = lens.medcouple_outliers(view(spark, d, "v_edges").withColumn("e", F.col("mtf")), ["image_id"])
     return out.select("edge_id", "image_id", "outlier")

@@ -85,18 +85,68 @@ def test_distance_to_parabola(spark):
         assert abs(r.perp) == pytest.approx(d, abs=1e-3)
 
 
-def test_distortion_fit_recovers_k1(spark):
-    rows = []
-    for i in range(30):
+def _bent_ridges(spark, k1, k2, wild=()):
+    """Thirty-six straight ridges bent by the division model, with noise across them; those in wild wave instead."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(36):
         a, cx, cy = i * 0.7, 0.7 * math.cos(i), 0.6 * math.sin(1.7 * i)
-        rows += [(i, s, cx + (s - 15) / 60 * math.cos(a), cy + (s - 15) / 60 * math.sin(a)) for s in range(31)]
-    straight = spark.createDataFrame(rows, "ridge_id int, seq int, x double, y double")
-    bent = lens.division_forward(straight, -0.1).withColumn("image_id", F.lit(0)).union(lens.division_forward(straight, 0.15, -0.04).withColumn("image_id", F.lit(1)))
+        for s in range(31):
+            off = rng.normal(0, 1e-4) + (0.02 * math.sin(s / 3) if i in wild else 0)
+            rows.append((i, s, cx + (s - 15) / 60 * math.cos(a) - off * math.sin(a), cy + (s - 15) / 60 * math.sin(a) + off * math.cos(a)))
+    return lens.division_forward(spark.createDataFrame(rows, "ridge_id int, seq int, x double, y double"), k1, k2)
+
+
+def test_distortion_fit_recovers_k1(spark):
+    bent = _bent_ridges(spark, -0.1, 0.0).withColumn("image_id", F.lit(0)).union(_bent_ridges(spark, 0.15, -0.04).withColumn("image_id", F.lit(1)))
     found = {r.image_id: r for r in lens.fit_distortion(bent, ["ridge_id"], ["image_id"]).collect()}
     assert found[0].k1 == pytest.approx(-0.1, abs=0.01) and found[0].k2 == pytest.approx(0, abs=0.01)
     assert found[1].k1 == pytest.approx(0.15, abs=0.02) and found[1].k2 == pytest.approx(-0.04, abs=0.02)
 
 
+def test_distortion_fit_drops_outlier_ridges(spark):
+    bent = _bent_ridges(spark, -0.1, 0.0, wild={3, 11, 20}).withColumn("image_id", F.lit(0)).union(_bent_ridges(spark, -0.1, 0.0).withColumn("image_id", F.lit(1)))
+    found = {r.image_id: r for r in lens.fit_distortion(bent, ["ridge_id"], ["image_id"], rounds=7).collect()}
+    assert 3 <= found[0].dropped < 11 and found[0].ridges == 36
+    assert found[0].k1 == pytest.approx(-0.1, abs=0.01) and found[0].cost < 1
+
+
+def test_ridge_costs_are_inverse_durbin_watson(spark):
+    bent = _bent_ridges(spark, -0.1, 0.02)
+    cand = spark.createDataFrame([(0, 0.0, 0.0), (1, -0.1, 0.02)], "cand int, k1 double, k2 double")
+    got = {(r.cand, r.ridge_id): r.t for r in lens.ridge_costs(bent, cand, ["ridge_id"]).collect()}
+    rows = {}
+    for r in sorted(bent.collect(), key=lambda r: (r.ridge_id, r.seq)):
+        rows.setdefault(r.ridge_id, []).append((r.x, r.y))
+    for i, pts in rows.items():
+        p = np.array(pts)
+        long = p[-1] - p[0]
+        c, s = long / np.hypot(*long)
+        for cand_id, k1, k2 in ((0, 0.0, 0.0), (1, -0.1, 0.02)):
+            r2 = (p**2).sum(axis=1)
+            q = p / (1 + k1 * r2 + k2 * r2 * r2)[:, None]
+            u, v = q @ [c, s], q @ [-s, c]
+            e = v - np.polyval(np.polyfit(u, v, 1), u)
+            assert got[cand_id, i] == pytest.approx((e**2).sum() / (np.diff(e) ** 2).sum(), rel=1e-5)
+    weights = spark.createDataFrame([(i, 1.0 if i < 5 else 0.0) for i in range(36)], "ridge_id int, weight double")
+    cost = {r.cand: r.cost for r in lens.straightness(bent, cand, ["ridge_id"], weights=weights).collect()}
+    assert cost[1] == pytest.approx(np.mean([got[1, i] for i in range(5)]))
+
+
+def test_medcouple_equals_all_pairs():
+    def pairs(x):
+        mid = x[len(x) // 2]
+        up, down = [v - mid for v in x[1:][::-1] if v >= mid], [v - mid for v in x if v <= mid]
+        h = sorted(float(np.sign(len(up) - 1 - i - j)) if a == b else (a + b) / (a - b) for i, a in enumerate(up) for j, b in enumerate(down))
+        return h[len(h) // 2]
+
+    rng = np.random.default_rng(0)
+    for k in range(400):
+        n = rng.integers(5, 60)
+        x = np.sort(rng.integers(0, rng.integers(2, 40), n) / 7 if k % 2 else rng.exponential(1, n) ** rng.integers(1, 4))
+        assert lens.medcouple(x) == pytest.approx(pairs(x), abs=1e-12)
+    assert -1 <= lens.medcouple(np.sort(rng.integers(0, 5, 200_000) / 1.0)) <= 1
+
+
 def test_radial_models_invert(spark):
     p = spark.createDataFrame([(i, 0.1 * i - 1, 0.05 * i) for i in range(20)], "i int, x double, y double")
     for there, back in ((lambda q: lens.equiangular(q, 1.5), lambda q: lens.equiangular(q, 1.5, True)), (lambda q: lens.stereographic(q, 1.5), lambda q: lens.stereographic(q, 1.5, True)), (lambda q: lens.division_forward(q, -0.1), lambda q: lens.division_inverse(q, F.lit(-0.1), F.lit(0.0))), (lambda q: lens.division_forward(q, -0.1, 0.03), lambda q: lens.division_inverse(q, F.lit(-0.1), F.lit(0.03)))):
