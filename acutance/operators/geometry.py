@@ -30,15 +30,25 @@ def circular_peaks(h: DataFrame, keys: list[str], n: int = 4, bins: int = 72) ->
     return peaks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*keys, "bin", "n", "rank")
 
 
-def weighted_pca(pts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
-    """Q-5: weighted centroid, axis lengths and direction of the principal axis, from moment sums about the first mean."""
+def weighted_moments(pts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
+    """The sum of weights, the weighted mean and the central second moments of points x, y: keys, s0, cx, cy, vxx, vxy, vyy."""
     s = lambda e: F.sum(F.col(weight) * e)
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     m = pts.groupBy(*keys).agg(F.sum(weight).cast("double").alias("s0"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(x * y).alias("sxy"), s(y * y).alias("syy"))
     cx, cy = F.col("sx") / F.col("s0"), F.col("sy") / F.col("s0")
-    m = m.select(*keys, cx.alias("cx"), cy.alias("cy"), (F.col("sxx") / F.col("s0") - cx * cx).alias("vxx"), (F.col("sxy") / F.col("s0") - cx * cy).alias("vxy"), (F.col("syy") / F.col("s0") - cy * cy).alias("vyy"))
+    return m.select(*keys, "s0", cx.alias("cx"), cy.alias("cy"), (F.col("sxx") / F.col("s0") - cx * cx).alias("vxx"), (F.col("sxy") / F.col("s0") - cx * cy).alias("vxy"), (F.col("syy") / F.col("s0") - cy * cy).alias("vyy"))
+
+
+def principal_axes() -> tuple[Column, Column, Column]:
+    """Larger and smaller variance and direction of the larger one, of columns vxx, vxy, vyy."""
     half, root = (F.col("vxx") + F.col("vyy")) / 2, F.sqrt(((F.col("vxx") - F.col("vyy")) / 2) ** 2 + F.col("vxy") ** 2)
-    return m.select(*keys, "cx", "cy", (half + root).alias("major"), (half - root).alias("minor"), (F.atan2(2 * F.col("vxy"), F.col("vxx") - F.col("vyy")) / 2).alias("angle"))
+    return half + root, half - root, F.atan2(2 * F.col("vxy"), F.col("vxx") - F.col("vyy")) / 2
+
+
+def weighted_pca(pts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
+    """Q-5: weighted centroid, axis lengths and direction of the principal axis, from moment sums about the first mean."""
+    major, minor, angle = principal_axes()
+    return weighted_moments(pts, keys, weight).select(*keys, "cx", "cy", major.alias("major"), minor.alias("minor"), angle.alias("angle"))
 
 
 def cramer3(s: list[Column], t: list[Column]) -> tuple[Column, Column, Column]:
@@ -83,11 +93,16 @@ def quad_area(corner_rows: DataFrame, keys: list[str], min_side: float = 14.0, m
 
 
 def pool_edges(edges: DataFrame, keys: list[str], cos_min: float = 0.80902, z_max: float = 1.66) -> DataFrame:
-    """Q-14: of the pairs of a block's edges that agree in direction and slope, greedily the best first, each edge once."""
+    """Q-14: of the pairs of a block's edges that are nearly parallel and agree in slope, greedily the most parallel first, each edge once.
+
+    Slopes m with standard errors se agree if they differ by less than z_max errors; beyond 2 their inverses are compared.
+    """
     side = lambda n: edges.select(*keys, F.col("k").alias(f"k{n}"), F.col("angle").alias(f"a{n}"), F.col("slope").alias(f"m{n}"), F.col("se").alias(f"e{n}"))
-    z = F.abs(F.col("m1") - F.col("m2")) / F.sqrt(F.col("e1") ** 2 + F.col("e2") ** 2)
-    p = side(1).join(side(2), keys).where("k1 < k2").withColumn("z", z).where((F.abs(F.cos(F.col("a1") - F.col("a2"))) > cos_min) & (F.col("z") < z_max))
-    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.round("z", 9), "k1", "k2"))
+    m1, m2 = F.col("m1"), F.col("m2")
+    z = F.abs(F.when(F.abs(m1) > 2, 1 / m1 - 1 / F.nullif(m2, F.lit(0.0))).otherwise(m1 - m2)) / F.sqrt(F.col("e1") ** 2 + F.col("e2") ** 2)
+    alike = F.abs(F.cos(F.col("a1") - F.col("a2")))
+    p = side(1).join(side(2), keys).where("k1 < k2").withColumn("z", z).withColumn("off", F.round(1 - alike, 9)).where((alike > cos_min) & (F.col("z") < z_max))
+    first = F.row_number().over(W.partitionBy(*keys).orderBy("off", "k1", "k2"))
     p = p.withColumn("r", first)
     best = p.where("r = 1").select(*keys, F.col("k1").alias("b1"), F.col("k2").alias("b2"))
     # Four edges make two pairs at most: the best one, and the best of those without its edges.
@@ -96,6 +111,25 @@ def pool_edges(edges: DataFrame, keys: list[str], cos_min: float = 0.80902, z_ma
     return p.where("r = 1").select(*keys, "k1", "k2", "z").unionByName(rest)
 
 
+def pool_angles(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Q-14: the angle of each edge (k, angle, and the moments s0, vxx, vxy, vyy of its points), shared by the edges of a pooled pair.
+
+    The points of a pair, each edge's about its own centre, have the sums of both moments; their principal axis is the angle of both.
+    Returns keys, k, angle, pooled.
+    """
+    major, minor, _ = principal_axes()
+    known = edges.select(*keys, "k", "angle", "s0", "vxx", "vxy", "vyy")
+    rated = known.withColumn("slope", F.tan("angle")).withColumn("se", F.sqrt(F.greatest(minor, F.lit(0.0)) / major / F.col("s0")))
+    pairs = pool_edges(rated, keys)
+    both = pairs.select(*keys, F.col("k1").alias("k"), F.col("k2").alias("o")).unionByName(pairs.select(*keys, F.col("k2").alias("k"), F.col("k1").alias("o")))
+    other = known.select(*keys, F.col("k").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("s0", "vxx", "vxy", "vyy")])
+    j = known.join(both, [*keys, "k"], "left").join(other, [*keys, "o"], "left")
+    sums = {c: F.col("s0") * F.col(c) + F.col("o_s0") * F.col(f"o_{c}") for c in ("vxx", "vxy", "vyy")}
+    axis = F.atan2(2 * sums["vxy"], sums["vxx"] - sums["vyy"]) / 2
+    turned = F.col("angle") + F.pmod(axis - F.col("angle") + math.pi / 2, F.lit(math.pi)) - math.pi / 2  # the axis has no sense; keep the edge's
+    return j.select(*keys, "k", F.when(F.col("o").isNull(), F.col("angle")).otherwise(turned).alias("angle"), F.col("o").isNotNull().alias("pooled"))
+
+
 def snap_angle(edges: DataFrame, a: float) -> DataFrame:
     """Q-16: each angle (degrees) replaced by the nearest of +-a, 90 +- a, -90 +- a and 180 +- a."""
     options = [a, -a, 90 + a, 90 - a, -90 + a, -90 - a, 180 + a, 180 - a]
@@ -126,21 +160,26 @@ def line_deviation(ridge: DataFrame, fit: DataFrame, keys: list[str]) -> DataFra
     return e.select(*keys, rise.alias("rise"), run.alias("run"), F.when(run > 0, rise / run).otherwise(0.0).alias("slope"))
 
 
-def sliding_windows(edges: DataFrame, keys: list[str], length: float = 40.0, step: float = 4.0) -> DataFrame:
-    """Q-23: windows of this length every step pixels along an edge of the given lo .. hi."""
-    n = F.floor((F.col("hi") - F.col("lo") - length) / step).cast("int")
-    w = edges.where(F.col("hi") - F.col("lo") >= length).withColumn("window", F.explode(F.sequence(F.lit(0), n)))
-    start = F.col("lo") + F.col("window") * step
-    return w.select(*keys, "window", start.alias("w0"), (start + length).alias("w1"))
+def sliding_windows(edges: DataFrame, keys: list[str], length: float = 40.0, step: float = 4.0, most: int | None = None) -> DataFrame:
+    """Q-23: windows of this length every step pixels along an edge of the given lo .. hi; with most, as many at even distances, two at least."""
+    n = F.floor((F.col("hi") - F.col("lo") - length) / step).cast("int") + 1
+    e = edges.where(F.col("hi") - F.col("lo") >= length).withColumn("_n", n if most is None else F.greatest(F.lit(2), F.least(n, F.lit(most))))
+    e = e.withColumn("step", F.lit(step) if most is None else (F.col("hi") - F.col("lo") - length) / (F.col("_n") - 1))
+    w = e.withColumn("window", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    start = F.col("lo") + F.col("window") * F.col("step")
+    return w.select(*keys, "window", start.alias("w0"), (start + length).alias("w1"), "step")
 
 
-def window_samples(windows: DataFrame, samples: DataFrame, keys: list[str], length: float = 40.0, step: float = 4.0) -> DataFrame:
-    """Q-24 (first part): the samples of each window, by the windows that a position lies in, as an equi join."""
-    lo = windows.groupBy(*keys).agg(F.min("w0").alias("base"), F.max("window").alias("last"))
+def window_samples(windows: DataFrame, samples: DataFrame, keys: list[str], length: float = 40.0) -> DataFrame:
+    """Q-24 (first part): the samples of each window, by the windows that a position lies in, as an equi join. Other columns of samples stay."""
+    lo = windows.groupBy(*keys).agg(F.min("w0").alias("_base"), F.max("window").alias("_most"), F.max("step").alias("_step"))
     s = samples.join(lo, keys)
-    first = F.greatest(F.lit(0), F.ceil((F.col("par") - F.col("base") - length) / step).cast("int"))
-    last = F.least(F.col("last"), F.floor((F.col("par") - F.col("base")) / step).cast("int"))
-    return s.where(first <= last).withColumn("window", F.explode(F.sequence(first, last))).select(*keys, "window", "perp", "par", "v")
+    part = lambda off: (F.col("par") - F.col("_base") - off) / F.col("_step")
+    still = F.col("_step") <= 0  # windows that all lie in one place
+    first = F.when(still, 0).otherwise(F.greatest(F.lit(0), F.ceil(part(length)).cast("int")))
+    last = F.when(still, F.col("_most")).otherwise(F.least(F.col("_most"), F.floor(part(0.0)).cast("int")))
+    inside = (first <= last) & (F.col("par") >= F.col("_base"))
+    return s.where(inside).withColumn("window", F.explode(F.sequence(first, last))).drop("_base", "_most", "_step")
 
 
 def gradient_outliers(pix: DataFrame, keys: list[str], beyond: float = 2.0, share: float = 0.95, gap: float = 0.001) -> DataFrame:

@@ -67,7 +67,9 @@ def edge_refine(pix: DataFrame, keys: list[str]) -> DataFrame:
     j = pix.join(lim, keys).where(F.floor(F.col("perp") * 8).between(F.coalesce("lo", F.lit(-10**6)), F.coalesce("hi", F.lit(10**6))))
     top = j.groupBy(*keys).agg(F.max("w").alias("top"), F.count("*").alias("n")).where("n >= 20")
     j = j.join(top, keys).withColumn("w4", F.pow(F.col("w") / F.col("top"), 4.0) / (10 + F.abs("perp")))
-    return geometry.weighted_pca(j.select(*keys, F.col("par").alias("x"), F.col("perp").alias("y"), "w4"), keys, "w4")
+    major, minor, angle = geometry.principal_axes()
+    m = geometry.weighted_moments(j.select(*keys, F.col("par").alias("x"), F.col("perp").alias("y"), "w4"), keys, "w4")
+    return m.withColumns({"major": major, "minor": minor, "angle": angle})
 
 
 def ridge(pix: DataFrame, keys: list[str], least: int = 12) -> DataFrame:

@@ -93,15 +93,43 @@ def _q9(spark, d):
 _POOL = f"{_BLOCK}, pe as (select block_id, k, case when k % 2 = 0 then angle + 0.01e0*k else angle end angle, 0.1e0*(block_id % 7) + 0.01e0*k*(block_id % 5) slope, 0.01e0 + 0.002e0*k se from ed)"
 
 
-@register("q14_pool_edges", f"""with {_POOL}, p as (select a.block_id, a.k k1, b.k k2, abs(a.slope - b.slope)/sqrt(a.se*a.se + b.se*b.se) z from pe a join pe b on a.block_id = b.block_id and a.k < b.k where abs(cos(a.angle - b.angle)) > 0.80902),
-q as (select *, row_number() over (partition by block_id order by round(z, 9), k1, k2) r from p where z < 1.66), b as (select block_id, k1 b1, k2 b2 from q where r = 1),
-o as (select q.*, row_number() over (partition by q.block_id order by round(z, 9), k1, k2) r2 from q join b using (block_id) where k1 not in (b1, b2) and k2 not in (b1, b2))
-select block_id, k1, k2, round(z, 6) z from q where r = 1 union all select block_id, k1, k2, round(z, 6) from o where r2 = 1""")
+_PAIRS = """p as (select a.block_id, a.k k1, b.k k2, round(1 - abs(cos(a.angle - b.angle)), 9) off_, abs(case when abs(a.slope) > 2 then 1/a.slope - 1/b.slope else a.slope - b.slope end)/sqrt(a.se*a.se + b.se*b.se) z from pe a join pe b on a.block_id = b.block_id and a.k < b.k where abs(cos(a.angle - b.angle)) > 0.80902),
+q as (select *, row_number() over (partition by block_id order by off_, k1, k2) r from p where z < 1.66), b as (select block_id, k1 b1, k2 b2 from q where r = 1),
+o as (select q.*, row_number() over (partition by q.block_id order by off_, k1, k2) r2 from q join b using (block_id) where k1 not in (b1, b2) and k2 not in (b1, b2)),
+pr as (select block_id, k1, k2, z from q where r = 1 union all select block_id, k1, k2, z from o where r2 = 1)"""
+
+
+@register("q14_pool_edges", f"with {_POOL}, {_PAIRS} select block_id, k1, k2, round(z, 6) z from pr")
 def _q14(spark, d):
     b = blocks(spark, d).select("block_id", "k", F.when(F.col("k") % 2 == 0, F.col("angle") + 0.01 * F.col("k")).otherwise(F.col("angle")).alias("angle"), (0.1 * (F.col("block_id") % 7) + 0.01 * F.col("k") * (F.col("block_id") % 5)).alias("slope"), (0.01 + 0.002 * F.col("k")).alias("se"))
     return rounded(geometry.pool_edges(b, K), "z")
 
 
+#: Points of each side: 21 along it, off by up to 0.4 pixels by their number, weighed by the edge's value.
+_SIDES = f"""{_BLOCK}, sp as (select ed.block_id, k, t*cos(ed.angle) - e*sin(ed.angle) x, t*sin(ed.angle) + e*cos(ed.angle) y, 0.5e0 + mtf w from
+  (select block_id, k, angle, i - 10 t, ((block_id*7919 + k*331 + i*i*613 + i*(31 + k)) % 1009 - 504)*8e-4 e from ed, (select unnest(range(0, 21)) i)) ed join v_edges on edge_id = block_id),
+mo as (select block_id, k, sum(w) s0, sum(w*x)/sum(w) mx, sum(w*y)/sum(w) my, sum(w*x*x)/sum(w) xx, sum(w*x*y)/sum(w) xy, sum(w*y*y)/sum(w) yy from sp group by 1, 2),
+ms as (select block_id, k, s0, xx - mx*mx vxx, xy - mx*my vxy, yy - my*my vyy from mo), an as (select *, atan2(2*vxy, vxx - vyy)/2 angle, sqrt(pow((vxx - vyy)/2, 2) + vxy*vxy) rt from ms),
+pe as (select *, tan(angle) slope, sqrt(greatest((vxx + vyy)/2 - rt, 0)/((vxx + vyy)/2 + rt)/s0) se from an)"""
+
+
+def side_moments(spark, d):
+    p = blocks(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).join(view(spark, d, "v_edges").select(F.col("edge_id").alias("block_id"), "mtf"), "block_id")
+    k, i, t = F.col("k"), F.col("i"), F.col("i") - 10
+    e = ((F.col("block_id") * 7919 + k * 331 + i * i * 613 + i * (31 + k)) % 1009 - 504) * 8e-4
+    c, s = F.cos("angle"), F.sin("angle")
+    m = geometry.weighted_moments(p.select("block_id", "k", (t * c - e * s).alias("x"), (t * s + e * c).alias("y"), (0.5 + F.col("mtf")).alias("w")), [*K, "k"])
+    return m.withColumn("angle", geometry.principal_axes()[2])
+
+
+@register("q14_pool_angles", f"""with {_SIDES}, {_PAIRS}, bo as (select block_id, k1 k, k2 o from pr union all select block_id, k2, k1 from pr),
+j as (select a.block_id, a.k, a.angle, bo.o, atan2(2*(a.s0*a.vxy + c.s0*c.vxy), a.s0*a.vxx + c.s0*c.vxx - a.s0*a.vyy - c.s0*c.vyy)/2 ax from pe a left join bo on a.block_id = bo.block_id and a.k = bo.k left join pe c on c.block_id = bo.block_id and c.k = bo.o),
+t as (select *, (ax - angle + pi()/2) % pi() m from j)
+select block_id, k, round(case when o is null then angle else angle + case when m < 0 then m + pi() else m end - pi()/2 end, 6) + 0.0e0 angle, o is not null pooled from t""")
+def _q14_angles(spark, d):
+    return rounded(geometry.pool_angles(side_moments(spark, d), K), "angle")
+
+
 @register("q16_snap_angle", """with o as (select unnest([10, -10, 100, 80, -80, -100, 190, 170]) o, unnest(range(0, 8)) i), r as (select edge_id, o, row_number() over (partition by edge_id order by round(cos(radians(angle - o)), 12) desc, i) n from v_edges, o) select edge_id, cast(o as double) angle from r where n = 1""")
 def _q16(spark, d):
     return geometry.snap_angle(view(spark, d, "v_edges"), 10.0).select("edge_id", "angle")
@@ -141,14 +169,14 @@ def _q22(spark, d):
 _WIN = "ln as (select edge_id, min(par) lo, max(par) hi from v_samples group by 1), wi as (select edge_id, cast(w as int) win, lo + w*4.0e0 w0 from ln, (select unnest(range(0, 100)) w) where hi - lo >= 40 and w <= floor((hi - lo - 40)/4))"
 
 
-def _windows(spark, d):
+def _windows(spark, d, plain=False):
     e = view(spark, d, "v_samples").groupBy("edge_id").agg(F.min("par").alias("lo"), F.max("par").alias("hi"))
-    return geometry.sliding_windows(e, ["edge_id"])
+    return geometry.sliding_windows(e, ["edge_id"]).drop("step") if plain else geometry.sliding_windows(e, ["edge_id"])
 
 
 @register("q23_sliding_windows", f'with {_WIN} select edge_id, win as "window", w0, w0 + 40 w1 from wi')
 def _q23(spark, d):
-    return _windows(spark, d)
+    return _windows(spark, d, plain=True)
 
 
 @register("q24_window_samples", f'with {_WIN} select w.edge_id, win as "window", count(*) n, round(avg(v), 3) mean from wi w join v_samples s on s.edge_id = w.edge_id and s.par between w0 and w0 + 40 group by 1, 2')
