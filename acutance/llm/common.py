@@ -72,7 +72,13 @@ def located(docs: DataFrame) -> tuple[DataFrame, str]:
 
     Both are fixed by the files, however they are split into tasks and whichever executor reads them. Rows of a plain read
     of Parquet files, with columns chosen and rows filtered, are named as they stand; any other frame is written first.
+    A column of docs may be called _metadata: it is renamed while Spark's own is read.
     """
+    clash = [c for c in docs.columns if c.lower() == "_metadata"]
+    if clash:
+        other = fresh(docs, "_metadata")
+        rows, at = located(materialise(docs.withColumnRenamed(clash[0], other), "located"))
+        return rows.withColumnRenamed(other, clash[0]), at
     steps = docs._jdf.queryExecution().analyzed().toString().splitlines()
     if not all(re.match(r"[\s:+|-]*(Project|Filter|Relation|SubqueryAlias)\b", x) for x in steps) or "Relation" not in steps[-1] or "parquet" not in steps[-1]:
         docs = materialise(docs, "located")

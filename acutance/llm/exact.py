@@ -81,6 +81,8 @@ def _groups(docs: DataFrame, at: str, key: str, text: str, digest, max_bytes: in
     spark = docs.sparkSession
     lasting, folder = folder is not None, (folder or shared_path(spark, "dedup")).rstrip("/")
     new = index_rows(docs, at, key, text, digest)
+    if lasting and _exists(spark, f"{folder}/index"):  # rows that came before, in a call that failed or was repeated, are in the index once
+        new = new.join(spark.read.schema(new.schema).parquet(f"{folder}/index").select("locator"), "locator", "left_anti").select(*new.columns)
     new.write.mode("append").parquet(f"{folder}/index")
     index = spark.read.schema(new.schema).parquet(f"{folder}/index")
     if max_bytes is None:
@@ -106,6 +108,11 @@ def _groups(docs: DataFrame, at: str, key: str, text: str, digest, max_bytes: in
     return rows.unionByName(split.select("key", "locator", F.col("best.key").alias("keep_key"), F.col("n").alias("group_size"), (F.col("locator") == F.col("best.locator")).alias("kept"), "digest"))
 
 
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _files(spark, path: str) -> list:
     """The data files of a folder, as Spark lists them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("length").collect()
@@ -122,7 +129,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 
     folder: where index and state last. A call with a folder that was used before adds docs (rows of new Parquet files) and
     gives the rows of all documents so far; the files of earlier calls must still be there, as hits are compared in full. One
-    call at a time may use a folder, and a call that failed may have added its rows: then take a new one.
+    call at a time may use a folder. A row is told by its file and row number, so a file that is delivered again, or a call
+    that is repeated after it failed, adds nothing twice.
     """
     docs, at = located(docs)
     return _groups(docs, at, key, text, digest, max_bytes, folder).drop("locator")

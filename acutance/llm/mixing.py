@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from acutance.llm.common import located, mix64, tidy
+from acutance.llm.common import fresh, located, mix64, tidy
 from acutance.session import materialise, ship_package
 
 BIN_ROWS, GROUP_BINS = 64, 256
@@ -279,10 +279,11 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     """
     rows, at = located(docs)
     found = mix(rows, key, text, keep=at, **options)
+    spans, size = fresh(rows, "_spans"), fresh(rows, "_size")
     drawn = F.expr("transform(array_distinct(spans.pass), p -> filter(spans, s -> s.pass = p))")
-    drawn = found.where("taken > 0").select(F.col("_keep").alias(at), F.col("size").alias("_size"), F.explode(drawn).alias("_spans"))
+    drawn = found.where("taken > 0").select(F.col("_keep").alias(at), F.col("size").alias(size), F.explode(drawn).alias(spans))
     word_at = F.expr(f"regexp_extract_all(coalesce(`{text}`, ''), '^[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*|[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")
-    part = F.when(F.expr("aggregate(_spans, 0L, (n, s) -> n + s.words) = _size"), F.col(text)).otherwise(F.concat_ws("", F.flatten(F.transform("_spans", lambda s: F.slice(word_at, s["first_word"] + 1, s["words"].cast("int"))))))
+    part = F.when(F.expr(f"aggregate({spans}, 0L, (n, s) -> n + s.words) = {size}"), F.col(text)).otherwise(F.concat_ws("", F.flatten(F.transform(spans, lambda s: F.slice(word_at, s["first_word"] + 1, s["words"].cast("int"))))))
     joined = rows.join(drawn, at).withColumn(text, part)
-    order = [F.expr("_spans[0].position"), F.col(at), F.expr("_spans[0].pass")]
-    return joined.repartition(F.expr("_spans[0].shard")).sortWithinPartitions(F.expr("_spans[0].shard"), *order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = [F.expr(f"{spans}[0].position"), F.col(at), F.expr(f"{spans}[0].pass")]
+    return joined.repartition(F.expr(f"{spans}[0].shard")).sortWithinPartitions(F.expr(f"{spans}[0].shard"), *order).select(*[F.col(f"`{c}`") for c in docs.columns])
