@@ -255,6 +255,26 @@ def loess_auto(curve: DataFrame, keys: list[str], at: str, value: str, widths=(5
 
 
 def ca_surface(m: DataFrame, cell: float, value: str, least: int = 6, limit: float = 16.0) -> DataFrame:
-    """The cells of a shift within the limit, for images with at least six edges; the surface is fitted as for other values."""
+    """The cells of a shift within the limit, for images with at least six edges; ca_map fits the surface."""
     enough = m.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("image_id")
     return grid_composite(m.join(enough, "image_id", "left_semi").where(F.abs(value) <= limit), cell, value)
+
+
+def ca_map(m: DataFrame, width: float, height: float, cell: float, value: str, unit: str = "px", pixel_um: float = 1.0, sparse: bool = False, step: int = 5, least: int = 6) -> DataFrame:
+    """The surface of a shift over the picture, by direction: R4, R6, R7, R8. m: image_id, direction, ex, ey, the shift in pixels.
+
+    unit: px, um (pixel_um each) or percent of the radius (100 pixels at least). Shifts of 16 pixels or more are left out. The surface keeps to
+    the values of the cells it is fitted to; a sparse chart is smoothed more and reaches one knot farther.
+    """
+    from acutance.operators.targets import surface_eval, surface_fit
+
+    radius = F.hypot(F.col("ex") - width / 2, F.col("ey") - height / 2)
+    scale = {"px": F.lit(1.0), "um": F.lit(float(pixel_um)), "percent": 100 / F.greatest(F.lit(100.0), radius)}[unit]
+    shifts = m.where(F.abs(value) < 16).withColumn("_shift", F.col(value) * scale)
+    keys = ["image_id", "direction"]
+    cells = ca_surface(shifts, cell, "_shift", least, float("inf")).select(*keys, "gy", "gx", "v")
+    prune = 3 if sparse else 2
+    fit = surface_fit(cells, keys, smooth=0.1 if sparse else 0.01, rows=int(height // cell) + 1, columns=int(width // cell) + 1, prune=prune)
+    ends = cells.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = surface_eval(fit, keys, step, prune).join(ends, keys)
+    return at.select(*keys, (F.col("gy") * cell).alias("y"), (F.col("gx") * cell).alias("x"), F.greatest("lo", F.least("hi", "v")).alias("v"))

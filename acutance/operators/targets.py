@@ -217,64 +217,107 @@ def rational_fit(ps: DataFrame, keys: list[str], x: str, y: str, n: int = 4, m:
     return coef.join(span, keys).groupBy(*keys).applyInPandas(peak, f"{fields}, peak double, value double")
 
 
-def surface_fit(cells: DataFrame, keys: list[str], cell_span: int = 4, smooth: float = 0.1, rows: int = 1, columns: int = 1) -> DataFrame:
-    """A smoothing surface over grid cells (gy, gx, v): linear B-splines with knots every cell_span cells, first differences penalised, evaluated at every cell of the grid.
-
-    The grid has rows x columns cells, or more where cells lie beyond; its extent gives the number of knots in each
-    direction. A knot that no cell touches takes the value of the nearest one that has some, with weight 1e-4; where under
-    60 % of the knots have cells, the surface is ten times as smooth. Spark joins each cell to its four knots and sums
-    the normal equations; the solve, one unknown for each knot, runs grouped by key.
+def _cubic(t):
+    """The four cubic B-spline weights of knots -1, 0, 1 and 2 at t in 0 .. 1, columns or numbers."""
+    return [(1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6]
+
+
+def _banded_solve(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The solution of a x = z for a symmetric positive definite band matrix: a[i, d] is the entry at row i, column i + d."""
+    n, width = a.shape
+    low, x = a.astype(float).copy(), z.astype(float).copy()
+    for i in range(n):  # Cholesky, column by column: only the band fills
+        low[i] /= np.sqrt(low[i, 0])
+        for d in range(1, min(width, n - i)):
+            low[i + d, : width - d] -= low[i, d] * low[i, d:]
+    for i in range(n):
+        x[i] /= low[i, 0]
+        end = min(width, n - i)
+        x[i + 1 : i + end] -= low[i, 1:end] * x[i]
+    for i in range(n - 1, -1, -1):
+        end = min(width, n - i)
+        x[i] = (x[i] - low[i, 1:end] @ x[i + 1 : i + end]) / low[i, 0]
+    return x
+
+
+def surface_fit(cells: DataFrame, keys: list[str], cell_span: int = 4, smooth: float = 0.1, rows: int = 1, columns: int = 1, prune: int | None = None) -> DataFrame:
+    """A smoothing surface over grid cells (gy, gx, v): tensor cubic B-splines with knots every cell_span cells, first differences penalised,
+    evaluated at every cell of the grid: keys, gy, gx, v, far (knots to the nearest that has cells, city blocks).
+
+    The grid has rows x columns cells, or more where cells lie beyond; its extent gives the number of knot intervals in each
+    direction. An interval without cells takes the largest of the values of the nearest ones with cells, as a point in its middle of weight
+    1e-4; where under 60 % of the intervals have cells, the surface is ten times as smooth; differences beyond the grid count half.
+    With prune, places more than prune intervals from any cell are left out. Spark joins each cell to its sixteen coefficients and sums the normal equations; their band matrix, as
+    wide as four rows of coefficients, is solved by Cholesky, grouped by key.
     """
     extent = cells.groupBy(*keys).agg(F.greatest(F.lit(rows), F.max("gy") + 1).alias("ny"), F.greatest(F.lit(columns), F.max("gx") + 1).alias("nx"))
-    iy, ix = F.floor(F.col("gy") / cell_span), F.floor(F.col("gx") / cell_span)
-    ty, tx = F.col("gy") / float(cell_span) - iy, F.col("gx") / float(cell_span) - ix
-    across = F.floor((F.col("nx") - 1) / cell_span) + 2
-    corners = F.array(*[F.struct(((iy + a) * across + ix + b).cast("int").alias("p"), (F.lit(a) * ty + (1 - a) * (1 - ty)).__mul__(F.lit(b) * tx + (1 - b) * (1 - tx)).alias("w")) for a in (0, 1) for b in (0, 1)])
-    c = cells.join(extent, keys).withColumn("c", corners)
+    iy, ix = F.floor(F.col("gy") / cell_span).cast("int"), F.floor(F.col("gx") / cell_span).cast("int")
+    c = cells.join(extent, keys).withColumns({"iy": iy, "ix": ix})
+    ty, tx = _cubic(F.col("gy") / float(cell_span) - iy), _cubic(F.col("gx") / float(cell_span) - ix)
+    touched = F.array(*[F.struct((F.col("iy") + p).alias("y"), (F.col("ix") + q).alias("x"), (ty[p] * tx[q]).alias("w")) for p in range(4) for q in range(4)])
+    c = c.withColumn("c", touched)
     pairs = c.select(*keys, "ny", "nx", "v", F.explode("c").alias("a"), "c").select(*keys, "ny", "nx", "v", "a", F.explode("c").alias("b"))
-    normal = pairs.groupBy(*keys, "ny", "nx", F.col("a.p").alias("p"), F.col("b.p").alias("q")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("m"), F.sum(F.when(F.col("a.p") == F.col("b.p"), F.col("a.w") * F.col("v"))).alias("z"), F.sum(F.when(F.col("a.p") == F.col("b.p"), F.col("a.w"))).alias("w"))
+    after = (F.col("b.y") > F.col("a.y")) | ((F.col("b.y") == F.col("a.y")) & (F.col("b.x") >= F.col("a.x")))
+    entry = [F.col("a.y").alias("y"), F.col("a.x").alias("x"), (F.col("b.y") - F.col("a.y")).alias("dy"), (F.col("b.x") - F.col("a.x")).alias("dx")]
+    own = F.when((F.col("a.y") == F.col("b.y")) & (F.col("a.x") == F.col("b.x")), F.col("a.w") * F.col("v"))
+    normal = pairs.where(after).groupBy(*keys, "ny", "nx", *entry).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("m"), F.sum(own).alias("z"))
+    full = c.groupBy(*keys, "ny", "nx", F.col("iy").alias("y"), F.col("ix").alias("x")).agg(F.avg("v").alias("mean"))
+    null = lambda kind: F.lit(None).cast(kind)
+    both = normal.withColumn("mean", null("double")).unionByName(full.withColumns({"dy": null("int"), "dx": null("int"), "m": null("double"), "z": null("double")}))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields)
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         ny, nx = int(g["ny"].iloc[0]), int(g["nx"].iloc[0])
-        ky, kx = (ny - 1) // cell_span + 2, (nx - 1) // cell_span + 2
-        n = ky * kx
-        a, z, w = np.zeros((n, n)), np.zeros(n), np.zeros(n)
-        a[g["p"], g["q"]] = g["m"]
-        own = g.dropna(subset=["z"])
-        z[own["p"]], w[own["p"]] = own["z"], own["w"]
-        at, has = np.stack(np.divmod(np.arange(n), kx), axis=1), w > 0
-        full = np.flatnonzero(has)
-        for i in np.flatnonzero(~has):
-            near = full[np.argmin(np.abs(at[full] - at[i]).sum(axis=1))]
-            a[i, i] += 1e-4
-            z[i] += 1e-4 * z[near] / w[near]
-        weight = smooth * (10 if len(full) < 0.6 * n else 1)
-        for i in range(n):
-            for o in ([i + 1] if i % kx < kx - 1 else []) + ([i + kx] if i + kx < n else []):
-                a[i, i] += weight
-                a[o, o] += weight
-                a[i, o] -= weight
-                a[o, i] -= weight
-        x = np.linalg.solve(a + 1e-9 * np.eye(n), z).reshape(ky, kx)
+        sy, sx = (ny - 1) // cell_span + 1, (nx - 1) // cell_span + 1  # intervals between knots; three coefficients more in each direction
+        ky, kx = sy + 3, sx + 3
+        a, z = np.zeros((ky * kx, 3 * kx + 4)), np.zeros(ky * kx)
+        e = g[g["m"].notna()]
+        at = (e["y"] * kx + e["x"]).to_numpy(np.int64)
+        np.add.at(a, (at, (e["dy"] * kx + e["dx"]).to_numpy(np.int64)), e["m"].to_numpy())
+        diagonal = e["z"].notna().to_numpy()
+        z[at[diagonal]] = e["z"].to_numpy()[diagonal]
+        f = g[g["mean"].notna()]
+        value, far = np.full((sy, sx), -np.inf), np.full((sy, sx), -1)
+        value[f["y"], f["x"]], far[f["y"], f["x"]] = f["mean"], 0
+        step = 0
+        while (far < 0).any():  # each step fills the intervals beside those that are filled
+            step += 1
+            wide = np.pad(value, 1, constant_values=-np.inf)
+            near = np.max([wide[:-2, 1:-1], wide[2:, 1:-1], wide[1:-1, :-2], wide[1:-1, 2:]], axis=0)
+            new = (far < 0) & (near > -np.inf)
+            value[new], far[new] = near[new], step
+        middle = np.array(_cubic(0.5))
+        weights = np.outer(middle, middle).ravel()
+        offsets = np.add.outer(np.arange(4) * kx, np.arange(4)).ravel()
+        for y, x in zip(*np.nonzero(far > 0), strict=True):
+            p = y * kx + x + offsets
+            z[p] += 1e-4 * weights * value[y, x]
+            for i in range(16):
+                a[p[i], offsets[i:] - offsets[i]] += 1e-4 * weights[i] * weights[i:]
+        weight = smooth * (10 if (far == 0).sum() < 0.6 * sy * sx else 1)
+        index = np.arange(ky * kx).reshape(ky, kx)
+        for first, second, place in ((index[:, :-1], index[:, 1:], np.arange(kx - 1)[None, :] >= 2), (index[:-1], index[1:], np.arange(ky - 1)[:, None] >= 2)):
+            w = np.broadcast_to(np.where(place, weight, weight / 4), first.shape).ravel()  # differences of the first coefficients, beyond the grid, count half
+            i, j = first.ravel(), second.ravel()
+            np.add.at(a, (i, 0), w)
+            np.add.at(a, (j, 0), w)
+            np.add.at(a, (i, j - i), -w)
+        a[:, 0] += 1e-9
+        x = _banded_solve(a, z).reshape(ky, kx)
         y, h = np.arange(ny), np.arange(nx)
-        i, t = y // cell_span, (y % cell_span) / cell_span
-        j, u = h // cell_span, (h % cell_span) / cell_span
-        lines = x[i] * (1 - t)[:, None] + x[i + 1] * t[:, None]
-        values = lines[:, j] * (1 - u)[None, :] + lines[:, j + 1] * u[None, :]
+        by, bx = np.zeros((ny, ky)), np.zeros((nx, kx))
+        for p, (u, v) in enumerate(zip(_cubic(y % cell_span / cell_span), _cubic(h % cell_span / cell_span), strict=True)):
+            by[y, y // cell_span + p], bx[h, h // cell_span + p] = u, v
         gy, gx = np.meshgrid(y, h, indexing="ij")
-        return pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "gy": gy.ravel(), "gx": gx.ravel(), "v": values.ravel()})
-
-    return normal.groupBy(*keys).applyInPandas(solve, f"{fields}, gy int, gx int, v double")
+        away = far[gy // cell_span, gx // cell_span].ravel()
+        out = pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "gy": gy.ravel(), "gx": gx.ravel(), "v": (by @ x @ bx.T).ravel(), "far": away})
+        return out if prune is None else out[away <= prune]
 
+    return both.groupBy(*keys).applyInPandas(solve, f"{fields}, gy int, gx int, v double, far int")
 
-def surface_eval(surface: DataFrame, cells: DataFrame, keys: list[str], step: int, far: int, lo: float, hi: float) -> DataFrame:
-    """The surface on a coarser grid, every step cells, without places farther than far cells (on the longer axis) from any filled one, values clamped.
 
-    Filled cells are sent to the coarse places in their reach, so the join is on equal keys.
-    """
-    first = lambda c: F.ceil((F.col(c) - far) / float(step)).cast("int")
-    last = lambda c: F.floor((F.col(c) + far) / float(step)).cast("int")
-    near = cells.where((first("gy") <= last("gy")) & (first("gx") <= last("gx"))).withColumn("cy", F.explode(F.sequence(first("gy"), last("gy")))).withColumn("cx", F.explode(F.sequence(first("gx"), last("gx"))))
-    near = near.select(*keys, (F.col("cy") * step).alias("gy"), (F.col("cx") * step).alias("gx")).distinct()
-    return surface.where((F.col("gy") % step == 0) & (F.col("gx") % step == 0)).join(near, [*keys, "gy", "gx"], "left_semi").withColumn("v", F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("v"))))
+def surface_eval(surface: DataFrame, keys: list[str], step: int, prune: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """A fitted surface (R6) on a coarser grid, every step cells, without places more than prune knots from any cell, values clamped to lo .. hi."""
+    v = F.col("v") if lo is None else F.greatest(F.lit(lo), F.col("v"))
+    v = v if hi is None else F.least(F.lit(hi), v)
+    return surface.where((F.col("gy") % step == 0) & (F.col("gx") % step == 0) & (F.col("far") <= prune)).select(*keys, "gy", "gx", v.alias("v"))

@@ -140,14 +140,14 @@ def _k18(spark, d):
 def _r6(spark, d):
     m = reports.classify_ms(view(spark, d, "v_edges"), 320, 240)
     cells = reports.grid_composite(m, 24.0)
-    return rounded(targets.surface_fit(cells.select("image_id", "direction", "gy", "gx", "v"), ["image_id", "direction"], rows=21, columns=28), "v", digits=6)
+    return rounded(targets.surface_fit(cells.select("image_id", "direction", "gy", "gx", "v"), ["image_id", "direction"], rows=21, columns=28), "v", digits=6).drop("far")
 
 
 @register("r8_surface_eval")
 def _r8(spark, d):
     k = ["image_id", "direction"]
     cells = reports.grid_composite(reports.classify_ms(view(spark, d, "v_edges"), 320, 240), 24.0).select(*k, "gy", "gx", "v")
-    return rounded(targets.surface_eval(targets.surface_fit(cells, k, rows=21, columns=28), cells, k, 2, 3, 0.0, 1.0), "v")
+    return rounded(targets.surface_eval(targets.surface_fit(cells, k, rows=21, columns=28), k, 2, 1, 0.0, 1.0), "v")
 
 
 @register("k19_irls_refit")

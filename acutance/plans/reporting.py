@@ -240,6 +240,15 @@ d as (select *, ex - 320 dx, ey - 240 dy from e where abs(red) <= 16 and image_i
 g2 as (select image_id, case when c > cos(radians(45)) then 'meridional' else 'sagittal' end direction, cast(round_even(ey/80, 0) as int) gy, cast(round_even(ex/80, 0) as int) gx, round(red, 4) red from c2),
 r2 as (select *, row_number() over (partition by image_id, direction, gy, gx order by abs(red) desc, red desc) k from g2) select image_id, direction, gy, gx, red + 0.0e0 v from r2 where k = 1""")
 def _r26(spark, d):
+    return reports.ca_surface(_red_shifts(spark, d), 80.0, "red")
+
+
+def _red_shifts(spark, d):
     s = reports.channel_shift(_channel_lsf(spark, d), ["edge_id"]).withColumnRenamed("edge_id", "e20")
     m = edges(spark, d).withColumn("e20", F.col("edge_id") % 20).join(s, "e20").withColumn("red", F.round(F.col("red_px") * 40, 4) + 0.0)
-    return reports.ca_surface(reports.classify_ms(m.where("abs(red_px * 40) <= 16"), 320, 240), 80.0, "red")
+    return reports.classify_ms(m.where("abs(red_px * 40) <= 16"), 320, 240)
+
+
+@register("r26_ca_map")
+def _r26_map(spark, d):
+    return rounded(reports.ca_map(_red_shifts(spark, d), 640, 480, 24.0, "red", "percent", sparse=True, step=2), "v")

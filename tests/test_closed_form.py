@@ -243,6 +243,66 @@ def test_surface_covers_the_grid(spark, rows, columns):
     assert all(abs(r.v - 0.01 * r.gy - 0.002 * r.gx) < 1e-3 for r in got if (r.gy, r.gx) in {c[1:3] for c in cells[:: 97]} | {cells[0][1:3]})
 
 
+def _b3(t):
+    """The cubic B-spline of the integer knots 0 .. 4."""
+    t = np.asarray(t, float)
+    pieces = [t**3 / 6, (-3 * t**3 + 12 * t**2 - 12 * t + 4) / 6, (3 * t**3 - 24 * t**2 + 60 * t - 44) / 6, (4 - t) ** 3 / 6]
+    return np.select([(t >= i) & (t < i + 1) for i in range(4)], pieces, 0.0)
+
+
+@pytest.mark.parametrize("rows, columns, share", [(21, 28, 0.3), (9, 50, 0.02), (33, 12, 0.004)])
+def test_surface_equals_dense_spline_fit(spark, rows, columns, share):
+    """All coefficients by one dense solve, empty intervals filled from the nearest ones: the same surface, dense and sparse."""
+    rng = np.random.default_rng(rows)
+    at = {(int(y), int(x)): float(rng.normal()) for y, x in zip(*np.nonzero(rng.random((rows, columns)) < share), strict=True)} or {(0, 0): 1.0}
+    cells = spark.createDataFrame([(1, y, x, v) for (y, x), v in at.items()], "image_id int, gy int, gx int, v double")
+    got = {(r.gy, r.gx): r for r in targets.surface_fit(cells, ["image_id"], smooth=0.01, rows=rows, columns=columns).collect()}
+    sy, sx = (rows - 1) // 4 + 1, (columns - 1) // 4 + 1
+    held = {}
+    for (y, x), v in at.items():
+        held.setdefault((y // 4, x // 4), []).append(v)
+    value, far, wave = {p: np.mean(v) for p, v in held.items()}, dict.fromkeys(held, 0), 0
+    while len(value) < sy * sx:
+        wave += 1
+        new = {}
+        for y in range(sy):
+            for x in range(sx):
+                near = [value[p] for p in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if p in value]
+                if (y, x) not in value and near:
+                    new[y, x] = max(near)
+        value |= new
+        far |= dict.fromkeys(new, wave)
+    points = [(y / 4, x / 4, v, 1.0) for (y, x), v in at.items()] + [(y + 0.5, x + 0.5, value[y, x], 1e-4) for y, x in value if far[y, x]]
+    py, px, z, w = (np.array(c) for c in zip(*points, strict=True))
+    basis = lambda y, x: (_b3(np.subtract.outer(y, np.arange(sy + 3) - 3))[:, :, None] * _b3(np.subtract.outer(x, np.arange(sx + 3) - 3))[:, None, :]).reshape(len(y), -1)
+    c = basis(py, px)
+    steps = lambda n: np.diff(np.eye(n), axis=0) * np.where(np.arange(n - 1) >= 2, 1.0, 0.5)[:, None]
+    dy, dx = steps(sy + 3), steps(sx + 3)
+    penalty = np.kron(dy.T @ dy, np.eye(sx + 3)) + np.kron(np.eye(sy + 3), dx.T @ dx)
+    weight = 0.01 * (10 if len(held) < 0.6 * sy * sx else 1)
+    x = np.linalg.solve(c.T @ (w[:, None] * c) + weight * penalty + 1e-9 * np.eye(c.shape[1]), c.T @ (w * z))
+    gy, gx = (a.ravel() for a in np.mgrid[0:rows, 0:columns])
+    want = basis(gy / 4, gx / 4) @ x
+    assert len(got) == rows * columns
+    assert max(abs(got[y, x].v - v) for y, x, v in zip(gy, gx, want, strict=True)) < 1e-7
+    assert all(got[y, x].far == far[y // 4, x // 4] for y, x in zip(gy, gx, strict=True))
+
+
+def test_shift_map_keeps_to_its_cells(spark):
+    from acutance.operators import reports
+
+    rows = [(1, "meridional", float(x), float(y), 0.004 * (x - 300)) for x in range(20, 600, 20) for y in range(20, 400, 20)] + [(1, "meridional", 300.0, 200.0, 99.0), (2, "meridional", 5.0, 5.0, 1.0)]
+    m = spark.createDataFrame(rows, "image_id int, direction string, ex double, ey double, shift double")
+    got = reports.ca_map(m, 600, 400, 10.0, "shift").collect()
+    assert {r.image_id for r in got} == {1} and all(abs(r.v - 0.004 * (r.x - 300)) < 0.1 for r in got if 40 <= r.x <= 560 and 40 <= r.y <= 360)
+    assert all(-1.12 <= r.v <= 1.12 for r in got)
+    wide = {(r.x, r.y): r.v for r in got}
+    for unit, scale in (("um", lambda x, y: 4.0), ("percent", lambda x, y: 100 / max(100, math.hypot(x - 300, y - 200)))):
+        for r in reports.ca_map(m, 600, 400, 10.0, "shift", unit, 4.0).collect():
+            if 60 <= r.x <= 540 and 60 <= r.y <= 340:
+                assert r.v == pytest.approx(wide[r.x, r.y] * scale(r.x, r.y), abs=0.08 * scale(r.x, r.y) + 0.02)
+
+
 def test_kernel_curves_recover_sharp_edges(spark):
     s = 0.6
     d = np.linspace(-30, 30, 4801)
