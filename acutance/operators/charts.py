@@ -131,19 +131,6 @@ def curve_peak(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return top.select(*keys, (-F.col("b.nx") + F.coalesce(shift, F.lit(0.0))).alias("peak"), F.col("b.y").alias("top"))
 
 
-def bootstrap_peak(ps: DataFrame, keys: list[str], x: str, y: str, replicates: int = 10) -> DataFrame:
-    """Peaks of parabolas fitted to strided subsamples, and the ends of their 5 .. 95 % ranks."""
-    from acutance.operators.geometry import quadratic_fit
-    from acutance.operators.reports import rank_pick
-
-    i = F.row_number().over(W.partitionBy(*keys).orderBy(x, y))
-    sub = ps.withColumn("rep", i % replicates)
-    fits = quadratic_fit(sub, [*keys, "rep"], x, y)
-    peaks = fits.where("a < 0").select(*keys, F.round(-F.col("b") / (2 * F.col("a")), 9).alias("peak"))
-    ends = rank_pick(peaks, keys, "peak", [0.05, 0.95])
-    return ends.groupBy(*keys).agg(F.max(F.when(F.col("q") == 0.05, F.col("value"))).alias("low"), F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("high"), F.max("n").alias("n"))
-
-
 def focal_ratio(props: DataFrame) -> DataFrame:
     """Focal length over sensor width from a map of camera properties: the 35 mm equivalent over 36; else by the diagonal and an aspect `a:b`;
     else by pixels and resolution; -1 if unknown."""
@@ -282,19 +269,3 @@ def focus_ridge(ps: DataFrame, keys: list[str], lines: list[float], reach: float
     sums = sums.where((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
     a, b, _ = cramer3([F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)])
     return sums.withColumn("a", a).withColumn("b", b).where("a < 0").select(*keys, "line", (-F.col("b") / (2 * F.col("a"))).alias("peak"), "n")
-
-
-def focus_curve(peaks: DataFrame, keys: list[str], most: float = 20.0, rounds: int = 3) -> DataFrame:
-    """A parabola through the peaks over the lines, weighted anew by 1 / |error|, outliers beyond most mm left out."""
-    from acutance.operators.geometry import quadratic_fit
-
-    fit = quadratic_fit(peaks, keys, "line", "peak")
-    for _ in range(rounds):
-        e = F.col("peak") - F.col("a") * F.col("line") ** 2 - F.col("b") * F.col("line") - F.col("c")
-        j = peaks.join(fit, keys).withColumn("e", F.abs(e)).where(F.col("e") <= most).withColumn("w", 1 / F.greatest(F.col("e"), F.lit(0.01)))
-        from acutance.operators.geometry import cramer3
-
-        s = j.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("w") * F.pow("line", F.lit(float(k)))).alias(f"s{k}") for k in range(5)], *[F.sum(F.col("w") * F.pow("line", F.lit(float(k))) * F.col("peak")).alias(f"t{k}") for k in range(3)]).where("n >= 3")
-        a, b, c = cramer3([F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)])
-        fit = s.select(*keys, a.alias("a"), b.alias("b"), c.alias("c"))
-    return fit

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from acutance.session import materialise
+
 
 def rank_pick(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
     """Order statistics at place floor(n q), counted from 0, without interpolation: one row for each key and q.
@@ -104,6 +107,82 @@ def local_linear(points: DataFrame, keys: list[str], x: str, y: str, n: int, lo:
     return sums.where("n >= 3").select(*keys, (F.lit(lo) + F.col("i") * step).alias("x"), value.alias("y"))
 
 
+def profile_points(m: DataFrame, sfr: DataFrame, keys: list[str], cx: float, cy: float, freqs: list[float], quality: float = 0.3) -> DataFrame:
+    """The contrast of each valid edge at up to three frequencies against the radius: image_id, direction, freq, radius, contrast.
+
+    m: keys (image_id among them), ex, ey, angle, mtf, quality; sfr: keys, k, m. Meridional within 15 degrees, sagittal beyond 75.
+    """
+    from acutance.operators.spectrum import contrast_at
+
+    if not 1 <= len(freqs) <= 3:
+        raise ValueError("one to three frequencies")
+    at = classify_ms(m.where((F.col("mtf") < 1) & (F.col("quality") > quality)), cx, cy, 15, 75).withColumn("radius", F.hypot(F.col("ex") - cx, F.col("ey") - cy))
+    at = at.select(*keys, "direction", "radius")
+    parts = [at.join(contrast_at(sfr, keys, f), keys).select("image_id", "direction", F.lit(float(f)).alias("freq"), "radius", "contrast") for f in freqs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def local_poly(points: DataFrame, keys: list[str], x: str, y: str, n: int = 64, sparse: bool = False, least: int = 20) -> DataFrame:
+    """A local polynomial at n places over the points' span: keys, i, x, y.
+
+    Third order, but second in the outer fifths and where a key has fewer than 80 points with its mirrored ends: five points at each end
+    stand again 1 % of the span farther out, and their neighbours 1.5 %. The weight is tricube over a fifth of the span. With sparse, places with fewer
+    than least points reach for the next ones on both sides, and each point weighs a quarter more. Keys need six points and a span above
+    0; places whose equations have no solution are left out. Points are joined to the places by their rank, so a place
+    meets its own points alone; the sums' small solves go by batches.
+    """
+    own = W.partitionBy(*keys)
+    p = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    order = own.orderBy("_x", "_y")
+    p = p.withColumns({"_n": F.count("*").over(own), "_lo": F.min("_x").over(own), "_hi": F.max("_x").over(own), "_i": F.row_number().over(order), "_next": F.lead("_y").over(order), "_before": F.lag("_y").over(order)})
+    p = p.where("_n >= 6 and _hi > _lo").withColumn("_span", F.col("_hi") - F.col("_lo"))
+    copy = lambda at, value: F.struct(at.alias("x"), value.alias("y"))
+    start = F.array(copy(F.col("_x") - 0.01 * F.col("_span"), F.col("_y")), copy(F.col("_x") - 0.015 * F.col("_span"), F.col("_next")))
+    end = F.array(copy(F.col("_x") + 0.01 * F.col("_span"), F.col("_y")), copy(F.col("_x") + 0.015 * F.col("_span"), F.col("_before")))
+    nothing = F.array().cast("array<struct<x:double,y:double>>")
+    here = F.concat(F.array(copy(F.col("_x"), F.col("_y"))), F.when(F.col("_i") <= 5, start).otherwise(nothing), F.when(F.col("_i") > F.col("_n") - 5, end).otherwise(nothing))
+    p = p.select(*keys, "_lo", "_span", F.inline(here)).withColumn("_rank", F.row_number().over(own.orderBy("x", "y")) - 1).withColumn("_all", F.count("*").over(own))
+    p = materialise(p, "profile-points")
+    frame = p.groupBy(*keys).agg(F.first("_lo").alias("_lo"), F.first("_span").alias("_span"), F.first("_all").alias("_all"))
+    place = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_mid", F.col("_lo") + (F.col("i") - 0.5) * F.col("_span") / (n - 2))
+    # How many points lie before each end of a place's reach: points and ends in one order.
+    ends = place.select(*keys, F.col("i"), F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("_mid") - F.col("_span") / 5).alias("x")), F.struct(F.lit(1).alias("side"), (F.col("_mid") + F.col("_span") / 5).alias("x")))).alias("e"))
+    both = ends.select(*keys, "i", "e.side", "e.x").unionByName(p.select(*keys, F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("side"), "x"))
+    counted = both.withColumn("c", F.count(F.when(F.col("side").isNull(), 1)).over(own.orderBy("x", F.col("side").isNull()).rowsBetween(W.unboundedPreceding, 0))).where("side is not null")
+    reach = counted.groupBy(*keys, "i").agg(F.max(F.when(F.col("side") == 0, F.col("c"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("c"))).alias("b"))
+    place = place.join(reach, [*keys, "i"])
+    if sparse:
+        wider = lambda s, _: F.when(s["b"] - s["a"] < least, F.struct(F.greatest(s["a"] - 1, F.lit(0)).alias("a"), F.least(s["b"] + 1, F.col("_all")).alias("b"))).otherwise(s)
+        grown = F.aggregate(F.sequence(F.lit(1), F.lit(least)), F.struct(F.col("a").alias("a"), F.col("b").alias("b")), wider)
+        place = place.withColumn("r", F.when(F.col("_all") > least, grown).otherwise(F.struct("a", "b"))).withColumns({"a": F.col("r.a"), "b": F.col("r.b")})
+    near = place.where("b > a").select(*keys, "i", "_mid", F.explode(F.sequence(F.col("a").cast("int"), (F.col("b") - 1).cast("int"))).alias("_rank"))
+    j = near.join(p, [*keys, "_rank"])
+    u = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("x") - F.col("_mid")) / F.col("_span")))
+    cube = F.pow(F.abs(u) * 5, F.lit(3.0))
+    w = F.when(F.abs(u) < 0.2, F.pow(1 - cube, F.lit(3.0))).otherwise(0.0) + (0.25 if sparse else 0.0)
+    j = j.select(*keys, "i", "_mid", "_all", u.alias("u"), (w * w).alias("w"), "y")
+    sums = j.groupBy(*keys, "i", "_mid", "_all").agg(*[F.sum(F.col("w") * F.pow("u", F.lit(float(k)))).alias(f"s{k}") for k in range(7)], *[F.sum(F.col("w") * F.pow("u", F.lit(float(k))) * F.col("y")).alias(f"t{k}") for k in range(4)])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+
+    def solve(batches):
+        for b in batches:
+            outer = (b["i"] < 0.2 * n) | (b["i"] >= 0.8 * n) | (b["_all"] < 80)
+            value = np.full(len(b), np.nan)
+            for size in (3, 4):
+                at = np.flatnonzero(outer == (size == 3))
+                r = np.arange(size)
+                a = b[[f"s{k}" for k in range(7)]].to_numpy()[at][:, r[:, None] + r[None, :]]
+                z = b[[f"t{k}" for k in range(size)]].to_numpy()[at]
+                sound = np.linalg.eigvalsh(a)[:, 0] > 1e-14 * np.maximum(a[:, 0, 0], 1e-300) if len(at) else np.zeros(0, bool)
+                value[at[sound]] = np.linalg.solve(a[sound], z[sound][:, :, None])[:, 0, 0]
+            yield b.assign(x=b["_mid"], y=value)[[*keys, "i", "x", "y"]][np.isfinite(value)]
+
+    return sums.mapInPandas(solve, f"{fields}, i int, x double, y double")
+
+
 def row_maxima(m: DataFrame, transpose: bool = False) -> DataFrame:
     """The largest value in each rounded row among near-horizontal edges (30 degrees) of quality 0.5 or more."""
     a = F.abs(F.col("angle") % 180)

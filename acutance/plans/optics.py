@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acutance.operators import charts, lens
+from acutance.operators import charts, focus, lens
 from acutance.plans.curves import rounded
 from acutance.plans.registry import register, view
 from acutance.plans.rasters import px
@@ -227,7 +227,7 @@ def _k20(spark, d):
 @register("k21_bootstrap_peak")
 def _k21(spark, d):
     e = view(spark, d, "v_events").select((F.col("edge_id") % 20).alias("edge_id"), (F.col("i") % 40).alias("x"), (F.col("v") - 0.05 * F.pow(F.col("i") % 40 - 18.0, 2.0)).alias("y"))
-    return rounded(charts.bootstrap_peak(e, ["edge_id"], "x", "y"), "low", "high", digits=4)
+    return rounded(focus.bootstrap_peak(e, ["edge_id"], "x", "y"), "low", "high", digits=4)
 
 
 @register("s17_camera_properties", """select c_custkey, round(case c_custkey % 4 when 0 then (35 + c_custkey % 9)/36.0e0 when 1 then 50/sqrt(43.3e0*43.3e0/(1 + 1/pow(3.0e0/2, 2))) when 2 then 50/(25.4e0*(4000 + c_custkey % 7)/3000) else -1 end, 8) focal_ratio from customer""")
@@ -327,17 +327,31 @@ def _k22(spark, d):
     return rounded(charts.focus_ridge(_focus(spark, d), ["image_id"], _LINES), "peak", digits=3)
 
 
+#: Lines on both sides of the chart's centre, 4 mm apart.
+_RIDGE = [float(side * v) for side in (-1, 1) for v in range(10, 91, 4)]
+
+
+@register("k22_focus_lines")
+def _k22_lines(spark, d):
+    return rounded(focus.focus_lines(_focus(spark, d), ["image_id"], _RIDGE), "y", "peak", digits=3)
+
+
 @register("k23_focus_curve")
 def _k23(spark, d):
-    peaks = charts.focus_ridge(_focus(spark, d), ["image_id"], _LINES)
-    return rounded(charts.focus_curve(peaks, ["image_id"]), "a", "b", "c")
+    """The best focus on the chart's axis and 40 mm to both sides, with bounds."""
+    from acutance.session import materialise
+
+    ridge = materialise(focus.focus_lines(_focus(spark, d), ["image_id"], _RIDGE), "focus-ridge")
+    at = [-40.0, 0.0, 40.0]
+    curve = focus.focus_curve(ridge, ["image_id"], at=at)
+    return rounded(curve.join(focus.focus_bounds(ridge, ["image_id"], at=at), ["image_id", "y"]), "peak", "low", "high", digits=2)
 
 
 @register("k24_bayer_focus")
 def _k24(spark, d):
     """The ridge of each channel: the channel is one more key."""
     s = _focus(spark, d).withColumn("channel", F.floor(F.col("depth") * 8).cast("int") % 3)
-    return rounded(charts.focus_ridge(s, ["image_id", "channel"], _LINES, least=20), "peak", digits=3)
+    return rounded(focus.focus_lines(s, ["image_id", "channel"], _RIDGE, least=20), "y", "peak", digits=3)
 
 
 @register("l13_two_pass")

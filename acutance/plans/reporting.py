@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acutance.operators import esf, reports
-from acutance.plans.curves import rounded
+from acutance.plans.curves import SFR, rounded, sfr
 from acutance.plans.registry import register, view
 from acutance.session import read_table
 
@@ -88,6 +88,26 @@ def _r11(spark, d):
     return rounded(rounded(reports.lens_profile(edges(spark, d), 320, 240), "radius"), "mtf", digits=9)
 
 
+_R11_AT = " union all ".join(f"select edge_id, {f}e0 freq, max(m) filter (k = {int(f * 64)}) + (max(m) filter (k = {int(f * 64) + 1}) - max(m) filter (k = {int(f * 64)}))*{f * 64 - int(f * 64)!r}e0 contrast from s group by 1" for f in (0.05, 0.1, 0.2))
+
+
+def _profile(spark, d):
+    e = edges(spark, d)
+    m = sfr(spark, d).withColumnRenamed("edge_id", "e20").join(e.select("image_id", "edge_id", (F.col("edge_id") % 20).alias("e20")), "e20")
+    return reports.profile_points(e, m, ["image_id", "edge_id"], 320, 240, [0.05, 0.1, 0.2])
+
+
+@register("r11_profile_points", SFR + f", {_R11}, ct as ({_R11_AT}) select image_id, direction, freq, round(radius, 6) radius, round(contrast, 6) + 0.0e0 contrast from prof join ct on ct.edge_id = prof.edge_id % 20")
+def _r11_points(spark, d):
+    return rounded(_profile(spark, d), "radius", "contrast")
+
+
+@register("r13_profile_curve")
+def _r13_curve(spark, d):
+    """The curves of R11's points, by local polynomials."""
+    return rounded(reports.local_poly(_profile(spark, d), ["image_id", "direction", "freq"], "radius", "contrast", sparse=True), "x", "y", digits=5)
+
+
 @register("r13_local_poly", """with p as (select image_id, sqrt(pow(ex - 320, 2) + pow(ey - 240, 2)) r, mtf from v_edges),
 n as (select image_id, i, r - i*400.0e0/63 u, pow(1 - pow(abs(r - i*400.0e0/63)/80, 3), 3) w, mtf from p, (select unnest(range(0, 64)) i) where abs(r - i*400.0e0/63) < 80),
 s as (select image_id, i, count(*) n, sum(w) s0, sum(w*u) s1, sum(w*u*u) s2, sum(w*mtf) t0, sum(w*u*mtf) t1 from n where w > 0 group by 1, 2)

@@ -393,3 +393,57 @@ def test_fiducial_code(spark):
     e = spark.createDataFrame([(0, 7, 30.0, 30.0, 20.0, 20.0, 0.0)], "image_id int, fid int, cx double, cy double, major double, minor double, angle double")
     r = charts.decode_fiducial(px, e).first()
     assert (r.code, r.valid) == (4 * 2 + 1, True)
+
+
+def _local_poly(xs, ys, n, sparse, least=20):
+    """The same curve by loops over the places of one key."""
+    data = sorted(zip(xs, ys, strict=True))
+    span, m, more = data[-1][0] - data[0][0], len(data), []
+    for i in range(5):
+        more += [(data[i][0] - 0.01 * span, data[i][1]), (data[i][0] - 0.015 * span, data[i + 1][1]), (data[m - 1 - i][0] + 0.01 * span, data[m - 1 - i][1]), (data[m - 1 - i][0] + 0.015 * span, data[m - 2 - i][1])]
+    full = sorted(data + more)
+    out = {}
+    for q in range(n):
+        size = 3 if q < 0.2 * n or q >= 0.8 * n or len(full) < 80 else 4
+        mid = data[0][0] + (q - 0.5) * span / (n - 2)
+        lo, hi = sum(x < mid - span / 5 for x, _ in full), sum(x < mid + span / 5 for x, _ in full)
+        while sparse and len(full) > least and hi - lo < least:
+            lo, hi = max(lo - 1, 0), min(hi + 1, len(full))
+        u = np.array([max(-1, min(1, (x - mid) / span)) for x, _ in full[lo:hi]])
+        w = np.where(np.abs(u) < 0.2, (1 - (np.abs(u) * 5) ** 3) ** 3, 0) + (0.25 if sparse else 0)
+        a = w[:, None] * u[:, None] ** np.arange(size)
+        cov = a.T @ a
+        if len(u) and np.linalg.eigvalsh(cov)[0] > 1e-12 * cov[0, 0]:
+            out[q] = mid, np.linalg.solve(cov, a.T @ (w * [y for _, y in full[lo:hi]]))[0]
+    return out
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_local_polynomials_equal_loops(spark, sparse):
+    from acutance.operators import reports
+
+    rng = np.random.default_rng(3)
+    groups = {1: np.sort(rng.uniform(0, 400, 150)), 2: np.sort(rng.uniform(5, 300, 24)), 3: np.concatenate((rng.uniform(0, 30, 12), rng.uniform(380, 400, 13))), 4: np.array([1.0, 2, 3]), 5: np.full(9, 7.0)}
+    ys = {g: 0.5 - 1e-6 * x**2 + rng.normal(0, 0.01, len(x)) for g, x in groups.items()}
+    df = spark.createDataFrame([(g, float(a), float(b)) for g in groups for a, b in zip(groups[g], ys[g], strict=True)] + [(1, None, 1.0), (1, 2.0, None)], "g int, r double, v double")
+    got = {}
+    for r in reports.local_poly(df, ["g"], "r", "v", sparse=sparse).collect():
+        got.setdefault(r.g, {})[r.i] = r.x, r.y
+    assert set(got) == {1, 2, 3}
+    for g in got:
+        want = _local_poly(groups[g].tolist(), ys[g].tolist(), 64, sparse)
+        assert len(set(want) ^ set(got[g])) <= 2 and (not sparse or len(got[g]) == 64)
+        for i in set(want) & set(got[g]):
+            assert got[g][i][0] == pytest.approx(want[i][0]) and got[g][i][1] == pytest.approx(want[i][1], abs=1e-5)
+
+
+def test_profile_points_at_three_frequencies(spark):
+    from acutance.operators import reports
+
+    m = spark.createDataFrame([(1, 1, 420.0, 240.0, 0.0, 0.4, 1.0), (1, 2, 320.0, 140.0, 3.0, 0.4, 1.0), (1, 3, 420.0, 340.0, 0.0, 0.4, 1.0), (1, 4, 420.0, 240.0, 0.0, 1.0, 1.0), (1, 5, 420.0, 240.0, 0.0, 0.4, 0.3)], "image_id int, edge_id int, ex double, ey double, angle double, mtf double, quality double")
+    sfr = m.select("image_id", "edge_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).withColumn("m", 1 - F.col("k") / 64.0)
+    got = {(r.direction, r.freq): (r.radius, r.contrast) for r in reports.profile_points(m, sfr, ["image_id", "edge_id"], 320, 240, [0.1, 0.25, 0.33]).collect()}
+    assert len(got) == 6 and {d for d, _ in got} == {"meridional", "sagittal"}
+    assert all(r == pytest.approx(100) and c == pytest.approx(1 - f) for (_, f), (r, c) in got.items())
+    with pytest.raises(ValueError):
+        reports.profile_points(m, sfr, ["image_id", "edge_id"], 320, 240, [0.1] * 4)
