@@ -253,9 +253,10 @@ def surface_fit(cells: DataFrame, keys: list[str], cell_span: int = 4, smooth: f
     extent = cells.groupBy(*keys).agg(F.greatest(F.lit(rows), F.max("gy") + 1).alias("ny"), F.greatest(F.lit(columns), F.max("gx") + 1).alias("nx"))
     iy, ix = F.floor(F.col("gy") / cell_span).cast("int"), F.floor(F.col("gx") / cell_span).cast("int")
     c = cells.join(extent, keys).withColumns({"iy": iy, "ix": ix})
-    ty, tx = _cubic(F.col("gy") / float(cell_span) - iy), _cubic(F.col("gx") / float(cell_span) - ix)
-    touched = F.array(*[F.struct((F.col("iy") + p).alias("y"), (F.col("ix") + q).alias("x"), (ty[p] * tx[q]).alias("w")) for p in range(4) for q in range(4)])
-    c = c.withColumn("c", touched)
+    c = c.withColumns({"ty": F.array(*_cubic(F.col("gy") / float(cell_span) - F.col("iy"))), "tx": F.array(*_cubic(F.col("gx") / float(cell_span) - F.col("ix")))})
+    four = F.sequence(F.lit(0), F.lit(3))
+    touched = F.flatten(F.transform(four, lambda p: F.transform(four, lambda q: F.struct((F.col("iy") + p).alias("y"), (F.col("ix") + q).alias("x"), (F.get("ty", p) * F.get("tx", q)).alias("w")))))
+    c = c.withColumn("c", touched).drop("ty", "tx")
     pairs = c.select(*keys, "ny", "nx", "v", F.explode("c").alias("a"), "c").select(*keys, "ny", "nx", "v", "a", F.explode("c").alias("b"))
     after = (F.col("b.y") > F.col("a.y")) | ((F.col("b.y") == F.col("a.y")) & (F.col("b.x") >= F.col("a.x")))
     entry = [F.col("a.y").alias("y"), F.col("a.x").alias("x"), (F.col("b.y") - F.col("a.y")).alias("dy"), (F.col("b.x") - F.col("a.x")).alias("dx")]

@@ -132,7 +132,7 @@ def _b12(spark, d):
 
 @register("k18_rational_fit")
 def _k18(spark, d):
-    s = view(spark, d, "v_samples").select(F.col("edge_id"), F.col("perp").alias("x"), (1 / (1 + F.pow((F.col("perp") - F.col("edge_id") * 0.2) / 20, 2.0)) + F.col("v") * 1e-9).alias("y"))
+    s = view(spark, d, "v_samples").select(F.col("edge_id"), F.col("perp").alias("x"), (1 / (1 + F.pow((F.col("perp") - F.col("edge_id") % 20 * 0.2) / 20, 2.0)) + F.col("v") * 1e-9).alias("y"))
     return rounded(targets.rational_fit(s, ["edge_id"], "x", "y"), "peak", "value", digits=4)
 
 
@@ -154,6 +154,6 @@ def _r8(spark, d):
 def _k19(spark, d):
     """The rational curve again with two in a hundred samples spoilt: the refit leaves them out."""
     spoilt = F.when(F.col("edge_id") * 7 % 50 + F.floor(F.abs(F.col("perp")) * 8) % 50 == 1, 1.3).otherwise(1.0)
-    y = spoilt / (1 + F.pow((F.col("perp") - F.col("edge_id") * 0.2) / 20, 2.0))
+    y = spoilt / (1 + F.pow((F.col("perp") - F.col("edge_id") % 20 * 0.2) / 20, 2.0))
     s = view(spark, d, "v_samples").select("edge_id", F.col("perp").alias("x"), y.alias("y"))
     return rounded(targets.rational_fit(s, ["edge_id"], "x", "y"), "peak", "value", digits=4)

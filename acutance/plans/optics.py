@@ -155,8 +155,11 @@ def _k9(spark, d):
 
 
 def poses(spark, d):
+    """A pose for each picture: four kinds by turns."""
     rows = [(i, charts.rotation(2.0 * i, 3.0 - i, 1.0 + i), [5.0 * i, -3.0, 900.0 + 20 * i], 1000.0 + 50 * i, -0.05 + 0.01 * i, 320.0, 240.0, 900.0 + 20 * i) for i in range(4)]
-    return spark.createDataFrame(rows, "image_id int, r array<double>, t array<double>, f double, k1 double, px double, py double, centre_depth double")
+    kinds = spark.createDataFrame(rows, "kind int, r array<double>, t array<double>, f double, k1 double, px double, py double, centre_depth double")
+    images = view(spark, d, "v_edges").select("image_id").distinct().withColumn("kind", F.col("image_id") % 4)
+    return images.join(F.broadcast(kinds), "kind").drop("kind")
 
 
 def _pose_sql() -> str:
@@ -164,7 +167,7 @@ def _pose_sql() -> str:
     for i in range(4):
         r = charts.rotation(2.0 * i, 3.0 - i, 1.0 + i)
         rows.append(f"({i}, [{', '.join(f'{v!r}::double' for v in r)}], [{5.0 * i}::double, -3.0::double, {900.0 + 20 * i}::double], {1000.0 + 50 * i}::double, {-0.05 + 0.01 * i!r}::double, 320.0::double, 240.0::double, {900.0 + 20 * i}::double)")
-    return f"ps as (select * from (values {', '.join(rows)}) t(image_id, r, t, f, k1, px, py, cd))"
+    return f"pk as (select * from (values {', '.join(rows)}) t(kind, r, t, f, k1, px, py, cd)), ps as (select image_id, pk.*exclude(kind) from (select distinct image_id from v_edges) join pk on kind = image_id % 4)"
 
 
 _CH = f"""{_pose_sql()}, cp as (select edge_id, image_id, (ex - 320)*0.5e0 xm, (ey - 240)*0.5e0 ym, mtf, quality from v_edges),

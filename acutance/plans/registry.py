@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acutance.session import read_table
 
-#: Views that make rasters, edge samples, measurements and curves of the given tables. The text is both Spark and DuckDB SQL.
+#: Views that make rasters, edge samples, measurements and curves of the given tables: more tables' rows make more pictures and edges, not larger ones.
+#: The text is both Spark and DuckDB SQL.
 VIEWS = {
     "v_pixels": """select cast(l_suppkey % 4 + 4*floor(l_orderkey / 15000.0E0) as int) image_id, cast(l_orderkey % 48 as int) y, cast(l_partkey % 32 as int) x,
   cast(floor(avg(l_extendedprice)*0.6) as int) v from lineitem group by 1, 2, 3""",
-    "v_samples": """select cast(l_suppkey % 20 as int) edge_id,
+    "v_samples": """select cast(l_suppkey % 20 + 20*floor(l_orderkey / 15000.0E0) as int) edge_id,
   (l_orderkey % 1000)/1000.0E0*56 - 28 + (l_partkey % 97)/776.0E0 perp, cast(l_partkey % 200 as double) par,
   2000.0E0 + 40000.0E0/(1.0E0+exp(-((l_orderkey % 1000)/1000.0E0*56 - 28 + (l_partkey % 97)/776.0E0)
     /(0.5E0+(l_suppkey % 20)*0.1E0))) + (l_quantity-25.5)*4 v from lineitem""",
-    "v_edges": """select cast(s_suppkey as int) edge_id, cast(s_suppkey % 4 as int) image_id,
+    "v_edges": """select cast(s_suppkey as int) edge_id, cast(s_suppkey % 4 + 4*floor(s_suppkey / 100.0E0) as int) image_id,
   cast((s_suppkey*37) % 640 as double) ex, cast((s_suppkey*53) % 480 as double) ey, s_suppkey*0.37E0 angle,
   0.1E0 + cast(s_acctbal+1000 as double)/30000 mtf, case when s_suppkey % 7=0 then 0.2E0 when s_suppkey % 3=0 then 0.5E0 else 1.0E0 end quality from supplier""",
     "v_events": """select cast(user_id as int) edge_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) i, value v from events""",

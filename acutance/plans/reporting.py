@@ -104,8 +104,8 @@ def _r11_points(spark, d):
 
 @register("r13_profile_curve")
 def _r13_curve(spark, d):
-    """The curves of R11's points, by local polynomials."""
-    return rounded(reports.local_poly(_profile(spark, d), ["image_id", "direction", "freq"], "radius", "contrast", sparse=True), "x", "y", digits=5)
+    """The curves of R11's points of all captures, by local polynomials."""
+    return rounded(reports.local_poly(_profile(spark, d), ["direction", "freq"], "radius", "contrast", sparse=True), "x", "y", digits=5)
 
 
 @register("r13_local_poly", """with p as (select image_id, sqrt(pow(ex - 320, 2) + pow(ey - 240, 2)) r, mtf from v_edges),
