@@ -165,6 +165,70 @@ def esf_loess(samples: DataFrame, keys: list[str], reach: float = 2.25, degree:
     return sums.groupBy(*keys).applyInPandas(solve, f"{fields}, bin int, v double")
 
 
+#: The ridge penalty of the edge's feet by the contrast-to-noise ratio.
+FEET_PENALTY = [
+    (4, 95), (5, 92), (6, 89), (7, 86), (8, 83), (9, 79), (10, 76), (12, 70), (14, 63), (16, 58), (18, 53), (20, 49), (22, 46), (24, 43), (26, 42), (28, 40), (30, 39), (35, 38), (40, 38),
+    (45, 36), (50, 34), (60, 30), (70, 27), (80, 22), (90, 14), (100, 7), (124, 2), (149, 2), (794, 1), (894, 1), (1000, 5e-8)]
+
+
+def esf_loess_zones(samples: DataFrame, about: DataFrame, keys: list[str], alpha: float = 13.0, reach: float = 2.25, degree: int = 6) -> DataFrame:
+    """B12 in full: keys, bin, v: the edge spread at every bin between the outermost samples.
+
+    about: keys, half_width (of the transition, in eighths of a pixel, from B6) and cnr. In the core, half_width and three bins to both sides, a Chebyshev fit to
+    the samples within reach, weighted by an exponential kernel that is flat over an eighth of a pixel (a quarter in the outer half). Its values are taken
+    relative to the bin before, and beyond three quarters of the core a ridge penalty that follows from the noise pulls them to it. Outside, a box mean of 0.24
+    pixels each way at the core, of 1 at twice its width and 1.5 from 2.25 times on. An empty box repeats the bin before, as does a bin with seven samples or fewer within reach.
+
+    Spark sums the moments of each bin. A bin's value is then linear in the one before, so one pass over an edge's bins, at most 512, runs grouped.
+    """
+    size, wide = degree + 1, 2 * degree + 1
+    low, high = F.floor(F.col("first") * 8 + 257).cast("int"), F.floor(F.col("last") * 8 + 255).cast("int")
+    ends = samples.groupBy(*keys).agg(F.min("perp").alias("first"), F.max("perp").alias("last")).select(*keys, low.alias("low"), high.alias("high"))
+    frame = about.select(*keys, "half_width", "cnr").join(ends, keys)
+    c, r = F.floor(F.col("perp") * 8 + 256).cast("int"), int(reach * 8)
+    near = samples.select(*keys, "perp", "v", F.explode(F.sequence(c - r, c + r + 1)).alias("bin")).join(frame, keys).where((F.col("bin") >= F.col("low")) & (F.col("bin") < F.col("high")))
+    mid = (F.col("bin") - 256) / 8.0
+    near = near.withColumns({"mid": mid, "core": F.abs(mid) < F.col("half_width") / 8 + 0.375, "d": F.col("perp") - mid}).where((F.col("d") >= -reach) & (F.col("d") < reach))
+    foot, middle, top = F.col("half_width") / 8 + 0.375, F.col("half_width") / 4.0, 2.25 * F.col("half_width") / 8
+    out = F.abs("mid")
+    span = F.when(out >= top, 1.5).when(out >= middle, 1 + (out - middle) / F.nullif(top - middle, F.lit(0.0)) * 0.5).otherwise(0.24 + (out - foot) / F.nullif(middle - foot, F.lit(0.0)) * 0.76)
+    flat = F.when(out >= F.col("half_width") / 16, 0.25).otherwise(0.125)
+    kernel = F.when(F.abs("d") < flat, 1.0).otherwise(F.exp(-alpha * (F.abs("d") - flat)))
+    near = near.withColumns({"w": F.when(F.col("core"), kernel * kernel), "inside": ~F.col("core") & (F.col("d") >= -span) & (F.col("d") < span), "u": F.col("d") / reach})
+    cheb = [F.lit(1.0), F.col("u")]
+    for _ in range(2, wide):
+        cheb.append(2 * F.col("u") * cheb[-1] - cheb[-2])
+    near = near.withColumn("t", F.array(*cheb))
+    moments = [F.sum(F.col("w") * F.col("t")[i]).alias(f"m{i}") for i in range(wide)]
+    values = [F.sum(F.col("w") * F.col("t")[i] * F.col("v")).alias(f"b{i}") for i in range(size)]
+    sums = near.groupBy(*keys, "bin", "half_width", "cnr", "low", "high", "core").agg(F.count("*").alias("n"), F.count_if("inside").alias("boxed"), F.sum(F.when(F.col("inside"), F.col("v"))).alias("box"), *moments, *values)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.select(*keys).schema.fields)
+    noise, penalty = (np.array(x, float) for x in zip(*FEET_PENALTY, strict=True))
+
+    def scan(g: pd.DataFrame) -> pd.DataFrame:
+        width, bins = float(g["half_width"].iloc[0]), np.arange(int(g["low"].iloc[0]), int(g["high"].iloc[0]))
+        own, pull = np.full(len(bins), np.nan), np.zeros(len(bins))  # v = own + pull * (v of the bin before)
+        e = g[g["core"] & (g["n"] >= size)]
+        if len(e):
+            i = np.arange(size)
+            m, b = e[[f"m{k}" for k in range(wide)]].to_numpy(), e[[f"b{k}" for k in i]].to_numpy()
+            a = (m[:, i[:, None] + i[None, :]] + m[:, np.abs(i[:, None] - i[None, :])]) / 2
+            far = np.abs(e["bin"].to_numpy() - 256) / 8 > 0.75 * width / 8
+            a = a + np.where(far, np.interp(e["cnr"].iloc[0], noise, penalty), 5e-8)[:, None, None] * np.eye(size)
+            x = np.linalg.solve(a, np.stack((b, m[:, :size]), axis=2))
+            at0 = np.array([[1, 0, -1, 0][k % 4] for k in i])
+            value, share = at0 @ x[:, :, 0].T, at0 @ x[:, :, 1].T
+            own[e["bin"] - bins[0]], pull[e["bin"] - bins[0]] = value, 1 - share
+        o = g[~g["core"] & (g["n"] >= size) & (g["boxed"] > 0)]
+        own[o["bin"] - bins[0]] = o["box"] / o["boxed"]
+        v, before = np.empty(len(bins)), 0.0
+        for k in range(len(bins)):
+            before = v[k] = before if np.isnan(own[k]) else own[k] + pull[k] * before
+        return pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "bin": bins, "v": v})
+
+    return sums.groupBy(*keys).applyInPandas(scan, f"{fields}, bin int, v double")
+
+
 def rational_fit(ps: DataFrame, keys: list[str], x: str, y: str, n: int = 4, m: int = 2, passes: int = 8, at: int = 64) -> DataFrame:
     """A rational curve of orders (n, m) in Chebyshev terms, by re-linearised normal equations, and its peak.
 

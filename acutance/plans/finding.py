@@ -130,6 +130,14 @@ def _b12(spark, d):
     return rounded(targets.esf_loess(view(spark, d, "v_samples"), ["edge_id"]), "v", digits=3)
 
 
+@register("b12_loess_zones")
+def _b12_zones(spark, d):
+    s = view(spark, d, "v_samples")
+    width = esf.transition_width(padded(spark, d), ["edge_id"])
+    about = width.join(esf.snr_ratios(esf.snr(s, padded(spark, d), ["edge_id"])), "edge_id").select("edge_id", "half_width", F.col("mean_cnr").alias("cnr"))
+    return rounded(targets.esf_loess_zones(s, about, ["edge_id"]), "v", digits=3)
+
+
 @register("k18_rational_fit")
 def _k18(spark, d):
     s = view(spark, d, "v_samples").select(F.col("edge_id"), F.col("perp").alias("x"), (1 / (1 + F.pow((F.col("perp") - F.col("edge_id") % 20 * 0.2) / 20, 2.0)) + F.col("v") * 1e-9).alias("y"))

@@ -243,6 +243,52 @@ def test_surface_covers_the_grid(spark, rows, columns):
     assert all(abs(r.v - 0.01 * r.gy - 0.002 * r.gx) < 1e-3 for r in got if (r.gy, r.gx) in {c[1:3] for c in cells[:: 97]} | {cells[0][1:3]})
 
 
+def _loess(perp, v, width, cnr):
+    """The same edge spread by a loop over bins."""
+    at = np.argsort(perp)
+    perp, v, mean, out = perp[at], v[at], 0.0, {}
+    noise, penalty = zip(*targets.FEET_PENALTY, strict=True)
+    for b in range(int(perp[0] * 8 + 257), int(perp[-1] * 8 + 255)):
+        mid = (b - 256) / 8
+        near = (perp >= mid - 2.25) & (perp < mid + 2.25)
+        d = perp[near] - mid
+        if near.sum() >= 7:
+            if abs(mid) < width / 8 + 0.375:
+                flat = 0.25 if abs(mid) >= width / 16 else 0.125
+                w = np.where(np.abs(d) < flat, 1, np.exp(-13 * (np.abs(d) - flat)))
+                design = w[:, None] * np.polynomial.chebyshev.chebvander(d / 2.25, 6)
+                phi = np.interp(cnr, noise, penalty) if abs(mid) > 0.75 * width / 8 else 5e-8
+                c = np.linalg.solve(design.T @ design + phi * np.eye(7), design.T @ (w * (v[near] - mean)))
+                mean += c[0] + c[4] - c[2] - c[6]
+            else:
+                foot, middle, top = width / 8 + 0.375, width / 4, 2.25 * width / 8
+                span = 1.5 if abs(mid) >= top else 1 + (abs(mid) - middle) / (top - middle) * 0.5 if abs(mid) >= middle else 0.24 + (abs(mid) - foot) / (middle - foot) * 0.76
+                box = v[near][(d >= -span) & (d < span)]
+                mean = box.mean() if len(box) else mean
+        out[b] = mean
+    return out
+
+
+def test_loess_zones_equal_a_loop(spark):
+    rng, rows, edges = np.random.default_rng(1), [], []
+    for i, (s, noise, n, width, cnr) in enumerate([(0.5, 0.0, 900, 12, 1200.0), (1.2, 300.0, 700, 24, 33.0), (0.8, 900.0, 120, 18, 3.0)]):
+        perp = rng.uniform(-28, 28, n)
+        v = 2000 + 40000 / (1 + np.exp(-perp / s)) + rng.normal(0, 1, n) * noise
+        rows += [(i, float(a), float(b)) for a, b in zip(perp, v, strict=True)]
+        edges.append((perp, v, width, cnr))
+    samples = spark.createDataFrame(rows, "edge_id int, perp double, v double")
+    about = spark.createDataFrame([(i, e[2], e[3]) for i, e in enumerate(edges)], "edge_id int, half_width int, cnr double")
+    got = {}
+    for r in targets.esf_loess_zones(samples, about, EK).collect():
+        got.setdefault(r.edge_id, {})[r.bin] = r.v
+    for i, e in enumerate(edges):
+        want = _loess(*e)
+        assert set(got[i]) == set(want)
+        assert max(abs(got[i][b] - want[b]) for b in want) < 1e-3 * 40000 * (1e-3 if i < 2 else 1)
+    core = [(b, got[0][b]) for b in got[0] if abs(b - 256) < 40]
+    assert max(abs(v - 2000 - 40000 / (1 + math.exp(-(b - 256) / 8 / 0.5))) for b, v in core) < 400
+
+
 def _b3(t):
     """The cubic B-spline of the integer knots 0 .. 4."""
     t = np.asarray(t, float)

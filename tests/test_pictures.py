@@ -45,6 +45,39 @@ def test_windows_slide_along_the_long_sides(spark):
     assert all(r.mtf50 < 1 and r.quality > 0.2 for r in rows)
 
 
+def test_regions_of_interest_with_options(spark):
+    """Regions on a gamma-coded picture, cropped, by both curve models and by one colour's sites."""
+    px, expected = rendered(spark, [(90.3, 88.8, 96.0, 8.0)], 180, 0.9)
+    coded = px.withColumn("v", F.rint(65535 * (1.055 * F.pow(F.col("v") / 65535, F.lit(1 / 2.4)) - 0.055)))
+    t = math.radians(8)
+    mid = lambda u: (90.3 + 48 * math.cos(u) - 10, 88.8 + 48 * math.sin(u) - 4)  # noqa: E731  the sides' middles after the crop
+    rois = []
+    for i in range(2):
+        (x, y), a = mid(t + i * math.pi / 2), t + (i + 1) * math.pi / 2
+        rois.append((0, i, x - 38 * math.cos(a), y - 38 * math.sin(a), x + 38 * math.cos(a), y + 38 * math.sin(a)))
+    rois = spark.createDataFrame([*rois, (0, 9, 3.0, 3.0, 3.5, 3.0)], "image_id int, roi_id int, ax double, ay double, bx double, by double")
+    options = spark.createDataFrame([(0, "srgb", 4, 175, 10, 175)], "image_id int, curve string, y0 int, y1 int, x0 int, x1 int")
+    for model, tol in (("kernel", 0.02), ("loess", 0.03)):
+        got = {r.roi_id: r.mtf50 for r in measure.measure_rois(coded, rois, model=model, options=options).collect()}
+        assert {0, 1} <= set(got) and all(got[i] == pytest.approx(expected, rel=tol) for i in (0, 1))
+    green = options.withColumns({"cfa": F.lit("rggb"), "colour": F.lit("g")})
+    got = {r.roi_id: r.mtf50 for r in measure.measure_rois(coded, rois, options=green).collect()}
+    assert all(got[i] == pytest.approx(expected, rel=0.05) for i in (0, 1))
+
+
+def test_options_change_their_pictures_alone(spark):
+    px = spark.createDataFrame([(i, y, x, 10 * y + x + 1) for i in (1, 2, 3, 4, 5) for y in range(4) for x in range(4)] + [(1, 0, 0, None)], "image_id int, y int, x int, v int")
+    o = spark.createDataFrame([(2, "8bit", None, None, None, None, None, None, None), (3, None, True, None, None, None, None, None, None), (4, None, None, "rggb", "b", None, None, None, None), (5, None, None, None, None, 1, 2, 2, 3)], "image_id int, curve string, invert boolean, cfa string, colour string, y0 int, y1 int, x0 int, x1 int")
+    got = {}
+    for r in measure.prepared(px, o).collect():
+        got.setdefault(r.image_id, {})[r.y, r.x] = r.v
+    plain = {(y, x): 10.0 * y + x + 1 for y in range(4) for x in range(4)}
+    assert got[1] == plain and got[2] == {p: 256 * v for p, v in plain.items()}
+    assert got[3] == {p: 63 - v for p, v in plain.items()}
+    assert got[4] == {p: v for p, v in plain.items() if p[0] % 2 and p[1] % 2}
+    assert got[5] == {(y - 1, x - 2): plain[y, x] for y in (1, 2) for x in (2, 3)}
+
+
 def test_windows_of_given_number(spark):
     e = spark.createDataFrame([(1, 0.0, 100.0), (2, 0.0, 40.0), (3, 0.0, 39.0), (4, -10.0, 45.0)], "edge_id int, lo double, hi double")
     got = {}
