@@ -129,29 +129,32 @@ def _t1(spark, d):
     return rounded(arrivals.run_corpus(view(spark, d, "v_samples"), ["edge_id"]), "mtf50")
 
 
-def pictures(spark, d, n: int = 110, side: float = 64.0):
-    """A picture for each supplier: a turned dark square with logistic sides of scale s, which follows from the balance; noise from a hash.
-
-    (image_id, y, x, v), and the expected value 2.1773189849653063 / (2 pi^2 s) of its edges.
-    """
-    s = read_table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("image_id"), (0.35 + (F.col("s_acctbal").cast("double") + 1000) / 20000).alias("s"), F.radians(3 + F.pmod(F.col("s_suppkey") * 7.3, F.lit(39.0))).alias("a"))
-    at = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    p = s.withColumn("y", at).withColumn("x", at)
-    dx, dy, c, w = F.col("x") - (n / 2 + 0.21), F.col("y") - (n / 2 - 0.13), F.cos("a"), F.sin("a")
-    step = lambda t: 1 / (1 + F.exp(-t / F.col("s")))
-    inside = lambda t: step(t + side / 2) - step(t - side / 2)
-    noise = (F.pmod(F.xxhash64("image_id", "y", "x"), F.lit(1001)) - 500) * 0.2
-    grey = p.select("image_id", "y", "x", (45000 - 37000 * inside(dx * c + dy * w) * inside(dy * c - dx * w) + noise).alias("v"))
-    return grey, s.select("image_id", (2.1773189849653063 / (2 * math.pi**2) / F.col("s")).alias("expected"))
+def expected(spark, d):
+    """The closed form of the pictures of v_targets, a dark square with logistic sides of scale s each: 2.1773189849653063 / (2 pi^2 s)."""
+    s = read_table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("image_id"), (0.35 + (F.col("s_acctbal").cast("double") + 1000) / 20000).alias("s"))
+    return s.select("image_id", (2.1773189849653063 / (2 * math.pi**2) / F.col("s")).alias("expected"))
 
 
 @register("t1_measure_pictures")
 def _t1_pictures(spark, d):
-    grey, expected = pictures(spark, d)
-    m = measure.measure_pictures(grey).join(expected, "image_id")
+    m = measure.measure_pictures(view(spark, d, "v_targets")).join(expected(spark, d), "image_id")
     return rounded(m.select("image_id", "label", "side", "mtf50", "expected", "quality", "reduced_angle", "length", "contaminated"), "mtf50", "expected", "reduced_angle", "length")
 
 
+@register("q24_measure_windows")
+def _q24_windows(spark, d):
+    """Windows along the long sides of the pictures of v_targets."""
+    m = measure.measure_windows(view(spark, d, "v_targets")).join(expected(spark, d), "image_id")
+    return rounded(m.select("image_id", "label", "side", "window", "mtf50", "expected", "quality", "cx", "cy"), "mtf50", "expected", "cx", "cy")
+
+
+@register("l13_two_pass_pictures")
+def _l13_pictures(spark, d):
+    """The pictures of v_targets, through a fit of their ridges and moved back."""
+    m, k = measure.two_pass(view(spark, d, "v_targets"), rounds=5)
+    return rounded(m.select("image_id", "label", "side", "mtf50").join(k, "image_id").join(expected(spark, d), "image_id"), "mtf50", "expected", "k1", "k2")
+
+
 @register("t2_job_status", """select cast(c_custkey as int) image_id, case when c_custkey % 7 = 0 or c_custkey % 5 = 0 or c_custkey % 3 = 0 then 'failed' else 'completed' end status,
   case when c_custkey % 7 = 0 then 'unsupported encoding' when c_custkey % 5 = 0 then 'open failure' when c_custkey % 3 = 0 then 'no targets' end reason from customer""")
 def _t2(spark, d):

@@ -21,6 +21,11 @@ VIEWS = {
     "v_edges": """select cast(s_suppkey as int) edge_id, cast(s_suppkey % 4 + 4*floor(s_suppkey / 100.0E0) as int) image_id,
   cast((s_suppkey*37) % 640 as double) ex, cast((s_suppkey*53) % 480 as double) ey, s_suppkey*0.37E0 angle,
   0.1E0 + cast(s_acctbal+1000 as double)/30000 mtf, case when s_suppkey % 7=0 then 0.2E0 when s_suppkey % 3=0 then 0.5E0 else 1.0E0 end quality from supplier""",
+    "v_targets": """select image_id, y, x, 45000 - 37000*(1/(1 + exp(-(u + 32)/s)) - 1/(1 + exp(-(u - 32)/s)))*(1/(1 + exp(-(w + 32)/s)) - 1/(1 + exp(-(w - 32)/s)))
+  + ((image_id*7919 + y*y*613 + x*x*331 + x*y*(31 + image_id % 7)) % 1001 - 500)*0.2E0 v from
+  (select image_id, s, y, x, (x - 55.21E0)*cos(a) + (y - 54.87E0)*sin(a) u, (y - 54.87E0)*cos(a) - (x - 55.21E0)*sin(a) w from
+    (select cast(s_suppkey as int) image_id, 0.35E0 + cast(s_acctbal + 1000 as double)/20000 s, radians(3 + (s_suppkey*73 % 390)/10.0E0) a from supplier)
+    cross join (select cast(y as int) y from range(110) ty(y)) cross join (select cast(x as int) x from range(110) tx(x)))""",
     "v_events": """select cast(user_id as int) edge_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) i, value v from events""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -30,6 +30,14 @@ def follow_arrivals(spark: SparkSession, source: str, schema, log: str, out: str
     return rows.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(measure).start()
 
 
+def follow_pictures(spark: SparkSession, source: str, log: str, out: str, max_files: int = 100, **how):
+    """T5 from pixels: Parquet files of pixels (image_id, y, x, v) that arrive in a folder; a picture is in one file. Each micro-batch goes through the whole
+    measurement (how: see measure_pictures) and writes a folder of its own number, so a repeated batch replaces itself."""
+    from acutance.operators.measure import measure_pictures
+
+    return follow_arrivals(spark, source, "image_id int, y int, x int, v double", log, out, ["image_id"], lambda px, _: measure_pictures(px, **how), max_files)
+
+
 #: User functions by kind and name.
 _strategies: dict[tuple[str, str], Callable] = {}
 

@@ -118,3 +118,18 @@ def test_bent_pictures_come_back_in_two_passes(spark):
     assert at(0.7) == pytest.approx(-0.12 * 0.49, abs=0.006)
     off = sorted(abs(r.mtf50 / expected - 1) for r in rows.collect())
     assert len(off) >= 32 and off[len(off) // 2] < 0.02 and off[int(0.9 * len(off))] < 0.05
+
+
+def test_pictures_are_measured_as_they_arrive(spark, tmp_path):
+    from acutance.streaming import arrivals
+
+    one, first = rendered(spark, [(60.0, 60.0, 64.0, 7.0)], 120, 0.8)
+    two, second = rendered(spark, [(61.0, 59.0, 64.0, 21.0)], 120, 1.4)
+    source, log, out = (f"file://{tmp_path}/{x}" for x in ("in", "log", "out"))
+    for i, px in enumerate((one, two)):
+        px.withColumn("image_id", F.lit(i)).coalesce(1).write.mode("append").parquet(source)
+    arrivals.follow_pictures(spark, source, log, out, max_files=1).awaitTermination()
+    got = spark.read.parquet(out).select("image_id", "side", "mtf50", "batch").collect()
+    assert len(got) == 8 and len({r.batch for r in got}) == 2
+    for r in got:
+        assert r.mtf50 == pytest.approx((first, second)[r.image_id], rel=0.02)
