@@ -315,6 +315,41 @@ def autocrop_bounds(proj: DataFrame, border: int = 150) -> DataFrame:
     return b.select("image_id", "axis", (lo - lo % 2).alias("lo"), (hi - hi % 2).alias("hi"))
 
 
+def autocrop_margins(proj: DataFrame, border: int = 150) -> DataFrame:
+    """H5 in full: image_id, axis, lo, hi: as autocrop_bounds, with a second threshold where a margin is bright.
+
+    A margin is a run of places not darker than Otsu's threshold that begins within a tenth of the axis from its end, up to a quarter of the axis. Where an
+    axis has one, values above the threshold are replaced by the median and the threshold is taken anew. The last bright place is sought from the left margin's
+    end on, the first one before the right margin's start; a place that is bright by the new threshold counts, in the other margin too.
+    """
+    level = F.rint(F.col("s") * 20).cast("int")
+    axis = ["image_id", "axis"]
+
+    def threshold(rows: DataFrame, name: str) -> DataFrame:
+        h = rows.select(F.struct(*axis).alias("image_id"), F.col("v")).groupBy("image_id", "v").agg(F.count("*").alias("n"))
+        return otsu(h).select("image_id.*", F.col("threshold").alias(name))
+
+    p = proj.select(*axis, "at", level.alias("v"))
+    p = p.join(threshold(p, "t"), axis).withColumn("n", F.count("*").over(W.partitionBy(*axis)))
+    quarter, three = F.floor(F.col("n") / 4), F.floor(3 * F.col("n") / 4)
+    bright, dim = F.col("v") >= F.col("t"), F.col("v") <= F.col("t")
+    first = p.groupBy(*axis, "n", "t").agg(F.min(F.when(bright, F.col("at"))).alias("l1"), F.max(F.when(bright, F.col("at"))).alias("r1"))
+    first = first.withColumns({"l1": F.least(F.coalesce("l1", quarter), quarter), "r1": F.greatest(F.coalesce("r1", three), three)})
+    ends = p.join(first.select(*axis, "l1", "r1"), axis).groupBy(*axis, "n", "t", "l1", "r1").agg(F.min(F.when(dim & (F.col("at") >= F.col("l1")), F.col("at"))).alias("l2"), F.max(F.when(dim & (F.col("at") <= F.col("r1")), F.col("at"))).alias("r2"))
+    left = F.when(F.col("l1") < 0.1 * F.col("n"), F.least(F.coalesce("l2", quarter), quarter)).otherwise(0)
+    right = F.when(F.col("r1") > 0.9 * F.col("n"), F.greatest(F.coalesce("r2", three), three)).otherwise(F.col("n") - 1)
+    ends = ends.select(*axis, "n", left.alias("left"), right.alias("right"))
+    ends = ends.withColumn("skips", (F.col("left") > 0) | (F.col("right") < F.col("n") - 1)).drop("n")
+    p = p.join(ends, axis).withColumn("_i", F.row_number().over(W.partitionBy(*axis).orderBy("v", "at")) - 1)
+    middle = F.max(F.when(F.col("_i") == F.floor(F.col("n") / 2), F.col("v"))).over(W.partitionBy(*axis))
+    p = p.withColumn("calm", F.when(F.col("skips") & (F.col("v") > F.col("t")), middle).otherwise(F.col("v")))
+    p = p.join(threshold(p.select(*axis, F.col("calm").alias("v")), "t2"), axis, "left").withColumn("t2", F.when(F.col("skips"), F.coalesce("t2", "t")).otherwise(F.col("t")))
+    lit = F.col("v") > F.col("t2")
+    b = p.groupBy(*axis, "left", "right", "n").agg(F.max(F.when(lit & (F.col("at") >= F.col("left")), F.col("at"))).alias("z"), F.min(F.when(lit & (F.col("at") <= F.col("right")) & (F.col("at") > 0), F.col("at"))).alias("a"))
+    lo, hi = F.coalesce("a", "right") - border, F.least(F.col("n") - 1, F.coalesce("z", "left") + border)
+    return b.select(*axis, F.greatest(F.lit(0), lo + lo % 2).cast("int").alias("lo"), (hi - hi % 2).cast("int").alias("hi"))
+
+
 def bar_bounds(px: DataFrame, images: DataFrame, threshold: float, share: float = 0.035) -> DataFrame:
     """H6: in each column, the first dark run from the top that is shorter than a share of the height; columns without one are left out."""
     dark = px.where(F.col("v") < threshold).select("image_id", "y", "x")
@@ -324,6 +359,42 @@ def bar_bounds(px: DataFrame, images: DataFrame, threshold: float, share: float
     return r.groupBy("image_id", "x").agg(F.min(F.struct("y0", "n")).alias("s")).select("image_id", "x", F.col("s.y0").alias("y"), F.col("s.n").alias("n"))
 
 
+def bar_points(px: DataFrame, images: DataFrame, threshold: float | str, share: float = 0.035) -> DataFrame:
+    """H6, points: image_id, side (top, bottom), x, y: in each column, where the first dark run from that side ends, if it begins within a fifth of the height and is
+    shorter than a share of it. threshold: a number, or a column of images."""
+    dark = F.col("v") <= (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold))
+    p = px.join(images, "image_id")
+    reach, most = F.floor(F.col("height") / 5), F.floor(share * F.col("height"))
+    island = F.col("y") - F.row_number().over(W.partitionBy("image_id", "x").orderBy("y"))
+    runs = p.where(dark).withColumn("_i", island).groupBy("image_id", "x", "height", "_i").agg(F.min("y").alias("a"), F.max("y").alias("z"))
+    ends = runs.groupBy("image_id", "x", "height").agg(F.min(F.struct("a", "z")).alias("t"), F.max(F.struct("z", "a")).alias("b"))
+    long = F.col("z") - F.col("a") + 1
+    top = ends.select("image_id", "x", "height", "t.a", "t.z").where((F.col("a") < reach) & (long < most) & (F.col("z") < F.col("height") - 1)).select("image_id", F.lit("top").alias("side"), "x", (F.col("z") + 1).alias("y"))
+    bottom = ends.select("image_id", "x", "height", "b.a", "b.z").where((F.col("z") > F.col("height") - 1 - reach) & (long < most) & (F.col("a") > 0)).select("image_id", F.lit("bottom").alias("side"), "x", (F.col("a") - 1).alias("y"))
+    return top.unionByName(bottom)
+
+
+def bar_crop(px: DataFrame, images: DataFrame, lines, threshold: float | str, share: float = 0.035) -> DataFrame:
+    """H6 in full: image_id, y0, y1, fill for every picture: the rows between the bars at top and bottom, and the value to fill them with.
+
+    lines: a robust line through points x, y by keys (H7). Bars count if each side has ten points that span the columns from 30 to 70 %, and both lines
+    are found; the crop then begins below the lower end of the top line and ends above the higher end of the bottom one. Else it is the
+    whole picture. fill: the brightness that a quarter of the pixels exceed, in steps of 8.
+    """
+    keys = ["image_id", "side"]
+    pts = bar_points(px, images, threshold, share)
+    sound = pts.join(images, "image_id").groupBy(*keys, "width").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    sound = sound.where((F.col("n") >= 10) & (F.col("x0") <= 0.3 * F.col("width")) & (F.col("x1") >= 0.7 * F.col("width")))
+    at = lines(pts.join(sound.select(*keys), keys, "left_semi"), keys).join(sound, keys)
+    e0, e1 = F.col("slope") * F.col("x0") + F.col("offset"), F.col("slope") * F.col("x1") + F.col("offset")
+    both = at.groupBy("image_id").agg(F.count("*").alias("sides"), F.max(F.when(F.col("side") == "top", F.greatest(e0, e1) + 1)).alias("top"), F.max(F.when(F.col("side") == "bottom", F.least(e0, e1) - 1)).alias("bottom")).where("sides = 2")
+    h = cumulative_histogram(intensity_histogram(px.withColumn("v", F.col("v").cast("int")), 3)).join(px.groupBy("image_id").agg(F.count("*").alias("total")), "image_id")
+    fill = h.groupBy("image_id").agg(((F.min(F.when(F.col("below") > 0.75 * F.col("total"), F.col("v"))) - 1) * 8).alias("fill"))
+    j = images.join(both, "image_id", "left").join(fill, "image_id")
+    whole = F.col("sides").isNull()
+    return j.select("image_id", F.when(whole, 0).otherwise(F.greatest(F.lit(0), F.rint("top"))).cast("int").alias("y0"), F.when(whole, F.col("height") - 1).otherwise(F.greatest(F.lit(0), F.rint("top")) + F.rint(F.col("bottom") - F.col("top")) - 1).cast("int").alias("y1"), "fill")
+
+
 def demosaic_red_blue(px: DataFrame, cfa: str = "rggb", colour: str = "r") -> DataFrame:
     """One colour at all sites, in two passes over windows: first at the opposite colour's sites from the weaker of the two diagonal gradients
     (the mean of four where they are about equal), then at the green sites from the weaker of the horizontal and vertical ones. Means are cut to whole numbers.

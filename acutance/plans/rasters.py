@@ -280,6 +280,36 @@ def _h5(spark, d):
     return raster.autocrop_bounds(rounded(raster.axis_projections(px(spark, d)), "s", digits=9), 3)
 
 
+_H5 = """with e as (select * from v_pixels where y % 2 = 0 and x % 2 = 0), s0 as (select image_id, 'row' axis, y as pos, sum(v/65536.0e0) s from e group by 1, 3 union all select image_id, 'column', x, sum(v/65536.0e0) from e group by 1, 3),
+pr as (select image_id, axis, cast(pos + o as int) pos, cast(round_even(round(s, 9)*20, 0) as int) v from s0, (select unnest([0, 1]) o))"""
+
+
+def _otsu_sql(source: str, name: str) -> str:
+    return f"""h{name} as (select image_id, axis, v, count(*) n from {source} group by 1, 2, 3),
+w{name} as (select image_id, axis, v, cast(sum(n) over w as double) wb, cast(sum(n*v) over w as double) sb, sum(n) over z wt, sum(n*v) over z st from h{name} window w as (partition by image_id, axis order by v), z as (partition by image_id, axis)),
+c{name} as (select *, case when wt > wb then wb*(wt - wb)*(sb/wb - (st - sb)/(wt - wb))*(sb/wb - (st - sb)/(wt - wb)) end c from w{name}), b{name} as (select *, max(c) over (partition by image_id, axis) best from c{name}),
+{name} as (select image_id, axis, (min(v) + max(v))/2.0e0 t from b{name} where c = best group by 1, 2)"""
+
+
+@register("h5_autocrop_margins", f"""{_H5}, {_otsu_sql("pr", "th")}, p as (select pr.*, t, count(*) over (partition by image_id, axis) n, row_number() over (partition by image_id, axis order by v, pos) - 1 i from pr join th using (image_id, axis)),
+f as (select image_id, axis, any_value(n) n, any_value(t) t, least(coalesce(min(pos) filter (v >= t), 1000000), any_value(n) // 4) l1, greatest(coalesce(max(pos) filter (v >= t), 0), 3*any_value(n) // 4) r1, max(v) filter (i = n // 2) med from p group by 1, 2),
+g as (select image_id, axis, any_value(f.n) n, any_value(l1) l1, any_value(r1) r1, any_value(med) med, least(coalesce(min(pos) filter (v <= p.t and pos >= l1), 1000000), any_value(f.n) // 4) l2, greatest(coalesce(max(pos) filter (v <= p.t and pos <= r1), 0), 3*any_value(f.n) // 4) r2 from p join f using (image_id, axis) group by 1, 2),
+d as (select *, case when l1 < 0.1e0*n then l2 else 0 end lf, case when r1 > 0.9e0*n then r2 else n - 1 end rt from g),
+k as (select p.image_id, p.axis, pos, p.v, case when (lf > 0 or rt < d.n - 1) and p.v > p.t then med else p.v end calm, p.t, lf, rt, d.n, lf > 0 or rt < d.n - 1 sk from p join d using (image_id, axis)),
+kc as (select image_id, axis, calm v from k), {_otsu_sql("kc", "tj")},
+z as (select k.image_id, k.axis, any_value(lf) lf, any_value(rt) rt, any_value(k.n) n, max(pos) filter (v > case when sk then coalesce(tj.t, k.t) else k.t end and pos >= lf) hi, min(pos) filter (v > case when sk then coalesce(tj.t, k.t) else k.t end and pos <= rt and pos > 0) lo from k left join tj using (image_id, axis) group by 1, 2),
+o as (select image_id, axis, coalesce(lo, rt) - 3 lo, least(n - 1, coalesce(hi, lf) + 3) hi from z) select image_id, axis, cast(greatest(0, lo + lo % 2) as int) lo, cast(hi - hi % 2 as int) hi from o""")
+def _h5_margins(spark, d):
+    return raster.autocrop_margins(rounded(raster.axis_projections(px(spark, d)), "s", digits=9), 3)
+
+
+@register("h6_bar_points", f"""with {IMAGES}, dk as (select image_id, y, x, y - row_number() over (partition by image_id, x order by y) i from v_pixels where v <= 33000), r as (select image_id, x, min(y) a, max(y) z from dk group by image_id, x, i),
+k as (select r.*, height, row_number() over (partition by r.image_id, r.x order by a) f, row_number() over (partition by r.image_id, r.x order by z desc) l from r join im using (image_id))
+select image_id, 'top' side, x, z + 1 y from k where f = 1 and a < height // 5 and z - a + 1 < floor(0.1e0*height) and z < height - 1 union all select image_id, 'bottom', x, a - 1 from k where l = 1 and z > height - 1 - height // 5 and z - a + 1 < floor(0.1e0*height) and a > 0""")
+def _h6_points(spark, d):
+    return raster.bar_points(px(spark, d), images(spark, d).drop("top"), 33000, 0.1)
+
+
 @register("h6_bar_bounds", f"""with {IMAGES}, dk as (select image_id, y, x, y - row_number() over (partition by image_id, x order by y) i from v_pixels where v < 33000), r as (select image_id, x, min(y) y0, count(*) n from dk group by image_id, x, i),
 k as (select r.*, row_number() over (partition by r.image_id, r.x order by y0) z from r join im using (image_id) where n < 0.06*height) select image_id, x, y0 y, n from k where z = 1""")
 def _h6(spark, d):

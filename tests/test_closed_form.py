@@ -493,3 +493,78 @@ def test_profile_points_at_three_frequencies(spark):
     assert all(r == pytest.approx(100) and c == pytest.approx(1 - f) for (_, f), (r, c) in got.items())
     with pytest.raises(ValueError):
         reports.profile_points(m, sfr, ["image_id", "edge_id"], 320, 240, [0.1] * 4)
+
+
+def _autocrop(v, border):
+    """The same crop by loops over the places of an axis."""
+
+    def otsu(values):
+        best, at = -1.0, []
+        for t in sorted(set(values)):
+            low, high = [x for x in values if x <= t], [x for x in values if x > t]
+            if high:
+                c = float(len(low)) * len(high) * (sum(low) / len(low) - sum(high) / len(high)) ** 2
+                at = [t] if c > best * (1 + 1e-12) else [*at, t] if abs(c - best) <= 1e-12 * best else at
+                best = max(best, c)
+        return (min(at) + max(at)) / 2
+
+    n, t = len(v), otsu(v)
+    left, right = 0, n - 1
+    while v[left] < t and left < n // 4:
+        left += 1
+    if left < 0.1 * n:
+        while v[left] > t and left < n // 4:
+            left += 1
+    else:
+        left = 0
+    while v[right] < t and right > 3 * n // 4:
+        right -= 1
+    if right > 0.9 * n:
+        while v[right] > t and right > 3 * n // 4:
+            right -= 1
+    else:
+        right = n - 1
+    if left > 0 or right < n - 1:
+        middle = sorted(v)[n // 2]
+        t = otsu([middle if x > t else x for x in v])
+    last = max((i for i in range(left, n) if v[i] > t), default=left)
+    first = min((i for i in range(1, right + 1) if v[i] > t), default=right)
+    lo, hi = first - border, min(n - 1, last + border)
+    return max(0, lo + lo % 2), hi - hi % 2
+
+
+def test_margins_equal_loops(spark):
+    from acutance.operators import raster
+
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for image in range(24):
+        n = int(rng.integers(60, 140))
+        v = rng.integers(20, 40, n) + (np.abs(np.arange(n) - n / 2) < n * rng.uniform(0.1, 0.3)) * 60
+        if image % 3:
+            v[: int(n * rng.uniform(0.02, 0.2))] += rng.integers(50, 200)
+        if image % 4 == 1:
+            v[-int(n * rng.uniform(0.02, 0.2)) :] += 90
+        rows += [(image, "row", i, float(x) / 20) for i, x in enumerate(v)]
+        want[image] = _autocrop(v.tolist(), 5)
+    got = raster.autocrop_margins(spark.createDataFrame(rows, "image_id int, axis string, at int, s double"), 5).collect()
+    assert {r.image_id: (r.lo, r.hi) for r in got} == want
+
+
+def test_bars_of_planted_pictures(spark):
+    """Dark bars near top and bottom are cut off along their lines; pictures without them stay whole."""
+    from acutance.operators import raster
+
+    n = 200
+    rows = []
+    for image in (0, 1):
+        for y in range(n):
+            for x in range(100):
+                top, bottom = image == 0 and 10 + x // 25 <= y < 14 + x // 25, image == 0 and 185 <= y < 189
+                rows.append((image, y, x, 1000 if top or bottom or 60 <= y < 120 and 30 <= x < 70 else 50000 + 100 * (x % 5)))
+    px = spark.createDataFrame(rows, "image_id int, y int, x int, v int")
+    images = spark.createDataFrame([(0, 100, n), (1, 100, n)], "image_id int, width int, height int")
+    crop = {r.image_id: r for r in raster.bar_crop(px, images, lambda pts, keys: targets.robust_line(pts, keys), 20000).collect()}
+    assert (crop[1].y0, crop[1].y1) == (0, n - 1)
+    assert 17 <= crop[0].y0 <= 19 and crop[0].y1 in (181, 182, 183)
+    values = sorted(v for i, _, _, v in rows if i == 0)
+    assert sum(v >> 3 <= crop[0].fill >> 3 for v in values) <= 0.75 * len(values) < sum(v >> 3 <= (crop[0].fill >> 3) + 1 for v in values)
