@@ -148,13 +148,6 @@ def _q24_windows(spark, d):
     return rounded(m.select("image_id", "label", "side", "window", "mtf50", "expected", "quality", "cx", "cy"), "mtf50", "expected", "cx", "cy")
 
 
-@register("l13_two_pass_pictures")
-def _l13_pictures(spark, d):
-    """The pictures of v_targets, through a fit of their ridges and moved back."""
-    m, k = measure.two_pass(view(spark, d, "v_targets"), rounds=5)
-    return rounded(m.select("image_id", "label", "side", "mtf50").join(k, "image_id").join(expected(spark, d), "image_id"), "mtf50", "expected", "k1", "k2")
-
-
 @register("t2_job_status", """select cast(c_custkey as int) image_id, case when c_custkey % 7 = 0 or c_custkey % 5 = 0 or c_custkey % 3 = 0 then 'failed' else 'completed' end status,
   case when c_custkey % 7 = 0 then 'unsupported encoding' when c_custkey % 5 = 0 then 'open failure' when c_custkey % 3 = 0 then 'no targets' end reason from customer""")
 def _t2(spark, d):
