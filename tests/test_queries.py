@@ -11,8 +11,8 @@ from acutance.plans import catalog
 from acutance.plans.registry import TABLES
 
 SF = "/root/testdata/sf0.001"
-#: Box sums are for dense pictures, code sets need four fiducials a picture and profile curves six edges: the next larger tables have them.
-LARGER = {"n1_box_sums", "n2_sauvola_mask", "n3_bradley_mask", "k7_match_code_set", "r13_profile_curve"}
+#: Box sums are for dense pictures, code sets need four fiducials a picture and profile curves and shift maps six edges: the next larger tables have them.
+LARGER = {"n1_box_sums", "n2_sauvola_mask", "n3_bradley_mask", "k7_match_code_set", "r13_profile_curve", "r26_ca_map"}
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
