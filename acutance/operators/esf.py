@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from acutance.session import materialise
+
 BINS, PER_PIXEL, CENTRE = 512, 8, 256
 
 
@@ -157,11 +159,16 @@ def orient_rising(esf: DataFrame, keys: list[str], ends: int = 16) -> DataFrame:
     return both.join(falls, keys).select(*keys, "bin", F.when(F.col("falls"), F.col("mv")).otherwise(F.col("v")).alias("v"))
 
 
-def clip_contaminated(slope: DataFrame, keys: list[str], tolerance: int = 32) -> DataFrame:
-    """The bins between which an edge is clean: going outwards from bin 16 off the centre, the first at which the slope turns against the
+def clip_contaminated(slope: DataFrame, keys: list[str], tolerance: int = 32, inside: DataFrame | None = None) -> DataFrame:
+    """B5, one pass: the bins between which an edge is clean: going outwards from bin 16 off the centre, the first at which the slope turns against the
     central one and enough of what lies beyond does too (over 40 % of it and up to a quarter of the central slope, or over 90 % of more than 16 bins).
+    inside: keys, left, right of an earlier pass: only bins between them are looked at.
     """
     s = slope.select(*keys, "bin", F.coalesce("slope", F.lit(0.0)).alias("s"))
+    if inside is None:
+        s = s.withColumns({"left": F.lit(0), "right": F.lit(BINS - 1)})
+    else:
+        s = s.join(inside.select(*keys, "left", "right"), keys).where(F.col("bin").between(F.col("left"), F.col("right")))
     core = F.when(F.abs(F.col("bin") - CENTRE) <= 16, F.struct(F.round(F.abs("s"), 9).alias("a"), (-F.col("bin")).alias("b"), F.col("s").alias("s")))
     s = s.withColumn("peak", F.max(core).over(W.partitionBy(*keys)).getField("s"))
     against = F.col("s") * F.col("peak") < 0
@@ -174,14 +181,31 @@ def clip_contaminated(slope: DataFrame, keys: list[str], tolerance: int = 32) ->
         return against & (F.abs("s") > F.abs("peak") * 0.001) & (((below > n * 0.4) & (dev > 0.25)) | ((below > 0.9 * n) & (n > 16)))
 
     t = s.withColumn("l", turned(left)).withColumn("r", turned(right))
-    lo = F.max(F.when(F.col("l") & F.col("bin").between(4, CENTRE - 16), F.col("bin")))
-    hi = F.min(F.when(F.col("r") & F.col("bin").between(CENTRE + 16, BINS - 5), F.col("bin")))
-    out = t.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"))
-    a, b = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(BINS - 1))
+    lo = F.max(F.when(F.col("l") & F.col("bin").between(F.col("left") + 4, CENTRE - 16), F.col("bin")))
+    hi = F.min(F.when(F.col("r") & F.col("bin").between(CENTRE + 16, F.col("right") - 4), F.col("bin")))
+    out = t.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), F.first("left").alias("left"), F.first("right").alias("right"))
+    a, b = F.coalesce("lo", "left"), F.coalesce("hi", "right")
     clipped = F.col("lo").isNotNull() | F.col("hi").isNotNull()
     return out.select(*keys, a.alias("left"), b.alias("right"), clipped.alias("clipped"), (clipped & ((CENTRE - a < tolerance) | (b - CENTRE < tolerance))).alias("contaminated"))
 
 
+def clip_repeatedly(samples: DataFrame, slope: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
+    """B5 in full: edges that a pass clips are binned anew between their new bounds and looked at again, up to passes times: keys, left, right, clipped, contaminated.
+
+    samples: keys, perp, v; slope: slopes of the curve of all samples. An edge is clipped, or contaminated, if any pass finds it so. Each pass reads the samples of the edges clipped in the one before alone.
+    """
+    last = materialise(clip_contaminated(slope, keys), "clip-bounds")
+    found = last
+    for _ in range(passes - 1):
+        bounds = last.where("clipped").select(*keys, "left", "right")
+        curve = bin_triangular(samples.join(bounds.select(*keys), keys, "left_semi"), keys)
+        curve = curve.join(bounds, keys).where(F.col("bin").between(F.col("left"), F.col("right"))).select(*keys, "bin", "v")
+        last = materialise(clip_contaminated(slopes(pad_missing(curve, keys), keys), keys, inside=bounds), "clip-bounds")
+        now = last.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("left", "right", "contaminated")])
+        found = found.join(now, keys, "left").select(*keys, F.coalesce("_left", "left").alias("left"), F.coalesce("_right", "right").alias("right"), "clipped", (F.col("contaminated") | F.coalesce("_contaminated", F.lit(False))).alias("contaminated"))
+    return found
+
+
 #: The kernel's rate, and the widths of core and shoulder relative to the transition.
 ALPHA, CORE, SHOULDER = 13.0, 0.5, 1.85
 

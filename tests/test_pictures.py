@@ -133,3 +133,46 @@ def test_pictures_are_measured_as_they_arrive(spark, tmp_path):
     assert len(got) == 8 and len({(r.image_id, r.side) for r in got}) == 8
     for r in got:
         assert r.mtf50 == pytest.approx((first, second)[r.image_id], rel=0.02)
+
+
+def bent_scale(row, n, k1):
+    """How much finer a side's blur is in the bent picture than in the straight one: the gradient of the distance to its straight line, at its middle (given in the straight picture)."""
+    half = math.hypot(n / 2, n / 2)
+    ux, uy = (row.cx - n / 2) / half, (row.cy - n / 2) / half
+    r = math.hypot(ux, uy)
+    k = 2 / (1 + math.sqrt(1 - 4 * k1 * r * r))
+    x, y = ux * k, uy * k
+    d = 1 + k1 * (x * x + y * y)
+    nx, ny = -math.sin(row.angle), math.cos(row.angle)
+    # u = x / d: its derivatives, across the side
+    gx = nx * (d - 2 * k1 * x * x) / d**2 + ny * (-2 * k1 * x * y) / d**2
+    gy = nx * (-2 * k1 * x * y) / d**2 + ny * (d - 2 * k1 * y * y) / d**2
+    return math.hypot(gx, gy)
+
+
+def test_bent_sides_by_curves(spark):
+    """A lens bends the sides by more than a pixel: a straight line blurs them, parabolas don't. Options choose for each picture."""
+    px, expected = rendered(spark, [(91.0, 89.0, 120.0, 7.0)], 180, 0.5, k1=-0.1)
+    three = px.unionByName(px.withColumn("image_id", F.lit(1))).unionByName(px.withColumn("image_id", F.lit(2)))
+    options = spark.createDataFrame([(0, "line"), (1, "quadratic"), (2, None)], "image_id int, sampler string")
+    off = {}
+    for r in measure.measure_pictures(three, options=options, sampler="piecewise").collect():
+        off.setdefault(r.image_id, []).append(r.mtf50 / (expected * bent_scale(r, 180, -0.1)) - 1)
+    assert len(off) == 3 and all(len(own) == 4 for own in off.values())
+    assert max(off[0]) < -0.04  # the straight line's loss
+    assert max(map(abs, off[1] + off[2])) < 0.025
+
+
+def test_bent_sides_measured_where_they_are(spark):
+    px, expected = rendered(spark, [(91.0, 89.0, 120.0, 7.0)], 180, 0.5, k1=-0.1)
+    rows = measure.measure_deferred(px, spark.createDataFrame([(0, -0.1, 0.0)], "image_id int, k1 double, k2 double")).collect()
+    assert len(rows) == 4
+    assert all(r.mtf50 == pytest.approx(expected * bent_scale(r, 180, -0.1), rel=0.025) for r in rows)
+
+
+def test_straight_sides_by_parabolas(spark):
+    px, expected = rendered(spark, [(90.3, 88.8, 96.0, 8.0)], 180, 0.9)
+    rows = measure.measure_pictures(px, sampler="piecewise").collect()
+    assert len(rows) == 4 and all(r.mtf50 == pytest.approx(expected, rel=0.01) for r in rows)
+    with pytest.raises(ValueError):
+        measure.measure_pictures(px, sampler="circle")
