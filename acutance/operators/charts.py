@@ -43,12 +43,25 @@ def match_code_set(f: DataFrame, sets: DataFrame) -> DataFrame:
     return j.groupBy("image_id").agg(F.min(F.struct("d", "set_id")).alias("b")).select("image_id", F.col("b.set_id").alias("set_id"), F.col("b.d").alias("distance"))
 
 
-def chart_axes(f: DataFrame) -> DataFrame:
-    """K8: origin midway between the two fiducials of code 0 and the unit vector along them."""
+def chart_axes(f: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """K8: origin midway between the two fiducials of code 0 and the unit vector along them.
+
+    orders (image_id, codes: the four inner codes of the image's set in chart order) gives the vector its sign: of those codes the first that the image has lies ahead of the
+    origin if it is one of the first two, behind it if not (of fiducials that share a code the last counts). Without orders, or without such a fiducial, the vector goes from the first zero to the last.
+    """
     z = f.where("code = 0").groupBy("image_id").agg(F.avg("cx").alias("ox"), F.avg("cy").alias("oy"), F.min(F.struct("fid", "cx", "cy")).alias("a"), F.max(F.struct("fid", "cx", "cy")).alias("b"), F.count("*").alias("n")).where("n = 2")
     dx, dy = F.col("b.cx") - F.col("a.cx"), F.col("b.cy") - F.col("a.cy")
     n = F.sqrt(dx * dx + dy * dy)
-    return z.where(n > 0).select("image_id", "ox", "oy", (dx / n).alias("tx"), (dy / n).alias("ty"))
+    axes = z.where(n > 0).select("image_id", "ox", "oy", (dx / n).alias("tx"), (dy / n).alias("ty"))
+    if orders is None:
+        return axes
+    place = orders.select("image_id", F.posexplode("codes").alias("_i", "code")).where("_i < 4")
+    last = f.where("code > 0").groupBy("image_id", "code").agg(F.max(F.struct("fid", "cx", "cy")).alias("_f"))
+    first = place.join(last, ["image_id", "code"]).groupBy("image_id").agg(F.min(F.struct("_i", F.col("_f.cx").alias("cx"), F.col("_f.cy").alias("cy"))).alias("_g"))
+    j = axes.join(first, "image_id", "left")
+    ahead = (F.col("_g.cx") - F.col("ox")) * F.col("tx") + (F.col("_g.cy") - F.col("oy")) * F.col("ty")
+    turn = F.when(F.when(F.col("_g._i") < 2, ahead).otherwise(-ahead) < 0, -1.0).otherwise(1.0)
+    return j.select("image_id", "ox", "oy", (F.col("tx") * turn).alias("tx"), (F.col("ty") * turn).alias("ty"))
 
 
 def correspondences(f: DataFrame, layout: DataFrame, scale: float = 1.0) -> DataFrame:

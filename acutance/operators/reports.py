@@ -213,6 +213,28 @@ def profile_peak(m: DataFrame) -> DataFrame:
     return best.select("image_id", F.col("b.edge_id").alias("edge_id"), F.col("b.d").alias("distance"), F.col("b.mtf").alias("mtf"))
 
 
+def reference_edge(m: DataFrame, areas: DataFrame, curve: DataFrame, along: str = "ey", good: float = 0.5) -> DataFrame:
+    """In each image, the side of the largest block that is nearest to the middle of the other blocks, set against the image's profile curve.
+
+    m: image_id, block_id, edge_id, ex, ey, mtf, quality; areas: image_id, block_id, area; curve: image_id, at, value, along the same direction. Columns: position of the edge along it;
+    shift from the curve's highest place; on_curve, the curve's value at the place nearest to the edge; mtf, the edge's own value, or the curve's highest where its quality is not
+    good. Blocks of equal area go by the smaller id, as do edges and places at equal distance. An image of one block has no other: then its edge of the smallest id counts. Images without a curve have no rows.
+    """
+    best = areas.groupBy("image_id").agg(F.min(F.struct((-F.col("area")).alias("a"), "block_id")).getField("block_id").alias("_top"))
+    centres = m.groupBy("image_id", "block_id").agg(F.avg("ex").alias("x"), F.avg("ey").alias("y")).join(best, "image_id").where("block_id <> _top")
+    middle = centres.groupBy("image_id").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    own = m.join(best, "image_id").where("block_id = _top").join(middle, "image_id", "left")
+    d = F.coalesce(F.round(F.hypot(F.col("ex") - F.col("_mx"), F.col("ey") - F.col("_my")), 6), F.lit(0.0))
+    e = own.groupBy("image_id").agg(F.min(F.struct(d.alias("d"), "edge_id", F.col(along).alias("position"), "mtf", "quality", "block_id")).alias("e"))
+    e = e.select("image_id", "e.block_id", "e.edge_id", "e.position", "e.mtf", "e.quality")
+    j = curve.select("image_id", F.col("at").cast("double").alias("at"), "value").where("value is not null").join(e, "image_id")
+    gap = F.round(F.abs(F.col("at") - F.col("position")), 9)
+    j = j.groupBy("image_id", "block_id", "edge_id", "position", "mtf", "quality").agg(F.min(F.struct((-F.col("value")).alias("v"), "at")).alias("h"), F.min(F.struct(gap.alias("g"), "at", "value")).alias("c"))
+    fine = F.col("quality") >= good
+    own_value = F.when(fine, F.col("mtf")).otherwise(-F.col("h.v"))
+    return j.select("image_id", "block_id", "edge_id", "position", (F.col("position") - F.col("h.at")).alias("shift"), F.col("c.value").alias("on_curve"), own_value.alias("mtf"), F.coalesce(fine, F.lit(False)).alias("good"))
+
+
 def channel_shift(lsf: DataFrame, keys: list[str]) -> DataFrame:
     """Centroid of each channel's line spread (bin, v), less that of green, in pixels."""
     c = lsf.groupBy(*keys, "channel").agg((F.sum(F.col("bin") * F.abs("v")) / F.sum(F.abs("v")) / 8).alias("c"))

@@ -147,6 +147,19 @@ def _k8(spark, d):
     return rounded(charts.chart_axes(f), "tx", "ty", digits=8)
 
 
+@register("k8_chart_axes_signed", f"""with {_F}, z as (select * from f where code = 0 and fid < 8), g as (select image_id, count(*) n, avg(cx) ox, avg(cy) oy, arg_max(cx, fid) - arg_min(cx, fid) dx, arg_max(cy, fid) - arg_min(cy, fid) dy from z group by 1),
+a as (select image_id, ox, oy, dx/sqrt(dx*dx + dy*dy) tx, dy/sqrt(dx*dx + dy*dy) ty from g where n = 2 and sqrt(dx*dx + dy*dy) > 0), c as (select image_id, code, max(fid) fid from f where code > 0 group by 1, 2),
+o as (select image_id, i, ((image_id*3 + i*5) % 20) + 1 code from (select distinct image_id from f), (select unnest(range(0, 4)) i)),
+l as (select o.image_id, i, cx, cy, row_number() over (partition by o.image_id order by i) k from o join c using (image_id, code) join f on f.image_id = o.image_id and f.fid = c.fid),
+t as (select a.*, case when case when i < 2 then 1 else -1 end*((cx - ox)*tx + (cy - oy)*ty) < 0 then -1 else 1 end turn from a left join l on a.image_id = l.image_id and k = 1)
+select image_id, ox, oy, round(tx*turn, 8) tx, round(ty*turn, 8) ty from t""")
+def _k8_signed(spark, d):
+    f = fids(spark, d).withColumn("code", F.when((F.col("code") == 0) & (F.col("fid") >= 8), 21).otherwise(F.col("code")))
+    code = lambda i: ((F.col("image_id") * 3 + i * 5) % 20 + 1).cast("int")
+    orders = f.select("image_id").distinct().select("image_id", F.array(*[code(i) for i in range(4)]).alias("codes"))
+    return rounded(charts.chart_axes(f, orders), "tx", "ty", digits=8)
+
+
 @register("k9_correspondences", f"with {_F}, l as (select cast(n_nationkey as int) code, cast(n_nationkey*5 as double) x_mm, cast(n_regionkey*7 as double) y_mm from nation where n_nationkey between 1 and 20) select image_id, fid, cx, cy, x_mm*1.5e0 x_mm, y_mm*1.5e0 y_mm from f join l using (code) where code > 0")
 def _k9(spark, d):
     n = read_table(spark, d, "nation").where("n_nationkey between 1 and 20")

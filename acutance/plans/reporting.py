@@ -142,6 +142,19 @@ def _r21(spark, d):
     return rounded(reports.profile_peak(edges(spark, d)), "mtf", digits=9)
 
 
+@register("r21_reference_edge", """with e as (select *, edge_id // 16 block_id from v_edges), a as (select image_id, block_id, (max(ex) - min(ex))*(max(ey) - min(ey)) area, avg(ex) x, avg(ey) y from e group by 1, 2),
+t as (select *, row_number() over (partition by image_id order by area desc, block_id) k from a), mid as (select image_id, avg(x) mx, avg(y) my from t where k > 1 group by 1),
+o as (select e.*, row_number() over (partition by e.image_id order by coalesce(round(sqrt(pow(ex - mx, 2) + pow(ey - my, 2)), 6), 0), edge_id) n from e join t on t.image_id = e.image_id and t.block_id = e.block_id and t.k = 1 left join mid on mid.image_id = e.image_id),
+c as (select image_id, floor(ey/40)*40 + 20 "at", avg(mtf) "value" from v_edges group by 1, 2), h as (select *, row_number() over (partition by image_id order by value desc, "at") n from c),
+g as (select o.image_id, block_id, edge_id, ey, mtf, quality, c.value, row_number() over (partition by o.image_id order by round(abs(c.at - ey), 9), c.at) k from o join c using (image_id) where n = 1)
+select g.image_id, block_id, edge_id, ey as "position", ey - h.at shift, round(g.value, 9) on_curve, round(case when quality >= 0.5 then mtf else h.value end, 9) mtf, quality >= 0.5 good from g join h on h.image_id = g.image_id and h.n = 1 where k = 1""")
+def _r21_reference(spark, d):
+    e = edges(spark, d).withColumn("block_id", F.expr("edge_id div 16"))
+    areas = e.groupBy("image_id", "block_id").agg(((F.max("ex") - F.min("ex")) * (F.max("ey") - F.min("ey"))).alias("area"))
+    curve = e.groupBy("image_id", (F.floor(F.col("ey") / 40) * 40 + 20).alias("at")).agg(F.avg("mtf").alias("value"))
+    return rounded(reports.reference_edge(e, areas, curve), "on_curve", "mtf", digits=9)
+
+
 _CA = """n as (select edge_id, cast(par as int) % 3 channel, perp, v, trunc(perp*8 + 256) + d as bin from v_samples, (select unnest(range(-5, 6)) d)),
 w as (select edge_id, channel, cast(bin as int) bin, v, greatest(0.0e0, 1 - 1.75e0*abs(perp - (bin - 256)/8.0e0)) w from n),
 es as (select edge_id, channel, bin, sum(w*v)/sum(w) v from w where w > 0 and bin between 0 and 511 group by 1, 2, 3),
