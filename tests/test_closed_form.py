@@ -568,3 +568,72 @@ def test_bars_of_planted_pictures(spark):
     assert 17 <= crop[0].y0 <= 19 and crop[0].y1 in (181, 182, 183)
     values = sorted(v for i, _, _, v in rows if i == 0)
     assert sum(v >> 3 <= crop[0].fill >> 3 for v in values) <= 0.75 * len(values) < sum(v >> 3 <= (crop[0].fill >> 3) + 1 for v in values)
+
+
+def clipped_by_loops(samples, passes=3):
+    """B5 as loops over one edge's samples (perp, v): left, right, clipped, contaminated."""
+    left, right, clipped, dirty = 0, 511, False, False
+    for number in range(passes):
+        total, weight = np.zeros(512), np.zeros(512)
+        for perp, v in samples:
+            c = int(perp * 8 + 256)
+            for b in range(max(0, c - 5), min(511, c + 5) + 1):
+                w = 1 - 1.75 * abs(perp - (b - 256) / 8)
+                if w > 0 and left <= b <= right:
+                    total[b] += w * v
+                    weight[b] += w
+        have = np.flatnonzero(weight)
+        curve = np.zeros(512)
+        for b in range(512):
+            below = have[have <= b]
+            near = below[-1] if len(below) else have[0]
+            curve[b] = total[near] / weight[near]
+        slope = np.zeros(512)
+        for b in range(16, 496):
+            slope[b] = np.polyfit(np.arange(-16, 17), curve[b - 16 : b + 17], 1)[0]
+        core = range(240, 273)
+        peak = slope[max(core, key=lambda b: (round(abs(slope[b]), 9), -b))]
+
+        def turned(b, beyond):
+            if not (slope[b] * peak < 0 and abs(slope[b]) > abs(peak) * 0.001):
+                return False
+            against = [abs(slope[k]) for k in beyond if slope[k] * peak < 0]
+            n = len(beyond)
+            return (len(against) > 0.4 * n and max(against) / abs(peak) > 0.25) or (len(against) > 0.9 * n and n > 16)
+
+        lo = next((b for b in range(240, left + 3, -1) if turned(b, range(left, b + 1))), None)
+        hi = next((b for b in range(272, right - 3) if turned(b, range(b, right + 1))), None)
+        if lo is None and hi is None:
+            break
+        left, right, clipped = left if lo is None else lo, right if hi is None else hi, True
+        dirty = dirty or 256 - left < 32 or right - 256 < 32
+    return left, right, clipped, dirty
+
+
+def test_clipping_in_passes(spark):
+    rng, rows = np.random.default_rng(11), {}
+    dents = {0: [], 1: [(9.0, -900)], 2: [(-17.0, 800), (-6.0, 700)], 3: [(5.0, -1200), (18.0, -700)], 4: [(-3.0, 2500), (12.0, -1500)], 5: [(20.0, -400), (11.0, -250), (6.0, -150)]}
+    for edge, bumps in dents.items():
+        perp = rng.uniform(-27, 27, 2500)
+        v = 2000 + 8000 / (1 + np.exp(-perp / 0.6)) + rng.normal(0, 5, 2500)
+        for at, rise in bumps:
+            v += np.where(perp > at, rise * (perp - at) / 3, 0) if at > 0 else np.where(perp < at, rise * (at - perp) / 3, 0)
+        rows[edge] = list(zip(perp.tolist(), v.tolist(), strict=True))
+    s = spark.createDataFrame([(e, p, v) for e, own in rows.items() for p, v in own], "edge_id int, perp double, v double")
+    slope = esf.slopes(esf.pad_missing(esf.bin_triangular(s, EK), EK), EK)
+    got = {r.edge_id: (r.left, r.right, r.clipped, r.contaminated) for r in esf.clip_repeatedly(s, slope, EK).collect()}
+    assert got == {e: clipped_by_loops(own) for e, own in rows.items()}
+    once = {r.edge_id: (r.left, r.right) for r in esf.clip_contaminated(slope, EK).collect()}
+    assert once == {e: clipped_by_loops(own, 1)[:2] for e, own in rows.items()}
+    assert got[0] == (0, 511, False, False) and sum(g[2] for g in got.values()) >= 4
+
+
+def test_reference_edge_of_lone_blocks_and_poor_quality(spark):
+    from acutance.operators import reports
+
+    m = spark.createDataFrame([(1, 1, 7, 10.0, 50.0, 0.2, 0.1), (1, 1, 8, 10.0, 90.0, 0.3, 1.0), (2, 1, 1, 0.0, 10.0, 0.2, 1.0), (2, 2, 2, 0.0, 30.0, 0.4, None), (2, 2, 3, 0.0, 70.0, 0.5, 1.0), (3, 1, 9, 0.0, 0.0, 0.1, 1.0)], "image_id int, block_id int, edge_id int, ex double, ey double, mtf double, quality double")
+    areas = spark.createDataFrame([(1, 1, 5.0), (2, 1, 4.0), (2, 2, 9.0), (3, 1, 1.0)], "image_id int, block_id int, area double")
+    curve = spark.createDataFrame([(1, 40, 0.25), (1, 60, 0.35), (1, 80, 0.35), (2, 20, 0.6), (2, 40, None), (2, 60, 0.1)], "image_id int, at int, value double")
+    got = {r.image_id: (r.block_id, r.edge_id, r.shift, r.on_curve, r.mtf, r.good) for r in reports.reference_edge(m, areas, curve).collect()}
+    assert got == {1: (1, 7, -10.0, 0.25, 0.35, False), 2: (2, 2, 10.0, 0.6, 0.6, False)}  # image 3 has no curve
+    assert reports.reference_edge(m.limit(0), areas.limit(0), curve.limit(0)).count() == 0
