@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from acutance.session import broadcast_if_small
+
 
 def dedupe_fiducials(f: DataFrame) -> DataFrame:
     """K6: of two fiducials closer than the smaller minor axis, the larger stays (of equals the smaller id). Filed by tiles as wide as an image's largest minor axis."""
@@ -39,7 +41,7 @@ def match_code_set(f: DataFrame, sets: DataFrame) -> DataFrame:
     d = F.round(F.col("cx") ** 2 + F.col("cy") ** 2, 6)
     four = f.withColumn("r", F.row_number().over(W.partitionBy("image_id").orderBy(d, "fid"))).where("r <= 4")
     own = four.groupBy("image_id").agg(F.sort_array(F.collect_list("code")).alias("own")).where(F.size("own") == 4)
-    j = own.join(F.broadcast(sets)).withColumn("d", edit_distance4(F.col("own"), F.col("codes")))
+    j = own.join(broadcast_if_small(sets)).withColumn("d", edit_distance4(F.col("own"), F.col("codes")))
     return j.groupBy("image_id").agg(F.min(F.struct("d", "set_id")).alias("b")).select("image_id", F.col("b.set_id").alias("set_id"), F.col("b.d").alias("distance"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from acutance.session import materialise, ship_package
+from acutance.session import broadcast_if_small, materialise, ship_package
 
 
 def _scaled(pts: DataFrame, to: Column) -> DataFrame:
@@ -123,7 +123,7 @@ def ridge_costs(ridge: DataFrame, candidates: DataFrame, keys: list[str], lens:
     pts = ridge.withColumns({"xb": F.lag("x").over(w), "yb": F.lag("y").over(w), **ends})
     long = F.nullif(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), F.lit(0.0))
     pts = pts.withColumns({"c": (F.col("x1") - F.col("x0")) / long, "s": (F.col("y1") - F.col("y0")) / long})
-    pts = pts.join(candidates, lens) if lens else pts.join(F.broadcast(candidates))
+    pts = pts.join(candidates, lens) if lens else pts.join(broadcast_if_small(candidates))
 
     def along_across(x: str, y: str) -> tuple[Column, Column]:
         r2 = F.col(x) ** 2 + F.col(y) ** 2

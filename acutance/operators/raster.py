@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from acutance.session import broadcast_if_small
+
 FULL = 65535.0
 #: The sRGB tone curve as seven parameters, and the luminance weights of red, green and blue.
 SRGB = (2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045, 0.0, 0.0)
@@ -27,7 +29,7 @@ def linearise_table(px: DataFrame, knots: DataFrame) -> DataFrame:
     first = (F.col("n") == 1) & (F.col("v") < F.col("x0"))
     inside = (F.col("v") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("v") < F.col("x1")))
     y = F.when(first | F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (F.col("v") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
-    return px.join(F.broadcast(seg), first | inside).select(*px.drop("v").columns, F.rint(y).cast("int").alias("v"))
+    return px.join(broadcast_if_small(seg), first | inside).select(*px.drop("v").columns, F.rint(y).cast("int").alias("v"))
 
 
 def widen_8bit(px: DataFrame) -> DataFrame:

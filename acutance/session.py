@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1_000
+#: Rows of an Arrow batch, and the most rows of a table that is broadcast.
+BATCH_ROWS, BROADCAST_ROWS = 1_000, 100_000
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -32,9 +34,11 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if the master is this process alone; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,6 +58,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast in a join if a count finds at most that many rows; a larger one is left to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, so that Python workers can import it wherever they run.
 
