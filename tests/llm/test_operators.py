@@ -541,6 +541,27 @@ def test_repeats(spark, docs, none):
     assert suffixes.repeats(none).count() == 0
 
 
+def test_many_copies_are_one_row_for_each_chunk(spark, monkeypatch):
+    """A text with many copies is in the exchange of digests once for each chunk; all its copies lose their bytes, if long enough."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 500)) for _ in range(6)]
+    rows = [(i, texts[0] if i % 2 else ("s" * 399 if i % 3 else texts[1 + i % 5])) for i in range(400)]
+    written, write = {}, suffixes.materialise
+
+    def materialise(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(suffixes, "materialise", materialise)
+    got = {r.doc_id: r for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk_bytes=20_000).collect()}
+    assert len(got) == 400
+    for i, t in rows:
+        assert got[i].n_bytes == len(t) and bytes(got[i].kept) == (t.encode() if len(t) < 400 else b"")
+    chunks = written["suffix-digests"].select("chunk").distinct().count()
+    assert 4 <= chunks < 40
+    assert written["suffix-digests"].groupBy("digest").count().agg(F.max("count")).first()[0] <= chunks
+
+
 # 9
 
 

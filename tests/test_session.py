@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -42,3 +43,21 @@ def test_candidates_beyond_the_bound_give_the_same_costs(spark, monkeypatch):
     small = cost()
     monkeypatch.setattr(lens, "broadcast_if_small", lambda df: session.broadcast_if_small(df, 2))
     assert len(small) == 4 and cost() == small
+
+
+def test_shuffle_files_go_when_a_query_ends(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {x for x in found.split() if "shuffle_" in x and x.endswith(".data")}
+
+    before = files()
+    with session.shuffles_dropped(spark):
+        session.materialise(spark.range(1000).repartition(3, "id"), "dropped")
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    kept = session.materialise(spark.range(1000).repartition(3, "id"), "kept")
+    assert kept.count() == 1000 and not files() <= before
