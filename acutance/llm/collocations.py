@@ -220,8 +220,11 @@ def count_phrases(docs: DataFrame, lang: str, text: str, least: int, budget: int
 
 
 def matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left join with a table that has a row for each key; rows of a common key are spread over SALTS tasks."""
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Left join with a table that has a row for each key; rows of a common key are spread over SALTS tasks.
+
+    Spark sizes the copies of right like one of them, and its file by compressed bytes, so it would broadcast millions of rows: the join is always by sorting.
+    """
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     dealt_rows = left.withColumn("_salt", F.pmod(F.xxhash64("id1", "id2", "id3"), F.lit(SALTS)).cast("int"))
     return dealt_rows.join(spread, [*on, "_salt"], "left").drop("_salt")
 
@@ -240,7 +243,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     known = pairs.select("id1", "id2", F.col("a").alias("f12"))
     later = known.select(F.col("id1").alias("id2"), F.col("id2").alias("id3"), F.col("f12").alias("f23"))
     longer = triples.select("id1", "id2", "a").unionByName(triples.select(F.col("id2").alias("id1"), F.col("id3").alias("id2"), "a"))
-    longer = longer.groupBy("id1", "id2").agg(F.max("a").alias("most"))
+    longer = longer.groupBy("id1", "id2").agg(F.max("a").alias("most")).hint("merge")  # never broadcast, like the copies in matched
     inside = F.coalesce(F.lit(100).cast("decimal(3,0)") * F.col("most").cast("decimal(19,0)") >= F.lit(share).cast("decimal(3,0)") * F.col("a").cast("decimal(19,0)"), F.lit(False))
     two = pairs.join(longer, ["id1", "id2"], "left").where(~inside).select("id1", "id2", "id3", "a", F.lit(None).cast("long").alias("f12"), F.lit(None).cast("long").alias("f23"))
     three = matched(matched(triples, known, ["id1", "id2"]), later, ["id2", "id3"]).select("id1", "id2", "id3", "a", "f12", "f23")

@@ -210,3 +210,11 @@ def test_phrase_scores_are_exact(spark):
 def test_phrases_of_empty_tables(spark, none):
     assert collocations.collocations(none).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, None, None), (2, " ", "en")], SCHEMA)).count() == 0
+
+
+def test_copies_of_a_table_are_never_broadcast(spark):
+    left = spark.range(50).select(F.col("id").alias("id1"), F.lit(1).alias("id2"), F.lit(0).alias("id3"))
+    right = spark.range(30).select(F.col("id").alias("id1"), (F.col("id") * 2).alias("f"))  # under any limit before it is copied
+    found = collocations.matched(left, right, ["id1"])
+    assert {r.id1: r.f for r in found.collect()} == {i: 2 * i if i < 30 else None for i in range(50)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
