@@ -61,3 +61,26 @@ def test_shuffle_files_go_when_a_query_ends(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
     kept = session.materialise(spark.range(1000).repartition(3, "id"), "kept")
     assert kept.count() == 1000 and not files() <= before
+
+
+def test_measurements_broadcast_only_what_is_counted(spark, monkeypatch):
+    from acutance.operators import measure
+
+    class Begun(Exception):
+        pass
+
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    px, seen = spark.createDataFrame([(0, 0, 0, 1)], "image_id int, y int, x int, v int"), []
+
+    def begun(px):
+        seen.append([spark.conf.get(n, None) for n in names])
+        small = spark.range(3).join(spark.range(2), "id")
+        assert "Broadcast" not in small._jdf.queryExecution().executedPlan().toString()
+        raise Begun
+
+    monkeypatch.setattr(measure, "whole_pixels", begun)
+    had = [spark.conf.get(n, None) for n in names]
+    for fn in (measure.measure_pictures, measure.measure_windows, lambda p: measure.measure_rois(p, p), lambda p: measure.measure_deferred(p, p)):
+        with pytest.raises(Begun):
+            fn(px)
+    assert seen == [["-1", "-1"]] * 4 and [spark.conf.get(n, None) for n in names] == had
