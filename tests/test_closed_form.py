@@ -637,3 +637,10 @@ def test_reference_edge_of_lone_blocks_and_poor_quality(spark):
     got = {r.image_id: (r.block_id, r.edge_id, r.shift, r.on_curve, r.mtf, r.good) for r in reports.reference_edge(m, areas, curve).collect()}
     assert got == {1: (1, 7, -10.0, 0.25, 0.35, False), 2: (2, 2, 10.0, 0.6, 0.6, False)}  # image 3 has no curve
     assert reports.reference_edge(m.limit(0), areas.limit(0), curve.limit(0)).count() == 0
+
+
+def test_a_pixel_on_the_limit_of_a_segment_is_inside(spark):
+    """(-10 * 22.5 + 6 * 12) / 25.5 is -6: right on the limit."""
+    pixel = spark.createDataFrame([(5, 31, 15, 7)], "image_id int, y int, x int, v int")
+    segment = spark.createDataFrame([(5, 181, 9.0, 41.0, 31.5, 29.0)], "image_id int, roi_id int, ax double, ay double, bx double, by double")
+    assert [(r.along, r.across) for r in raster.roi_contains(pixel, segment, 6.0).collect()] == [(pytest.approx(10), pytest.approx(-6))]
