@@ -84,3 +84,24 @@ def test_measurements_broadcast_only_what_is_counted(spark, monkeypatch):
         with pytest.raises(Begun):
             fn(px)
     assert seen == [["-1", "-1"]] * 4 and [spark.conf.get(n, None) for n in names] == had
+
+
+def test_pixels_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Each picture has one pixel, the mean of the same prices in another order; as sums of doubles the orders differ, and so does the pixel."""
+    import itertools
+    import math
+
+    from pyspark.sql import functions as F
+
+    from acutance.plans.registry import _steady_mean, view
+
+    prices = [44385.08, 48406.87, 24347.21, 54020.84]  # the mean times 0.6 is 25674 exactly
+    sums = {math.floor((((a + b) + c) + e) / 4 * 0.6) for a, b, c, e in itertools.permutations(prices)}
+    assert sums == {25673, 25674}
+    rows = [(15000 * i, 0, 0, v) for i, p in enumerate(itertools.permutations(prices)) for v in p]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = [r.v for r in view(spark, str(tmp_path), "v_pixels").collect()]
+    assert len(found) == 24 and len(set(found)) == 1
+    odd = spark.createDataFrame([(0, None), (1, math.nan), (1, 1.0), (2, 2e12), (2, 1e12), (3, -7.5), (3, None), (4, 0.1), (4, 0.2)], "k int, x double")
+    means = {r.k: r.m for r in odd.groupBy("k").agg(F.expr(_steady_mean("x")).alias("m")).collect()}
+    assert math.isnan(means.pop(1)) and means == {0: None, 2: 1.5e12, 3: -7.5, 4: pytest.approx(0.15, rel=1e-15)}
