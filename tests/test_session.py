@@ -105,3 +105,29 @@ def test_pixels_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     odd = spark.createDataFrame([(0, None), (1, math.nan), (1, 1.0), (2, 2e12), (2, 1e12), (3, -7.5), (3, None), (4, 0.1), (4, 0.2)], "k int, x double")
     means = {r.k: r.m for r in odd.groupBy("k").agg(F.expr(_steady_mean("x")).alias("m")).collect()}
     assert math.isnan(means.pop(1)) and means == {0: None, 2: 1.5e12, 3: -7.5, 4: pytest.approx(0.15, rel=1e-15)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_made_by_an_explode_are_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from acutance.operators import charts, sampling, targets
+
+    lines = spark.range(3).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).selectExpr("id", "k", "cast(k as double) cx", "1.0D cy", "0.5D angle")
+    pts = spark.range(3).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39)))).selectExpr("id", "cast(i as double) x", "cast(i % 7 as double) y", "0.5D theta", "1.0D gx", "0.3D gy", "1.0D w", "1 v")
+    fits = spark.range(3).selectExpr("id", "10.0D t", "1.0D c", "0.1D b", "0.1D a1", "0.2D a2")
+    for df in (targets.assign_to_edges(pts, lines, ["id"]), sampling.piecewise_fit(pts, ["id"]), sampling.sample_piecewise(pts, fits, ["id"]), charts.fit_ellipse(pts, ["id"])):
+        assert "Broadcast" not in _plan(df)
+
+
+def test_loess_zones_join_samples_before_they_are_spread_over_bins(spark):
+    from acutance.operators import targets
+
+    samples = spark.range(100).selectExpr("0 edge_id", "id / 10D - 5 perp", "cast(id as double) v")
+    about = spark.createDataFrame([(0, 8.0, 20.0)], "edge_id int, half_width double, cnr double")
+    lines = _plan(targets.esf_loess_zones(samples, about, ["edge_id"])).split("\n")
+    spread = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    assert any("Join" in x for x in lines[spread:]) and not any("Join" in x for x in lines[:spread])
