@@ -186,10 +186,9 @@ def fit_ellipse(pts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame
     """K2: a dual conic through weighted gradient lines: points x, y with gradient gx, gy; centre and half axes.
 
     A line of the contour's tangent is l = (gx, gy, -(gx x + gy y)); the dual conic C satisfies l' C l = 0 with its last element 1. Spark sums the
-    fifteen and five moments; the 5 x 5 solve runs grouped, a row for each key.
+    fifteen and five moments; the 5 x 5 solve runs on batches of them, a row for each key.
     """
     import numpy as np
-    import pandas as pd
 
     p = "-(gx * (x - x0) + gy * (y - y0))"
     centre = pts.groupBy(*keys).agg(F.avg("x").alias("x0"), F.avg("y").alias("y0"))
@@ -199,17 +198,22 @@ def fit_ellipse(pts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame
     sums = t.groupBy(*keys, "x0", "y0").agg(F.count("*").alias("n"), *[F.sum(F.col(weight) * u[i] * u[j]).alias(f"a{i}{j}") for i in range(5) for j in range(i, 5)], *[F.sum(F.col(weight) * u[i] * rhs).alias(f"b{i}") for i in range(5)]).where("n >= 6")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pts.select(*keys).schema.fields)
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        r = g.iloc[0]
-        a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
-        s = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(5)]), rcond=None)[0]
+    def axes(m, v):
+        s = np.linalg.lstsq(m, v, rcond=None)[0]
         dual = np.array([[s[0], s[1] / 2, s[3] / 2], [s[1] / 2, s[2], s[4] / 2], [s[3] / 2, s[4] / 2, 1.0]])
         cx, cy = dual[0, 2], dual[1, 2]
         shape = np.outer([cx, cy], [cx, cy]) - dual[:2, :2]
         values = np.sqrt(np.maximum(np.linalg.eigvalsh(shape), 0))
-        return pd.DataFrame({**{k: [r[k]] for k in keys}, "cx": [cx + r["x0"]], "cy": [cy + r["y0"]], "major": [values[1]], "minor": [values[0]]})
+        return cx, cy, values[1], values[0]
 
-    return sums.groupBy(*keys).applyInPandas(solve, f"{fields}, cx double, cy double, major double, minor double")
+    def solve(batches):  # a row of sums is a key
+        for g in batches:
+            a = np.array([[g[f"a{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)], float).reshape(5, 5, -1).transpose(2, 0, 1)
+            b = np.array([g[f"b{i}"] for i in range(5)], float).T
+            e = np.array([axes(m, v) for m, v in zip(a, b, strict=True)], float).reshape(-1, 4)
+            yield g[keys].assign(cx=e[:, 0] + g["x0"], cy=e[:, 1] + g["y0"], major=e[:, 2], minor=e[:, 3])
+
+    return sums.mapInPandas(solve, f"{fields}, cx double, cy double, major double, minor double")
 
 
 def ellipse_gradient_check(pts: DataFrame, ellipses: DataFrame, keys: list[str], share: float = 0.9, limit: float = 20.0) -> DataFrame:
